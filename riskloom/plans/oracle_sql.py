@@ -74,3 +74,101 @@ def with_ev(select: str) -> str:
 
 __all__ = ["weekly_sql", "weekly_median_sql", "halves_sql", "with_ev", "ev_cte", "filtered_cte", "start_sql",
            "KEY", "CODES", "OFFERS_SQL", "RISK_SQL", "DICTIONARY_SQL", "APPETITE_SQL"]
+
+
+# ------------------------------------------------------------------ forecast family
+
+METRIC_NAMES = ("total_mentions", "total_sources", "total_articles", "center_tone", "center_goldstein")
+
+
+def series_ctes(months: int = -2) -> list[str]:
+    """CTEs up to ``st``: (country, metric, week, y, t, n) with t oldest first."""
+    g = "country, week"
+    union = "\n  UNION ALL ".join(
+        f"SELECT country, '{m}' AS metric, week, CAST({m} AS DOUBLE) AS y FROM wm" for m in METRIC_NAMES)
+    return [ev_cte(), filtered_cte(months),
+            f"""t AS (SELECT {g}, CAST(SUM(num_mentions) AS BIGINT) AS total_mentions,
+  CAST(SUM(num_sources) AS BIGINT) AS total_sources, CAST(SUM(num_articles) AS BIGINT) AS total_articles
+  FROM f GROUP BY {g})""",
+            f"""h AS (SELECT {g}, avg_tone, goldstein,
+  NTILE(2) OVER (PARTITION BY {g} ORDER BY avg_tone ASC NULLS LAST, {KEY}) AS tn,
+  NTILE(2) OVER (PARTITION BY {g} ORDER BY goldstein ASC NULLS LAST, {KEY}) AS gn FROM f)""",
+            f"""c AS (SELECT {g}, AVG(avg_tone) AS center_tone, AVG(goldstein) AS center_goldstein
+  FROM h WHERE tn = 1 AND gn = 1 GROUP BY {g})""",
+            "wm AS (SELECT t.*, c.center_tone, c.center_goldstein FROM t JOIN c USING (country, week))",
+            f"ser AS ({union})",
+            """st AS (SELECT *, row_number() OVER (PARTITION BY country, metric ORDER BY week) AS t,
+  count(*) OVER (PARTITION BY country, metric) AS n FROM ser)""",
+            """sl AS (SELECT *, lag(y, 1) OVER w AS y_lag1, lag(y, 2) OVER w AS y_lag2, lag(y, 3) OVER w AS y_lag3,
+  lag(y, 4) OVER w AS y_lag4 FROM st WINDOW w AS (PARTITION BY country, metric ORDER BY t))"""]
+
+
+def _zsql(lag: int) -> str:
+    y = ["y", "y_lag1", "y_lag2", "y_lag3", "y_lag4"]
+    return (f"CASE d WHEN 0 THEN {y[lag]} WHEN 1 THEN {y[lag]} - {y[lag + 1]} "
+            f"ELSE {y[lag]} - 2 * {y[lag + 1]} + {y[lag + 2]} END")
+
+
+def ar_ctes(months: int = -2, upto: str = "train") -> list[str]:
+    """Adds ``fc``: (country, metric, p, d, q, forecast) for the nine q = 0 orders."""
+    m = "n - 1" if upto == "train" else "n"
+    reg = "t >= d + p + 1 AND t <= m"
+    return series_ctes(months) + [
+        "pdg AS (SELECT a.p, b.d FROM (VALUES (0), (1), (2)) a(p), (VALUES (0), (1), (2)) b(d))",
+        f"""rw AS (SELECT sl.country, sl.metric, sl.t, sl.y, sl.y_lag1, {m} AS m, pdg.p, pdg.d,
+  {_zsql(0)} AS zt,
+  CASE WHEN p >= 1 THEN {_zsql(1)} ELSE 0.0 END AS x1,
+  CASE WHEN p >= 2 THEN {_zsql(2)} ELSE 0.0 END AS x2,
+  {_zsql(1)} AS zprev
+  FROM sl CROSS JOIN pdg)""",
+        f"""sm AS (SELECT country, metric, p, d, count(*) FILTER (WHERE {reg}) AS E,
+  sum(zt) FILTER (WHERE {reg}) AS Sy, sum(x1) FILTER (WHERE {reg}) AS S1, sum(x2) FILTER (WHERE {reg}) AS S2,
+  sum(x1 * x1) FILTER (WHERE {reg}) AS S11, sum(x1 * x2) FILTER (WHERE {reg}) AS S12,
+  sum(x2 * x2) FILTER (WHERE {reg}) AS S22, sum(x1 * zt) FILTER (WHERE {reg}) AS S1y,
+  sum(x2 * zt) FILTER (WHERE {reg}) AS S2y,
+  max(y) FILTER (WHERE t = m) AS ym, max(y_lag1) FILTER (WHERE t = m) AS ym1,
+  max(zt) FILTER (WHERE t = m) AS zm, max(zprev) FILTER (WHERE t = m) AS zm1
+  FROM rw GROUP BY country, metric, p, d)""",
+        """nq AS (SELECT *,
+  CASE WHEN d = 0 THEN S11 - S1 * S1 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S11 END AS a11,
+  CASE WHEN d = 0 THEN S12 - S1 * S2 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S12 END AS a12,
+  CASE WHEN d = 0 THEN S22 - S2 * S2 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S22 END AS a22,
+  CASE WHEN d = 0 THEN S1y - S1 * Sy / NULLIF(CAST(E AS DOUBLE), 0) ELSE S1y END AS b1,
+  CASE WHEN d = 0 THEN S2y - S2 * Sy / NULLIF(CAST(E AS DOUBLE), 0) ELSE S2y END AS b2 FROM sm)""",
+        """co AS (SELECT *,
+  CASE p WHEN 0 THEN 0.0 WHEN 1 THEN b1 / NULLIF(a11, 0)
+         ELSE (b1 * a22 - b2 * a12) / NULLIF(a11 * a22 - a12 * a12, 0) END AS phi1,
+  CASE WHEN p = 2 THEN (a11 * b2 - a12 * b1) / NULLIF(a11 * a22 - a12 * a12, 0) ELSE 0.0 END AS phi2 FROM nq)""",
+        """zh AS (SELECT *,
+  (CASE WHEN d = 0 THEN (Sy - phi1 * S1 - phi2 * S2) / NULLIF(CAST(E AS DOUBLE), 0) ELSE 0.0 END)
+  + (CASE WHEN p >= 1 THEN phi1 * zm ELSE 0.0 END) + (CASE WHEN p = 2 THEN phi2 * zm1 ELSE 0.0 END) AS zhat FROM co)""",
+        """fc AS (SELECT country, metric, p, d, 0 AS q,
+  CASE WHEN E >= greatest(p + CASE WHEN d = 0 THEN 1 ELSE 0 END, 1) AND isfinite(yh) THEN yh END AS forecast
+  FROM (SELECT *, CASE d WHEN 0 THEN zhat WHEN 1 THEN ym + zhat ELSE 2 * ym - ym1 + zhat END AS yh FROM zh) x)""",
+    ]
+
+
+def best_ctes(months: int = -2) -> list[str]:
+    """Adds ``bo``: the winning q = 0 order per series with its forecast and error."""
+    return ar_ctes(months) + [
+        """sc AS (SELECT fc.*, power(st.y - fc.forecast, 2) AS mse FROM fc
+  JOIN st ON st.country = fc.country AND st.metric = fc.metric AND st.t = st.n
+  WHERE fc.forecast IS NOT NULL)""",
+        """bo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, metric ORDER BY mse, p, d, q) AS rk
+  FROM sc) x WHERE rk = 1)""",
+    ]
+
+
+def forecast_table_sql(months: int = -2) -> str:
+    piv = ",\n  ".join(f"max(CASE WHEN metric = '{m}' THEN forecast END) AS {m}" for m in METRIC_NAMES)
+    complete = " AND ".join(f"w.{m} IS NOT NULL" for m in METRIC_NAMES)
+    outs = ", ".join(f"round(CASE WHEN {complete} THEN w.{m} ELSE 0.0 END, 6) AS {m}" for m in METRIC_NAMES)
+    ctes = best_ctes(months) + [f"wd AS (SELECT country, {piv} FROM bo GROUP BY country)",
+                                "cn AS (SELECT DISTINCT country FROM ev WHERE country IS NOT NULL)"]
+    return ("WITH " + ",\n".join(ctes) +
+            f"\nSELECT cn.country, {outs}, NOT ({complete}) AS is_fallback"
+            "\nFROM cn LEFT JOIN wd w ON cn.country = w.country")
+
+
+def with_ctes(ctes: list[str], select: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + select

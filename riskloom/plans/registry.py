@@ -151,3 +151,82 @@ def q_distinct_countries(spark, sf_dir):
     f"WHERE event_date >= {S.start_sql(-2)} AND event_date <= DATE '{FX.AS_OF}'"))
 def q_recent_weeks(spark, sf_dir):
     return W.recent_weeks(_ev(spark, sf_dir), FX.AS_OF, -2)
+
+
+# ------------------------------------------------------------------ forecast family
+
+from riskloom.operators import forecast as FC  # noqa: E402
+
+
+def _weekly(spark, sf_dir, months=-2):
+    return W.weekly_metrics(_ev(spark, sf_dir), FX.AS_OF, months, key=FX.EVENT_KEY)
+
+
+def _series(spark, sf_dir, direction="forward"):
+    return FC.metric_series(_weekly(spark, sf_dir), direction)
+
+
+@register("metric_series", S.with_ctes(S.series_ctes(), "SELECT country, metric, week, round(y, 6) AS y FROM st"))
+def q_metric_series(spark, sf_dir):
+    return rounded(_series(spark, sf_dir).select("country", "metric", "week", "y"))
+
+
+@register("holdout_split", S.with_ctes(S.series_ctes(),
+                                       "SELECT country, metric, week, CAST(t AS INTEGER) AS t, t = n AS is_holdout FROM st"))
+def q_holdout_split(spark, sf_dir):
+    return _series(spark, sf_dir).select("country", "metric", "week", F.col("t").cast("int").alias("t"), "is_holdout")
+
+
+@register("differenced_series", S.with_ctes(S.series_ctes(), """SELECT country, metric, CAST(t AS INTEGER) AS t,
+  round(y, 6) AS y, round(y_lag1, 6) AS y_lag1, round(y_lag2, 6) AS y_lag2, round(y - y_lag1, 6) AS diff1,
+  round(y - 2 * y_lag1 + y_lag2, 6) AS diff2 FROM sl"""))
+def q_differenced_series(spark, sf_dir):
+    d = FC.differenced_series(_series(spark, sf_dir))
+    return rounded(d.select("country", "metric", F.col("t").cast("int").alias("t"), "y", "y_lag1", "y_lag2",
+                            "diff1", "diff2"))
+
+
+@register("order_grid", S.with_ctes(S.series_ctes(), """SELECT s.country, s.metric, a.p, b.d, c.q
+  FROM (SELECT DISTINCT country, metric FROM st) s, (VALUES (0), (1), (2)) a(p), (VALUES (0), (1), (2)) b(d),
+  (VALUES (0), (1), (2)) c(q)"""))
+def q_order_grid(spark, sf_dir):
+    keys = _series(spark, sf_dir).select("country", "metric").distinct()
+    return FC.order_grid(keys)
+
+
+@register("ar_forecasts", S.with_ctes(S.ar_ctes(), "SELECT country, metric, p, d, q, round(forecast, 6) AS forecast FROM fc"))
+def q_ar_forecasts(spark, sf_dir):
+    return rounded(FC.ar_forecasts(_series(spark, sf_dir)))
+
+
+@register("arima_forecasts")
+def q_arima_forecasts(spark, sf_dir):
+    """q > 0 orders by grouped map (rows-only check; tests check finiteness and the q = 0 agreement)."""
+    return rounded(FC.arima_forecasts(_series(spark, sf_dir)))
+
+
+@register("best_order", S.with_ctes(S.best_ctes(), "SELECT country, metric, p, d, q, round(forecast, 6) AS forecast, "
+                                                   "round(mse, 6) AS mse FROM bo"))
+def q_best_order(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    return rounded(FC.best_order(series, FC.ar_forecasts(series)))
+
+
+@register("next_week_forecast", S.with_ctes(S.best_ctes(), "SELECT country, metric, round(forecast, 6) AS forecast FROM bo"))
+def q_next_week_forecast(spark, sf_dir):
+    return rounded(FC.next_week_forecast(_series(spark, sf_dir), orders="ar").select("country", "metric", "forecast"))
+
+
+@register("forecast_table", S.forecast_table_sql())
+def q_forecast_table(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
+    return rounded(FC.forecast_table(weekly, W.distinct_countries(ev), orders="ar"))
+
+
+@register("forecast_table_all")
+def q_forecast_table_all(spark, sf_dir):
+    """All 27 orders (q > 0 by grouped map): rows-only check."""
+    ev = _ev(spark, sf_dir)
+    weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
+    return rounded(FC.forecast_table(weekly, W.distinct_countries(ev), orders="all"))
