@@ -172,3 +172,50 @@ def forecast_table_sql(months: int = -2) -> str:
 
 def with_ctes(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+# ------------------------------------------------------------------ SOM / risk family
+
+def som_ctes(months: int = -2, sigma: float = 1.0, rate: float = 0.5) -> list[str]:
+    """Adds: stt (feature stats), feat (z-scored weekly vectors), cb0 (grid init),
+    bm (best-matching unit on cb0), cb1 (one batch epoch), um (distance map of cb1),
+    fv (scaled forecast vectors), fr (risk per forecast row)."""
+    ms = METRIC_NAMES
+    stats = ", ".join(f"avg(CAST({m} AS DOUBLE)) AS m{i}, stddev_samp(CAST({m} AS DOUBLE)) AS s{i}" for i, m in enumerate(ms))
+    scaled = ", ".join(f"CASE WHEN s{i} > 0 THEN (CAST({m} AS DOUBLE) - m{i}) / s{i} ELSE 0.0 END AS f{i}" for i, m in enumerate(ms))
+    rng = ", ".join(f"min(f{i}) AS lo{i}, max(f{i}) AS hi{i}" for i in range(5))
+    init = ", ".join(f"lo{i} + (hi{i} - lo{i}) * ({'gx.x' if i % 2 == 0 else 'gy.y'} + 0.5) / 5 AS w{i}" for i in range(5))
+    d2 = " + ".join(f"(f{i} - w{i}) * (f{i} - w{i})" for i in range(5))
+    sums = ", ".join(f"sum(f{i}) AS s{i}" for i in range(5))
+    h = f"exp(-((cb0.x - ag.bx) * (cb0.x - ag.bx) + (cb0.y - ag.by) * (cb0.y - ag.by)) / (2.0 * {sigma} * {sigma}))"
+    nums = ", ".join(f"sum({h} * ag.s{i}) AS num{i}" for i in range(5))
+    upd = ", ".join(f"CASE WHEN den > 0 THEN w{i} + {rate} * (num{i} / den - w{i}) ELSE w{i} END AS w{i}" for i in range(5))
+    dist = " + ".join(f"(a.w{i} - b.w{i}) * (a.w{i} - b.w{i})" for i in range(5))
+    fscaled = ", ".join(f"CASE WHEN s{i} > 0 THEN (CAST(fo.{m} AS DOUBLE) - m{i}) / s{i} ELSE 0.0 END AS f{i}"
+                        for i, m in enumerate(ms))
+    fvals = ", ".join(f"CASE WHEN {' AND '.join(f'w.{x} IS NOT NULL' for x in ms)} THEN w.{m} ELSE 0.0 END AS {m}" for m in ms)
+    piv = ", ".join(f"max(CASE WHEN metric = '{m}' THEN forecast END) AS {m}" for m in METRIC_NAMES)
+    return best_ctes(months) + [
+        f"wd AS (SELECT country, {piv} FROM bo GROUP BY country)",
+        "cn AS (SELECT DISTINCT country FROM ev WHERE country IS NOT NULL)",
+        f"stt AS (SELECT {stats} FROM wm)",
+        f"feat AS (SELECT country, week, {scaled} FROM wm, stt)",
+        f"rng AS (SELECT {rng} FROM feat)",
+        f"cb0 AS (SELECT CAST(gx.x AS INTEGER) AS x, CAST(gy.y AS INTEGER) AS y, {init} FROM rng, range(5) gx(x), range(5) gy(y))",
+        f"""bm AS (SELECT * FROM (SELECT feat.*, cb0.x AS bmu_x, cb0.y AS bmu_y, {d2} AS d2,
+  row_number() OVER (PARTITION BY feat.country, feat.week ORDER BY {d2}, cb0.x, cb0.y) AS rk
+  FROM feat, cb0) z WHERE rk = 1)""",
+        f"ag AS (SELECT bmu_x AS bx, bmu_y AS by, count(*) AS n, {sums} FROM bm GROUP BY bmu_x, bmu_y)",
+        f"""sw AS (SELECT cb0.x, cb0.y, any_value(cb0.w0) AS w0, any_value(cb0.w1) AS w1, any_value(cb0.w2) AS w2,
+  any_value(cb0.w3) AS w3, any_value(cb0.w4) AS w4, {nums}, sum({h} * ag.n) AS den
+  FROM cb0, ag GROUP BY cb0.x, cb0.y)""",
+        f"cb1 AS (SELECT x, y, {upd} FROM sw)",
+        f"""us AS (SELECT a.x, a.y, sum(sqrt({dist})) AS u_sum FROM cb1 a JOIN cb1 b
+  ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND NOT (a.x = b.x AND a.y = b.y) GROUP BY a.x, a.y)""",
+        "um AS (SELECT x, y, CASE WHEN max(u_sum) OVER () > 0 THEN u_sum / max(u_sum) OVER () ELSE 0.0 END AS u FROM us)",
+        f"fo AS (SELECT cn.country, {fvals} FROM cn LEFT JOIN wd w ON cn.country = w.country)",
+        f"fv AS (SELECT fo.country, {fscaled} FROM fo, stt)",
+        f"""fb AS (SELECT * FROM (SELECT fv.*, cb1.x AS bmu_x, cb1.y AS bmu_y,
+  row_number() OVER (PARTITION BY fv.country ORDER BY {d2.replace('w', 'cb1.w')}, cb1.x, cb1.y) AS rk FROM fv, cb1) z WHERE rk = 1)""",
+        "fr AS (SELECT fb.country, um.u AS distance FROM fb LEFT JOIN um ON fb.bmu_x = um.x AND fb.bmu_y = um.y)",
+    ]

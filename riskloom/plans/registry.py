@@ -230,3 +230,91 @@ def q_forecast_table_all(spark, sf_dir):
     ev = _ev(spark, sf_dir)
     weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
     return rounded(FC.forecast_table(weekly, W.distinct_countries(ev), orders="all"))
+
+
+# ------------------------------------------------------------------ SOM / risk family
+
+from riskloom.operators import risk as RK  # noqa: E402
+from riskloom.operators import som as SM  # noqa: E402
+
+
+def _som_inputs(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
+    stats = SM.feature_stats(weekly)
+    feats = SM.som_features(weekly, ["country", "week"], stats=stats)
+    return ev, weekly, stats, feats
+
+
+def _flat(df, col="v", prefix="f", n=5):
+    return df.select(*[c for c in df.columns if c != col], *[F.col(col)[i].alias(f"{prefix}{i}") for i in range(n)])
+
+
+def _epoch1(spark, sf_dir):
+    ev, weekly, stats, feats = _som_inputs(spark, sf_dir)
+    cb0 = SM.som_init(feats, method="grid")
+    return ev, weekly, stats, feats, cb0, SM.som_epoch(feats, cb0, sigma=1.0, rate=0.5)
+
+
+@register("som_features", S.with_ctes(S.som_ctes(), "SELECT country, week, " +
+                                      ", ".join(f"round(f{i}, 6) AS f{i}" for i in range(5)) + " FROM feat"))
+def q_som_features(spark, sf_dir):
+    return rounded(_flat(_som_inputs(spark, sf_dir)[3]))
+
+
+@register("som_bmu", S.with_ctes(S.som_ctes(), "SELECT country, week, bmu_x, bmu_y, round(d2, 6) AS d2 FROM bm"))
+def q_som_bmu(spark, sf_dir):
+    feats = _som_inputs(spark, sf_dir)[3]
+    cb0 = SM.som_init(feats, method="grid")
+    return rounded(SM.som_bmu(feats, cb0).drop("v"))
+
+
+@register("som_epoch", S.with_ctes(S.som_ctes(), "SELECT x, y, " +
+                                   ", ".join(f"round(w{i}, 6) AS w{i}" for i in range(5)) + " FROM cb1"))
+def q_som_epoch(spark, sf_dir):
+    return rounded(_flat(_epoch1(spark, sf_dir)[-1], "w", "w"))
+
+
+@register("som_umatrix", S.with_ctes(S.som_ctes(), "SELECT x, y, round(u, 6) AS u FROM um"))
+def q_som_umatrix(spark, sf_dir):
+    return rounded(SM.som_umatrix(_epoch1(spark, sf_dir)[-1]))
+
+
+def _risk(spark, sf_dir):
+    ev, weekly, stats, feats, cb0, cb1 = _epoch1(spark, sf_dir)
+    fc = FC.forecast_table(weekly, W.distinct_countries(ev), orders="ar")
+    return RK.country_risk(fc, cb1, stats)
+
+
+@register("country_risk", S.with_ctes(S.som_ctes(), "SELECT country, round(distance, 6) AS distance FROM fr"))
+def q_country_risk(spark, sf_dir):
+    return rounded(_risk(spark, sf_dir))
+
+
+@register("risk_outliers", S.with_ctes(S.som_ctes(), "SELECT country, round(distance, 6) AS distance FROM fr "
+                                                     "WHERE distance >= 0.5 ORDER BY distance DESC, country"))
+def q_risk_outliers(spark, sf_dir):
+    return rounded(RK.risk_outliers(_risk(spark, sf_dir), 0.5))
+
+
+@register("vectors_by_country", S.with_ctes(S.som_ctes(), "SELECT country, " +
+                                            ", ".join(f"round({m}, 6) AS v{i}" for i, m in enumerate(S.METRIC_NAMES)) +
+                                            " FROM fo"))
+def q_vectors_by_country(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    fc = FC.forecast_table(_weekly(spark, sf_dir), W.distinct_countries(ev), orders="ar")
+    return rounded(_flat(RK.vectors_by_country(fc), "v", "v"))
+
+
+@register("som_init")
+def q_som_init(spark, sf_dir):
+    """Random-rows init (xxhash-ranked, seeded): rows-only check, invariants in tests."""
+    feats = _som_inputs(spark, sf_dir)[3]
+    return rounded(_flat(SM.som_init(feats, seed=7, method="random", key=["country", "week"]), "w", "w"))
+
+
+@register("som_train")
+def q_som_train(spark, sf_dir):
+    """Ten batch epochs from random rows: rows-only check, invariants in tests."""
+    feats = _som_inputs(spark, sf_dir)[3]
+    return rounded(_flat(SM.som_train(feats, epochs=10, seed=7, key=["country", "week"]), "w", "w"))
