@@ -109,15 +109,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     Nesting is per request and item, so every collected list is one small request."""
     off = offers(spark, sf_dir)
     items = (off.groupBy("request_id", "item_pos", "item")
-             .agg(F.sort_array(F.collect_list(F.struct("offer_pos", F.create_map("country", "cost").alias("m"))))
-                  .alias("o"))
+             .agg(F.sort_array(F.collect_list(F.struct("offer_pos", "country", "cost"))).alias("o"))
              .select("request_id", "item_pos",
-                     F.create_map(F.col("item"), F.transform("o", lambda s: s["m"])).alias("entry")))
+                     F.to_json(F.create_map(F.col("item"), F.transform(
+                         "o", lambda s: F.create_map(s["country"], s["cost"])))).alias("entry")))
     reqs = (items.groupBy("request_id")
             .agg(F.sort_array(F.collect_list(F.struct("item_pos", "entry"))).alias("its"))
             .select("request_id",
-                    F.to_json(F.struct(F.transform("its", lambda s: s["entry"]).alias("items"),
-                                       appetite_word("request_id").alias("risk_aversion"))).alias("json")))
+                    F.concat(F.lit('{"items":['), F.array_join(F.transform("its", lambda s: s["entry"]), ","),
+                             F.lit('],"risk_aversion":"'), appetite_word("request_id"), F.lit('"}')).alias("json")))
     return reqs
 
 

@@ -219,3 +219,69 @@ def som_ctes(months: int = -2, sigma: float = 1.0, rate: float = 0.5) -> list[st
   row_number() OVER (PARTITION BY fv.country ORDER BY {d2.replace('w', 'cb1.w')}, cb1.x, cb1.y) AS rk FROM fv, cb1) z WHERE rk = 1)""",
         "fr AS (SELECT fb.country, um.u AS distance FROM fb LEFT JOIN um ON fb.bmu_x = um.x AND fb.bmu_y = um.y)",
     ]
+
+
+# ------------------------------------------------------------------ sourcing family
+
+def budget_case(col: str = "risk_aversion") -> str:
+    return f"CASE {col} WHEN 'Low' THEN 0.75 WHEN 'Medium' THEN 0.5 WHEN 'High' THEN 0.25 ELSE 0.5 END"
+
+
+def sourcing_ctes() -> list[str]:
+    """o (offers), rk (risk), bg (budgets), bad (requests with an unscored country),
+    u (usable scored offers of scored requests), its (item rank k), ni (items per request),
+    st (request status)."""
+    return [
+        f"o AS ({OFFERS_SQL})",
+        f"rk AS ({RISK_SQL})",
+        f"""bg AS (SELECT request_id, risk_aversion, CAST({budget_case()} AS DOUBLE) AS budget
+  FROM (SELECT request_id, {APPETITE_SQL} AS risk_aversion FROM (SELECT DISTINCT request_id FROM o) r0) r1)""",
+        "bad AS (SELECT DISTINCT o.request_id FROM o LEFT JOIN rk USING (country) WHERE rk.distance IS NULL)",
+        """u AS (SELECT o.request_id, o.item_pos, o.item, o.offer_pos, o.country, o.cost, rk.distance
+  FROM o JOIN rk USING (country) WHERE o.cost > 0 AND o.request_id NOT IN (SELECT request_id FROM bad))""",
+        """its AS (SELECT request_id, item_pos,
+  CAST(dense_rank() OVER (PARTITION BY request_id ORDER BY item_pos) - 1 AS INTEGER) AS k
+  FROM (SELECT DISTINCT request_id, item_pos FROM o) x)""",
+        "ni AS (SELECT request_id, count(*) AS nitems FROM its GROUP BY request_id)",
+        """pi AS (SELECT its.request_id, its.item_pos, min(u.distance) AS r_min FROM its
+  LEFT JOIN u ON u.request_id = its.request_id AND u.item_pos = its.item_pos GROUP BY its.request_id, its.item_pos)""",
+        """rs AS (SELECT pi.request_id, sum(r_min) AS min_risk, count(*) FILTER (WHERE r_min IS NULL) AS n_unusable,
+  any_value(bg.budget) AS budget FROM pi JOIN bg USING (request_id) GROUP BY pi.request_id)""",
+        """sts AS (SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'missing_risk'
+  WHEN n_unusable > 0 OR min_risk > budget + 1e-9 THEN 'infeasible' ELSE 'ok' END AS status, min_risk, budget FROM rs)""",
+    ]
+
+
+def exact_sql() -> str:
+    ctes = sourcing_ctes() + [
+        "uk AS (SELECT u.*, its.k FROM u JOIN its USING (request_id, item_pos))",
+        """comb AS (
+  SELECT uk.request_id, uk.k, uk.cost AS tc, uk.distance AS tr, [uk.offer_pos] AS path
+  FROM uk JOIN bg USING (request_id) WHERE uk.k = 0 AND uk.distance <= bg.budget + 1e-9
+  UNION ALL
+  SELECT c.request_id, uk.k, c.tc + uk.cost, c.tr + uk.distance, list_append(c.path, uk.offer_pos)
+  FROM comb c JOIN uk ON uk.request_id = c.request_id AND uk.k = c.k + 1 JOIN bg ON bg.request_id = c.request_id
+  WHERE c.tr + uk.distance <= bg.budget + 1e-9)""",
+        """best AS (SELECT * FROM (SELECT comb.*, row_number() OVER (PARTITION BY comb.request_id ORDER BY tc, tr, path) AS rn
+  FROM comb JOIN ni USING (request_id) WHERE comb.k = ni.nitems - 1) z WHERE rn = 1)""",
+        """sel AS (SELECT uk.request_id, uk.item_pos, uk.item, uk.country, uk.cost, uk.distance, 'optimal' AS status
+  FROM best JOIN uk ON uk.request_id = best.request_id AND uk.offer_pos = best.path[uk.k + 1])""",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+def relaxed_sql(lambdas) -> str:
+    lams = ", ".join(f"CAST('{v!r}' AS DOUBLE)" for v in lambdas)
+    ctes = sourcing_ctes() + [
+        f"lm AS (SELECT unnest([{lams}]) AS lam)",
+        """sc AS (SELECT u.*, lm.lam, u.cost + lm.lam * u.distance AS score FROM u, lm
+  WHERE u.request_id IN (SELECT request_id FROM sts WHERE status = 'ok'))""",
+        """pk AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY request_id, lam, item_pos
+  ORDER BY score, cost, distance, offer_pos) AS rn FROM sc) z WHERE rn = 1)""",
+        """tt AS (SELECT pk.request_id, lam, sum(cost) AS tc, sum(distance) AS tr, sum(score) AS dual, any_value(bg.budget) AS budget
+  FROM pk JOIN bg USING (request_id) GROUP BY pk.request_id, lam)""",
+        "lb AS (SELECT request_id, max(dual - lam * budget) AS lower_bound FROM tt GROUP BY request_id)",
+        """bl AS (SELECT * FROM (SELECT tt.*, row_number() OVER (PARTITION BY request_id ORDER BY tc, tr, lam) AS rn
+  FROM tt WHERE tr <= budget + 1e-9) z WHERE rn = 1)""",
+    ]
+    return "WITH " + ",\n".join(ctes)

@@ -318,3 +318,123 @@ def q_som_train(spark, sf_dir):
     """Ten batch epochs from random rows: rows-only check, invariants in tests."""
     feats = _som_inputs(spark, sf_dir)[3]
     return rounded(_flat(SM.som_train(feats, epochs=10, seed=7, key=["country", "week"]), "w", "w"))
+
+
+# ------------------------------------------------------------------ sourcing family
+
+from riskloom.operators import sourcing as X  # noqa: E402
+
+
+def _src(spark, sf_dir):
+    reqs = FX.requests(spark, sf_dir)
+    return reqs, X.offers_long(reqs), FX.risk(spark, sf_dir), X.request_budgets(reqs)
+
+
+_OFFER_COLS = "request_id, item_pos, item, offer_pos, country, cost"
+
+
+@register("parse_request", S.with_ctes(S.sourcing_ctes(), """SELECT bg.request_id, bg.risk_aversion,
+  CAST(count(DISTINCT o.item_pos) AS INTEGER) AS n_items FROM bg JOIN o USING (request_id) GROUP BY ALL"""))
+def q_parse_request(spark, sf_dir):
+    p = X.parse_requests(FX.requests(spark, sf_dir))
+    return p.select("request_id", F.col("req.risk_aversion").alias("risk_aversion"),
+                    F.size("req.items").cast("int").alias("n_items"))
+
+
+@register("offers_long", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS} FROM o"))
+def q_offers_long(spark, sf_dir):
+    return _src(spark, sf_dir)[1]
+
+
+@register("offers_dedup", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS} FROM o"))
+def q_offers_dedup(spark, sf_dir):
+    return X.offers_dedup(_src(spark, sf_dir)[1])
+
+
+@register("cost_matrix", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS} FROM o"))
+def q_cost_matrix(spark, sf_dir):
+    return X.cost_matrix(_src(spark, sf_dir)[1])
+
+
+@register("usable_offers", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS} FROM o WHERE cost > 0"))
+def q_usable_offers(spark, sf_dir):
+    return X.usable_offers(X.offers_dedup(_src(spark, sf_dir)[1]))
+
+
+@register("risk_budget", S.with_ctes(S.sourcing_ctes(), "SELECT request_id, risk_aversion, budget FROM bg"))
+def q_risk_budget(spark, sf_dir):
+    return X.request_budgets(FX.requests(spark, sf_dir))
+
+
+@register("offer_risk", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS}, rk.distance FROM o LEFT JOIN rk USING (country)"))
+def q_offer_risk(spark, sf_dir):
+    _, off, risk, _ = _src(spark, sf_dir)
+    return X.offer_risk(off, risk).select(*_OFFER_COLS.split(", "), "distance")
+
+
+@register("missing_risk", S.with_ctes(S.sourcing_ctes(),
+                                      "SELECT DISTINCT o.request_id, o.country FROM o LEFT JOIN rk USING (country) WHERE rk.distance IS NULL"))
+def q_missing_risk(spark, sf_dir):
+    _, off, risk, _ = _src(spark, sf_dir)
+    return X.missing_risk(off, risk)
+
+
+@register("request_status", S.with_ctes(S.sourcing_ctes(),
+                                        "SELECT request_id, status, round(min_risk, 6) AS min_risk, budget FROM sts"))
+def q_request_status(spark, sf_dir):
+    _, off, risk, bud = _src(spark, sf_dir)
+    return rounded(X.request_status(off, risk, bud))
+
+
+@register("cheapest_offer", S.with_ctes(S.sourcing_ctes(), """SELECT request_id, item_pos, item, country, cost, distance
+  FROM (SELECT u.*, row_number() OVER (PARTITION BY request_id, item_pos ORDER BY cost, distance, offer_pos) AS rn FROM u) z
+  WHERE rn = 1"""))
+def q_cheapest_offer(spark, sf_dir):
+    _, off, risk, _ = _src(spark, sf_dir)
+    return X.cheapest_offer(off, risk)
+
+
+@register("select_relaxed", S.relaxed_sql(X.LAMBDAS) + """
+SELECT pk.request_id, pk.item_pos, pk.item, pk.country, pk.cost, pk.distance, bl.tc AS total_cost,
+  round(bl.tr, 6) AS total_risk, round(lb.lower_bound, 3) AS lower_bound, round(bl.tc - lb.lower_bound, 3) AS gap
+FROM pk JOIN bl ON pk.request_id = bl.request_id AND pk.lam = bl.lam JOIN lb ON lb.request_id = pk.request_id""")
+def q_select_relaxed(spark, sf_dir):
+    _, off, risk, bud = _src(spark, sf_dir)
+    out = X.select_relaxed(off, risk, bud)
+    return rounded(out.withColumn("lower_bound", F.round("lower_bound", 3)).withColumn("gap", F.round("gap", 3)))
+
+
+@register("select_exact", S.exact_sql() + "\nSELECT * FROM sel")
+def q_select_exact(spark, sf_dir):
+    _, off, risk, bud = _src(spark, sf_dir)
+    return X.select_exact(off, risk, bud)
+
+
+@register("recommendation", S.exact_sql() + "\nSELECT request_id, item_pos, item, country FROM sel")
+def q_recommendation(spark, sf_dir):
+    return X.recommendation(q_select_exact(spark, sf_dir))
+
+
+@register("recommendation_json")
+def q_recommendation_json(spark, sf_dir):
+    """JSON reply bodies (rows-only check; the rows are checked by ``recommendation``)."""
+    return X.recommendation_json(q_select_exact(spark, sf_dir))
+
+
+@register("country_names", S.with_ctes(S.sourcing_ctes() + [f"dct AS ({S.DICTIONARY_SQL})"],
+                                       "SELECT DISTINCT o.country, coalesce(dct.name, o.country) AS name FROM o "
+                                       "LEFT JOIN dct ON dct.code = o.country"))
+def q_country_names(spark, sf_dir):
+    codes = _src(spark, sf_dir)[1].select("country").distinct()
+    return X.country_names(codes, FX.dictionary(spark, sf_dir))
+
+
+@register("country_code_of", f"SELECT name, arg_min(code, pos) AS code FROM ({S.DICTIONARY_SQL}) d GROUP BY name")
+def q_country_code_of(spark, sf_dir):
+    return X.country_code_of(FX.dictionary(spark, sf_dir))
+
+
+@register("offers_named", S.with_ctes(S.sourcing_ctes() + [f"dct AS ({S.DICTIONARY_SQL})"],
+                                      f"SELECT o.*, coalesce(dct.name, o.country) AS name FROM o LEFT JOIN dct ON dct.code = o.country"))
+def q_offers_named(spark, sf_dir):
+    return X.offers_named(_src(spark, sf_dir)[1], FX.dictionary(spark, sf_dir))
