@@ -438,3 +438,139 @@ def q_country_code_of(spark, sf_dir):
                                       f"SELECT o.*, coalesce(dct.name, o.country) AS name FROM o LEFT JOIN dct ON dct.code = o.country"))
 def q_offers_named(spark, sf_dir):
     return X.offers_named(_src(spark, sf_dir)[1], FX.dictionary(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ ingest sources and streaming
+
+from riskloom.session import work_path  # noqa: E402
+from riskloom.sources import files as SF  # noqa: E402
+from riskloom.sources import links as SL  # noqa: E402
+from riskloom.streaming import incremental as ST  # noqa: E402
+
+# File layout of the fixture events: the five key columns, then the event fields.
+FIXTURE_TSV_SCHEMA = T.StructType(
+    [T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+     T.StructField("l_partkey", T.LongType()), T.StructField("l_suppkey", T.LongType()),
+     T.StructField("l_extendedprice", T.DoubleType())] + SF.EVENT_TSV_SCHEMA.fields[1:])
+_FILE_COLS = [f.name for f in FIXTURE_TSV_SCHEMA.fields]
+_FILE_SQL = S.with_ev("SELECT " + ", ".join(_FILE_COLS) + " FROM ev")
+
+_LINKS_SQL = """links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM (
+  SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS href
+  FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) a) b)"""
+_NEW_SQL = _LINKS_SQL + """, stored AS (SELECT DISTINCT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/[^?#]*)', 1) AS name FROM pages),
+nf AS (SELECT DISTINCT href AS name FROM links l WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.name = l.href))"""
+
+
+def _pages(spark, sf_dir):
+    return FX.table(spark, sf_dir, "pages")
+
+
+def _new_files(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    listing = SL.link_harvest(pages).select(F.col("href").alias("name"))
+    stored = pages.select(SL.url_path("url").alias("name"))
+    return SL.new_files(listing, stored)
+
+
+@register("link_harvest", "WITH " + _LINKS_SQL + "\nSELECT page_id, pos, href, ends_with(href, '.zip') AS is_archive FROM links")
+def q_link_harvest(spark, sf_dir):
+    return SL.link_harvest(_pages(spark, sf_dir), ".zip")
+
+
+@register("new_files", "WITH " + _NEW_SQL + "\nSELECT name FROM nf")
+def q_new_files(spark, sf_dir):
+    return _new_files(spark, sf_dir)
+
+
+@register("new_file_count", "WITH " + _NEW_SQL + "\nSELECT CAST(count(*) AS BIGINT) AS new_files FROM nf")
+def q_new_file_count(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return SL.new_file_count(SL.link_harvest(pages).select(F.col("href").alias("name")),
+                             pages.select(SL.url_path("url").alias("name")))
+
+
+@register("file_keys", "WITH " + _NEW_SQL + "\nSELECT name, 'landing/' || name AS key FROM nf")
+def q_file_keys(spark, sf_dir):
+    return SL.file_keys(_new_files(spark, sf_dir), "landing/")
+
+
+@register("list_files")
+def q_list_files(spark, sf_dir):
+    """Listing of the table folder (metadata only): rows-only check."""
+    return SL.list_files(spark, sf_dir, glob="*.parquet").select("name", "length")
+
+
+def _written_tsv(spark, sf_dir):
+    path = work_path(spark, "tsv")
+    SF.write_tsv(_ev(spark, sf_dir), path, _FILE_COLS)
+    return path
+
+
+@register("load_events_tsv", _FILE_SQL)
+def q_load_events_tsv(spark, sf_dir):
+    return SF.read_tsv(spark, _written_tsv(spark, sf_dir), FIXTURE_TSV_SCHEMA).select(*_FILE_COLS)
+
+
+@register("expand_archives", _FILE_SQL)
+def q_expand_archives(spark, sf_dir):
+    path = work_path(spark, "zip")
+    SF.write_archives(_ev(spark, sf_dir), path, _FILE_COLS).collect()  # one summary row per archive
+    lines = SF.expand_archives(spark, path)
+    return SF.parse_lines(lines, FIXTURE_TSV_SCHEMA).select(*_FILE_COLS)
+
+
+@register("load_manifest", _FILE_SQL)
+def q_load_manifest(spark, sf_dir):
+    data = _written_tsv(spark, sf_dir)
+    manifest = SF.write_manifest(spark, data, work_path(spark, "manifest"))
+    return SF.load_manifest(spark, manifest, FIXTURE_TSV_SCHEMA).select(*_FILE_COLS)
+
+
+@register("append_events", _FILE_SQL)
+def q_append_events(spark, sf_dir):
+    data = _written_tsv(spark, sf_dir)
+    table = work_path(spark, "events-table")
+    rows = SF.read_tsv(spark, data, FIXTURE_TSV_SCHEMA)
+    SF.append_events(rows, table)
+    SF.append_events(rows, table)  # the same files again: nothing is appended
+    return spark.read.parquet(table).select(*_FILE_COLS)
+
+
+@register("refresh_table", _FILE_SQL)
+def q_refresh_table(spark, sf_dir):
+    root = work_path(spark, "refresh")
+    ev = _ev(spark, sf_dir).select(*_FILE_COLS)
+    SF.refresh_table(ev.limit(0), root)
+    SF.refresh_table(ev, root)
+    return SF.read_current(spark, root)
+
+
+@register("incremental_load", _FILE_SQL)
+def q_incremental_load(spark, sf_dir):
+    data = _written_tsv(spark, sf_dir)
+    sink, chk = work_path(spark, "inc-sink"), work_path(spark, "inc-chk")
+    ST.incremental_load(spark, data, sink, chk, FIXTURE_TSV_SCHEMA)
+    again = ST.incremental_load(spark, data, sink, chk, FIXTURE_TSV_SCHEMA)  # nothing new: 0 rows
+    if again:
+        raise RuntimeError("incremental rerun loaded already-seen files")
+    return spark.read.parquet(sink).select(*_FILE_COLS)
+
+
+@register("weekly_totals_stream", """SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week,
+  CAST(count(*) AS BIGINT) AS n_events, round(sum(value), 6) AS total_value FROM events GROUP BY ALL""")
+def q_weekly_totals_stream(spark, sf_dir):
+    schema = FX.table(spark, sf_dir, "events").schema
+    stream = ST.events_stream(spark, sf_dir, schema, glob="events.parquet")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    sink, chk = work_path(spark, "wk-sink"), work_path(spark, "wk-chk")
+    ST.weekly_totals_stream(spark, stream, sink, chk)
+    return rounded(spark.read.parquet(sink).select("user_id", "week", "n_events", "total_value"))
+
+
+@register("codebook_roundtrip", S.with_ctes(S.som_ctes(), "SELECT x, y, " +
+                                            ", ".join(f"round(w{i}, 6) AS w{i}" for i in range(5)) + " FROM cb1"))
+def q_codebook_roundtrip(spark, sf_dir):
+    cb1 = _epoch1(spark, sf_dir)[-1]
+    path = SF.save_codebook(cb1, work_path(spark, "codebook"))
+    return rounded(_flat(SF.load_codebook(spark, path), "w", "w"))
