@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.vectors import euclid, sq_distance
 from riskloom.operators.weekly import METRICS
+from riskloom.session import materialize
 
 CODEBOOK_SCHEMA = T.StructType([T.StructField("x", T.IntegerType(), False),
                                 T.StructField("y", T.IntegerType(), False),
@@ -164,10 +165,10 @@ def som_train(features: DataFrame, grid=(5, 5), sigma: float = 1.0, rate: float
               seed: int = 0, init: str = "random", key: Sequence[str] | None = None) -> DataFrame:
     """Batch SOM. Sigma and rate decay as sigma / (1 + t / (T / 2)) per epoch.
 
-    Features are written once to the shared checkpoint folder (they are read once
+    Features are written once as a table in the shared checkpoint folder (they are read once
     per epoch; a lost executor then costs a re-read, not a recomputation).
     """
-    feats = features.select(*[c for c in features.columns]).checkpoint(eager=True)
+    feats = materialize(features, "som-features")
     codebook = som_init(feats, grid, seed, init, key)
     w = codebook_array(codebook)
     half = max(epochs / 2.0, 1e-9)

@@ -160,7 +160,9 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambd
     request spreads over many tasks. Requests with ok status only.
     """
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id")
-    c = _candidates(offers, risk).join(ok, "request_id", "left_semi")
+    # Spread the lambda expansion: (request, item) keys split a large request over tasks,
+    # and an item holds at most one offer per country.
+    c = _candidates(offers, risk).join(ok, "request_id", "left_semi").repartition("request_id", "item_pos")
     lam = c.select("*", F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam"))
     lam = lam.withColumn("score", F.col("cost") + F.col("lam") * F.col("distance"))
     pick = lam.groupBy("request_id", "lam", "item_pos", "item").agg(
@@ -184,34 +186,38 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambd
 def pareto_select(pdf: pd.DataFrame, budget: float, max_states: int | None = None):
     """Exact multiple-choice knapsack for one request by a Pareto dynamic program.
 
-    Items are taken in position order; a state is (cost, risk, chosen row indexes).
-    After each item only states not dominated in (cost, risk) are kept; equal
-    (cost, risk) keep the earliest offer positions. Returns (row indexes, status).
+    Items are taken in position order; a state is (cost, risk, chosen rows). After
+    each item only states not dominated in (cost, risk) are kept; among equal
+    (cost, risk) the earliest offer positions win. Vectorised with numpy: each step
+    is one outer sum, one ``lexsort`` and a running minimum. Returns (row indexes, status).
     """
-    states = [(0.0, 0.0, ())]
+    cost = np.zeros(1)
+    risk = np.zeros(1)
+    pos = np.zeros((1, 0), dtype=np.int64)
+    rows = np.zeros((1, 0), dtype=np.int64)
     approx = False
     for _, grp in pdf.groupby("item_pos", sort=True):
-        offs = list(zip(grp["cost"].to_numpy(float), grp["distance"].to_numpy(float), grp["offer_pos"].to_numpy(int),
-                        grp.index.to_numpy()))
-        nxt = []
-        for c0, r0, ch in states:
-            for c, r, pos, idx in offs:
-                rr = r0 + r
-                if rr <= budget + EPS:
-                    nxt.append((c0 + c, rr, ch + ((pos, idx),)))
-        if not nxt:
+        oc = grp["cost"].to_numpy(float)
+        orisk = grp["distance"].to_numpy(float)
+        nc = (cost[:, None] + oc[None, :]).ravel()
+        nr = (risk[:, None] + orisk[None, :]).ravel()
+        src = np.repeat(np.arange(len(cost)), len(oc))
+        pick = np.tile(np.arange(len(oc)), len(cost))
+        ok = nr <= budget + EPS
+        if not ok.any():
             return None, "infeasible"
-        nxt.sort(key=lambda s: (s[0], s[1], tuple(p for p, _ in s[2])))
-        kept, best_r = [], np.inf
-        for s in nxt:
-            if s[1] < best_r:
-                kept.append(s)
-                best_r = s[1]
-        if max_states is not None and len(kept) > max_states:
-            kept, approx = kept[:max_states], True
-        states = kept
-    best = states[0]
-    return [idx for _, idx in best[2]], ("approximate" if approx else "optimal")
+        nc, nr, src, pick = nc[ok], nr[ok], src[ok], pick[ok]
+        npos = np.column_stack([pos[src], grp["offer_pos"].to_numpy(np.int64)[pick]])
+        nrows = np.column_stack([rows[src], grp.index.to_numpy(np.int64)[pick]])
+        order = np.lexsort(tuple(npos[:, j] for j in reversed(range(npos.shape[1]))) + (nr, nc))
+        nc, nr, npos, nrows = nc[order], nr[order], npos[order], nrows[order]
+        before = np.concatenate([[np.inf], np.minimum.accumulate(nr)[:-1]])
+        keep = nr < before
+        cost, risk, pos, rows = nc[keep], nr[keep], npos[keep], nrows[keep]
+        if max_states is not None and len(cost) > max_states:
+            cost, risk, pos, rows = cost[:max_states], risk[:max_states], pos[:max_states], rows[:max_states]
+            approx = True
+    return [int(i) for i in rows[0]], ("approximate" if approx else "optimal")
 
 
 SELECT_SCHEMA = ("request_id long, item_pos int, item string, country string, cost double, distance double, "

@@ -17,6 +17,7 @@ from riskloom.functions.dates import parse_sqldate, week_of
 from riskloom.operators import weekly as W
 from riskloom.plans import fixtures as FX
 from riskloom.plans import oracle_sql as S
+from riskloom.session import materialize, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,7 +160,8 @@ from riskloom.operators import forecast as FC  # noqa: E402
 
 
 def _weekly(spark, sf_dir, months=-2):
-    return W.weekly_metrics(_ev(spark, sf_dir), FX.AS_OF, months, key=FX.EVENT_KEY)
+    """Weekly metrics, materialised once (groups x weeks rows) for the model steps."""
+    return materialize(W.weekly_metrics(_ev(spark, sf_dir), FX.AS_OF, months, key=FX.EVENT_KEY), "weekly")
 
 
 def _series(spark, sf_dir, direction="forward"):
@@ -220,7 +222,7 @@ def q_next_week_forecast(spark, sf_dir):
 @register("forecast_table", S.forecast_table_sql())
 def q_forecast_table(spark, sf_dir):
     ev = _ev(spark, sf_dir)
-    weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
+    weekly = _weekly(spark, sf_dir)
     return rounded(FC.forecast_table(weekly, W.distinct_countries(ev), orders="ar"))
 
 
@@ -228,7 +230,7 @@ def q_forecast_table(spark, sf_dir):
 def q_forecast_table_all(spark, sf_dir):
     """All 27 orders (q > 0 by grouped map): rows-only check."""
     ev = _ev(spark, sf_dir)
-    weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
+    weekly = _weekly(spark, sf_dir)
     return rounded(FC.forecast_table(weekly, W.distinct_countries(ev), orders="all"))
 
 
@@ -240,7 +242,7 @@ from riskloom.operators import som as SM  # noqa: E402
 
 def _som_inputs(spark, sf_dir):
     ev = _ev(spark, sf_dir)
-    weekly = W.weekly_metrics(ev, FX.AS_OF, -2, key=FX.EVENT_KEY)
+    weekly = _weekly(spark, sf_dir)
     stats = SM.feature_stats(weekly)
     feats = SM.som_features(weekly, ["country", "week"], stats=stats)
     return ev, weekly, stats, feats
@@ -282,7 +284,7 @@ def q_som_umatrix(spark, sf_dir):
 
 def _risk(spark, sf_dir):
     ev, weekly, stats, feats, cb0, cb1 = _epoch1(spark, sf_dir)
-    fc = FC.forecast_table(weekly, W.distinct_countries(ev), orders="ar")
+    fc = materialize(FC.forecast_table(weekly, W.distinct_countries(ev), orders="ar"), "forecast")
     return RK.country_risk(fc, cb1, stats)
 
 
@@ -326,8 +328,11 @@ from riskloom.operators import sourcing as X  # noqa: E402
 
 
 def _src(spark, sf_dir):
-    reqs = FX.requests(spark, sf_dir)
-    return reqs, X.offers_long(reqs), FX.risk(spark, sf_dir), X.request_budgets(reqs)
+    """Requests are parsed once and the long offers written to the checkpoint folder,
+    as a loading job would; risk is one row per country."""
+    reqs = materialize(FX.requests(spark, sf_dir), "requests")
+    offers = materialize(X.offers_long(reqs), "offers")
+    return reqs, offers, materialize(FX.risk(spark, sf_dir), "risk"), X.request_budgets(reqs)
 
 
 _OFFER_COLS = "request_id, item_pos, item, offer_pos, country, cost"
@@ -442,7 +447,6 @@ def q_offers_named(spark, sf_dir):
 
 # ------------------------------------------------------------------ ingest sources and streaming
 
-from riskloom.session import work_path  # noqa: E402
 from riskloom.sources import files as SF  # noqa: E402
 from riskloom.sources import links as SL  # noqa: E402
 from riskloom.streaming import incremental as ST  # noqa: E402

@@ -64,3 +64,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder, for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/riskloom-work/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint folder and
+    reading it back (one pass; survives lost executors, unlike cached blocks)."""
+    path = work_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

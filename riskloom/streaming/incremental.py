@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.session import materialize
 from riskloom.sources.files import EVENT_TSV_SCHEMA
 
 
@@ -58,7 +59,7 @@ def weekly_totals_stream(spark: SparkSession, events_stream: DataFrame, sink_pat
             merged = kept.unionByName(batch.select(*kept.columns))
         except Exception:  # noqa: BLE001 - first batch: no table yet
             merged = batch
-        merged = merged.checkpoint(eager=True)  # cut the read of the table we overwrite
+        merged = materialize(merged, "weekly-merge")  # cut the read of the table we overwrite
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("week").parquet(sink_path))
 
