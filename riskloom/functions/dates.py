@@ -18,7 +18,7 @@ def parse_sqldate(c, on_error: str = "raise") -> Column:
     if on_error == "raise":
         return F.to_date(_col(c), "yyyyMMdd")
     if on_error == "null":
-        return F.try_to_date(_col(c), F.lit("yyyyMMdd"))
+        return F.try_to_date(_col(c), "yyyyMMdd")
     raise ValueError("on_error must be 'raise' or 'null'")
 
 
