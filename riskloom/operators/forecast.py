@@ -95,7 +95,8 @@ def ar_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str
 
     ``upto='train'`` fits on t < n (the holdout is predicted); ``upto='all'`` fits on
     every point and forecasts the week after (used by ``refit=True``).
-    Output: by + metric, p, d, q (= 0), forecast (NULL when the order cannot be fitted).
+    Output: by + metric, p, d, q (= 0), forecast (NULL when the order cannot be fitted)
+    and ``y_test``, the held-out value the forecast is scored against (NULL for 'all').
     """
     diffs = differenced_series(series, by)
     m = F.col("n") - 1 if upto == "train" else F.col("n")
@@ -106,7 +107,7 @@ def ar_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str
                                 _z(d, 1).alias("zprev"))
                        for p in range(3) for d in range(3)])
     rows = (diffs.withColumn("_m", m)
-            .select(*by, "metric", "t", "y", "y_lag1", "_m", F.explode(combos).alias("_c"))
+            .select(*by, "metric", "t", "n", "y", "y_lag1", "_m", F.explode(combos).alias("_c"))
             .select("*", "_c.*").drop("_c"))
     reg = (F.col("t") >= F.col("d") + F.col("p") + 1) & (F.col("t") <= F.col("_m"))
     last = F.col("t") == F.col("_m")
@@ -121,28 +122,38 @@ def ar_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str
         s(F.col("x2") * F.col("x2")).alias("S22"), s(F.col("x1") * F.col("zt")).alias("S1y"),
         s(F.col("x2") * F.col("zt")).alias("S2y"),
         F.max(F.when(last, F.col("y"))).alias("ym"), F.max(F.when(last, F.col("y_lag1"))).alias("ym1"),
-        F.max(F.when(last, F.col("zt"))).alias("zm"), F.max(F.when(last, F.col("zprev"))).alias("zm1"))
+        F.max(F.when(last, F.col("zt"))).alias("zm"), F.max(F.when(last, F.col("zprev"))).alias("zm1"),
+        F.max(F.when(F.col("t") == F.col("n"), F.col("y"))).alias("y_holdout"))
+    # Each quantity is its own column, referenced by name, so the plan stays small.
     E = F.col("E").cast("double")
     icpt = F.col("d") == 0
-    a11 = F.when(icpt, F.col("S11") - _div(F.col("S1") * F.col("S1"), E)).otherwise(F.col("S11"))
-    a12 = F.when(icpt, F.col("S12") - _div(F.col("S1") * F.col("S2"), E)).otherwise(F.col("S12"))
-    a22 = F.when(icpt, F.col("S22") - _div(F.col("S2") * F.col("S2"), E)).otherwise(F.col("S22"))
-    b1 = F.when(icpt, F.col("S1y") - _div(F.col("S1") * F.col("Sy"), E)).otherwise(F.col("S1y"))
-    b2 = F.when(icpt, F.col("S2y") - _div(F.col("S2") * F.col("Sy"), E)).otherwise(F.col("S2y"))
-    det = a11 * a22 - a12 * a12
-    phi1 = (F.when(F.col("p") == 0, F.lit(0.0)).when(F.col("p") == 1, _div(b1, a11))
-            .otherwise(_div(b1 * a22 - b2 * a12, det)))
-    phi2 = F.when(F.col("p") == 2, _div(a11 * b2 - a12 * b1, det)).otherwise(F.lit(0.0))
-    fitted = sums.withColumn("phi1", phi1).withColumn("phi2", phi2)
-    c = F.when(icpt, _div(F.col("Sy") - F.col("phi1") * F.col("S1") - F.col("phi2") * F.col("S2"), E)).otherwise(F.lit(0.0))
-    zhat = (c + F.when(F.col("p") >= 1, F.col("phi1") * F.col("zm")).otherwise(F.lit(0.0))
-            + F.when(F.col("p") == 2, F.col("phi2") * F.col("zm1")).otherwise(F.lit(0.0)))
-    yhat = (F.when(F.col("d") == 0, zhat).when(F.col("d") == 1, F.col("ym") + zhat)
-            .otherwise(2 * F.col("ym") - F.col("ym1") + zhat))
+
+    def centred(sxy: str, sx: str, sy: str):
+        return F.when(icpt, F.col(sxy) - _div(F.col(sx) * F.col(sy), E)).otherwise(F.col(sxy))
+
+    fitted = (sums
+              .withColumn("a11", centred("S11", "S1", "S1")).withColumn("a12", centred("S12", "S1", "S2"))
+              .withColumn("a22", centred("S22", "S2", "S2")).withColumn("b1", centred("S1y", "S1", "Sy"))
+              .withColumn("b2", centred("S2y", "S2", "Sy"))
+              .withColumn("det", F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")))
+    fitted = (fitted
+              .withColumn("phi1", F.when(F.col("p") == 0, F.lit(0.0)).when(F.col("p") == 1, _div(F.col("b1"), F.col("a11")))
+                          .otherwise(_div(F.col("b1") * F.col("a22") - F.col("b2") * F.col("a12"), F.col("det"))))
+              .withColumn("phi2", F.when(F.col("p") == 2, _div(F.col("a11") * F.col("b2") - F.col("a12") * F.col("b1"),
+                                                                  F.col("det"))).otherwise(F.lit(0.0))))
+    fitted = fitted.withColumn(
+        "c", F.when(icpt, _div(F.col("Sy") - F.col("phi1") * F.col("S1") - F.col("phi2") * F.col("S2"), E)).otherwise(F.lit(0.0)))
+    fitted = fitted.withColumn(
+        "zhat", F.col("c") + F.when(F.col("p") >= 1, F.col("phi1") * F.col("zm")).otherwise(F.lit(0.0))
+        + F.when(F.col("p") == 2, F.col("phi2") * F.col("zm1")).otherwise(F.lit(0.0)))
+    fitted = fitted.withColumn(
+        "yhat", F.when(F.col("d") == 0, F.col("zhat")).when(F.col("d") == 1, F.col("ym") + F.col("zhat"))
+        .otherwise(2 * F.col("ym") - F.col("ym1") + F.col("zhat")))
     k = F.col("p") + F.when(icpt, 1).otherwise(0)
     valid = F.col("E") >= F.greatest(k, F.lit(1))
+    y_test = F.col("y_holdout") if upto == "train" else F.lit(None).cast("double")
     return fitted.select(*by, "metric", "p", "d", F.lit(0).alias("q"),
-                         F.when(valid, _finite(yhat)).alias("forecast"))
+                         F.when(valid, _finite(F.col("yhat"))).alias("forecast"), y_test.alias("y_test"))
 
 
 # ------------------------------------------------------------------ q > 0 (grouped map)
@@ -253,11 +264,13 @@ def arima_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: s
     Each group is one short series (bounded by the lookback window)."""
     wanted = [o for o in (orders or ORDERS) if o[2] > 0] if orders is None else list(orders)
     key = [*by, "metric"]
-    schema = ", ".join([f"{b} string" for b in by] + ["metric string", "p int", "d int", "q int", "forecast double"])
+    schema = ", ".join([f"{b} string" for b in by] + ["metric string", "p int", "d int", "q int", "forecast double",
+                                                      "y_test double"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
+        pdf = pdf.drop(columns=["_g"]).sort_values("t")
         y = pdf["y"].to_numpy(dtype=float)
+        y_test = float(y[-1]) if upto == "train" and len(y) else None
         if upto == "train":
             y = y[:-1]
         out = []
@@ -266,27 +279,35 @@ def arima_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: s
                 f = fit_arma_forecast(y, p, d, q) if len(y) else None
             except (np.linalg.LinAlgError, ValueError, FloatingPointError):
                 f = None
-            out.append({**{c: pdf[c].iloc[0] for c in key}, "p": p, "d": d, "q": q, "forecast": f})
-        return pd.DataFrame(out, columns=[*key, "p", "d", "q", "forecast"])
+            out.append({**{c: pdf[c].iloc[0] for c in key}, "p": p, "d": d, "q": q, "forecast": f, "y_test": y_test})
+        return pd.DataFrame(out, columns=[*key, "p", "d", "q", "forecast", "y_test"])
 
-    return series.select(*key, "t", "y").groupBy(*key).applyInPandas(fit, schema)
+    # CPU-heavy groups on little data: a fixed-count hash partitioning on a derived key
+    # keeps them spread over all cores (an adaptive exchange would be coalesced into
+    # one task, and a repartition on the window's own key would be optimised away).
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = series.select(*key, "t", "y", F.concat_ws("\u0001", *key).alias("_g"))
+    return keyed.repartition(parts, "_g").groupBy("_g").applyInPandas(fit, schema)
 
 
 def order_scores(series: DataFrame, fits: DataFrame, by: Sequence[str] = ("country",)) -> DataFrame:
-    """Squared error of every fitted order on the holdout point; failed fits removed."""
-    hold = series.filter("is_holdout").select(*by, "metric", F.col("y").alias("y_test"))
-    return (fits.filter(F.col("forecast").isNotNull())
-            .join(hold, [*by, "metric"], "inner")
+    """Squared error of every fitted order on the holdout point; failed fits removed.
+    The holdout value travels with each fit, so no join back to the series is needed."""
+    return (fits.filter(F.col("forecast").isNotNull() & F.col("y_test").isNotNull())
             .withColumn("mse", F.pow(F.col("y_test") - F.col("forecast"), 2)))
 
 
 def best_order(series: DataFrame, fits: DataFrame, by: Sequence[str] = ("country",)) -> DataFrame:
     """O3 + F5: per series, the order with the lowest squared error, first in (p, d, q)
-    order on ties, with its forecast (the winner is not refitted)."""
-    scored = order_scores(series, fits, by)
-    best = scored.groupBy(*by, "metric").agg(
-        F.min_by(F.struct("p", "d", "q", "forecast", "mse"), F.struct("mse", "p", "d", "q")).alias("b"))
-    return best.select(*by, "metric", "b.p", "b.d", "b.q", "b.forecast", "b.mse")
+    order on ties, with its forecast (the winner is not refitted).
+
+    Failed fits get a NULL ordering key, which ``min_by`` skips; no filter is needed
+    (a filter would be pushed into, and inflate, the closed-form projections)."""
+    mse = F.pow(F.col("y_test") - F.col("forecast"), 2)
+    key = F.when(mse.isNotNull(), F.struct(mse.alias("mse"), "p", "d", "q"))
+    best = fits.groupBy(*by, "metric").agg(
+        F.min_by(F.struct("p", "d", "q", "forecast", mse.alias("mse")), key).alias("b"))
+    return best.filter(F.col("b").isNotNull()).select(*by, "metric", "b.p", "b.d", "b.q", "b.forecast", "b.mse")
 
 
 def fit_orders(series: DataFrame, by: Sequence[str] = ("country",), orders: str = "all", upto: str = "train") -> DataFrame:
@@ -320,8 +341,10 @@ def forecast_table(weekly: DataFrame, countries: DataFrame, direction: str = "fo
     """
     series = metric_series(weekly, direction)
     nxt = next_week_forecast(series, orders=orders, refit=refit)
-    wide = nxt.groupBy("country").pivot("metric", list(METRICS)).agg(F.first("forecast"))
-    out = countries.select("country").join(wide, "country", "left")
+    per_metric = nxt.select("country", "metric", "forecast")
+    listed = countries.select("country", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("forecast"))
+    # One aggregate over (forecasts + the country list): every country once, no join.
+    out = per_metric.unionByName(listed).groupBy("country").pivot("metric", list(METRICS)).agg(F.max("forecast"))
     complete = F.lit(True)
     for m in METRICS:
         complete = complete & F.col(m).isNotNull()

@@ -243,7 +243,7 @@ def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_sta
                                                 "distance", "budget")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
+        pdf = pdf.drop(columns=["_g"]).reset_index(drop=True)
         idx, status = pareto_select(pdf, float(pdf["budget"].iloc[0]), max_states)
         if idx is None:
             return pd.DataFrame(columns=["request_id", "item_pos", "item", "country", "cost", "distance", "status"])
@@ -251,7 +251,11 @@ def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_sta
         out["status"] = status
         return out
 
-    return data.groupBy("request_id").applyInPandas(solve, SELECT_SCHEMA)
+    # Spread the requests over all cores: fixed-count partitioning on a derived key (an
+    # adaptive exchange on request_id would be coalesced into one task for small inputs).
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = data.withColumn("_g", F.col("request_id") + F.lit(0))
+    return keyed.repartition(parts, "_g").groupBy("_g").applyInPandas(solve, SELECT_SCHEMA)
 
 
 def recommendation(selection: DataFrame) -> DataFrame:

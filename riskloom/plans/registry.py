@@ -198,13 +198,13 @@ def q_order_grid(spark, sf_dir):
 
 @register("ar_forecasts", S.with_ctes(S.ar_ctes(), "SELECT country, metric, p, d, q, round(forecast, 6) AS forecast FROM fc"))
 def q_ar_forecasts(spark, sf_dir):
-    return rounded(FC.ar_forecasts(_series(spark, sf_dir)))
+    return rounded(FC.ar_forecasts(_series(spark, sf_dir)).drop("y_test"))
 
 
 @register("arima_forecasts")
 def q_arima_forecasts(spark, sf_dir):
     """q > 0 orders by grouped map (rows-only check; tests check finiteness and the q = 0 agreement)."""
-    return rounded(FC.arima_forecasts(_series(spark, sf_dir)))
+    return rounded(FC.arima_forecasts(_series(spark, sf_dir)).drop("y_test"))
 
 
 @register("best_order", S.with_ctes(S.best_ctes(), "SELECT country, metric, p, d, q, round(forecast, 6) AS forecast, "
