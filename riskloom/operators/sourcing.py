@@ -142,6 +142,15 @@ def _candidates(offers: DataFrame, risk: DataFrame) -> DataFrame:
     return offer_risk(usable_offers(offers_dedup(offers)), risk).filter(F.col("distance").isNotNull())
 
 
+def pareto_offers(candidates: DataFrame) -> DataFrame:
+    """Inside each item keep only offers that no other offer beats on both cost and risk
+    (ties keep the earliest position). No optimal choice is lost, for any budget or
+    lambda. The window holds one item: at most one offer per country."""
+    w = Window.partitionBy("request_id", "item_pos").orderBy("cost", "distance", "offer_pos")
+    return (candidates.withColumn("_prev_min", F.min("distance").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+            .filter(F.col("_prev_min").isNull() | (F.col("distance") < F.col("_prev_min"))).drop("_prev_min"))
+
+
 def cheapest_offer(offers: DataFrame, risk: DataFrame) -> DataFrame:
     """Cheapest usable offer per item ignoring the budget; ties by risk, then position."""
     c = _candidates(offers, risk)
@@ -160,23 +169,32 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambd
     request spreads over many tasks. Requests with ok status only.
     """
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id")
-    # Spread the lambda expansion: (request, item) keys split a large request over tasks,
-    # and an item holds at most one offer per country.
-    c = _candidates(offers, risk).join(ok, "request_id", "left_semi").repartition("request_id", "item_pos")
-    lam = c.select("*", F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam"))
-    lam = lam.withColumn("score", F.col("cost") + F.col("lam") * F.col("distance"))
-    pick = lam.groupBy("request_id", "lam", "item_pos", "item").agg(
-        F.min_by(F.struct("country", "cost", "distance", "score"), F.struct("score", "cost", "distance", "offer_pos")).alias("b"))
-    pick = pick.select("request_id", "lam", "item_pos", "item", "b.*")
-    tot = (pick.groupBy("request_id", "lam")
+    # Dominated offers never win for any lambda; the pruning window is keyed by
+    # (request, item), which also spreads a large request over many tasks.
+    c = pareto_offers(_candidates(offers, risk).join(ok, "request_id", "left_semi"))
+
+    def choose(df: DataFrame, keys: list[str]) -> DataFrame:
+        score = F.col("cost") + F.col("lam") * F.col("distance")
+        best = df.groupBy(*keys).agg(
+            F.min(F.struct(score.alias("score"), "cost", "distance", "offer_pos", "country")).alias("b"))
+        return best.select(*keys, "b.*")
+
+    lam = c.select("request_id", "item_pos", "offer_pos", "country", "cost", "distance",
+                   F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam"))
+    per_item = choose(lam, ["request_id", "lam", "item_pos"])
+    tot = (per_item.groupBy("request_id", "lam")
            .agg(F.sum("cost").alias("total_cost"), F.sum("distance").alias("total_risk"), F.sum("score").alias("dual"))
            .join(budgets.select("request_id", "budget"), "request_id"))
     bound = tot.groupBy("request_id").agg(F.max(F.col("dual") - F.col("lam") * F.col("budget")).alias("lower_bound"))
     feas = tot.filter(F.col("total_risk") <= F.col("budget") + EPS)
     best = feas.groupBy("request_id").agg(
-        F.min_by(F.struct("lam", "total_cost", "total_risk"), F.struct("total_cost", "total_risk", "lam")).alias("b"))
-    best = best.select("request_id", "b.lam", "b.total_cost", "b.total_risk").join(bound, "request_id")
-    return (pick.join(best, ["request_id", "lam"])
+        F.min(F.struct("total_cost", "total_risk", "lam")).alias("b")).select("request_id", "b.*")
+    best = best.join(bound, "request_id")
+    # The winning lambda's choices, recomputed from the candidates (one row per offer,
+    # not one per offer and lambda).
+    pick = choose(c.join(best.select("request_id", "lam"), "request_id"), ["request_id", "item_pos"])
+    items = c.select("request_id", "item_pos", "item").distinct()
+    return (pick.join(items, ["request_id", "item_pos"]).join(best, "request_id")
             .select("request_id", "item_pos", "item", "country", "cost", "distance", "total_cost", "total_risk",
                     "lower_bound", (F.col("total_cost") - F.col("lower_bound")).alias("gap")))
 
@@ -234,10 +252,7 @@ def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_sta
     the default is no cap (exact). A single very large request is better served by
     ``select_relaxed``, which has no per-request task.
     """
-    c = _candidates(offers, risk)
-    w = Window.partitionBy("request_id", "item_pos").orderBy("cost", "distance", "offer_pos")
-    pruned = (c.withColumn("_prev_min", F.min("distance").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-              .filter(F.col("_prev_min").isNull() | (F.col("distance") < F.col("_prev_min"))).drop("_prev_min"))
+    pruned = pareto_offers(_candidates(offers, risk))
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id", "budget")
     data = pruned.join(ok, "request_id").select("request_id", "item_pos", "item", "offer_pos", "country", "cost",
                                                 "distance", "budget")
@@ -251,11 +266,12 @@ def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_sta
         out["status"] = status
         return out
 
-    # Spread the requests over all cores: fixed-count partitioning on a derived key (an
-    # adaptive exchange on request_id would be coalesced into one task for small inputs).
+    # Spread the requests over all cores: a fixed-count partitioning on a hash of the
+    # request id. Grouping by (_g, request_id) is satisfied by it, so no adaptive
+    # exchange follows (that one would be coalesced into a few tasks for small inputs).
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = data.withColumn("_g", F.col("request_id") + F.lit(0))
-    return keyed.repartition(parts, "_g").groupBy("_g").applyInPandas(solve, SELECT_SCHEMA)
+    keyed = data.withColumn("_g", F.xxhash64("request_id"))
+    return keyed.repartition(parts, "_g").groupBy("_g", "request_id").applyInPandas(solve, SELECT_SCHEMA)
 
 
 def recommendation(selection: DataFrame) -> DataFrame:
