@@ -22,7 +22,7 @@ from riskloom.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass
-class PipelineResult:
+class NightlyResult:
     weekly: DataFrame
     forecast: DataFrame
     codebook: DataFrame
@@ -32,9 +32,9 @@ class PipelineResult:
     recommendation: DataFrame
 
 
-def run(events: DataFrame, requests: DataFrame, as_of, key=("event_id",), forecast_months: int = -2,
+def run_nightly(events: DataFrame, requests: DataFrame, as_of, key=("event_id",), forecast_months: int = -2,
         train_months: int = -4, grain: str = "country", scale: str = "zscore", direction: str = "forward",
-        orders: str = "all", epochs: int = 10, seed: int = 0, exact: bool = True) -> PipelineResult:
+        orders: str = "all", epochs: int = 10, seed: int = 0, exact: bool = True) -> NightlyResult:
     """``grain='global', scale='none'`` trains the SOM on global weekly totals, unscaled,
     as the reference does; the defaults train on per-country weeks, z-scored."""
     ensure_checkpoint_dir(events.sparkSession)
@@ -50,4 +50,4 @@ def run(events: DataFrame, requests: DataFrame, as_of, key=("event_id",), foreca
     budgets = X.request_budgets(requests)
     status = X.request_status(offers, risk, budgets)
     selection = X.select_exact(offers, risk, budgets) if exact else X.select_relaxed(offers, risk, budgets)
-    return PipelineResult(weekly, fc, codebook, risk, status, selection, X.recommendation_json(selection))
+    return NightlyResult(weekly, fc, codebook, risk, status, selection, X.recommendation_json(selection))

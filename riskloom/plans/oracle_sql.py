@@ -81,8 +81,9 @@ __all__ = ["weekly_sql", "weekly_median_sql", "halves_sql", "with_ev", "ev_cte",
 METRIC_NAMES = ("total_mentions", "total_sources", "total_articles", "center_tone", "center_goldstein")
 
 
-def series_ctes(months: int = -2) -> list[str]:
-    """CTEs up to ``st``: (country, metric, week, y, t, n) with t oldest first."""
+def series_ctes(months: int = -2, direction: str = "forward") -> list[str]:
+    """CTEs up to ``st``: (country, metric, week, y, t, n); t oldest first (forward) or newest first."""
+    order = "week" if direction == "forward" else "week DESC"
     g = "country, week"
     union = "\n  UNION ALL ".join(
         f"SELECT country, '{m}' AS metric, week, CAST({m} AS DOUBLE) AS y FROM wm" for m in METRIC_NAMES)
@@ -97,7 +98,7 @@ def series_ctes(months: int = -2) -> list[str]:
   FROM h WHERE tn = 1 AND gn = 1 GROUP BY {g})""",
             "wm AS (SELECT t.*, c.center_tone, c.center_goldstein FROM t JOIN c USING (country, week))",
             f"ser AS ({union})",
-            """st AS (SELECT *, row_number() OVER (PARTITION BY country, metric ORDER BY week) AS t,
+            f"""st AS (SELECT *, row_number() OVER (PARTITION BY country, metric ORDER BY {order}) AS t,
   count(*) OVER (PARTITION BY country, metric) AS n FROM ser)""",
             """sl AS (SELECT *, lag(y, 1) OVER w AS y_lag1, lag(y, 2) OVER w AS y_lag2, lag(y, 3) OVER w AS y_lag3,
   lag(y, 4) OVER w AS y_lag4 FROM st WINDOW w AS (PARTITION BY country, metric ORDER BY t))"""]
@@ -109,11 +110,11 @@ def _zsql(lag: int) -> str:
             f"ELSE {y[lag]} - 2 * {y[lag + 1]} + {y[lag + 2]} END")
 
 
-def ar_ctes(months: int = -2, upto: str = "train") -> list[str]:
+def ar_ctes(months: int = -2, upto: str = "train", direction: str = "forward") -> list[str]:
     """Adds ``fc``: (country, metric, p, d, q, forecast) for the nine q = 0 orders."""
     m = "n - 1" if upto == "train" else "n"
     reg = "t >= d + p + 1 AND t <= m"
-    return series_ctes(months) + [
+    return series_ctes(months, direction) + [
         "pdg AS (SELECT a.p, b.d FROM (VALUES (0), (1), (2)) a(p), (VALUES (0), (1), (2)) b(d))",
         f"""rw AS (SELECT sl.country, sl.metric, sl.t, sl.y, sl.y_lag1, {m} AS m, pdg.p, pdg.d,
   {_zsql(0)} AS zt,
@@ -148,9 +149,9 @@ def ar_ctes(months: int = -2, upto: str = "train") -> list[str]:
     ]
 
 
-def best_ctes(months: int = -2) -> list[str]:
+def best_ctes(months: int = -2, direction: str = "forward") -> list[str]:
     """Adds ``bo``: the winning q = 0 order per series with its forecast and error."""
-    return ar_ctes(months) + [
+    return ar_ctes(months, direction=direction) + [
         """sc AS (SELECT fc.*, power(st.y - fc.forecast, 2) AS mse FROM fc
   JOIN st ON st.country = fc.country AND st.metric = fc.metric AND st.t = st.n
   WHERE fc.forecast IS NOT NULL)""",
@@ -159,11 +160,11 @@ def best_ctes(months: int = -2) -> list[str]:
     ]
 
 
-def forecast_table_sql(months: int = -2) -> str:
+def forecast_table_sql(months: int = -2, direction: str = "forward") -> str:
     piv = ",\n  ".join(f"max(CASE WHEN metric = '{m}' THEN forecast END) AS {m}" for m in METRIC_NAMES)
     complete = " AND ".join(f"w.{m} IS NOT NULL" for m in METRIC_NAMES)
     outs = ", ".join(f"round(CASE WHEN {complete} THEN w.{m} ELSE 0.0 END, 6) AS {m}" for m in METRIC_NAMES)
-    ctes = best_ctes(months) + [f"wd AS (SELECT country, {piv} FROM bo GROUP BY country)",
+    ctes = best_ctes(months, direction) + [f"wd AS (SELECT country, {piv} FROM bo GROUP BY country)",
                                 "cn AS (SELECT DISTINCT country FROM ev WHERE country IS NOT NULL)"]
     return ("WITH " + ",\n".join(ctes) +
             f"\nSELECT cn.country, {outs}, NOT ({complete}) AS is_fallback"

@@ -578,3 +578,30 @@ def q_codebook_roundtrip(spark, sf_dir):
     cb1 = _epoch1(spark, sf_dir)[-1]
     path = SF.save_codebook(cb1, work_path(spark, "codebook"))
     return rounded(_flat(SF.load_codebook(spark, path), "w", "w"))
+
+
+# ------------------------------------------------------------------ variants named in the survey
+
+@register("forecast_table_reference", S.forecast_table_sql(direction="reference"))
+def q_forecast_table_reference(spark, sf_dir):
+    """The reference's order: newest week first, the oldest week is the holdout."""
+    ev = _ev(spark, sf_dir)
+    return rounded(FC.forecast_table(_weekly(spark, sf_dir), W.distinct_countries(ev), direction="reference", orders="ar"))
+
+
+@register("weekly_metrics_median", S.with_ctes(
+    [S.ev_cte(), S.filtered_cte(-2)],
+    """SELECT country, week, CAST(SUM(num_mentions) AS BIGINT) AS total_mentions,
+  CAST(SUM(num_sources) AS BIGINT) AS total_sources, CAST(SUM(num_articles) AS BIGINT) AS total_articles,
+  round(median(avg_tone), 6) AS center_tone, round(median(goldstein), 6) AS center_goldstein
+FROM f GROUP BY country, week"""))
+def q_weekly_metrics_median(spark, sf_dir):
+    """Weekly metrics with true medians as centres (every week kept)."""
+    return rounded(W.weekly_metrics(_ev(spark, sf_dir), FX.AS_OF, -2, center="median", key=FX.EVENT_KEY))
+
+
+@register("root_code_filter_strict", S.with_ev(
+    f"SELECT {S.KEY}, root_code FROM ev WHERE root_code IN (" + ", ".join(f"'{c}'" for c in S.CODES.split(", ")) + ")"))
+def q_root_code_filter_strict(spark, sf_dir):
+    """The literal text comparison of root codes."""
+    return W.root_code_filter(_ev(spark, sf_dir), strict=True).select(*KEYCOLS, "root_code")
