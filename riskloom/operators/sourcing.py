@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.budget import risk_budget
 from riskloom.plans.broadcast import BROADCAST_ROW_LIMIT, bounded_count, broadcast_if_small
+from riskloom.session import materialize
 
 EPS = 1e-9
 REQUEST_SCHEMA = T.StructType([
@@ -171,7 +172,8 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambd
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id")
     # Dominated offers never win for any lambda; the pruning window is keyed by
     # (request, item), which also spreads a large request over many tasks.
-    c = pareto_offers(_candidates(offers, risk).join(ok, "request_id", "left_semi"))
+    # Written once: three steps below read the pruned candidates.
+    c = materialize(pareto_offers(_candidates(offers, risk).join(ok, "request_id", "left_semi")), "relaxed-candidates")
 
     def choose(df: DataFrame, keys: list[str]) -> DataFrame:
         score = F.col("cost") + F.col("lam") * F.col("distance")
@@ -182,9 +184,10 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambd
     lam = c.select("request_id", "item_pos", "offer_pos", "country", "cost", "distance",
                    F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam"))
     per_item = choose(lam, ["request_id", "lam", "item_pos"])
-    tot = (per_item.groupBy("request_id", "lam")
-           .agg(F.sum("cost").alias("total_cost"), F.sum("distance").alias("total_risk"), F.sum("score").alias("dual"))
-           .join(budgets.select("request_id", "budget"), "request_id"))
+    tot = materialize(per_item.groupBy("request_id", "lam")
+                      .agg(F.sum("cost").alias("total_cost"), F.sum("distance").alias("total_risk"),
+                           F.sum("score").alias("dual"))
+                      .join(budgets.select("request_id", "budget"), "request_id"), "relaxed-totals")
     bound = tot.groupBy("request_id").agg(F.max(F.col("dual") - F.col("lam") * F.col("budget")).alias("lower_bound"))
     feas = tot.filter(F.col("total_risk") <= F.col("budget") + EPS)
     best = feas.groupBy("request_id").agg(
