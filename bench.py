@@ -23,20 +23,31 @@ HEADLINE = ["weekly_metrics", "weekly_metrics_range", "weekly_metrics_join", "we
             "weekly_median", "forecast_table", "som_train", "country_risk", "select_relaxed", "select_exact"]
 
 
+def plan_shape(df) -> dict:
+    """Scans and exchanges of the query's physical plan (the last action of the query;
+    steps materialised earlier are separate, smaller plans)."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return {"scans": len(re.findall(r"(FileScan|Scan parquet|Scan ExistingRDD|Scan csv|Scan json)", text)),
+            "shuffles": len(re.findall(r"\bExchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", text)),
+            "broadcasts": text.count("BroadcastExchange")}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, app="riskloom-bench", shuffle_partitions=max(cpus * 2, 8))
     FX.events(spark, sf_dir).write.format("noop").mode("overwrite").save()  # JVM and file-cache warm-up
-    times = {}
+    times, plans = {}, {}
     for name in names:
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        df = QUERIES[name](spark, sf_dir)
+        df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        plans[name] = plan_shape(df)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}))
+                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "plans": plans}))
     spark.stop()
 
 
