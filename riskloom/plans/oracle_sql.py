@@ -112,40 +112,47 @@ def _zsql(lag: int) -> str:
 
 def ar_ctes(months: int = -2, upto: str = "train", direction: str = "forward") -> list[str]:
     """Adds ``fc``: (country, metric, p, d, q, forecast) for the nine q = 0 orders."""
+    return series_ctes(months, direction) + ar_fit_ctes(upto)
+
+
+def ar_fit_ctes(upto: str = "train", tag: str = "") -> list[str]:
+    """The fit CTEs over ``sl``; ``tag`` suffixes every CTE name so that a second copy
+    (for example on all points, ``upto='all'``) can live in the same query."""
     m = "n - 1" if upto == "train" else "n"
     reg = "t >= d + p + 1 AND t <= m"
-    return series_ctes(months, direction) + [
-        "pdg AS (SELECT a.p, b.d FROM (VALUES (0), (1), (2)) a(p), (VALUES (0), (1), (2)) b(d))",
-        f"""rw AS (SELECT sl.country, sl.metric, sl.t, sl.y, sl.y_lag1, {m} AS m, pdg.p, pdg.d,
+    pdg, rw, sm, nq, co, zh, fc = (f"{x}{tag}" for x in ("pdg", "rw", "sm", "nq", "co", "zh", "fc"))
+    return [
+        f"{pdg} AS (SELECT a.p, b.d FROM (VALUES (0), (1), (2)) a(p), (VALUES (0), (1), (2)) b(d))",
+        f"""{rw} AS (SELECT sl.country, sl.metric, sl.t, sl.y, sl.y_lag1, {m} AS m, {pdg}.p, {pdg}.d,
   {_zsql(0)} AS zt,
   CASE WHEN p >= 1 THEN {_zsql(1)} ELSE 0.0 END AS x1,
   CASE WHEN p >= 2 THEN {_zsql(2)} ELSE 0.0 END AS x2,
   {_zsql(1)} AS zprev
-  FROM sl CROSS JOIN pdg)""",
-        f"""sm AS (SELECT country, metric, p, d, count(*) FILTER (WHERE {reg}) AS E,
+  FROM sl CROSS JOIN {pdg})""",
+        f"""{sm} AS (SELECT country, metric, p, d, count(*) FILTER (WHERE {reg}) AS E,
   sum(zt) FILTER (WHERE {reg}) AS Sy, sum(x1) FILTER (WHERE {reg}) AS S1, sum(x2) FILTER (WHERE {reg}) AS S2,
   sum(x1 * x1) FILTER (WHERE {reg}) AS S11, sum(x1 * x2) FILTER (WHERE {reg}) AS S12,
   sum(x2 * x2) FILTER (WHERE {reg}) AS S22, sum(x1 * zt) FILTER (WHERE {reg}) AS S1y,
   sum(x2 * zt) FILTER (WHERE {reg}) AS S2y,
   max(y) FILTER (WHERE t = m) AS ym, max(y_lag1) FILTER (WHERE t = m) AS ym1,
   max(zt) FILTER (WHERE t = m) AS zm, max(zprev) FILTER (WHERE t = m) AS zm1
-  FROM rw GROUP BY country, metric, p, d)""",
-        """nq AS (SELECT *,
+  FROM {rw} GROUP BY country, metric, p, d)""",
+        f"""{nq} AS (SELECT *,
   CASE WHEN d = 0 THEN S11 - S1 * S1 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S11 END AS a11,
   CASE WHEN d = 0 THEN S12 - S1 * S2 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S12 END AS a12,
   CASE WHEN d = 0 THEN S22 - S2 * S2 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S22 END AS a22,
   CASE WHEN d = 0 THEN S1y - S1 * Sy / NULLIF(CAST(E AS DOUBLE), 0) ELSE S1y END AS b1,
-  CASE WHEN d = 0 THEN S2y - S2 * Sy / NULLIF(CAST(E AS DOUBLE), 0) ELSE S2y END AS b2 FROM sm)""",
-        """co AS (SELECT *,
+  CASE WHEN d = 0 THEN S2y - S2 * Sy / NULLIF(CAST(E AS DOUBLE), 0) ELSE S2y END AS b2 FROM {sm})""",
+        f"""{co} AS (SELECT *,
   CASE p WHEN 0 THEN 0.0 WHEN 1 THEN b1 / NULLIF(a11, 0)
          ELSE (b1 * a22 - b2 * a12) / NULLIF(a11 * a22 - a12 * a12, 0) END AS phi1,
-  CASE WHEN p = 2 THEN (a11 * b2 - a12 * b1) / NULLIF(a11 * a22 - a12 * a12, 0) ELSE 0.0 END AS phi2 FROM nq)""",
-        """zh AS (SELECT *,
+  CASE WHEN p = 2 THEN (a11 * b2 - a12 * b1) / NULLIF(a11 * a22 - a12 * a12, 0) ELSE 0.0 END AS phi2 FROM {nq})""",
+        f"""{zh} AS (SELECT *,
   (CASE WHEN d = 0 THEN (Sy - phi1 * S1 - phi2 * S2) / NULLIF(CAST(E AS DOUBLE), 0) ELSE 0.0 END)
-  + (CASE WHEN p >= 1 THEN phi1 * zm ELSE 0.0 END) + (CASE WHEN p = 2 THEN phi2 * zm1 ELSE 0.0 END) AS zhat FROM co)""",
-        """fc AS (SELECT country, metric, p, d, 0 AS q,
+  + (CASE WHEN p >= 1 THEN phi1 * zm ELSE 0.0 END) + (CASE WHEN p = 2 THEN phi2 * zm1 ELSE 0.0 END) AS zhat FROM {co})""",
+        f"""{fc} AS (SELECT country, metric, p, d, 0 AS q,
   CASE WHEN E >= greatest(p + CASE WHEN d = 0 THEN 1 ELSE 0 END, 1) AND isfinite(yh) THEN yh END AS forecast
-  FROM (SELECT *, CASE d WHEN 0 THEN zhat WHEN 1 THEN ym + zhat ELSE 2 * ym - ym1 + zhat END AS yh FROM zh) x)""",
+  FROM (SELECT *, CASE d WHEN 0 THEN zhat WHEN 1 THEN ym + zhat ELSE 2 * ym - ym1 + zhat END AS yh FROM {zh}) x)""",
     ]
 
 

@@ -605,3 +605,13 @@ def q_weekly_metrics_median(spark, sf_dir):
 def q_root_code_filter_strict(spark, sf_dir):
     """The literal text comparison of root codes."""
     return W.root_code_filter(_ev(spark, sf_dir), strict=True).select(*KEYCOLS, "root_code")
+
+
+@register("next_week_forecast_refit", S.with_ctes(
+    S.best_ctes() + S.ar_fit_ctes("all", "_all"),
+    """SELECT bo.country, bo.metric, round(fc_all.forecast, 6) AS forecast FROM bo
+LEFT JOIN fc_all ON fc_all.country = bo.country AND fc_all.metric = bo.metric AND fc_all.p = bo.p AND fc_all.d = bo.d"""))
+def q_next_week_forecast_refit(spark, sf_dir):
+    """The winning order refitted on every point, forecasting the week after the holdout."""
+    nxt = FC.next_week_forecast(_series(spark, sf_dir), orders="ar", refit=True)
+    return rounded(nxt.select("country", "metric", "forecast"))

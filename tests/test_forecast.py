@@ -82,3 +82,13 @@ def test_reference_direction_predicts_oldest(spark):
     wk = weekly(spark, 5)
     s = FC.metric_series(wk, "reference").filter("is_holdout").select("week").distinct().collect()
     assert s[0]["week"] == dt.date(2024, 1, 1)
+
+
+def test_one_metric_unforecastable_zero_fills_all(spark):  # E11
+    rows = [("XX", dt.date(2024, 1, 1) + dt.timedelta(days=7 * i), 10 + i, 5 + i, 3 + i, None, -0.2 * i)
+            for i in range(6)]
+    wk = spark.createDataFrame(rows, "country string, week date, total_mentions long, total_sources long, "
+                                     "total_articles long, center_tone double, center_goldstein double")
+    countries = spark.createDataFrame([("XX",)], "country string")
+    out = FC.forecast_table(wk, countries, orders="ar").first()
+    assert out["is_fallback"] and all(out[m] == 0.0 for m in METRICS)
