@@ -615,3 +615,25 @@ def q_next_week_forecast_refit(spark, sf_dir):
     """The winning order refitted on every point, forecasting the week after the holdout."""
     nxt = FC.next_week_forecast(_series(spark, sf_dir), orders="ar", refit=True)
     return rounded(nxt.select("country", "metric", "forecast"))
+
+
+def _reference_codebook(spark, sf_dir):
+    """The reference's training set-up: global weekly totals over four months, unscaled
+    features, random training rows as initial weights (batch epochs instead of online steps)."""
+    train = materialize(W.weekly_metrics(_ev(spark, sf_dir), FX.AS_OF, -4, by=(), key=FX.EVENT_KEY), "weekly-global")
+    feats = SM.som_features(train, ["week"], stats=None)
+    return SM.som_train(feats, epochs=10, seed=7, key=["week"])
+
+
+@register("som_train_reference")
+def q_som_train_reference(spark, sf_dir):
+    """SOM trained as the reference does (global grain, unscaled): rows-only check."""
+    return rounded(_flat(_reference_codebook(spark, sf_dir), "w", "w"))
+
+
+@register("country_risk_reference")
+def q_country_risk_reference(spark, sf_dir):
+    """Per-country forecasts scored, unscaled, against the global-grain codebook: rows-only check."""
+    ev = _ev(spark, sf_dir)
+    fc = materialize(FC.forecast_table(_weekly(spark, sf_dir), W.distinct_countries(ev), orders="ar"), "forecast")
+    return rounded(RK.country_risk(fc, _reference_codebook(spark, sf_dir), stats=None))
