@@ -566,7 +566,6 @@ def q_incremental_load(spark, sf_dir):
 def q_weekly_totals_stream(spark, sf_dir):
     schema = FX.table(spark, sf_dir, "events").schema
     stream = ST.events_stream(spark, sf_dir, schema, glob="events.parquet")
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     sink, chk = work_path(spark, "wk-sink"), work_path(spark, "wk-chk")
     ST.weekly_totals_stream(spark, stream, sink, chk)
     return rounded(spark.read.parquet(sink).select("user_id", "week", "n_events", "total_value"))

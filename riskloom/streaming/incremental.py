@@ -8,6 +8,8 @@ the previous run, then stops.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,18 @@ def incremental_load(spark: SparkSession, source_dir: str, sink_path: str, check
     return sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
 
 
+@contextmanager
+def utc_session(spark: SparkSession):
+    """Run with the session time zone set to UTC, restoring the caller's setting after.
+    Event times without zone are read as UTC wall clock, so weeks are UTC Mondays."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def weekly_window(ts_col: str = "ts"):
     """Monday-to-Monday tumbling week: 7-day windows shifted by 4 days (1970-01-01 was a Thursday)."""
     return F.window(F.col(ts_col), "7 days", "7 days", "4 days")
@@ -42,7 +56,16 @@ def weekly_totals_stream(spark: SparkSession, events_stream: DataFrame, sink_pat
     The aggregate runs in update mode with a watermark (state for weeks older than
     the watermark is dropped); each micro-batch merges its changed (key, week) rows
     into the week partitions it touches. Runs until the available input is consumed.
+    Zone-less event times are taken as UTC, whatever the session's time zone.
     """
+    with utc_session(spark):
+        _weekly_totals_stream(spark, events_stream, sink_path, checkpoint_path, key, ts_col, value_col, watermark)
+
+
+def _weekly_totals_stream(spark, events_stream, sink_path, checkpoint_path, key, ts_col, value_col, watermark):
+    if isinstance(events_stream.schema[ts_col].dataType, T.TimestampNTZType):
+        # Watermarks need TIMESTAMP; the zone-less value is read as UTC (see utc_session).
+        events_stream = events_stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     agg = (events_stream.withWatermark(ts_col, watermark)
            .groupBy(weekly_window(ts_col).alias("w"), F.col(key))
            .agg(F.count(F.lit(1)).alias("n_events"), F.sum(value_col).alias("total_value"))
