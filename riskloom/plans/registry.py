@@ -636,3 +636,19 @@ def q_country_risk_reference(spark, sf_dir):
     ev = _ev(spark, sf_dir)
     fc = materialize(FC.forecast_table(_weekly(spark, sf_dir), W.distinct_countries(ev), orders="ar"), "forecast")
     return rounded(RK.country_risk(fc, _reference_codebook(spark, sf_dir), stats=None))
+
+
+@register("weekly_metrics_stream", S.weekly_sql(-2))
+def q_weekly_metrics_stream(spark, sf_dir):
+    """Weekly metrics maintained from a stream of event files (four files, one per
+    micro-batch, in event-date order), compared with the batch oracle."""
+    src = work_path(spark, "ev-files")
+    ev = _ev(spark, sf_dir)
+    ev.repartitionByRange(4, "event_date").write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    events_table, metrics = work_path(spark, "ev-table"), work_path(spark, "wk-metrics")
+    ST.weekly_metrics_stream(spark, stream, events_table, metrics, work_path(spark, "wk-chk"), FX.AS_OF, -2,
+                             key=FX.EVENT_KEY)
+    out = spark.read.parquet(metrics)
+    return rounded(out.select("country", "week", "total_mentions", "total_sources", "total_articles",
+                              "center_tone", "center_goldstein"))

@@ -97,3 +97,36 @@ def events_stream(spark: SparkSession, path: str, schema: T.StructType, glob: st
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
+
+
+def weekly_metrics_stream(spark: SparkSession, events_stream: DataFrame, events_table: str, metrics_table: str,
+                          checkpoint_path: str, as_of, months: int = -2, by=("country",), key=("event_id",)) -> None:
+    """Weekly metrics (lower-half centres included) kept current from a stream of events.
+
+    NTILE cannot run on a stream, so each micro-batch (1) stores its events under a
+    folder named by the batch id (a retried batch rewrites the same folder), partitioned
+    by week, (2) recomputes only the weeks it touched from all stored events of those
+    weeks (partition pruning), and (3) replaces those week partitions of the metrics table.
+    """
+    from riskloom.functions.dates import as_date, lookback_start, week_of
+    from riskloom.operators.weekly import weekly_metrics
+
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        if df.isEmpty():
+            return
+        s = df.sparkSession
+        ev = df.withColumn("week", week_of("event_date"))
+        ev.write.mode("overwrite").partitionBy("week").parquet(f"{events_table.rstrip('/')}/batch={epoch_id}")
+        # Touched weeks inside the lookback window (week dates: bounded by the window).
+        touched = [r["week"] for r in ev.filter(F.col("week") >= F.trunc(lookback_start(as_of, months), "week"))
+                   .filter(F.col("week") <= F.lit(as_date(as_of))).select("week").distinct().collect()]
+        if not touched:
+            return
+        stored = s.read.parquet(events_table).filter(F.col("week").isin(touched)).drop("week", "batch")
+        fresh = materialize(weekly_metrics(stored, as_of, months, by=by, key=key), "weekly-stream")
+        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("week").parquet(metrics_table))
+
+    q = (events_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
