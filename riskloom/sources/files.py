@@ -14,10 +14,12 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.session import materialize
+
 # Canonical event file layout written and read by this package.
 EVENT_TSV_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -82,8 +84,9 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mo
 
 def write_archives(df: DataFrame, path: str, columns: Sequence[str] | None = None, prefix: str = "events") -> DataFrame:
     """Pack rows as TSV members into zip archives, one archive per partition, written by
-    the tasks themselves (a retried task rewrites the same archive name).
-    Returns (archive, member, rows)."""
+    the tasks themselves (a retried task rewrites the same archive name). A test and
+    fixture helper: ``path`` must be a folder every executor can write as a file system
+    path (local or mounted). Returns (archive, member, rows)."""
     cols = list(columns or [f.name for f in EVENT_TSV_SCHEMA.fields])
 
     def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,6 +135,9 @@ def expand_archives(spark: SparkSession, path: str, expanded: DataFrame | None =
     lines = files.mapInPandas(unpack, "archive string, member string, line string")
     if expanded is not None:
         lines = lines.join(expanded.select("member").distinct(), "member", "left_anti")
+    # Expanded members are written once (as the reference stores them), so the archives
+    # are decompressed a single time; the dedupe below reads the written lines.
+    lines = materialize(lines, "expanded")
     # One row per archive member (file metadata, not data rows): a bounded broadcast.
     winner = lines.groupBy("member").agg(F.max("archive").alias("archive"))
     return lines.join(F.broadcast(winner), ["member", "archive"], "left_semi")
@@ -218,9 +224,3 @@ def save_codebook(codebook: DataFrame, path: str) -> str:
 
 def load_codebook(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("x", "y", "w")
-
-
-def dedupe_latest(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
-    """Keep, per key, the row with the largest ``order_col`` (a bounded group per key)."""
-    w = Window.partitionBy(*key).orderBy(F.col(order_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
