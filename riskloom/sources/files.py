@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.plans.broadcast import BROADCAST_ROW_LIMIT, bounded_count, broadcast_if_small
 from riskloom.session import materialize
 
 # Canonical event file layout written and read by this package.
@@ -138,9 +139,11 @@ def expand_archives(spark: SparkSession, path: str, expanded: DataFrame | None =
     # Expanded members are written once (as the reference stores them), so the archives
     # are decompressed a single time; the dedupe below reads the written lines.
     lines = materialize(lines, "expanded")
-    # One row per archive member (file metadata, not data rows): a bounded broadcast.
+    # One row per archive member (file metadata, not data rows), broadcast when counted small.
     winner = lines.groupBy("member").agg(F.max("archive").alias("archive"))
-    return lines.join(F.broadcast(winner), ["member", "archive"], "left_semi")
+    n = bounded_count(winner)
+    winner = broadcast_if_small(winner, n if n <= BROADCAST_ROW_LIMIT else None)
+    return lines.join(winner, ["member", "archive"], "left_semi")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType = EVENT_TSV_SCHEMA) -> DataFrame:
