@@ -96,9 +96,15 @@ def dedup_risk(risk: DataFrame) -> DataFrame:
 
 
 def _risk_side(risk: DataFrame) -> DataFrame:
+    """Deduplicated risk, broadcast-hinted when its counted size is small. Prepared once
+    per top-level call; a prepared frame is passed through unchanged."""
+    if getattr(risk, "_riskloom_prepared", False):
+        return risk
     r = dedup_risk(risk)
     n = bounded_count(r)
-    return broadcast_if_small(r, n if n <= BROADCAST_ROW_LIMIT else None)
+    r = broadcast_if_small(r, n if n <= BROADCAST_ROW_LIMIT else None)
+    r._riskloom_prepared = True
+    return r
 
 
 def offer_risk(offers: DataFrame, risk: DataFrame) -> DataFrame:
@@ -124,6 +130,7 @@ def request_status(offers: DataFrame, risk: DataFrame, budgets: DataFrame) -> Da
     """``(request_id, status, min_risk, budget)`` with status ``missing_risk`` (an
     offered country has no score), ``infeasible`` (an item without a usable offer, or
     even the least risky choices exceed the budget) or ``ok``."""
+    risk = _risk_side(risk)
     dd = offers_dedup(offers)
     items = dd.select("request_id", "item_pos").distinct()
     scored = offer_risk(usable_offers(dd), risk)
@@ -169,6 +176,7 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambd
     Every step is a partial aggregate keyed by (request, lambda[, item]), so a huge
     request spreads over many tasks. Requests with ok status only.
     """
+    risk = _risk_side(risk)
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id")
     # Dominated offers never win for any lambda; the pruning window is keyed by
     # (request, item), which also spreads a large request over many tasks.
@@ -255,6 +263,7 @@ def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_sta
     the default is no cap (exact). A single very large request is better served by
     ``select_relaxed``, which has no per-request task.
     """
+    risk = _risk_side(risk)
     pruned = pareto_offers(_candidates(offers, risk))
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id", "budget")
     data = pruned.join(ok, "request_id").select("request_id", "item_pos", "item", "offer_pos", "country", "cost",
