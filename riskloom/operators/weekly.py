@@ -30,9 +30,14 @@ METRICS = ("total_mentions", "total_sources", "total_articles", "center_tone", "
 
 
 def lookback_filter(ev: DataFrame, as_of, months: int) -> DataFrame:
-    """Events from ``add_months(week_of(as_of), months)`` up to and including as_of."""
-    return ev.filter((F.col("event_date") >= lookback_start(as_of, months))
-                     & (F.col("event_date") <= F.lit(as_date(as_of))))
+    """Events from ``add_months(week_of(as_of), months)`` up to and including as_of.
+    A stored ``week`` column (the event table's partition column) is bounded too, so
+    the scan reads only the folders of the weeks in the window."""
+    start = lookback_start(as_of, months)
+    out = ev.filter((F.col("event_date") >= start) & (F.col("event_date") <= F.lit(as_date(as_of))))
+    if "week" in ev.columns:
+        out = out.filter((F.col("week") >= F.trunc(start, "week")) & (F.col("week") <= F.lit(as_date(as_of))))
+    return out
 
 
 def root_code_filter(ev: DataFrame, codes=ROOT_CODES, strict: bool = False) -> DataFrame:

@@ -173,7 +173,7 @@ def load_manifest(spark: SparkSession, manifest_path: str, schema: T.StructType
     return read_tsv(spark, [r["url"] for r in urls], schema)
 
 
-def append_events(rows: DataFrame, table_path: str) -> int:
+def append_events(rows: DataFrame, table_path: str, partition_by: Sequence[str] = ()) -> int:
     """Append rows to a Parquet table, skipping source files it already holds
     (the reference appends blindly, so a rerun duplicates rows). Returns the number
     of newly appended source files."""
@@ -185,10 +185,21 @@ def append_events(rows: DataFrame, table_path: str) -> int:
         fresh = rows
     n_files = fresh.select("source_file").distinct().count()
     if n_files:
-        fresh.write.mode("append").parquet(table_path)
+        writer = fresh.write.mode("append")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(table_path)
     return n_files
 
 
+def store_events(rows: DataFrame, table_path: str, empty_country: str = "null") -> int:
+    """Loaded event rows -> the event table: typed ``event_date`` (DATE, so date
+    predicates reach the scan) and partitioned by Monday ``week``, so a lookback reads
+    only its weeks' folders. Source files already stored are skipped."""
+    typed = canonical_events(rows, empty_country).withColumn("week", F.trunc("event_date", "week"))
+    return append_events(typed, table_path, partition_by=("week",))
+
+
 def _current_version(spark: SparkSession, table_root: str) -> str | None:
     try:
         row = spark.read.text(f"{table_root.rstrip('/')}/_CURRENT").first()

@@ -75,3 +75,20 @@ def test_entry_and_contract(spark):
                                "center_tone", "center_goldstein"}
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
+
+
+def test_stored_events_prune_weeks(spark):
+    from riskloom.operators import weekly as W
+    d = work_path(spark, "ev-tsv").replace("file:", "")
+    os.makedirs(d)
+    with open(os.path.join(d, "x.csv"), "w") as fh:
+        for i, day in enumerate(["20240101", "20240108", "20240305", "20240306"]):
+            fh.write(f"{i}\t{day}\t14\tXX\t3\t1\t1\t0.5\t0.5\n")
+    table = work_path(spark, "events")
+    assert SF.store_events(SF.read_tsv(spark, d), table) == 1
+    stored = spark.read.parquet(table)
+    out = W.weekly_metrics(stored, "2024-03-10", -1, strategy="window")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(week" in plan and "week#" in plan
+    got = out.collect()
+    assert len(got) == 1 and str(got[0]["week"]) == "2024-03-04" and got[0]["total_mentions"] == 6
