@@ -266,8 +266,9 @@ def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_sta
     risk = _risk_side(risk)
     pruned = pareto_offers(_candidates(offers, risk))
     ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id", "budget")
-    data = pruned.join(ok, "request_id").select("request_id", "item_pos", "item", "offer_pos", "country", "cost",
-                                                "distance", "budget")
+    # The solver input is written once (offers-sized): the grouped map then starts from a scan.
+    data = materialize(pruned.join(ok, "request_id").select("request_id", "item_pos", "item", "offer_pos", "country",
+                                                            "cost", "distance", "budget"), "exact-input")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns=["_g"]).reset_index(drop=True)
