@@ -13,3 +13,14 @@ Operator families (each takes and returns DataFrames):
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+try:
+    # Functions shipped to Python workers (grouped maps, partition maps) are pickled by
+    # value, so executors need neither this package installed nor on their path.
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover - older cloudpickle
+    pass
