@@ -652,3 +652,14 @@ def q_weekly_metrics_stream(spark, sf_dir):
     out = spark.read.parquet(metrics)
     return rounded(out.select("country", "week", "total_mentions", "total_sources", "total_articles",
                               "center_tone", "center_goldstein"))
+
+
+@register("weekly_metrics_stored", S.weekly_sql(-2))
+def q_weekly_metrics_stored(spark, sf_dir):
+    """Events loaded from TSV into the week-partitioned event table, then weekly metrics
+    over it: the lookback reads only its weeks' folders."""
+    data = _written_tsv(spark, sf_dir)
+    table = work_path(spark, "event-table")
+    SF.store_events(SF.read_tsv(spark, data, FIXTURE_TSV_SCHEMA), table)
+    stored = spark.read.parquet(table)
+    return rounded(W.weekly_metrics(stored, FX.AS_OF, -2, key=FX.EVENT_KEY))
