@@ -92,3 +92,10 @@ def test_stored_events_prune_weeks(spark):
     assert "PartitionFilters: [isnotnull(week" in plan and "week#" in plan
     got = out.collect()
     assert len(got) == 1 and str(got[0]["week"]) == "2024-03-04" and got[0]["total_mentions"] == 6
+
+
+def test_registered_names():
+    import re
+    names = set(E.queries())
+    assert not [n for n in names if "pipeline" in n or re.match(r"op\d+_", n)]
+    assert set(E.oracle_sql()) <= names
