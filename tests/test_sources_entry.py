@@ -99,3 +99,20 @@ def test_registered_names():
     names = set(E.queries())
     assert not [n for n in names if "pipeline" in n or re.match(r"op\d+_", n)]
     assert set(E.oracle_sql()) <= names
+
+
+def test_raw_58_column_layout(spark):
+    d = work_path(spark, "raw").replace("file:", "")
+    os.makedirs(d)
+    fields = [""] * SF.GDELT_WIDTH
+    values = {"event_id": "42", "sqldate": "20240305", "root_code": "14", "goldstein": "-6.5",
+              "num_mentions": "7", "num_sources": "2", "num_articles": "5", "avg_tone": "-3.25", "country": "FR"}
+    for name, pos in SF.GDELT_POSITIONS.items():
+        fields[pos - 1] = values[name]
+    with open(os.path.join(d, "day.CSV"), "w") as fh:
+        fh.write("\t".join(fields) + "\n")
+    table = work_path(spark, "raw-events")
+    assert SF.store_events(SF.read_gdelt_events(spark, d), table) == 1
+    r = spark.read.parquet(table).first()
+    assert (r["event_id"], r["country"], r["num_mentions"], r["avg_tone"], str(r["event_date"]), str(r["week"])) == \
+        (42, "FR", 7, -3.25, "2024-03-05", "2024-03-04")
