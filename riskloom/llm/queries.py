@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, quality, urls
+from riskloom.llm import chat, graph, mixing, packing, quality, simhash, suffix, superkmer, token_files, urls
 from riskloom.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ------------------------------------------------------------------ 1 near duplicates by SimHash
+
+@register("op1_simhash")
+def op1_simhash(spark, sf_dir):
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
 # ------------------------------------------------------------------ 2 url filters
 
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
@@ -60,6 +67,56 @@ def op3_chat_formatting(spark, sf_dir):
                      F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# ------------------------------------------------------------------ 4 packing
+
+@register("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# ------------------------------------------------------------------ 5 suffix arrays
+
+@register("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    done = suffix.removed_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 6 substrings
+
+@register("op6_substring_dedup", S.SUBSTRING_DEDUP)
+def op6_substring_dedup(spark, sf_dir):
+    done = superkmer.remove_repeated(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 7 embeddings
+
+@register("op7_embedding_dedup")
+def op7_embedding_dedup(spark, sf_dir):
+    classes = graph.embedding_classes(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return classes.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+# ------------------------------------------------------------------ 8 mixing
+
+@register("op8_mixing")
+def op8_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(docs, weights=(1, 2, 3), cap=3)
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
+# ------------------------------------------------------------------ 9 binary token files
+
+@register("op9_token_files")
+def op9_token_files(spark, sf_dir):
+    return token_files.write_and_digest(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------ 10 quality rules
 
 @register("op10_quality_rules", S.QUALITY_RULES)

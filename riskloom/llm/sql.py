@@ -69,3 +69,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
          AND n_stop_words >= 1 AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_ellipsis_lines <= 50 * n_lines AS kept
 FROM b
 """.replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS))
+
+SUBSTRING_DEDUP = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM w WHERE len(words) >= 13)
+), h AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE doc_id > first
+), c AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(i, i + 12)) AS p FROM h)
+), x AS (
+  SELECT w.doc_id, p AS i, words[p] AS word FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS p FROM w) w
+), k AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.p GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
