@@ -123,7 +123,8 @@ def ar_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str
         s(F.col("x2") * F.col("zt")).alias("S2y"),
         F.max(F.when(last, F.col("y"))).alias("ym"), F.max(F.when(last, F.col("y_lag1"))).alias("ym1"),
         F.max(F.when(last, F.col("zt"))).alias("zm"), F.max(F.when(last, F.col("zprev"))).alias("zm1"),
-        F.max(F.when(F.col("t") == F.col("n"), F.col("y"))).alias("y_holdout"))
+        F.max(F.when(F.col("t") == F.col("n"), F.col("y"))).alias("y_holdout"),
+        F.count_if(F.col("y").isNull()).alias("gaps"))
     # Each quantity is its own column, referenced by name, so the plan stays small.
     E = F.col("E").cast("double")
     icpt = F.col("d") == 0
@@ -150,7 +151,8 @@ def ar_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str
         "yhat", F.when(F.col("d") == 0, F.col("zhat")).when(F.col("d") == 1, F.col("ym") + F.col("zhat"))
         .otherwise(2 * F.col("ym") - F.col("ym1") + F.col("zhat")))
     k = F.col("p") + F.when(icpt, 1).otherwise(0)
-    valid = F.col("E") >= F.greatest(k, F.lit(1))
+    # A NULL anywhere in a series, holdout included, fails every order of it.
+    valid = (F.col("E") >= F.greatest(k, F.lit(1))) & (F.col("gaps") == 0)
     y_test = F.col("y_holdout") if upto == "train" else F.lit(None).cast("double")
     return fitted.select(*by, "metric", "p", "d", F.lit(0).alias("q"),
                          F.when(valid, _finite(F.col("yhat"))).alias("forecast"), y_test.alias("y_test"))
@@ -270,13 +272,14 @@ def arima_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: s
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns=["_g"]).sort_values("t")
         y = pdf["y"].to_numpy(dtype=float)
-        y_test = float(y[-1]) if upto == "train" and len(y) else None
+        gaps = bool(np.isnan(y).any())  # a NULL anywhere, holdout included, fails every order
+        y_test = float(y[-1]) if upto == "train" and len(y) and not gaps else None
         if upto == "train":
             y = y[:-1]
         out = []
         for p, d, q in wanted:
             try:
-                f = fit_arma_forecast(y, p, d, q) if len(y) else None
+                f = fit_arma_forecast(y, p, d, q) if len(y) and not gaps else None
             except (np.linalg.LinAlgError, ValueError, FloatingPointError):
                 f = None
             out.append({**{c: pdf[c].iloc[0] for c in key}, "p": p, "d": d, "q": q, "forecast": f, "y_test": y_test})
@@ -290,13 +293,6 @@ def arima_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: s
     return keyed.repartition(parts, "_g").groupBy("_g").applyInPandas(fit, schema)
 
 
-def order_scores(series: DataFrame, fits: DataFrame, by: Sequence[str] = ("country",)) -> DataFrame:
-    """Squared error of every fitted order on the holdout point; failed fits removed.
-    The holdout value travels with each fit, so no join back to the series is needed."""
-    return (fits.filter(F.col("forecast").isNotNull() & F.col("y_test").isNotNull())
-            .withColumn("mse", F.pow(F.col("y_test") - F.col("forecast"), 2)))
-
-
 def best_order(series: DataFrame, fits: DataFrame, by: Sequence[str] = ("country",)) -> DataFrame:
     """O3 + F5: per series, the order with the lowest squared error, first in (p, d, q)
     order on ties, with its forecast (the winner is not refitted).

@@ -1,58 +1,52 @@
 """Exact order statistics per group that never put a whole group into one task.
 
-Lower halves (``NTILE(2) = 1``) and medians need the position of a row inside its
-group. A window over ``PARTITION BY group`` is exact but hands every row of a group
-to a single task: one hot country-week (or the single group of a global grain)
-then becomes one straggler holding a large share of all rows.
+Lower halves (``NTILE(2) = 1``) and medians need the position of a row inside its group. A
+window over ``PARTITION BY group`` is exact but hands every row of a group to a single task:
+one hot country-week (or the single group of a global grain) then becomes one straggler.
 
-``select_at_ranks`` keeps it exact and balanced:
+``running_sums`` keeps it exact and balanced, for groups of any size:
 
-1. range-partition all rows by (group, order) and sort within partitions, so a hot
-   group is spread over many consecutive partitions;
-2. number rows with ``monotonically_increasing_id`` (partition id in the high bits,
-   position in the low bits: increasing in sort order inside a partition);
-3. aggregate per (group, partition): first id and row count. This table has at
-   most partitions + groups rows; a window over it gives each piece its offset;
-4. turn each wanted rank into one row id and pick those rows with a join.
+1. range-partition all rows by (group, order), note each row's partition and store the
+   table, so that everything below reads the same split of the rows;
+2. sum per (group, partition). This table has at most partitions + groups rows; a window
+   over it gives each piece of a group its start;
+3. a window inside each piece adds the running sum of the rows before.
 
-Both uses of the sorted data sit in one plan and share one exchange.
-
-``strategy`` decides between this and a plain window: ``auto`` measures the largest
-group once (a partial aggregate) and uses the window only when every group is small.
+A rank is the running sum of ones. Rows that are equal in every column are interchangeable:
+a half takes exactly its number of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.plans.broadcast import broadcast_if_small
-
-# Groups up to this many rows may be handled by one task (window strategy).
-MAX_WINDOW_GROUP_ROWS = 2_000_000
-
-
-def group_profile(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
-    """(number of groups, rows in the largest group), from one partial aggregate.
-    Only one row with two numbers reaches the driver."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    row = sizes.agg(F.count(F.lit(1)).alias("g"), F.max("_n").alias("m")).first()
-    return int(row["g"] or 0), int(row["m"] or 0)
-
-
-def pick_strategy(df: DataFrame, group: Sequence[str], strategy: str = "auto",
-                  max_window_group_rows: int = MAX_WINDOW_GROUP_ROWS) -> tuple[str, int | None]:
-    """Return (strategy, number of groups or None)."""
-    if strategy not in ("auto", "window", "range"):
-        raise ValueError("strategy must be 'auto', 'window' or 'range'")
-    if strategy == "window":
-        return "window", None
-    n_groups, largest = group_profile(df, group)
-    if strategy == "auto":
-        return ("window" if largest <= max_window_group_rows else "range"), n_groups
-    return "range", n_groups
+from riskloom.session import materialize
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Mapping[str, str],
+                 partitions: int | None = None) -> DataFrame:
+    """``df`` plus, for each ``name: column`` of ``sums``, the sum of the column over the
+    group's rows up to and including this one in ``order`` (names of non-null columns that
+    order the rows totally, but for equal rows), and ``{name}_all``, the group's sum."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(parts, *group, *order).withColumn("_piece", F.spark_partition_id())
+    laid = materialize(laid, "laid-out")
+    pieces = laid.groupBy(*group, "_piece").agg(*[F.sum(c).alias(f"_{n}_piece") for n, c in sums.items()])
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*group, "_piece",
+                           *[F.coalesce(F.sum(f"_{n}_piece").over(upto), F.lit(0)).alias(f"_{n}_start") for n in sums],
+                           *[F.sum(f"_{n}_piece").over(whole).alias(f"{n}_all") for n in sums])
+    inside = Window.partitionBy(*group, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for n, c in sums.items():
+        laid = laid.withColumn(f"_{n}_inside", F.sum(c).over(inside))
+    out = laid.join(pieces, [*group, "_piece"])
+    for n in sums:
+        out = out.withColumn(n, F.col(f"_{n}_start") + F.col(f"_{n}_inside"))
+    return out.drop("_piece", *[f"_{n}_start" for n in sums], *[f"_{n}_inside" for n in sums])
 
 
 def order_columns(value: str, key: Sequence[str], prefix: str) -> list[Column]:
@@ -62,89 +56,57 @@ def order_columns(value: str, key: Sequence[str], prefix: str) -> list[Column]:
             *[F.col(k).alias(f"{prefix}_k{i}") for i, k in enumerate(key)]]
 
 
+def with_ranks(df: DataFrame, group: Sequence[str], order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """``df`` plus the order columns, ``_rank`` (from 1) and ``_n`` (rows of the group).
+
+    A hash of the whole row follows the given order, so that rows with the same key but other
+    values keep their places when a task is repeated."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_row_hash")
+    laid = df.select("*", *order, row, F.lit(1).alias("_one"))
+    names = [c for c in laid.columns if c not in df.columns and c != "_one"]
+    return (running_sums(laid, group, names, {"_rank": "_one"}, partitions)
+            .withColumnRenamed("_rank_all", "_n").drop("_one", "_row_hash"))
+
+
 def select_at_ranks(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                    ranks: Callable[[Column], list[Column]], n_groups: int | None = None,
-                    partitions: int | None = None) -> DataFrame:
-    """Rows at the given 1-based ranks of every group.
-
-    ``order`` are aliased, non-null column expressions giving a total order;
-    ``ranks(n)`` maps the group size column to the wanted ranks.
-    Returns group columns, the order columns, ``_rank`` and ``_n``.
-    """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(*[F.col(g) for g in group], *order)
-    cols = [*group, *[c for c in base.columns if c not in group]]
-    ranked = (base.repartitionByRange(parts, *cols)
-              .sortWithinPartitions(*cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    pieces = (ranked.groupBy(*group, F.shiftrightunsigned("_mid", 33).alias("_pid"))
-              .agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c")))
-    by_group = Window.partitionBy(*group)
-    pieces = (pieces
-              .withColumn("_before", F.sum("_c").over(by_group.orderBy("_pid")) - F.col("_c"))
-              .withColumn("_n", F.sum("_c").over(by_group)))
-    targets = (pieces
-               .withColumn("_rank", F.explode(F.array_distinct(F.array(*ranks(F.col("_n"))))))
-               .filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_c")))
-               .select((F.col("_m0") + F.col("_rank") - F.col("_before") - 1).alias("_mid"), "_rank", "_n"))
-    # One target row per group and rank: bounded by the group count measured upstream.
-    limit_rows = None if n_groups is None else n_groups * 2
-    targets = broadcast_if_small(targets, limit_rows)
-    return ranked.join(targets, "_mid").drop("_mid")
-
-
-def lower_half_threshold(df: DataFrame, group: Sequence[str], value: str, key: Sequence[str],
-                         prefix: str, n_groups: int | None = None) -> DataFrame:
-    """Per group, the order tuple of the last row of the first NTILE(2) bucket
-    (rank ceil(n/2)), as a struct column ``{prefix}_th``."""
-    order = order_columns(value, key, prefix)
-    picked = select_at_ranks(df, group, order, lambda n: [F.floor((n + 1) / 2).cast("long")], n_groups)
-    names = [c for c in picked.columns if c.startswith(prefix + "_")]
-    return picked.select(*group, F.struct(*[F.col(c) for c in names]).alias(f"{prefix}_th"))
-
-
-def order_struct(value: str, key: Sequence[str], prefix: str) -> Column:
-    return F.struct(*order_columns(value, key, prefix))
+                    ranks: Callable[[Column], list[Column]], partitions: int | None = None) -> DataFrame:
+    """Rows at the given 1-based ranks of every group; ``ranks(n)`` maps the group size to them."""
+    ranked = with_ranks(df, group, order, partitions)
+    return ranked.filter(F.array_contains(F.array(*ranks(F.col("_n"))), F.col("_rank")))
 
 
 def lower_half_flags(df: DataFrame, group: Sequence[str], values: Sequence[str], key: Sequence[str],
-                     strategy: str = "auto") -> tuple[DataFrame, list[str]]:
+                     strategy: str = "range") -> tuple[DataFrame, list[str]]:
     """Add one boolean ``_low_{value}`` per value: row is in NTILE(2) bucket 1 of its
-    group when ordered by that value ascending, NULLs last, ties by ``key``."""
-    chosen, n_groups = pick_strategy(df, group, strategy)
-    flag_names = [f"_low_{v}" for v in values]
-    if chosen == "window":
-        out = df
-        for v, name in zip(values, flag_names):
+    group when ordered by that value ascending, NULLs last, ties by ``key``.
+
+    ``strategy='window'`` is the literal window form, one task per group, for comparison."""
+    if strategy not in ("range", "window"):
+        raise ValueError("strategy must be 'range' or 'window'")
+    names = [f"_low_{v}" for v in values]
+    out = df
+    for i, (v, name) in enumerate(zip(values, names)):
+        if strategy == "window":
             w = Window.partitionBy(*group).orderBy(F.col(v).asc_nulls_last(), *[F.col(k).asc() for k in key])
             out = out.withColumn(name, F.ntile(2).over(w) == 1)
-        return out, flag_names
-    ths = None
-    for i, v in enumerate(values):
-        th = lower_half_threshold(df, group, v, key, f"_t{i}", n_groups)
-        ths = th if ths is None else ths.join(th, list(group))
-    ths = broadcast_if_small(ths, n_groups)
-    out = df.join(ths, list(group), "inner")
-    for i, (v, name) in enumerate(zip(values, flag_names)):
-        out = out.withColumn(name, order_struct(v, key, f"_t{i}") <= F.col(f"_t{i}_th"))
-    return out.drop(*[f"_t{i}_th" for i in range(len(values))]), flag_names
+        else:
+            columns = out.columns
+            ranked = with_ranks(out, group, order_columns(v, key, f"_t{i}"))
+            out = ranked.select(*columns, (F.col("_rank") <= F.floor((F.col("_n") + 1) / 2)).alias(name))
+    return out, names
 
 
 def group_medians(df: DataFrame, group: Sequence[str], values: Sequence[str], key: Sequence[str],
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "range") -> DataFrame:
     """Exact median (mean of the two middle values when the count is even) of each
     value per group, NULLs ignored. Output: group + ``median_{value}``."""
-    chosen, n_groups = pick_strategy(df, group, strategy)
-    if chosen == "window":
+    if strategy == "window":
         return df.groupBy(*group).agg(*[F.median(v).alias(f"median_{v}") for v in values])
     out = df.select(*group).distinct()
-    for i, v in enumerate(values):
-        nn = df.filter(F.col(v).isNotNull())
-        order = [F.col(v).cast("double").alias(f"_m{i}_val"), *[F.col(k).alias(f"_m{i}_k{j}") for j, k in enumerate(key)]]
+    for v in values:
+        order = [F.col(v).cast("double").alias("_m_val")]
         picked = select_at_ranks(
-            nn, group, order,
-            lambda n: [F.floor((n + 1) / 2).cast("long"), (F.floor(n / 2) + 1).cast("long")], n_groups)
-        med = picked.groupBy(*group).agg(F.avg(f"_m{i}_val").alias(f"median_{v}"))
-        out = out.join(med, list(group), "left")
+            df.filter(F.col(v).isNotNull()).select(*group, v), group, order,
+            lambda n: [F.floor((n + 1) / 2).cast("long"), (F.floor(n / 2) + 1).cast("long")])
+        out = out.join(picked.groupBy(*group).agg(F.avg("_m_val").alias(f"median_{v}")), list(group), "left")
     return out

@@ -95,6 +95,7 @@ def som_init(features: DataFrame, grid=(5, 5), seed: int = 0, method: str = "ran
     """
     spark = features.sparkSession
     gx, gy = grid
+    features = complete_vectors(features)
     if method == "random":
         key = list(key or [c for c in features.columns if c != "v"])
         picked = (features.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
@@ -121,13 +122,28 @@ def som_init(features: DataFrame, grid=(5, 5), seed: int = 0, method: str = "ran
 
 # ------------------------------------------------------------------ best-matching unit
 
+def _complete() -> Column:
+    return F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+
+
+def complete_vectors(features: DataFrame) -> DataFrame:
+    """Vectors a map can be trained on: those without a NULL or NaN component."""
+    return features.filter(_complete())
+
+
+def incomplete_count(features: DataFrame) -> DataFrame:
+    """How many vectors training leaves out (one row)."""
+    return features.agg(F.count_if(~_complete()).alias("incomplete_vectors"))
+
+
 def som_bmu(features: DataFrame, codebook: DataFrame | np.ndarray) -> DataFrame:
-    """Add ``bmu_x, bmu_y, d2``: the nearest neuron, lowest x then y on ties.
+    """Add ``bmu_x, bmu_y, d2``: the nearest neuron, lowest x then y on ties; all three are
+    NULL for a vector with a missing component.
     A narrow projection: the codebook travels inside the expression, no join."""
     w = codebook if isinstance(codebook, np.ndarray) else codebook_array(codebook)
     cands = F.transform(_literal(w), lambda n: F.struct(sq_distance(F.col("v"), n["w"]).alias("d2"),
                                                         n["x"].alias("x"), n["y"].alias("y")))
-    best = F.array_min(cands)
+    best = F.when(_complete(), F.array_min(cands))
     return features.withColumn("_b", best).select(
         "*", F.col("_b.x").alias("bmu_x"), F.col("_b.y").alias("bmu_y"), F.col("_b.d2").alias("d2")).drop("_b")
 
@@ -137,7 +153,7 @@ def som_bmu(features: DataFrame, codebook: DataFrame | np.ndarray) -> DataFrame:
 def bmu_sums(features: DataFrame, weights: np.ndarray) -> DataFrame:
     """Per neuron: number of vectors it wins and their component sums (one partial aggregate)."""
     dim = weights.shape[2]
-    return (som_bmu(features, weights).groupBy("bmu_x", "bmu_y")
+    return (som_bmu(complete_vectors(features), weights).groupBy("bmu_x", "bmu_y")
             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v")[k]).alias(f"s{k}") for k in range(dim)]))
 
 
@@ -168,7 +184,7 @@ def som_train(features: DataFrame, grid=(5, 5), sigma: float = 1.0, rate: float
     Features are written once as a table in the shared checkpoint folder (they are read once
     per epoch; a lost executor then costs a re-read, not a recomputation).
     """
-    feats = materialize(features, "som-features")
+    feats = materialize(complete_vectors(features), "som-features")
     codebook = som_init(feats, grid, seed, init, key)
     w = codebook_array(codebook)
     half = max(epochs / 2.0, 1e-9)

@@ -5,14 +5,16 @@ that the total cost is lowest and the summed risk stays within the request's bud
 The reference flattens one request into a dense cost matrix (absent = 0) and hands
 a boolean program to a solver. Here requests stay long and sparse (FIXTURES D12):
 
+- ``request_items``  nested JSON -> one row per (request, item), items without offers too
 - ``offers_long``    nested JSON -> one row per (request, item, offer)
 - ``offers_dedup``   the reference's dictionary rules (last cost wins; a doubled item
                      name gives both positions the last list)
 - ``offer_risk``     risk per offered country (broadcast only behind a row count)
-- ``request_status`` ok / missing_risk / infeasible per request
+- ``request_status`` ok / missing_risk / infeasible / invalid_request, one row per request
 - ``cheapest_offer`` cheapest usable offer per item, no budget (a lower bound)
-- ``select_relaxed`` Lagrangian relaxation over a grid of lambdas, DataFrame only,
-                     for requests of any size; reports a lower bound and the gap
+- ``select_relaxed`` Lagrangian relaxation with the multipliers that the offers' own
+                     cost/risk hulls have, DataFrame only, for requests of any size;
+                     reports a lower bound and the gap
 - ``select_exact``   exact Pareto dynamic program per request, many requests in
                      parallel (``applyInPandas``)
 - ``recommendation`` item -> country rows and the JSON list the reference returns
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.budget import risk_budget
+from riskloom.operators.ranks import running_sums
 from riskloom.plans.broadcast import BROADCAST_ROW_LIMIT, bounded_count, broadcast_if_small
 from riskloom.session import materialize
 
@@ -39,8 +42,6 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("items", T.ArrayType(T.MapType(T.StringType(), T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))))),
     T.StructField("risk_aversion", T.StringType()),
 ])
-# Lagrange multipliers tried by select_relaxed: 0 and a geometric grid.
-LAMBDAS = [0.0] + [float(10.0 ** (k / 4.0)) for k in range(-16, 41)]
 
 
 def parse_requests(requests: DataFrame, json_col: str = "json") -> DataFrame:
@@ -49,33 +50,48 @@ def parse_requests(requests: DataFrame, json_col: str = "json") -> DataFrame:
 
 
 def request_budgets(requests: DataFrame) -> DataFrame:
-    """``(request_id, risk_aversion, budget)``."""
+    """``(request_id, risk_aversion, budget, valid)``, one row per request; ``valid`` is
+    false for malformed JSON and for requests without an item list."""
     p = parse_requests(requests)
     return p.select("request_id", F.col("req.risk_aversion").alias("risk_aversion"),
-                    risk_budget(F.col("req.risk_aversion")).alias("budget"))
+                    risk_budget(F.col("req.risk_aversion")).alias("budget"),
+                    F.col("req.items").isNotNull().alias("valid"))
 
 
-def offers_long(requests: DataFrame) -> DataFrame:
-    """X1 + O2: one row per offer with first-appearance positions (FIXTURES D12).
-    Names inside one item map share its position."""
+def request_items(requests: DataFrame) -> DataFrame:
+    """One row per named item, with its list of offers (which may be empty or NULL).
+    ``item_pos`` counts names over the whole request, several names of one map included."""
     p = parse_requests(requests)
-    items = p.select("request_id", F.posexplode("req.items").alias("item_pos", "m"))
-    named = items.select("request_id", "item_pos", F.explode("m").alias("item", "lst"))
-    offs = named.select("request_id", "item_pos", "item", F.posexplode("lst").alias("offer_pos", "om"))
-    return offs.select("request_id", F.col("item_pos").cast("int").alias("item_pos"), "item",
-                       F.col("offer_pos").cast("int").alias("offer_pos"),
-                       F.explode("om").alias("country", "cost"))
+    entries = F.expr("flatten(transform(req.items, m -> coalesce(map_entries(m), cast(array() AS "
+                     "array<struct<key:string,value:array<map<string,double>>>>))))")
+    return p.select("request_id", F.posexplode(entries).alias("item_pos", "e")).select(
+        "request_id", F.col("item_pos").cast("int").alias("item_pos"), F.col("e.key").alias("item"), F.col("e.value").alias("lst"))
+
+
+def offers_long(requests: DataFrame) -> DataFrame:
+    """X1 + O2: one row per offer with first-appearance positions (FIXTURES D12);
+    ``offer_pos`` counts countries over the item's list, several countries of one map included."""
+    entries = F.expr("flatten(transform(lst, m -> coalesce(map_entries(m), cast(array() AS array<struct<key:string,value:double>>))))")
+    return request_items(requests).select("request_id", "item_pos", "item", F.posexplode(entries).alias("offer_pos", "e")).select(
+        "request_id", "item_pos", "item", F.col("offer_pos").cast("int").alias("offer_pos"),
+        F.col("e.key").alias("country"), F.col("e.value").alias("cost"))
 
 
-def offers_dedup(offers: DataFrame) -> DataFrame:
+def _positions(offers: DataFrame, items: DataFrame | None) -> DataFrame:
+    return (offers if items is None else items).select("request_id", "item", "item_pos").distinct()
+
+
+def offers_dedup(offers: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """A country named twice in one item keeps its first position and its last cost;
-    an item name used twice gets, at every position, the offers of its last position."""
+    an item name used twice gets, at every position, the offers of its last position.
+    With ``items`` (see ``request_items``) a last position without offers counts, too: the
+    item then has none at any position."""
     per_item = (offers.groupBy("request_id", "item_pos", "item", "country")
                 .agg(F.min("offer_pos").alias("offer_pos"), F.max_by("cost", "offer_pos").alias("cost")))
-    last_pos = offers.groupBy("request_id", "item").agg(F.max("item_pos").alias("src_pos"))
-    positions = offers.select("request_id", "item", "item_pos").distinct().join(last_pos, ["request_id", "item"])
+    positions = _positions(offers, items)
+    last_pos = positions.groupBy("request_id", "item").agg(F.max("item_pos").alias("src_pos"))
     src = per_item.withColumnRenamed("item_pos", "src_pos")
-    return (positions.join(src, ["request_id", "item", "src_pos"])
+    return (positions.join(last_pos, ["request_id", "item"]).join(src, ["request_id", "item", "src_pos"])
             .select("request_id", "item_pos", "item", "offer_pos", "country", "cost"))
 
 
@@ -126,28 +142,47 @@ def missing_risk_status(offers: DataFrame, risk: DataFrame) -> DataFrame:
             .withColumn("status", F.lit("missing_risk")))
 
 
-def request_status(offers: DataFrame, risk: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``(request_id, status, min_risk, budget)`` with status ``missing_risk`` (an
-    offered country has no score), ``infeasible`` (an item without a usable offer, or
-    even the least risky choices exceed the budget) or ``ok``."""
+def request_status(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """``(request_id, status, min_risk, budget)``, one row per request of ``budgets``:
+    ``invalid_request`` (malformed JSON or no item list), ``missing_risk`` (an offered country
+    has no score), ``infeasible`` (an item without a usable offer, or even the least risky
+    choices exceed the budget) or ``ok``. Without ``items`` a request without offers counts as
+    infeasible; with them, a request of no items is ok and has nothing to choose."""
     risk = _risk_side(risk)
-    dd = offers_dedup(offers)
-    items = dd.select("request_id", "item_pos").distinct()
+    return _status(offers, offers_dedup(offers, items), risk, budgets, items)
+
+
+def _status(offers: DataFrame, dd: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None) -> DataFrame:
     scored = offer_risk(usable_offers(dd), risk)
     per_item = scored.groupBy("request_id", "item_pos").agg(F.min("distance").alias("r_min"))
-    item_rows = items.join(per_item, ["request_id", "item_pos"], "left")
+    item_rows = _positions(offers, items).select("request_id", "item_pos").distinct().join(per_item, ["request_id", "item_pos"], "left")
     per_req = item_rows.groupBy("request_id").agg(
-        F.sum("r_min").alias("min_risk"), F.count_if(F.col("r_min").isNull()).alias("n_unusable"))
+        F.sum("r_min").alias("min_risk"), F.count_if(F.col("r_min").isNull()).alias("n_unusable"), F.lit(True).alias("has_items"))
     miss = missing_risk(offers, risk).select("request_id").distinct().withColumn("has_missing", F.lit(True))
-    out = per_req.join(budgets.select("request_id", "budget"), "request_id", "left").join(miss, "request_id", "left")
-    status = (F.when(F.col("has_missing"), "missing_risk")
-              .when((F.col("n_unusable") > 0) | (F.col("min_risk") > F.col("budget") + EPS), "infeasible")
+    valid = F.col("valid") if "valid" in budgets.columns else F.lit(True)
+    out = (budgets.select("request_id", "budget", valid.alias("valid"))
+           .join(per_req, "request_id", "left").join(miss, "request_id", "left"))
+    nothing = F.lit(items is None) & F.col("has_items").isNull()
+    status = (F.when(~F.col("valid"), "invalid_request").when(F.col("has_missing"), "missing_risk")
+              .when(nothing | (F.col("n_unusable") > 0) | (F.col("min_risk") > F.col("budget") + EPS), "infeasible")
               .otherwise("ok"))
-    return out.select("request_id", status.alias("status"), "min_risk", "budget")
+    empty = F.col("valid") & F.col("has_items").isNull() & F.lit(items is not None)
+    return out.select("request_id", status.alias("status"), F.when(empty, F.lit(0.0)).otherwise(F.col("min_risk")).alias("min_risk"), "budget")
+
+
+def _prepared(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None) -> DataFrame:
+    """Undominated candidates of the ok requests with their budget, stored once. The
+    deduplicated offers are stored, too, as status and candidates both come from them."""
+    risk = _risk_side(risk)
+    dd = materialize(offers_dedup(offers, items), "offers-dedup")
+    ok = _status(offers, dd, risk, budgets, items).filter(F.col("status") == "ok").select("request_id", "budget")
+    candidates = offer_risk(usable_offers(dd), risk).filter(F.col("distance").isNotNull())
+    return materialize(pareto_offers(candidates).join(ok, "request_id").select(
+        "request_id", "item_pos", "item", "offer_pos", "country", "cost", "distance", "budget"), "candidates")
 
 
-def _candidates(offers: DataFrame, risk: DataFrame) -> DataFrame:
-    return offer_risk(usable_offers(offers_dedup(offers)), risk).filter(F.col("distance").isNotNull())
+def _candidates(offers: DataFrame, risk: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    return offer_risk(usable_offers(offers_dedup(offers, items)), risk).filter(F.col("distance").isNotNull())
 
 
 def pareto_offers(candidates: DataFrame) -> DataFrame:
@@ -159,120 +194,123 @@ def pareto_offers(candidates: DataFrame) -> DataFrame:
             .filter(F.col("_prev_min").isNull() | (F.col("distance") < F.col("_prev_min"))).drop("_prev_min"))
 
 
-def cheapest_offer(offers: DataFrame, risk: DataFrame) -> DataFrame:
+def cheapest_offer(offers: DataFrame, risk: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Cheapest usable offer per item ignoring the budget; ties by risk, then position."""
-    c = _candidates(offers, risk)
+    c = _candidates(offers, risk, items)
     best = c.groupBy("request_id", "item_pos", "item").agg(
         F.min_by(F.struct("country", "cost", "distance"), F.struct("cost", "distance", "offer_pos")).alias("b"))
     return best.select("request_id", "item_pos", "item", "b.country", "b.cost", "b.distance")
 
 
-def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, lambdas=LAMBDAS) -> DataFrame:
+def hull_steps(candidates: DataFrame) -> DataFrame:
+    """The lower hull of each item's undominated offers in (cost, risk), one row per vertex:
+    ``step`` 0 is the cheapest offer (``lam`` -1); each further one costs ``d_cost`` more than
+    the one before, risks ``-d_risk`` less, and is worth it from the multiplier ``lam`` on.
+    An item's offers (at most one per country) are one row while its hull is found."""
+    pts = candidates.groupBy("request_id", "item_pos", "item", "budget").agg(
+        F.sort_array(F.collect_list(F.struct("cost", "distance", "offer_pos", "country"))).alias("pts"))
+    slope = "({b}.cost - {a}.cost) / ({a}.distance - {b}.distance)"
+    hull = pts.withColumn("hull", F.expr(
+        "filter(pts, (p, i) -> coalesce(array_max(transform(slice(pts, 1, i), a -> " + slope.format(a="a", b="p") + ")), -1D) < "
+        "coalesce(array_min(transform(slice(pts, i + 2, size(pts)), b -> " + slope.format(a="p", b="b") + ")), double('infinity')))"))
+    steps = hull.select("request_id", "item_pos", "item", "budget", "hull", F.posexplode("hull").alias("step", "o"))
+    before = F.get("hull", F.col("step") - 1)
+    first = F.col("step") == 0
+    d_cost, d_risk = F.col("o.cost") - before["cost"], F.col("o.distance") - before["distance"]
+    return steps.select("request_id", "item_pos", "item", "budget", "step", "o.country", "o.cost", "o.distance",
+                        F.when(first, F.lit(-1.0)).otherwise(d_cost / -d_risk).alias("lam"),
+                        F.when(first, F.col("o.cost")).otherwise(d_cost).alias("d_cost"),
+                        F.when(first, F.col("o.distance")).otherwise(d_risk).alias("d_risk"))
+
+
+def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Lagrangian relaxation, DataFrame only, for requests of any size.
 
-    For every lambda each item takes the offer minimising cost + lambda * risk; the
-    cheapest lambda whose choices fit the budget wins. ``lower_bound`` is
-    max over lambda of (sum of item minima - lambda * budget); ``gap = cost - bound``.
-    Every step is a partial aggregate keyed by (request, lambda[, item]), so a huge
-    request spreads over many tasks. Requests with ok status only.
+    Every item starts at its cheapest offer and moves along its hull. All moves of a request
+    are ordered by their multiplier; the first place in this order at which the summed risk
+    fits the budget is the choice (the end of the order is the least risk, so every ok request
+    has one). ``lower_bound`` is the dual value at that multiplier, the best one;
+    ``gap = total_cost - lower_bound``. Running sums are spread over range partitions, so a
+    huge request isn't one task. Requests with ok status only.
     """
-    risk = _risk_side(risk)
-    ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id")
-    # Dominated offers never win for any lambda; the pruning window is keyed by
-    # (request, item), which also spreads a large request over many tasks.
-    # Written once: three steps below read the pruned candidates.
-    c = materialize(pareto_offers(_candidates(offers, risk).join(ok, "request_id", "left_semi")), "relaxed-candidates")
-
-    def choose(df: DataFrame, keys: list[str]) -> DataFrame:
-        score = F.col("cost") + F.col("lam") * F.col("distance")
-        best = df.groupBy(*keys).agg(
-            F.min(F.struct(score.alias("score"), "cost", "distance", "offer_pos", "country")).alias("b"))
-        return best.select(*keys, "b.*")
-
-    lam = c.select("request_id", "item_pos", "offer_pos", "country", "cost", "distance",
-                   F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam"))
-    per_item = choose(lam, ["request_id", "lam", "item_pos"])
-    tot = materialize(per_item.groupBy("request_id", "lam")
-                      .agg(F.sum("cost").alias("total_cost"), F.sum("distance").alias("total_risk"),
-                           F.sum("score").alias("dual"))
-                      .join(budgets.select("request_id", "budget"), "request_id"), "relaxed-totals")
-    bound = tot.groupBy("request_id").agg(F.max(F.col("dual") - F.col("lam") * F.col("budget")).alias("lower_bound"))
-    feas = tot.filter(F.col("total_risk") <= F.col("budget") + EPS)
-    best = feas.groupBy("request_id").agg(
-        F.min(F.struct("total_cost", "total_risk", "lam")).alias("b")).select("request_id", "b.*")
-    best = best.join(bound, "request_id")
-    # The winning lambda's choices, recomputed from the candidates (one row per offer,
-    # not one per offer and lambda).
-    pick = choose(c.join(best.select("request_id", "lam"), "request_id"), ["request_id", "item_pos"])
-    items = c.select("request_id", "item_pos", "item").distinct()
-    return (pick.join(items, ["request_id", "item_pos"]).join(best, "request_id")
-            .select("request_id", "item_pos", "item", "country", "cost", "distance", "total_cost", "total_risk",
-                    "lower_bound", (F.col("total_cost") - F.col("lower_bound")).alias("gap")))
+    steps = hull_steps(_prepared(offers, risk, budgets, items))
+    order = ["lam", "item_pos", "step"]
+    steps = running_sums(steps.withColumn("one", F.lit(1)), ["request_id"], order,
+                         {"total_cost": "d_cost", "total_risk": "d_risk", "n_steps": "one"})
+    steps = materialize(steps, "relaxed-steps")
+    n_items = steps.filter("step = 0").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_items"))
+    fits = steps.join(n_items, "request_id").filter(
+        (F.col("n_steps") >= F.col("n_items")) & (F.col("total_risk") <= F.col("budget") + EPS))
+    best = fits.groupBy("request_id").agg(F.min(F.struct(*order, "total_cost", "total_risk")).alias("b"))
+    chosen = steps.drop("total_cost", "total_risk").join(best, "request_id").filter(
+        F.struct(*order) <= F.struct(*[F.col(f"b.{c}").alias(c) for c in order]))
+    pick = chosen.groupBy("request_id", "item_pos", "item", "budget", "b").agg(
+        F.max_by(F.struct("country", "cost", "distance"), "step").alias("o"))
+    lam = F.greatest(F.col("b.lam"), F.lit(0.0))
+    bound = F.col("b.total_cost") + lam * (F.col("b.total_risk") - F.col("budget"))
+    # at multiplier 0 the bound is the cheapest cost itself, whatever risk is left unused
+    bound = F.when(lam > 0, bound).otherwise(F.col("b.total_cost"))
+    return pick.select("request_id", "item_pos", "item", "o.country", "o.cost", "o.distance", "b.total_cost", "b.total_risk",
+                       bound.alias("lower_bound"), (F.col("b.total_cost") - bound).alias("gap"))
 
 
 # ------------------------------------------------------------------ exact selection
 
-def pareto_select(pdf: pd.DataFrame, budget: float, max_states: int | None = None):
+def pareto_select(pdf: pd.DataFrame, budget: float):
     """Exact multiple-choice knapsack for one request by a Pareto dynamic program.
 
-    Items are taken in position order; a state is (cost, risk, chosen rows). After
-    each item only states not dominated in (cost, risk) are kept; among equal
-    (cost, risk) the earliest offer positions win. Vectorised with numpy: each step
-    is one outer sum, one ``lexsort`` and a running minimum. Returns (row indexes, status).
+    Items are taken in position order; a state is (cost, risk) with a pointer to the state and
+    offer it came from. After each item only states not dominated in (cost, risk) are kept;
+    among equal (cost, risk) the earliest offer positions win, by the rank of the path before
+    and the new offer's position. Returns (row indexes, status).
     """
-    cost = np.zeros(1)
-    risk = np.zeros(1)
-    pos = np.zeros((1, 0), dtype=np.int64)
-    rows = np.zeros((1, 0), dtype=np.int64)
-    approx = False
+    cost, risk, path_rank = np.zeros(1), np.zeros(1), np.zeros(1, dtype=np.int64)
+    trail = []
     for _, grp in pdf.groupby("item_pos", sort=True):
-        oc = grp["cost"].to_numpy(float)
-        orisk = grp["distance"].to_numpy(float)
+        oc, orisk = grp["cost"].to_numpy(float), grp["distance"].to_numpy(float)
+        opos, orow = grp["offer_pos"].to_numpy(np.int64), grp.index.to_numpy(np.int64)
         nc = (cost[:, None] + oc[None, :]).ravel()
         nr = (risk[:, None] + orisk[None, :]).ravel()
-        src = np.repeat(np.arange(len(cost)), len(oc))
-        pick = np.tile(np.arange(len(oc)), len(cost))
-        ok = nr <= budget + EPS
-        if not ok.any():
+        ok = np.flatnonzero(nr <= budget + EPS)
+        if not len(ok):
             return None, "infeasible"
-        nc, nr, src, pick = nc[ok], nr[ok], src[ok], pick[ok]
-        npos = np.column_stack([pos[src], grp["offer_pos"].to_numpy(np.int64)[pick]])
-        nrows = np.column_stack([rows[src], grp.index.to_numpy(np.int64)[pick]])
-        order = np.lexsort(tuple(npos[:, j] for j in reversed(range(npos.shape[1]))) + (nr, nc))
-        nc, nr, npos, nrows = nc[order], nr[order], npos[order], nrows[order]
-        before = np.concatenate([[np.inf], np.minimum.accumulate(nr)[:-1]])
-        keep = nr < before
-        cost, risk, pos, rows = nc[keep], nr[keep], npos[keep], nrows[keep]
-        if max_states is not None and len(cost) > max_states:
-            cost, risk, pos, rows = cost[:max_states], risk[:max_states], pos[:max_states], rows[:max_states]
-            approx = True
-    return [int(i) for i in rows[0]], ("approximate" if approx else "optimal")
+        src, pick = ok // len(oc), ok % len(oc)
+        nc, nr = nc[ok], nr[ok]
+        order = np.lexsort((opos[pick], path_rank[src], nr, nc))
+        nr_sorted = nr[order]
+        before = np.concatenate([[np.inf], np.minimum.accumulate(nr_sorted)[:-1]])
+        keep = order[nr_sorted < before]
+        src, pick = src[keep], pick[keep]
+        cost, risk = nc[keep], nr[keep]
+        rank = np.empty(len(keep), dtype=np.int64)
+        rank[np.lexsort((opos[pick], path_rank[src]))] = np.arange(len(keep))
+        path_rank = rank
+        trail.append((src, orow[pick]))
+    rows, state = [], 0
+    for src, row in reversed(trail):
+        rows.append(int(row[state]))
+        state = src[state]
+    return rows[::-1], "optimal"
 
 
 SELECT_SCHEMA = ("request_id long, item_pos int, item string, country string, cost double, distance double, "
                  "status string")
 
 
-def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, max_states: int | None = None) -> DataFrame:
+def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Exact selection, one pandas call per request (FIXTURES D15).
 
     Requests are independent, so they are solved in parallel; dominated offers are
     pruned in Spark first (inside an item an offer is dropped when another costs no
-    more and risks no more). Infeasible requests give no rows (see request_status).
-    ``max_states`` caps the Pareto front and marks the result ``approximate``;
-    the default is no cap (exact). A single very large request is better served by
-    ``select_relaxed``, which has no per-request task.
+    more and risks no more). Only requests with ok status have rows (see request_status). A
+    single very large request is better served by ``select_relaxed``, which has no
+    per-request task.
     """
-    risk = _risk_side(risk)
-    pruned = pareto_offers(_candidates(offers, risk))
-    ok = request_status(offers, risk, budgets).filter(F.col("status") == "ok").select("request_id", "budget")
-    # The solver input is written once (offers-sized): the grouped map then starts from a scan.
-    data = materialize(pruned.join(ok, "request_id").select("request_id", "item_pos", "item", "offer_pos", "country",
-                                                            "cost", "distance", "budget"), "exact-input")
+    data = _prepared(offers, risk, budgets, items)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns=["_g"]).reset_index(drop=True)
-        idx, status = pareto_select(pdf, float(pdf["budget"].iloc[0]), max_states)
+        idx, status = pareto_select(pdf, float(pdf["budget"].iloc[0]))
         if idx is None:
             return pd.DataFrame(columns=["request_id", "item_pos", "item", "country", "cost", "distance", "status"])
         out = pdf.loc[idx, ["request_id", "item_pos", "item", "country", "cost", "distance"]].copy()

@@ -55,6 +55,12 @@ def distinct_countries(ev: DataFrame) -> DataFrame:
     return ev.select("country").filter(F.col("country").isNotNull()).distinct()
 
 
+def dropped_countries(ev: DataFrame) -> DataFrame:
+    """Events that no country series can take, by reason (one row)."""
+    return ev.agg(F.count_if(F.col("country").isNull()).alias("null_country"),
+                  F.count_if(F.col("country") == "").alias("empty_country"))
+
+
 def recent_weeks(ev: DataFrame, as_of, months: int) -> DataFrame:
     return lookback_filter(ev, as_of, months).select(week_of("event_date").alias("week")).distinct()
 
@@ -87,14 +93,16 @@ def weekly_totals(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("
 
 
 def lower_half_mean(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("country",),
-                    key: Sequence[str] = ("event_id",), strategy: str = "auto", **kw) -> DataFrame:
+                    key: Sequence[str] = ("event_id",), strategy: str = "range", **kw) -> DataFrame:
     """A3/A4: mean tone and Goldstein over the overlap of both lower halves."""
     f = unrest_events(ev, as_of, months, by=by, **kw)
     return _centre_agg(f, [*by, "week"], key, strategy, with_totals=False)
 
 
 def _centre_agg(f: DataFrame, group: list[str], key: Sequence[str], strategy: str, with_totals: bool) -> DataFrame:
-    flagged, (lt, lg) = lower_half_flags(f, group, ["avg_tone", "goldstein"], key, strategy)
+    # Only what the aggregate reads is laid out in order.
+    needed = dict.fromkeys([*group, *key, "avg_tone", "goldstein", *(["num_mentions", "num_sources", "num_articles"] if with_totals else [])])
+    flagged, (lt, lg) = lower_half_flags(f.select(*needed), group, ["avg_tone", "goldstein"], key, strategy)
     both = F.col(lt) & F.col(lg)
     aggs = []
     if with_totals:
@@ -110,7 +118,7 @@ def _centre_agg(f: DataFrame, group: list[str], key: Sequence[str], strategy: st
 
 def weekly_metrics(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("country",),
                    center: str = "lower_half_mean", key: Sequence[str] = ("event_id",),
-                   codes=ROOT_CODES, strict_codes: bool = False, strategy: str = "auto",
+                   codes=ROOT_CODES, strict_codes: bool = False, strategy: str = "range",
                    drop_partial_weeks: bool = False) -> DataFrame:
     """Wide weekly metrics (FIXTURES D6) for every ``by`` group in one pass.
 
@@ -131,14 +139,14 @@ def weekly_metrics(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = (
 
 
 def weekly_median(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("country",),
-                  key: Sequence[str] = ("event_id",), strategy: str = "auto", **kw) -> DataFrame:
+                  key: Sequence[str] = ("event_id",), strategy: str = "range", **kw) -> DataFrame:
     """A5: true medians of tone and Goldstein per group and week."""
     f = unrest_events(ev, as_of, months, by=by, **kw)
     return group_medians(f, [*by, "week"], ["avg_tone", "goldstein"], key, strategy)
 
 
 def tone_halves(ev: DataFrame, value: str, as_of, months: int = -2, by: Sequence[str] = ("country",),
-                key: Sequence[str] = ("event_id",), strategy: str = "auto", **kw) -> DataFrame:
+                key: Sequence[str] = ("event_id",), strategy: str = "range", **kw) -> DataFrame:
     """Every filtered event with its NTILE(2) bucket (1 or 2) by ``value``."""
     f = unrest_events(ev, as_of, months, by=by, **kw)
     flagged, (flag,) = lower_half_flags(f, [*by, "week"], [value], key, strategy)

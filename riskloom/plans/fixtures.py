@@ -36,12 +36,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(*EVENT_KEY,
                     day.alias("event_date"),
                     F.date_format(day, "yyyyMMdd").alias("sqldate"),
-                    (F.lit(1) + F.col("l_partkey") % 20).cast("string").alias("root_code"),
-                    F.col("n_name").alias("country"),
+                    F.when(F.col("l_partkey") % 7 == 0, F.lpad((F.lit(1) + F.col("l_partkey") % 20).cast("string"), 2, "0"))
+                    .otherwise((F.lit(1) + F.col("l_partkey") % 20).cast("string")).alias("root_code"),
+                    F.when(F.col("l_orderkey") % 97 != 0, F.col("n_name")).alias("country"),
                     F.col("l_quantity").cast("int").alias("num_mentions"),
                     F.col("l_linenumber").cast("int").alias("num_sources"),
                     (F.lit(1) + F.col("l_suppkey") % 10).cast("int").alias("num_articles"),
-                    (((cents % 2001) - 1000).cast("double") / 100).alias("avg_tone"),
+                    F.when(F.col("l_orderkey") % 13 != 0, ((cents % 2001) - 1000).cast("double") / 100).alias("avg_tone"),
                     ((((cents.cast("long") / 7).cast("long") % 201) - 100).cast("double") / 10).alias("goldstein")))
 
 
@@ -49,12 +50,12 @@ EVENTS_SQL = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
        CAST(l_shipdate AS DATE) AS event_date,
        strftime(CAST(l_shipdate AS DATE), '%Y%m%d') AS sqldate,
-       CAST(1 + l_partkey % 20 AS VARCHAR) AS root_code,
-       n_name AS country,
+       CASE WHEN l_partkey % 7 = 0 THEN lpad(CAST(1 + l_partkey % 20 AS VARCHAR), 2, '0') ELSE CAST(1 + l_partkey % 20 AS VARCHAR) END AS root_code,
+       CASE WHEN l_orderkey % 97 <> 0 THEN n_name END AS country,
        CAST(l_quantity AS INTEGER) AS num_mentions,
        CAST(l_linenumber AS INTEGER) AS num_sources,
        CAST(1 + l_suppkey % 10 AS INTEGER) AS num_articles,
-       CAST((CAST(round(l_extendedprice * 100) AS BIGINT) % 2001) - 1000 AS DOUBLE) / 100 AS avg_tone,
+       CASE WHEN l_orderkey % 13 <> 0 THEN CAST((CAST(round(l_extendedprice * 100) AS BIGINT) % 2001) - 1000 AS DOUBLE) / 100 END AS avg_tone,
        CAST(((CAST(round(l_extendedprice * 100) AS BIGINT) // 7) % 201) - 100 AS DOUBLE) / 10 AS goldstein
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 """
@@ -64,18 +65,28 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D12 offers: request = four consecutive parts, item = part, offer = supplier nation,
-    cost = cheapest unit price in cents over all its lines."""
+    cost = cheapest unit price in cents over all its lines. Some offers cost nothing or less, some
+    items have no usable offer, some countries have no score, some offer twice, and some items
+    bear the name of the request's first one."""
     li = table(spark, sf_dir, "lineitem")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     per = (li.join(su, li.l_suppkey == su.s_suppkey).join(na, F.col("s_nationkey") == F.col("n_nationkey"))
            .groupBy("l_partkey", "n_nationkey", "n_name")
            .agg(F.min(F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity"))).alias("cost")))
-    w = Window.partitionBy("l_partkey").orderBy("n_nationkey")
+    part, nation = F.col("l_partkey"), F.col("n_nationkey")
+    cost = (F.when(part % 41 == 0, 0.0).when((part % 11 == 0) & (nation % 5 == 0), 0.0)
+            .when((part % 13 == 0) & (nation % 7 == 0), -5.0).otherwise(F.col("cost")))
+    name = F.when((part % 29 == 0) & (nation == 1), "UNSCORED").otherwise(F.col("n_name"))
+    per = per.select("l_partkey", "n_nationkey", name.alias("n_name"), cost.alias("cost"), F.lit(0).alias("again"))
+    twice = per.filter((part % 17 == 0) & (nation % 3 == 0)).withColumn("cost", F.col("cost") + 10).withColumn("again", F.lit(1))
+    per = per.unionByName(twice)
+    w = Window.partitionBy("l_partkey").orderBy("again", "n_nationkey")
+    named = part - F.when((part % 4 == 3) & (F.floor(part / 4) % 19 == 0), 3).otherwise(0)
     return per.select(
         F.floor(F.col("l_partkey") / 4).cast("long").alias("request_id"),
         (F.col("l_partkey") % 4).cast("int").alias("item_pos"),
-        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("item"),
+        F.concat(F.lit("part-"), named.cast("long").cast("string")).alias("item"),
         (F.row_number().over(w) - 1).cast("int").alias("offer_pos"),
         F.col("n_name").alias("country"),
         F.col("cost").cast("double").alias("cost"))
@@ -84,13 +95,15 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 OFFERS_SQL = """
 SELECT CAST(l_partkey // 4 AS BIGINT) AS request_id,
        CAST(l_partkey % 4 AS INTEGER) AS item_pos,
-       'part-' || CAST(l_partkey AS VARCHAR) AS item,
-       CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY n_nationkey) - 1 AS INTEGER) AS offer_pos,
-       n_name AS country,
-       CAST(cost AS DOUBLE) AS cost
+       'part-' || CAST(l_partkey - CASE WHEN l_partkey % 4 = 3 AND (l_partkey // 4) % 19 = 0 THEN 3 ELSE 0 END AS VARCHAR) AS item,
+       CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY again, n_nationkey) - 1 AS INTEGER) AS offer_pos,
+       CASE WHEN l_partkey % 29 = 0 AND n_nationkey = 1 THEN 'UNSCORED' ELSE n_name END AS country,
+       CAST(CASE WHEN l_partkey % 41 = 0 OR (l_partkey % 11 = 0 AND n_nationkey % 5 = 0) THEN 0
+                 WHEN l_partkey % 13 = 0 AND n_nationkey % 7 = 0 THEN -5 ELSE cost END + 10 * again AS DOUBLE) AS cost
 FROM (SELECT l_partkey, n_nationkey, n_name, min(round(l_extendedprice * 100 / l_quantity)) AS cost
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
       GROUP BY l_partkey, n_nationkey, n_name) per
+JOIN (VALUES (0), (1)) twice(again) ON again = 0 OR (l_partkey % 17 = 0 AND n_nationkey % 3 = 0)
 """
 
 
@@ -124,8 +137,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10 risk per nation, in thousandths (integers keep sums and ties exact)."""
     na = table(spark, sf_dir, "nation")
-    return na.select(F.col("n_name").alias("country"),
-                     ((F.col("n_nationkey") * 37) % 101 / 1000.0).cast("double").alias("distance"))
+    scored = na.select(F.col("n_name").alias("country"),
+                       ((F.col("n_nationkey") * 37) % 101 / 1000.0).cast("double").alias("distance"))
+    # every fifth nation has a second, lower score: the larger one counts
+    again = na.filter("n_nationkey % 5 = 0").select(F.col("n_name").alias("country"), F.lit(0.0).alias("distance"))
+    return scored.unionByName(again)
 
 
 RISK_SQL = "SELECT n_name AS country, CAST(((n_nationkey * 37) % 101) / 1000.0 AS DOUBLE) AS distance FROM nation"

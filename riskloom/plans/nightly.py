@@ -46,8 +46,7 @@ def run_nightly(events: DataFrame, requests: DataFrame, as_of, key=("event_id",)
     feats = SM.som_features(train, [*by, "week"], stats=stats)
     codebook = SM.som_train(feats, epochs=epochs, seed=seed, key=[*by, "week"])
     risk = materialize(RK.country_risk(fc, codebook, stats), "risk")
-    offers = X.offers_long(requests)
-    budgets = X.request_budgets(requests)
-    status = X.request_status(offers, risk, budgets)
-    selection = X.select_exact(offers, risk, budgets) if exact else X.select_relaxed(offers, risk, budgets)
+    offers, items, budgets = X.offers_long(requests), X.request_items(requests), X.request_budgets(requests)
+    status = X.request_status(offers, risk, budgets, items)
+    selection = (X.select_exact if exact else X.select_relaxed)(offers, risk, budgets, items)
     return NightlyResult(weekly, fc, codebook, risk, status, selection, X.recommendation_json(selection))

@@ -1,6 +1,6 @@
 """DuckDB SQL text for the oracle side of every registered query.
 
-Written independently of the DataFrame code: plain SQL over the driver's views
+Plain SQL over the driver's views, kept apart from the DataFrame code
 (windows with NTILE, joins, enumeration). Floating results are rounded to 6
 places on both sides; integer sums are cast to BIGINT (DuckDB's SUM is HUGEINT).
 """
@@ -135,7 +135,7 @@ def ar_fit_ctes(upto: str = "train", tag: str = "") -> list[str]:
   sum(x2 * x2) FILTER (WHERE {reg}) AS S22, sum(x1 * zt) FILTER (WHERE {reg}) AS S1y,
   sum(x2 * zt) FILTER (WHERE {reg}) AS S2y,
   max(y) FILTER (WHERE t = m) AS ym, max(y_lag1) FILTER (WHERE t = m) AS ym1,
-  max(zt) FILTER (WHERE t = m) AS zm, max(zprev) FILTER (WHERE t = m) AS zm1
+  max(zt) FILTER (WHERE t = m) AS zm, max(zprev) FILTER (WHERE t = m) AS zm1, count(*) FILTER (WHERE y IS NULL) AS gaps
   FROM {rw} GROUP BY country, metric, p, d)""",
         f"""{nq} AS (SELECT *,
   CASE WHEN d = 0 THEN S11 - S1 * S1 / NULLIF(CAST(E AS DOUBLE), 0) ELSE S11 END AS a11,
@@ -151,7 +151,7 @@ def ar_fit_ctes(upto: str = "train", tag: str = "") -> list[str]:
   (CASE WHEN d = 0 THEN (Sy - phi1 * S1 - phi2 * S2) / NULLIF(CAST(E AS DOUBLE), 0) ELSE 0.0 END)
   + (CASE WHEN p >= 1 THEN phi1 * zm ELSE 0.0 END) + (CASE WHEN p = 2 THEN phi2 * zm1 ELSE 0.0 END) AS zhat FROM {co})""",
         f"""{fc} AS (SELECT country, metric, p, d, 0 AS q,
-  CASE WHEN E >= greatest(p + CASE WHEN d = 0 THEN 1 ELSE 0 END, 1) AND isfinite(yh) THEN yh END AS forecast
+  CASE WHEN E >= greatest(p + CASE WHEN d = 0 THEN 1 ELSE 0 END, 1) AND isfinite(yh) AND gaps = 0 THEN yh END AS forecast
   FROM (SELECT *, CASE d WHEN 0 THEN zhat WHEN 1 THEN ym + zhat ELSE 2 * ym - ym1 + zhat END AS yh FROM {zh}) x)""",
     ]
 
@@ -208,12 +208,13 @@ def som_ctes(months: int = -2, sigma: float = 1.0, rate: float = 0.5) -> list[st
         "cn AS (SELECT DISTINCT country FROM ev WHERE country IS NOT NULL)",
         f"stt AS (SELECT {stats} FROM wm)",
         f"feat AS (SELECT country, week, {scaled} FROM wm, stt)",
-        f"rng AS (SELECT {rng} FROM feat)",
+        f"rng AS (SELECT {rng} FROM feat WHERE f0 + f1 + f2 + f3 + f4 IS NOT NULL)",
         f"cb0 AS (SELECT CAST(gx.x AS INTEGER) AS x, CAST(gy.y AS INTEGER) AS y, {init} FROM rng, range(5) gx(x), range(5) gy(y))",
-        f"""bm AS (SELECT * FROM (SELECT feat.*, cb0.x AS bmu_x, cb0.y AS bmu_y, {d2} AS d2,
+        f"""bm AS (SELECT * REPLACE (CASE WHEN d2 IS NOT NULL THEN bmu_x END AS bmu_x, CASE WHEN d2 IS NOT NULL THEN bmu_y END AS bmu_y)
+  FROM (SELECT feat.*, cb0.x AS bmu_x, cb0.y AS bmu_y, {d2} AS d2,
   row_number() OVER (PARTITION BY feat.country, feat.week ORDER BY {d2}, cb0.x, cb0.y) AS rk
   FROM feat, cb0) z WHERE rk = 1)""",
-        f"ag AS (SELECT bmu_x AS bx, bmu_y AS by, count(*) AS n, {sums} FROM bm GROUP BY bmu_x, bmu_y)",
+        f"ag AS (SELECT bmu_x AS bx, bmu_y AS by, count(*) AS n, {sums} FROM bm WHERE bmu_x IS NOT NULL GROUP BY bmu_x, bmu_y)",
         f"""sw AS (SELECT cb0.x, cb0.y, any_value(cb0.w0) AS w0, any_value(cb0.w1) AS w1, any_value(cb0.w2) AS w2,
   any_value(cb0.w3) AS w3, any_value(cb0.w4) AS w4, {nums}, sum({h} * ag.n) AS den
   FROM cb0, ag GROUP BY cb0.x, cb0.y)""",
@@ -240,19 +241,26 @@ def sourcing_ctes() -> list[str]:
     u (usable scored offers of scored requests), its (item rank k), ni (items per request),
     st (request status)."""
     return [
-        f"o AS ({OFFERS_SQL})",
+        f"ol AS ({OFFERS_SQL})",
+        """o1 AS (SELECT request_id, item_pos, item, country, min(offer_pos) AS offer_pos, arg_max(cost, offer_pos) AS cost
+  FROM ol GROUP BY ALL)""",
+        "lp AS (SELECT request_id, item, max(item_pos) AS src FROM ol GROUP BY ALL)",
+        """o AS (SELECT ps.request_id, ps.item_pos, ps.item, o1.offer_pos, o1.country, o1.cost
+  FROM (SELECT DISTINCT request_id, item, item_pos FROM ol) ps JOIN lp USING (request_id, item)
+  JOIN o1 ON o1.request_id = ps.request_id AND o1.item = ps.item AND o1.item_pos = lp.src)""",
         f"rk AS ({RISK_SQL})",
         f"""bg AS (SELECT request_id, risk_aversion, CAST({budget_case()} AS DOUBLE) AS budget
-  FROM (SELECT request_id, {APPETITE_SQL} AS risk_aversion FROM (SELECT DISTINCT request_id FROM o) r0) r1)""",
-        "bad AS (SELECT DISTINCT o.request_id FROM o LEFT JOIN rk USING (country) WHERE rk.distance IS NULL)",
-        """u AS (SELECT o.request_id, o.item_pos, o.item, o.offer_pos, o.country, o.cost, rk.distance
-  FROM o JOIN rk USING (country) WHERE o.cost > 0 AND o.request_id NOT IN (SELECT request_id FROM bad))""",
+  FROM (SELECT request_id, {APPETITE_SQL} AS risk_aversion FROM (SELECT DISTINCT request_id FROM ol) r0) r1)""",
+        "bad AS (SELECT DISTINCT ol.request_id FROM ol LEFT JOIN rk USING (country) WHERE rk.distance IS NULL)",
+        """u0 AS (SELECT o.request_id, o.item_pos, o.item, o.offer_pos, o.country, o.cost, rk.distance
+  FROM o JOIN rk USING (country) WHERE o.cost > 0)""",
+        "u AS (SELECT * FROM u0 WHERE request_id NOT IN (SELECT request_id FROM bad))",
         """its AS (SELECT request_id, item_pos,
   CAST(dense_rank() OVER (PARTITION BY request_id ORDER BY item_pos) - 1 AS INTEGER) AS k
   FROM (SELECT DISTINCT request_id, item_pos FROM o) x)""",
         "ni AS (SELECT request_id, count(*) AS nitems FROM its GROUP BY request_id)",
-        """pi AS (SELECT its.request_id, its.item_pos, min(u.distance) AS r_min FROM its
-  LEFT JOIN u ON u.request_id = its.request_id AND u.item_pos = its.item_pos GROUP BY its.request_id, its.item_pos)""",
+        """pi AS (SELECT its.request_id, its.item_pos, min(u0.distance) AS r_min FROM its
+  LEFT JOIN u0 ON u0.request_id = its.request_id AND u0.item_pos = its.item_pos GROUP BY its.request_id, its.item_pos)""",
         """rs AS (SELECT pi.request_id, sum(r_min) AS min_risk, count(*) FILTER (WHERE r_min IS NULL) AS n_unusable,
   any_value(bg.budget) AS budget FROM pi JOIN bg USING (request_id) GROUP BY pi.request_id)""",
         """sts AS (SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'missing_risk'
@@ -278,18 +286,31 @@ def exact_sql() -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes)
 
 
-def relaxed_sql(lambdas) -> str:
-    lams = ", ".join(f"CAST('{v!r}' AS DOUBLE)" for v in lambdas)
+def relaxed_sql() -> str:
+    """Hull vertices by self-joins of each item's undominated offers, then running sums."""
+    same = "b.request_id = a.request_id AND b.item_pos = a.item_pos"
     ctes = sourcing_ctes() + [
-        f"lm AS (SELECT unnest([{lams}]) AS lam)",
-        """sc AS (SELECT u.*, lm.lam, u.cost + lm.lam * u.distance AS score FROM u, lm
-  WHERE u.request_id IN (SELECT request_id FROM sts WHERE status = 'ok'))""",
-        """pk AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY request_id, lam, item_pos
-  ORDER BY score, cost, distance, offer_pos) AS rn FROM sc) z WHERE rn = 1)""",
-        """tt AS (SELECT pk.request_id, lam, sum(cost) AS tc, sum(distance) AS tr, sum(score) AS dual, any_value(bg.budget) AS budget
-  FROM pk JOIN bg USING (request_id) GROUP BY pk.request_id, lam)""",
-        "lb AS (SELECT request_id, max(dual - lam * budget) AS lower_bound FROM tt GROUP BY request_id)",
-        """bl AS (SELECT * FROM (SELECT tt.*, row_number() OVER (PARTITION BY request_id ORDER BY tc, tr, lam) AS rn
-  FROM tt WHERE tr <= budget + 1e-9) z WHERE rn = 1)""",
+        """pt AS (SELECT * FROM (SELECT u.*, min(distance) OVER (PARTITION BY request_id, item_pos ORDER BY cost, distance, offer_pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM u
+  WHERE request_id IN (SELECT request_id FROM sts WHERE status = 'ok')) z WHERE pm IS NULL OR distance < pm)""",
+        f"""lo AS (SELECT a.request_id, a.item_pos, a.offer_pos, max((a.cost - b.cost) / (b.distance - a.distance)) AS s
+  FROM pt a JOIN pt b ON {same} AND b.cost < a.cost GROUP BY ALL)""",
+        f"""hi AS (SELECT a.request_id, a.item_pos, a.offer_pos, min((b.cost - a.cost) / (a.distance - b.distance)) AS s
+  FROM pt a JOIN pt b ON {same} AND b.cost > a.cost GROUP BY ALL)""",
+        """hv AS (SELECT pt.*, lag(pt.cost) OVER w AS c0, lag(distance) OVER w AS r0 FROM pt
+  LEFT JOIN lo USING (request_id, item_pos, offer_pos) LEFT JOIN hi USING (request_id, item_pos, offer_pos)
+  WHERE coalesce(lo.s, -1) < coalesce(hi.s, CAST('infinity' AS DOUBLE))
+  WINDOW w AS (PARTITION BY pt.request_id, pt.item_pos ORDER BY pt.cost))""",
+        """sp AS (SELECT hv.*, CASE WHEN c0 IS NULL THEN -1.0 ELSE (cost - c0) / -(distance - r0) END AS lam,
+  coalesce(cost - c0, cost) AS dc, coalesce(distance - r0, distance) AS dr FROM hv)""",
+        """ru AS (SELECT sp.*, sum(dc) OVER w AS tc, sum(dr) OVER w AS tr, count(*) OVER w AS k,
+  count(*) FILTER (WHERE c0 IS NULL) OVER (PARTITION BY request_id) AS n FROM sp
+  WINDOW w AS (PARTITION BY request_id ORDER BY lam, item_pos, cost ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+        """bl AS (SELECT * FROM (SELECT ru.*, bg.budget, row_number() OVER (PARTITION BY request_id ORDER BY lam, item_pos, cost) AS rn
+  FROM ru JOIN bg USING (request_id) WHERE k >= n AND tr <= budget + 1e-9) z WHERE rn = 1)""",
+        """pk AS (SELECT * FROM (SELECT ru.*, row_number() OVER (PARTITION BY ru.request_id, ru.item_pos ORDER BY ru.cost DESC) AS rn
+  FROM ru JOIN bl ON bl.request_id = ru.request_id
+  WHERE (ru.lam, ru.item_pos, ru.cost) <= (bl.lam, bl.item_pos, bl.cost)) z WHERE rn = 1)""",
+        """lb AS (SELECT request_id, CASE WHEN lam > 0 THEN tc + lam * (tr - budget) ELSE tc END AS lower_bound FROM bl)""",
     ]
     return "WITH " + ",\n".join(ctes)

@@ -137,6 +137,12 @@ def q_root_code_filter(spark, sf_dir):
     return W.root_code_filter(_ev(spark, sf_dir)).select(*KEYCOLS, "root_code")
 
 
+@register("dropped_countries", S.with_ev("SELECT count(*) FILTER (WHERE country IS NULL) AS null_country, "
+                                         "count(*) FILTER (WHERE country = '') AS empty_country FROM ev"))
+def q_dropped_countries(spark, sf_dir):
+    return W.dropped_countries(_ev(spark, sf_dir))
+
+
 @register("one_country", S.with_ev(f"SELECT {S.KEY}, country, event_date FROM ev WHERE country = 'NATION_7'"))
 def q_one_country(spark, sf_dir):
     return W.one_country(_ev(spark, sf_dir), "NATION_7").select(*KEYCOLS, "country", "event_date")
@@ -339,14 +345,14 @@ _OFFER_COLS = "request_id, item_pos, item, offer_pos, country, cost"
 
 
 @register("parse_request", S.with_ctes(S.sourcing_ctes(), """SELECT bg.request_id, bg.risk_aversion,
-  CAST(count(DISTINCT o.item_pos) AS INTEGER) AS n_items FROM bg JOIN o USING (request_id) GROUP BY ALL"""))
+  CAST(count(DISTINCT ol.item_pos) AS INTEGER) AS n_items FROM bg JOIN ol USING (request_id) GROUP BY ALL"""))
 def q_parse_request(spark, sf_dir):
     p = X.parse_requests(FX.requests(spark, sf_dir))
     return p.select("request_id", F.col("req.risk_aversion").alias("risk_aversion"),
                     F.size("req.items").cast("int").alias("n_items"))
 
 
-@register("offers_long", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS} FROM o"))
+@register("offers_long", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS} FROM ol"))
 def q_offers_long(spark, sf_dir):
     return _src(spark, sf_dir)[1]
 
@@ -368,22 +374,29 @@ def q_usable_offers(spark, sf_dir):
 
 @register("risk_budget", S.with_ctes(S.sourcing_ctes(), "SELECT request_id, risk_aversion, budget FROM bg"))
 def q_risk_budget(spark, sf_dir):
-    return X.request_budgets(FX.requests(spark, sf_dir))
+    return X.request_budgets(FX.requests(spark, sf_dir)).drop("valid")
 
 
-@register("offer_risk", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS}, rk.distance FROM o LEFT JOIN rk USING (country)"))
+@register("offer_risk", S.with_ctes(S.sourcing_ctes(), f"SELECT {_OFFER_COLS}, rk.distance FROM ol LEFT JOIN rk USING (country)"))
 def q_offer_risk(spark, sf_dir):
     _, off, risk, _ = _src(spark, sf_dir)
     return X.offer_risk(off, risk).select(*_OFFER_COLS.split(", "), "distance")
 
 
 @register("missing_risk", S.with_ctes(S.sourcing_ctes(),
-                                      "SELECT DISTINCT o.request_id, o.country FROM o LEFT JOIN rk USING (country) WHERE rk.distance IS NULL"))
+                                      "SELECT DISTINCT ol.request_id, ol.country FROM ol LEFT JOIN rk USING (country) WHERE rk.distance IS NULL"))
 def q_missing_risk(spark, sf_dir):
     _, off, risk, _ = _src(spark, sf_dir)
     return X.missing_risk(off, risk)
 
 
+@register("missing_risk_status", S.with_ctes(S.sourcing_ctes(), """SELECT ol.request_id, list_sort(list(DISTINCT ol.country)) AS missing,
+  'missing_risk' AS status FROM ol LEFT JOIN rk USING (country) WHERE rk.distance IS NULL GROUP BY ol.request_id"""))
+def q_missing_risk_status(spark, sf_dir):
+    _, off, risk, _ = _src(spark, sf_dir)
+    return X.missing_risk_status(off, risk)
+
+
 @register("request_status", S.with_ctes(S.sourcing_ctes(),
                                         "SELECT request_id, status, round(min_risk, 6) AS min_risk, budget FROM sts"))
 def q_request_status(spark, sf_dir):
@@ -392,17 +405,17 @@ def q_request_status(spark, sf_dir):
 
 
 @register("cheapest_offer", S.with_ctes(S.sourcing_ctes(), """SELECT request_id, item_pos, item, country, cost, distance
-  FROM (SELECT u.*, row_number() OVER (PARTITION BY request_id, item_pos ORDER BY cost, distance, offer_pos) AS rn FROM u) z
+  FROM (SELECT u0.*, row_number() OVER (PARTITION BY request_id, item_pos ORDER BY cost, distance, offer_pos) AS rn FROM u0) z
   WHERE rn = 1"""))
 def q_cheapest_offer(spark, sf_dir):
     _, off, risk, _ = _src(spark, sf_dir)
     return X.cheapest_offer(off, risk)
 
 
-@register("select_relaxed", S.relaxed_sql(X.LAMBDAS) + """
+@register("select_relaxed", S.relaxed_sql() + """
 SELECT pk.request_id, pk.item_pos, pk.item, pk.country, pk.cost, pk.distance, bl.tc AS total_cost,
   round(bl.tr, 6) AS total_risk, round(lb.lower_bound, 3) AS lower_bound, round(bl.tc - lb.lower_bound, 3) AS gap
-FROM pk JOIN bl ON pk.request_id = bl.request_id AND pk.lam = bl.lam JOIN lb ON lb.request_id = pk.request_id""")
+FROM pk JOIN bl ON pk.request_id = bl.request_id JOIN lb ON lb.request_id = pk.request_id""")
 def q_select_relaxed(spark, sf_dir):
     _, off, risk, bud = _src(spark, sf_dir)
     out = X.select_relaxed(off, risk, bud)
@@ -427,8 +440,8 @@ def q_recommendation_json(spark, sf_dir):
 
 
 @register("country_names", S.with_ctes(S.sourcing_ctes() + [f"dct AS ({S.DICTIONARY_SQL})"],
-                                       "SELECT DISTINCT o.country, coalesce(dct.name, o.country) AS name FROM o "
-                                       "LEFT JOIN dct ON dct.code = o.country"))
+                                       "SELECT DISTINCT ol.country, coalesce(dct.name, ol.country) AS name FROM ol "
+                                       "LEFT JOIN dct ON dct.code = ol.country"))
 def q_country_names(spark, sf_dir):
     codes = _src(spark, sf_dir)[1].select("country").distinct()
     return X.country_names(codes, FX.dictionary(spark, sf_dir))
@@ -462,7 +475,7 @@ _FILE_SQL = S.with_ev("SELECT " + ", ".join(_FILE_COLS) + " FROM ev")
 _LINKS_SQL = """links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM (
   SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS href
   FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) a) b)"""
-_NEW_SQL = _LINKS_SQL + """, stored AS (SELECT DISTINCT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/[^?#]*)', 1) AS name FROM pages),
+_NEW_SQL = _LINKS_SQL + """, stored AS (SELECT DISTINCT href AS name FROM links WHERE page_id % 3 = 0),
 nf AS (SELECT DISTINCT href AS name FROM links l WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.name = l.href))"""
 
 
@@ -470,16 +483,22 @@ def _pages(spark, sf_dir):
     return FX.table(spark, sf_dir, "pages")
 
 
+def _listing(pages):
+    """Every linked name; every third page's names are stored already."""
+    links = SL.link_harvest(pages)
+    return links.select(F.col("href").alias("name")), links.filter("page_id % 3 = 0").select(F.col("href").alias("name"))
+
+
 def _new_files(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    listing = SL.link_harvest(pages).select(F.col("href").alias("name"))
-    stored = pages.select(SL.url_path("url").alias("name"))
+    listing, stored = _listing(pages)
     return SL.new_files(listing, stored)
 
 
-@register("link_harvest", "WITH " + _LINKS_SQL + "\nSELECT page_id, pos, href, ends_with(href, '.zip') AS is_archive FROM links")
+@register("link_harvest", "WITH " + _LINKS_SQL + "\nSELECT page_id, pos, href, ends_with(href, 'ing') AS is_archive FROM links")
 def q_link_harvest(spark, sf_dir):
-    return SL.link_harvest(_pages(spark, sf_dir), ".zip")
+    """The pages link to words, not archives; a suffix that some of them have stands for ``.zip``."""
+    return SL.link_harvest(_pages(spark, sf_dir), "ing")
 
 
 @register("new_files", "WITH " + _NEW_SQL + "\nSELECT name FROM nf")
@@ -490,8 +509,7 @@ def q_new_files(spark, sf_dir):
 @register("new_file_count", "WITH " + _NEW_SQL + "\nSELECT CAST(count(*) AS BIGINT) AS new_files FROM nf")
 def q_new_file_count(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return SL.new_file_count(SL.link_harvest(pages).select(F.col("href").alias("name")),
-                             pages.select(SL.url_path("url").alias("name")))
+    return SL.new_file_count(*_listing(pages))
 
 
 @register("file_keys", "WITH " + _NEW_SQL + "\nSELECT name, 'landing/' || name AS key FROM nf")
@@ -545,7 +563,7 @@ def q_append_events(spark, sf_dir):
 def q_refresh_table(spark, sf_dir):
     root = work_path(spark, "refresh")
     ev = _ev(spark, sf_dir).select(*_FILE_COLS)
-    SF.refresh_table(ev.limit(0), root)
+    SF.refresh_table(ev.withColumn("num_mentions", F.lit(0)), root)  # a filled version that the next one replaces
     SF.refresh_table(ev, root)
     return SF.read_current(spark, root)
 
@@ -645,7 +663,7 @@ def q_weekly_metrics_stream(spark, sf_dir):
     src = work_path(spark, "ev-files")
     ev = _ev(spark, sf_dir)
     ev.repartitionByRange(4, "event_date").write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = ST.events_stream(spark, src, ev.schema, files_per_batch=1)
     events_table, metrics = work_path(spark, "ev-table"), work_path(spark, "wk-metrics")
     ST.weekly_metrics_stream(spark, stream, events_table, metrics, work_path(spark, "wk-chk"), FX.AS_OF, -2,
                              key=FX.EVENT_KEY)

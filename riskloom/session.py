@@ -66,6 +66,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/riskloom-work/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet"):
+    """The table at ``path``, or None if nothing is there. Any other failure to read is raised:
+    taking it for an empty table would lose or repeat rows."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` as Parquet into the shared checkpoint folder and
     reading it back (one pass; survives lost executors, unlike cached blocks)."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.plans.broadcast import BROADCAST_ROW_LIMIT, bounded_count, broadcast_if_small
-from riskloom.session import materialize
+from riskloom.session import materialize, read_if_exists
 
 # Canonical event file layout written and read by this package.
 EVENT_TSV_SCHEMA = T.StructType([
@@ -178,11 +178,8 @@ def append_events(rows: DataFrame, table_path: str, partition_by: Sequence[str]
     (the reference appends blindly, so a rerun duplicates rows). Returns the number
     of newly appended source files."""
     spark = rows.sparkSession
-    try:
-        seen = spark.read.parquet(table_path).select("source_file").distinct()
-        fresh = rows.join(seen, "source_file", "left_anti")
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        fresh = rows
+    stored = read_if_exists(spark, table_path)
+    fresh = rows if stored is None else rows.join(stored.select("source_file").distinct(), "source_file", "left_anti")
     n_files = fresh.select("source_file").distinct().count()
     if n_files:
         writer = fresh.write.mode("append")
@@ -201,24 +198,22 @@ def store_events(rows: DataFrame, table_path: str, empty_country: str = "null")
 
 
 def _current_version(spark: SparkSession, table_root: str) -> str | None:
-    try:
-        row = spark.read.text(f"{table_root.rstrip('/')}/_CURRENT").first()
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
-    return row["value"].strip() if row else None
+    """The newest version named in the pointer folder, to which versions are only appended."""
+    pointers = read_if_exists(spark, f"{table_root.rstrip('/')}/_VERSIONS", "text")
+    row = None if pointers is None else pointers.agg(F.max(F.col("value").cast("int"))).first()
+    return f"v{row[0]}" if row and row[0] is not None else None
 
 
 def refresh_table(df: DataFrame, table_root: str) -> str:
-    """Full refresh without an empty moment: write a new version folder, then
-    switch the ``_CURRENT`` pointer to it. Readers use ``read_current``; they see the
-    old version until the pointer moves (the reference deletes, then inserts)."""
+    """Full refresh without an empty moment: write a new version folder, then append its
+    number to the pointers. Nothing that a reader uses is ever deleted or overwritten, so
+    ``read_current`` works at every moment (the reference deletes, then inserts)."""
     spark = df.sparkSession
     cur = _current_version(spark, table_root)
-    version = f"v{int(cur[1:]) + 1}" if cur else "v1"
-    target = f"{table_root.rstrip('/')}/{version}"
-    df.write.mode("overwrite").parquet(target)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{table_root.rstrip('/')}/_CURRENT")
+    number = int(cur[1:]) + 1 if cur else 1
+    target = f"{table_root.rstrip('/')}/v{number}"
+    df.write.mode("overwrite").parquet(target)  # a leftover of an interrupted refresh has no pointer
+    spark.range(1).select(F.lit(str(number)).alias("value")).coalesce(1).write.mode("append").text(f"{table_root.rstrip('/')}/_VERSIONS")
     return target
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import materialize
+from riskloom.session import materialize, read_if_exists
 from riskloom.sources.files import EVENT_TSV_SCHEMA
 
 
@@ -22,13 +22,16 @@ def incremental_load(spark: SparkSession, source_dir: str, sink_path: str, check
                      schema: T.StructType = EVENT_TSV_SCHEMA, glob: str = "*.csv") -> int:
     """Load every event file added to ``source_dir`` since the last run into the
     Parquet table at ``sink_path``; returns the number of rows this run appended."""
+    before = read_if_exists(spark, sink_path)
+    held = before.count() if before is not None else 0  # from file footers
     stream = (spark.readStream.schema(schema).option("sep", "\t").option("header", "false")
               .option("mode", "FAILFAST").option("pathGlobFilter", glob).csv(source_dir)
               .withColumn("source_file", F.input_file_name()))
     q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint_path)
          .outputMode("append").trigger(availableNow=True).start(sink_path))
     q.awaitTermination()
-    return sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
+    after = read_if_exists(spark, sink_path)
+    return (after.count() if after is not None else 0) - held
 
 
 @contextmanager
@@ -76,12 +79,12 @@ def _weekly_totals_stream(spark, events_stream, sink_path, checkpoint_path, key,
             return
         s = batch.sparkSession
         weeks = batch.select("week").distinct()
-        try:
-            old = s.read.parquet(sink_path).join(weeks, "week", "left_semi")
+        stored = read_if_exists(s, sink_path)
+        merged = batch
+        if stored is not None:
+            old = stored.join(weeks, "week", "left_semi")
             kept = old.join(batch.select(key, "week"), [key, "week"], "left_anti")
             merged = kept.unionByName(batch.select(*kept.columns))
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            merged = batch
         merged = materialize(merged, "weekly-merge")  # cut the read of the table we overwrite
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("week").parquet(sink_path))
@@ -91,14 +94,22 @@ def _weekly_totals_stream(spark, events_stream, sink_path, checkpoint_path, key,
     q.awaitTermination()
 
 
-def events_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
-    """A Parquet file stream (``maxFilesPerTrigger`` keeps micro-batches small)."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+def events_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
+                  files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet file stream; ``files_per_batch`` bounds a micro-batch (default: all new files)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def weekly_metrics_stream(spark: SparkSession, events_stream: DataFrame, events_table: str, metrics_table: str,
                           checkpoint_path: str, as_of, months: int = -2, by=("country",), key=("event_id",)) -> None:
     """Weekly metrics (lower-half centres included) kept current from a stream of events.
@@ -124,6 +135,10 @@ def weekly_metrics_stream(spark: SparkSession, events_stream: DataFrame, events_
             return
         stored = s.read.parquet(events_table).filter(F.col("week").isin(touched)).drop("week", "batch")
         fresh = materialize(weekly_metrics(stored, as_of, months, by=by, key=key), "weekly-stream")
+        # A touched week whose recomputation is empty has no row to overwrite its old one with.
+        empty = set(touched) - {r["week"] for r in fresh.select("week").distinct().collect()}
+        for week in sorted(empty):
+            _delete(s, f"{metrics_table.rstrip('/')}/week={week}")
         (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("week").parquet(metrics_table))
 

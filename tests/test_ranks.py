@@ -19,7 +19,7 @@ def hot_frame(spark, seed=4):
 def test_hot_group_is_split_and_exact(spark):
     pdf, df = hot_frame(spark)
     picked = select_at_ranks(df, ["g"], order_columns("v", ["k"], "_o"),
-                             lambda n: [F.floor((n + 1) / 2).cast("long")], n_groups=30, partitions=8)
+                             lambda n: [F.floor((n + 1) / 2).cast("long")], partitions=8)
     got = {r["g"]: r["_o_k0"] for r in picked.collect()}
     ordered = pdf.assign(isnull=pdf.v.isna(), vv=pdf.v.fillna(0.0)).sort_values(["g", "isnull", "vv", "k"])
     for g, grp in ordered.groupby("g"):
@@ -38,3 +38,29 @@ def test_flags_match_window_under_skew(spark):
     ra = sorted((r["k"], r[fa]) for r in a.select("k", fa).collect())
     rb = sorted((r["k"], r[fb]) for r in b.select("k", fb).collect())
     assert ra == rb
+
+
+def test_repeated_rows_fill_halves_exactly(spark):
+    rows = [(1, 5.0, 1)] * 4 + [(2, 1.0, 1)] * 3 + [(2, 1.0, 2), (2, None, 3)]
+    df = spark.createDataFrame(rows, "g int, v double, k int")
+    flagged, (flag,) = lower_half_flags(df, ["g"], ["v"], ["k"])
+    got = {r["g"]: r["n"] for r in flagged.groupBy("g").agg(F.count_if(flag).alias("n")).collect()}
+    assert got == {1: 2, 2: 3}
+
+
+def test_flags_do_not_depend_on_optimizer_switches(spark):
+    _, df = hot_frame(spark, 3)
+    expected = None
+    for reuse in ("true", "false"):
+        for adaptive in ("true", "false"):
+            before = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            try:
+                out, (flag,) = lower_half_flags(df, ["g"], ["v"], ["k"])
+                got = sorted((r["k"], r[flag]) for r in out.select("k", flag).collect())
+            finally:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
+            expected = expected or got
+            assert got == expected and len(got) == df.count()
