@@ -5,7 +5,9 @@ those of its words one after another. A task therefore asks the tokenizers libra
 each different word of a block and keeps the ids of the first ``CACHED`` words (frequent words
 come early); later rare words are encoded again when they come. ASCII capitals are folded
 before the lookup, as the tokenizer's own lower-casing does, unless a text holds ``<|``, which
-may start a special token. ``tests/llm`` compares this with encoding whole texts.
+may start a special token. A comma or full stop after an ASCII letter or digit is always a
+piece of its own, so a word that ends so has the ids of its stem and then the mark's.
+``tests/llm`` compares this with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -15,10 +17,16 @@ BLOCK_BYTES = 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
+LEARN_AT_ONCE = 10_000
+MARKS = (b",", b".")
+PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
 def load_tokenizer(name: str):
     """A file of the public vocabulary package by name, or any path that every node can open."""
     import os
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     if not os.path.isabs(name):
@@ -31,30 +39,22 @@ def load_tokenizer(name: str):
 class WordEncoder:
     """``encode(texts)`` yields the ids of each text as little-endian unsigned 32-bit bytes, the end id appended."""
 
-    def __init__(self, tokenizer: str = TOKENIZER, end_id: int = 1, separator: str = "<|startoftext|>"):
+    def __init__(self, tokenizer: str = TOKENIZER, end_id: int = 1):
         import numpy as np
 
         self.tok, self.known = load_tokenizer(tokenizer), {}
         self.end = np.array([end_id], "<u4").tobytes()
-        self.separator, self.separator_id = separator, self.tok.token_to_id(separator)
-
-    def _ids(self, text: str):
-        import numpy as np
-
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        self.marks = self._learn(MARKS)
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, many in one call: a special token stands between them and is cut out again."""
-        import numpy as np
+    def _learn(self, words) -> dict[bytes, bytes]:
+        """Ids of words, from the tokenizers library."""
+        from array import array
 
-        plain = [w for w in words if b"<|" not in w]
-        out = {w: self._ids(w.decode()).tobytes() for w in words if b"<|" in w}
-        if plain:
-            ids = self._ids(self.separator.join([w.decode() for w in plain]))
-            cuts = np.flatnonzero(ids == self.separator_id)
-            data = ids.tobytes()
-            starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)]
-            out |= {w: data[a:b] for w, a, b in zip(plain, starts, ends, strict=True)}
+        words, out = list(words), {}
+        for at in range(0, len(words), LEARN_AT_ONCE):
+            some = words[at:at + LEARN_AT_ONCE]
+            got = self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            out |= {w: array("I", e.ids).tobytes() for w, e in zip(some, got, strict=True)}
         return out
 
     def encode(self, texts):
@@ -69,12 +69,14 @@ class WordEncoder:
         yield from self._block(block)
 
     def _block(self, block):
-        new = list(set().union(*block).difference(self.known)) if block else []
-        learnt = self._learn(new)
+        new = set().union(*block).difference(self.known)
+        marked = [w for w in new if w[-1:] in self.marks and len(w) > 1 and w[-2] in PLAIN]
+        learnt = self._learn(new.difference(marked).union(w[:-1] for w in marked).difference(self.known))
         self.known |= learnt
+        self.known |= (ended := {w: self.known[w[:-1]] + self.marks[w[-1:]] for w in marked})
         get = self.known.__getitem__
         for words in block:
             yield b"".join(map(get, words)) + self.end
         if len(self.known) > CACHED:
-            for w in learnt:
+            for w in (*learnt, *ended):
                 del self.known[w]
