@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import parts_for
-from riskloom.llm.tokens import TOKENIZER, WordEncoder
+from riskloom.llm.tokens import TOKENIZER, task_encoder
 from riskloom.session import materialize
 
 PIECE_FIELDS = "piece int, start long, length long, ids_crc32 long"
@@ -73,7 +73,7 @@ def cut_documents(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id",
 
         import pandas as pd
 
-        encoder = WordEncoder(tokenizer, end_id)
+        encoder = task_encoder(tokenizer, end_id)
         for batch in batches:
             out = []
             for key, data in zip(batch["doc_id"], encoder.encode(batch["text"]), strict=True):

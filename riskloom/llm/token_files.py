@@ -24,7 +24,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.tokens import TOKENIZER, WordEncoder
+from riskloom.llm.tokens import TOKENIZER, task_encoder
 from riskloom.session import work_path
 
 SHARD_IDS = 1 << 17
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         from pyspark import TaskContext
 
         part, shard, offset = TaskContext.get().partitionId(), 0, 0
-        encoder, keys, parts, held = WordEncoder(tokenizer, end_id), [], [], 0
+        encoder, keys, parts, held = task_encoder(tokenizer, end_id), [], [], 0
 
         def flush():
             ids = np.frombuffer(b"".join(parts), "<u4")
@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     is_int = id_type in ("tinyint", "smallint", "int", "bigint")
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # longer tasks meet fewer new words
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     sorted_ = slim.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -137,7 +137,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digests(files: DataFrame) -> DataFrame:
-    """Per document of the files: ``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32``, from its ids read by place."""
+    """Per document of the files: ``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32``, from ids read by place."""
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def digests(batches):
@@ -149,8 +149,9 @@ def token_digests(files: DataFrame) -> DataFrame:
         for batch in batches:
             for keys, lengths, start, payload in zip(batch["doc_ids"], batch["n_tokens"], batch["shard_start"], batch["payload"], strict=True):
                 codes, at, out = Codes(payload), 0, []
+                ids = memoryview(codes.get(np.arange(len(codes))).tobytes())
                 for n in map(int, lengths):
-                    out.append((int(start) + at, n, zlib.crc32(codes.get(np.arange(at, at + n)).tobytes())))
+                    out.append((int(start) + at, n, zlib.crc32(ids[4 * at:4 * (at + n)])))
                     at += n
                 frame = pd.DataFrame(out, columns=["start", "n_tokens", "ids_crc32"])
                 frame.insert(0, "doc_id", pd.Series(list(keys), dtype=object))
