@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,14 @@ def unboxed(df: DataFrame, added: list[str], name: str = "row_in") -> DataFrame:
     return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in fields if c not in added], *added)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again. Spark removes the shuffle files of a step
+    once its plan is collected as garbage; asked for here, before the next step needs the disk."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return materialize(df, name)
+
+
 def running_totals(df: DataFrame, order: list[str], value: str, total: str, parts: int) -> DataFrame:
     """``df`` plus ``total``: the sum of ``value`` over all rows before this one in ``order``.
 

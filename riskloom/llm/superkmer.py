@@ -15,20 +15,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from riskloom.llm.superkmers import Words, document_keys, repeated_spans
+from riskloom.llm.superkmers import Words, document_keys, keep_mask, repeated_spans, span_arrays
 
 
 def equal_windows(keys, places, strings):
     """(string, window) of each window that also occurs in a string of a smaller key."""
     import numpy as np
 
-    w, numbers, rows, owner, inside = Words.window, {}, [], [], []
-    for i, s in enumerate(strings):
-        ids = np.array([numbers.setdefault(x, len(numbers)) for x in s.split(b" ")], "i4")
-        rows.append(np.lib.stride_tricks.sliding_window_view(ids, w))
-        owner.append(np.full(len(ids) - w + 1, i))
-        inside.append(np.arange(len(ids) - w + 1))
-    rows, owner, inside = np.concatenate(rows), np.concatenate(owner), np.concatenate(inside)
+    w = Words.window
+    split = [s.split(b" ") for s in strings]
+    lengths = np.array([len(x) for x in split], "i8")
+    every = [x for words in split for x in words]
+    numbers = {x: i for i, x in enumerate(dict.fromkeys(every))}
+    ids = np.array([numbers[x] for x in every], "i4")
+    n = lengths - w + 1
+    owner = np.repeat(np.arange(len(strings)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    rows = np.lib.stride_tricks.sliding_window_view(ids, w)[(np.cumsum(lengths) - lengths)[owner] + inside]
     key = np.asarray(keys, "i8")[owner]
     order = np.lexsort((key, *rows.T))  # by window, then by document
     same = (rows[order][1:] == rows[order][:-1]).all(axis=1)
@@ -45,18 +48,6 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed, repeated_spans(texts, Words, equal_windows, same_document=False)
 
 
-def keep_mask(n: int, spans, window: int):
-    """Which of ``n`` symbols no span of windows covers."""
-    import numpy as np
-
-    edge = np.zeros(n + 1, "i8")
-    if spans is not None and len(spans):
-        at, m = np.array([s["at"] for s in spans], "i8"), np.array([s["n"] for s in spans], "i8")
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + m + window - 1, -1)
-    return np.cumsum(edge[:-1]) == 0
-
-
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the kept words, one space between)."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -68,7 +59,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             out = []
-            for key, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for key, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), span_arrays(batch.column("spans")), strict=True):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 keep = keep_mask(len(words), found, Words.window)
                 kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if found else b" ".join(words)

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import parts_for, running_totals
+from riskloom.llm.common import parts_for, running_totals, stored
 from riskloom.session import materialize
 
 BLOCK_BYTES = 1 << 19
@@ -104,6 +104,32 @@ def cut_pieces(hashes, ends, window: int, k: int, step: int = 1 << 20):
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(minis)
 
 
+def minimiser_places(strings, window: int, k: int):
+    """Place of the minimiser in each packed string of bytes (one piece each): that of its first window."""
+    import numpy as np
+
+    out, block, size = [], [], 0
+    place = np.uint64((1 << 21) - 1)
+
+    def close(some):
+        data = np.frombuffer(b"".join(some), "u1")
+        heads = np.concatenate(([0], np.cumsum([len(s) for s in some])[:-1]))
+        with np.errstate(over="ignore"):
+            mers = rolled(symbol_table()[data], k)
+        at = least((mers & ~place) | np.arange(len(mers), dtype="u8"), window - k + 1) & place
+        return at[heads].astype("i8") - heads
+
+    for s in strings:
+        block.append(s)
+        size += len(s)
+        if size >= 1 << 20:
+            out.append(close(block))
+            block, size = [], 0
+    if block:
+        out.append(close(block))
+    return np.concatenate(out)
+
+
 class Bytes:
     """Texts as bytes."""
 
@@ -135,7 +161,7 @@ class Bytes:
 class Words:
     """Texts as words; a packed string has single spaces."""
 
-    window, k = 13, 3
+    window, k = 13, 4
 
     @classmethod
     def parts(cls, raw: bytes):
@@ -229,15 +255,17 @@ def fetch_batches(unit):
         import pyarrow as pa
 
         for batch in batches:
-            for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            counts, wanted = batch.column("wanted").value_lengths().to_pylist(), batch.column("wanted").flatten()
+            lo = 0
+            for key, text, count in zip(batch.column("key").to_pylist(), batch.column("text"), counts, strict=True):
                 cut = unit.cutter(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                for lo in range(0, len(wanted), 50_000):
-                    some = wanted[lo:lo + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([w["mini"] for w in some], pa.int64()), pa.array([w["packed_hash"] for w in some], pa.int64()),
-                         pa.array([key] * len(some), pa.int64()), pa.array([w["at"] for w in some], pa.int64()),
-                         pa.array([w["n"] for w in some], pa.int32()), pa.array([cut(w["at"], w["n"]) for w in some], pa.binary())],
-                        ["mini", "packed_hash", "key", "at", "n", "packed"])
+                some = wanted.slice(lo, count)
+                at, n = some.field("at"), some.field("n")
+                packed = [cut(a, m) for a, m in zip(at.to_pylist(), n.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.field("mini"), some.field("packed_hash"), pa.array([key] * count, pa.int64()), at, n, some.field("hot"), pa.array(packed, pa.binary())],
+                    ["mini", "packed_hash", "key", "at", "n", "hot", "packed"])
+                lo += count
 
     return fetch
 
@@ -286,22 +314,46 @@ def window_batches(unit):
     """Function for mapInArrow: packed strings to a 128-bit hash of each of their windows."""
 
     def windows(batches):
-        import pandas as pd
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for r in batch.to_pylist():
-                cut = unit.cutter(r["packed"])
-                got = [xxhash.xxh3_128_intdigest(cut(i, 1)) for i in range(r["n"])]
-                frame = pd.DataFrame({"off": range(r["n"]), "w1": [(x >> 64) - (1 << 63) for x in got], "w2": [(x & (1 << 64) - 1) - (1 << 63) for x in got]})
-                for c in ("mini", "packed_hash", "key", "at"):
-                    frame[c] = r[c]
-                yield pa.RecordBatch.from_pandas(frame[["w1", "w2", "mini", "packed_hash", "key", "at", "off"]].astype("int64"), preserve_index=False)
+            n = batch.column("n").to_numpy()
+            cuts = map(unit.cutter, batch.column("packed").to_pylist())
+            hashes = np.frombuffer(b"".join([digest(cut(i, 1)) for cut, m in zip(cuts, n.tolist(), strict=True) for i in range(m)]), "i8").reshape(-1, 2)
+            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("mini", "packed_hash", "key", "at")]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), *own, pa.array(off.astype("i8"))],
+                                             ["w1", "w2", "mini", "packed_hash", "key", "at", "off"])
 
     return windows
 
 
+def span_arrays(column):
+    """For each row of an Arrow list of (at, n), its two arrays (None for a null list)."""
+    import numpy as np
+
+    lengths, flat = column.value_lengths().to_pylist(), column.flatten()
+    at, n, lo, out = flat.field("at").to_numpy(), flat.field("n").to_numpy(), 0, []
+    for m in lengths:
+        out.append(None if m is None else (at[lo:lo + m].astype(np.int64), n[lo:lo + m].astype(np.int64)))
+        lo += m or 0
+    return out
+
+
+def keep_mask(n: int, spans, window: int):
+    """Which of ``n`` symbols no span of windows (arrays of first window and number) covers."""
+    import numpy as np
+
+    edge = np.zeros(n + 1, "i8")
+    if spans is not None:
+        np.add.at(edge, spans[0], 1)
+        np.add.at(edge, spans[0] + spans[1] + window - 1, -1)
+    return np.cumsum(edge[:-1]) == 0
+
+
 # ---------------------------------------------------------------- on the cluster
 
 def document_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -320,47 +372,60 @@ def document_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.join(ranks, key.eqNullSafe(F.col("id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("text_key"))).drop("id", "text_key").where("key IS NOT NULL")
 
 
-def repeated_spans(texts: DataFrame, unit, find: Callable, same_document: bool) -> DataFrame:
-    """``key`` and ``spans``: runs (``at``, ``n``) of windows of the text that repeat an earlier
-    document's (with ``same_document`` also an earlier window of its own). ``texts``: ``key``, ``text``."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _shared_pieces(texts: DataFrame, unit, same_document: bool) -> DataFrame:
     pieces = texts.mapInArrow(piece_batches(unit), "mini long, packed_hash long, key long, at long, n int")
     again = F.count("*") > 1 if same_document else F.min("key") < F.max("key")
     minis = pieces.groupBy("mini").agg(again.alias("again")).where("again").select("mini")
-    shared = materialize(pieces.join(minis, "mini"), "pieces")
+    return stored(pieces.join(minis, "mini"), "pieces")
+
 
-    strings = shared.groupBy("mini", "packed_hash").agg(F.min(F.struct("key", "at", "n")).alias("first"))
-    strings = materialize(strings.select("mini", "packed_hash", "first.key", "first.at", "first.n"), "strings")
-    several = strings.groupBy("mini").agg(F.count("*").alias("strings")).where("strings > 1")
-    several = materialize(strings.join(several, "mini"), "several")
+def _strings(shared: DataFrame) -> DataFrame:
+    """One row per different packed string with its first place and the number of strings of its minimiser."""
+    first = shared.groupBy("mini", "packed_hash").agg(F.min(F.struct("key", "at", "n")).alias("first"))
+    first = stored(first.select("mini", "packed_hash", "first.key", "first.at", "first.n"), "first-places")
+    several = first.groupBy("mini").agg(F.count("*").alias("strings"))
+    return stored(first.join(several, "mini"), "strings")
 
-    def fetched(chosen):
-        wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("mini", "packed_hash", "at", "n")).alias("wanted"))
-        return texts.join(wanted, "key").mapInArrow(fetch_batches(unit), "mini long, packed_hash long, key long, at long, n int, packed binary")
 
-    dealt = fetched(several.where(f"strings <= {BUCKET_STRINGS}")).select("mini", "packed_hash", "key", "at", "packed")
+def _fetched(texts: DataFrame, unit, several: DataFrame) -> DataFrame:
+    """Packed strings of the pieces; ``hot`` tells those of minimisers with too many."""
+    wanted = several.groupBy("key").agg(F.collect_list(F.struct(
+        "mini", "packed_hash", "at", "n", (F.col("strings") > BUCKET_STRINGS).alias("hot"))).alias("wanted"))
+    return stored(texts.join(wanted, "key").mapInArrow(
+        fetch_batches(unit), "mini long, packed_hash long, key long, at long, n int, hot boolean, packed binary"), "packed")
+
+
+def _marks(fetched: DataFrame, unit, find: Callable, same_document: bool) -> DataFrame:
+    """Runs of windows of first places that repeat earlier ones."""
+    parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fetched.where("NOT hot").select("mini", "packed_hash", "key", "at", "packed")
     dealt = dealt.repartition(parts, "mini").sortWithinPartitions("mini")
     marks = dealt.mapInArrow(bucket_batches(find), "mini long, packed_hash long, key long, at long, off int, n int")
-    hot = several.where(f"strings > {BUCKET_STRINGS}")
+    hot = fetched.where("hot")
     if hot.head(1):
-        windows = fetched(hot).mapInArrow(window_batches(unit), "w1 long, w2 long, mini long, packed_hash long, key long, at long, off long")
-        windows = materialize(windows, "windows")
+        windows = stored(hot.mapInArrow(window_batches(unit), "w1 long, w2 long, mini long, packed_hash long, key long, at long, off long"), "windows")
         place = F.struct("key", (F.col("at") + F.col("off")).alias("p"))
         earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("e"))
         late = (place > F.col("e")) if same_document else (F.col("key") > F.col("e.key"))
         marks = marks.unionByName(windows.join(earliest, ["w1", "w2"]).where(late).select(
             "mini", "packed_hash", "key", "at", F.col("off").cast("int"), F.lit(1).alias("n")))
+    return stored(marks, "marks")
+
+
+def repeated_spans(texts: DataFrame, unit, find: Callable, same_document: bool) -> DataFrame:
+    """``key`` and ``spans``: runs (``at``, ``n``) of windows of the text that repeat an earlier
+    document's (with ``same_document`` also an earlier window of its own). ``texts``: ``key``, ``text``."""
+    shared = _shared_pieces(texts, unit, same_document)
+    strings = _strings(shared)
+    marks = _marks(_fetched(texts, unit, strings.where("strings > 1")), unit, find, same_document)
 
     firsts = strings.select("mini", "packed_hash", F.col("key").alias("key0"), F.col("at").alias("at0"))
     placed = shared.join(firsts, ["mini", "packed_hash"])
     later = F.struct("key", "at") > F.struct(F.col("key0").alias("key"), F.col("at0").alias("at")) if same_document else F.col("key") > F.col("key0")
     spans = placed.where(later).select("key", "at", "n")
-    if same_document:
-        spans = spans.unionByName(marks.select("key", (F.col("at") + F.col("off")).alias("at"), "n"))
-    else:  # a string's other places in its first document share its repeated windows
-        marks = materialize(marks, "marks")
-        spans = spans.unionByName(marks.select("key", (F.col("at") + F.col("off")).alias("at"), "n"))
+    spans = spans.unionByName(marks.select("key", (F.col("at") + F.col("off")).alias("at"), "n"))
+    if not same_document:  # a string's other places in its first document share its repeated windows
         twins = placed.where("key = key0 AND at <> at0").select("mini", "packed_hash", "key", "at")
         found = marks.select("mini", "packed_hash", "off", F.col("n").alias("m"))
         spans = spans.unionByName(twins.join(found, ["mini", "packed_hash"]).select("key", (F.col("at") + F.col("off")).alias("at"), F.col("m").alias("n")))
-    return spans.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return stored(spans.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
