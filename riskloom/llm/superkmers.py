@@ -375,16 +375,17 @@ def document_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _shared_pieces(texts: DataFrame, unit, same_document: bool) -> DataFrame:
     pieces = texts.mapInArrow(piece_batches(unit), "mini long, packed_hash long, key long, at long, n int")
     again = F.count("*") > 1 if same_document else F.min("key") < F.max("key")
-    minis = pieces.groupBy("mini").agg(again.alias("again")).where("again").select("mini")
+    # stored before the join, so that adaptive execution can split a frequent minimiser's pieces
+    minis = stored(pieces.groupBy("mini").agg(again.alias("again")).where("again").select("mini"), "minimisers")
     return stored(pieces.join(minis, "mini"), "pieces")
 
 
-def _strings(shared: DataFrame) -> DataFrame:
-    """One row per different packed string with its first place and the number of strings of its minimiser."""
+def _strings(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per different packed string with its first place; those whose minimiser has several, with their number."""
     first = shared.groupBy("mini", "packed_hash").agg(F.min(F.struct("key", "at", "n")).alias("first"))
     first = stored(first.select("mini", "packed_hash", "first.key", "first.at", "first.n"), "first-places")
-    several = first.groupBy("mini").agg(F.count("*").alias("strings"))
-    return stored(first.join(several, "mini"), "strings")
+    counts = stored(first.groupBy("mini").agg(F.count("*").alias("strings")).where("strings > 1"), "string-counts")
+    return first, first.join(counts, "mini")
 
 
 def _fetched(texts: DataFrame, unit, several: DataFrame) -> DataFrame:
@@ -416,8 +417,8 @@ def repeated_spans(texts: DataFrame, unit, find: Callable, same_document: bool)
     """``key`` and ``spans``: runs (``at``, ``n``) of windows of the text that repeat an earlier
     document's (with ``same_document`` also an earlier window of its own). ``texts``: ``key``, ``text``."""
     shared = _shared_pieces(texts, unit, same_document)
-    strings = _strings(shared)
-    marks = _marks(_fetched(texts, unit, strings.where("strings > 1")), unit, find, same_document)
+    strings, several = _strings(shared)
+    marks = _marks(_fetched(texts, unit, several), unit, find, same_document)
 
     firsts = strings.select("mini", "packed_hash", F.col("key").alias("key0"), F.col("at").alias("at0"))
     placed = shared.join(firsts, ["mini", "packed_hash"])
