@@ -85,3 +85,10 @@ def materialize(df, name: str = "table"):
     path = work_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` and ``work_path`` have left below this session's
+    checkpoint folder. Call it at the end of a run, when its results are written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-work")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -119,3 +119,23 @@ def test_raw_58_column_layout(spark):
     r = spark.read.parquet(table).first()
     assert (r["event_id"], r["country"], r["num_mentions"], r["avg_tone"], str(r["event_date"]), str(r["week"])) == \
         (42, "FR", 7, -3.25, "2024-03-05", "2024-03-04")
+
+
+def test_a_failed_read_is_not_an_empty_table(spark):
+    from riskloom.session import clear_work, read_if_exists
+
+    assert read_if_exists(spark, work_path(spark, "absent")) is None
+    broken = work_path(spark, "broken").replace("file:", "")
+    os.makedirs(broken)
+    with open(os.path.join(broken, "part-0.parquet"), "w") as fh:
+        fh.write("not parquet")
+    rows = spark.createDataFrame([("f1", 1)], "source_file string, x int")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises, nothing may be written
+        SF.append_events(rows, broken)
+    assert os.listdir(broken) == ["part-0.parquet"]
+    root = work_path(spark, "versions")
+    for n in (1, 2, 3):
+        SF.refresh_table(spark.range(n), root)
+        assert SF.read_current(spark, root).count() == n
+    clear_work(spark)
+    assert not os.path.exists(broken)
