@@ -146,7 +146,11 @@ def test_pipeline_stages(spark, tmp_path):
             assert any(removed[k][1] for k in got)
         if i == 3:
             assert {(r.doc_id, r.text) for r in after} <= set(texts)
-            assert abs(sum(len(brute.words(r.text)) for r in after) - sum(len(brute.words(t)) for _, t in texts)) <= 0.2 * sum(len(brute.words(t)) for _, t in texts)
+            largest, total = {}, 0  # a source's words come within one document of its target
+            for r in before:
+                n = len(brute.words(r.text))
+                largest[r.source], total = max(largest.get(r.source, 0), n), total + n
+            assert abs(sum(len(brute.words(r.text)) for r in after) - total) <= sum(largest.values())
         if i == 4:
             assert sum(r.piece == 0 for r in after) == len(before)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
