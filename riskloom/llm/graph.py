@@ -10,8 +10,10 @@
    medoids; once it stands among vectors in range, every vector in range is expanded, too, so
    the result isn't limited by the beam. Only pairs whose cosine in double precision reaches
    the threshold are links. A pair that shares several shards counts in the first.
-4. Recall is audited against brute force on ``AUDIT`` vectors (by hash order); below the target
-   the work is repeated with twice the beam and one more shard per vector.
+4. Recall is audited against brute force on ``AUDIT`` vectors (by hash order): the share of all
+   their links, and the mean of each vector's own share, which a large group can't outweigh.
+   While either is below the target the work is repeated with twice the beam and one more shard
+   per vector, and after the last round all pairs are compared, block by block.
 
 No block, sample or broadcast grows with the data. Tasks emit counts and, for the components,
 one edge per vector and block, not pairs.
@@ -281,8 +283,43 @@ def _search_links(nodes: DataFrame, total: int, threshold: float, overlap: int,
     return links, found.where("a >= 0").select("a", "b")
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the true links of ``AUDIT`` vectors that were counted: brute force over all vectors in blocks."""
+def _exact_links(nodes: DataFrame, total: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """As ``_search_links``, with all links: each pair of blocks of about ``UNIT`` vectors is compared once."""
+    import numpy as np
+
+    blocks = math.ceil(total / UNIT)
+    dealt = nodes.select("node", "vec", "copies", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("own"))
+    left = dealt.select("node", "vec", "copies", F.col("own").alias("one"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("two"))
+    right = dealt.select("node", "vec", "copies", F.explode(F.sequence(F.lit(0), "own")).alias("one"), F.col("own").alias("two"))
+
+    def compare(base, query):
+        import pandas as pd
+
+        x, y = _matrix(base["vec"]), _matrix(query["vec"])
+        ids, asks = base["node"].to_numpy(), query["node"].to_numpy()
+        every, inverse = np.unique(np.concatenate((ids, asks)), return_inverse=True)
+        own, other, label = inverse[:len(ids)], inverse[len(ids):], np.arange(len(every))
+        links, twice = np.zeros(len(every), "i8"), len(ids) and len(asks) and base["one"].iloc[0] != base["two"].iloc[0]
+        for at in range(0, len(ids) if len(asks) else 0, 256):
+            hit = (x[at:at + 256] @ y.T >= threshold) & (ids[at:at + 256, None] != asks)
+            links[own[at:at + 256]] += hit @ query["copies"].to_numpy().astype("i8")
+            if twice:  # a block with itself has both directions
+                links[other] += base["copies"].to_numpy()[at:at + 256].astype("i8") @ hit
+            r, c = np.nonzero(hit)
+            label = least_labels(len(every), np.concatenate((np.arange(len(every)), own[at + r])), np.concatenate((label, other[c])))
+        keep, tell = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(every)))
+        return pd.DataFrame({"node": [*every[keep], *[-1] * len(tell)], "links": [*links[keep], *[0] * len(tell)],
+                             "a": [*[-1] * len(keep), *every[tell]], "b": [*[-1] * len(keep), *every[label[tell]]]}).astype("int64")
+
+    found = left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInPandas(compare, "node long, links long, a long, b long")
+    found = materialize(found, "found")
+    links = found.where("node >= 0").groupBy("node").agg(F.sum("links").alias("links"))
+    return links, found.where("a >= 0").select("a", "b")
+
+
+def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> tuple[float, float]:
+    """Recall on ``AUDIT`` vectors by brute force over all vectors in blocks: the share of their true
+    links that were counted, and the mean of this share over the vectors that have links."""
     import numpy as np
 
     asked = nodes.select("node", "vec").orderBy(F.xxhash64("node", "vec"), "node").limit(AUDIT).toPandas()  # bounded: AUDIT rows
@@ -300,22 +337,26 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
         yield pd.DataFrame({"node": ids, "true": total})
 
     true = nodes.select("node", "vec", "copies").mapInPandas(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    both = true.join(links, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.col("true"), F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return both.f / both.t if both.t else 1.0
+    both = true.where(F.col("true") > 0).join(links, "node", "left").withColumn("found", F.least(F.col("true"), F.coalesce("links", F.lit(0))))
+    both = both.agg(F.sum("true").alias("t"), F.sum("found").alias("f"), F.avg(F.col("found") / F.col("true")).alias("each")).first()
+    return (both.f / both.t, both.each) if both.t else (1.0, 1.0)
 
 
 def embedding_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9,
                       overlap: int = 2, beam: int = BEAM, recall: float = 0.95, rounds: int = 3) -> DataFrame:
-    """``vec_id``, ``n_links`` (other vectors linked directly) and ``component_id`` per row."""
+    """``vec_id``, ``n_links`` (other vectors linked directly) and ``component_id`` per row. If no
+    round's audit reaches ``recall`` in both figures, all pairs are compared."""
     rows, nodes, _ = distinct_vectors(df, id_col, vector_col)
     total = nodes.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     for _ in range(rounds):
         links, edges = _search_links(nodes, total, threshold, overlap, beam)
-        if audit(nodes, links, threshold) >= recall:
+        if min(audit(nodes, links, threshold)) >= recall:
             break
         overlap, beam = overlap + 1, beam * 2
+    else:
+        links, edges = _exact_links(nodes, total, threshold)
     joined = components(edges)
     classes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("low").alias("component_id"))

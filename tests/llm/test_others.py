@@ -101,6 +101,39 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert got.keys() == expected.keys() and sum(got[k][1] == expected[k][1] for k in got) >= 0.95 * len(got)
 
 
+def test_audit_sees_links_lost_beside_a_large_group(spark):
+    """300 near vectors with all their links, and 40 pairs whose links were lost."""
+    random.seed(6)
+    hot = [random.gauss(0, 1) for _ in range(64)]
+    rows = [[x + random.gauss(0, 0.01) for x in hot] for _ in range(300)]
+    for _ in range(40):
+        v = [random.gauss(0, 1) for _ in range(64)]
+        rows += [v, [x + random.gauss(0, 0.01) for x in v]]
+    norms = [math.sqrt(sum(x * x for x in v)) for v in rows]
+    nodes = spark.createDataFrame([(i, [x / n for x in v], 1) for i, (v, n) in enumerate(zip(rows, norms, strict=True))], "node long, vec array<double>, copies long")
+    links = spark.createDataFrame([(i, 299) for i in range(300)], "node long, links long")
+    summed, each = graph.audit(nodes, links, 0.9)
+    assert summed > 0.99 and abs(each - 300 / 380) < 1e-9
+    assert graph.audit(nodes.where("node < 300"), links, 0.9) == (1.0, 1.0)
+
+
+@pytest.mark.parametrize("unit", [4000, 60])
+def test_embeddings_below_the_recall_target_are_compared_exactly(spark, monkeypatch, unit):
+    rows, search, calls = _vectors(), graph._search_links, []
+
+    def lossy(*args):
+        links, edges = search(*args)
+        calls.append(args[3:])
+        return links.limit(0), edges.limit(0)
+
+    monkeypatch.setattr(graph, "UNIT", unit)
+    monkeypatch.setattr(graph, "_search_links", lossy)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph.embedding_classes(df).collect()}
+    assert got == brute.embeddings(rows)
+    assert calls == [(2, 48), (3, 96), (4, 192)]
+
+
 def test_embeddings_without_vectors(spark):
     df = spark.createDataFrame([(1, None), (None, [0.0])], "vec_id long, embedding array<double>")
     assert {(r.vec_id, r.n_links, r.component_id) for r in graph.embedding_classes(df).collect()} == {(1, 0, 1), (None, 0, None)}
