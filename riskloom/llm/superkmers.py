@@ -165,15 +165,17 @@ class Words:
 
     @classmethod
     def parts(cls, raw: bytes):
-        out, at, first = [], 0, 0
-        while len(raw) - at > BLOCK_BYTES and (cut := SPACE.search(raw, at + BLOCK_BYTES)):
-            part = raw[at:cut.start()]
-            out.append((first, part))
+        out, tail, at, first = [], [], 0, 0
+        # as many new bytes as the tail has, at least, so that long words aren't copied into many parts
+        while (more := max(BLOCK_BYTES, sum(map(len, tail)))) < len(raw) - at and (cut := SPACE.search(raw, at + more)):
+            part = b" ".join([*tail, raw[at:cut.start()]])
             words = part.split()
+            if len(words) > len(tail):  # else white space only
+                out.append((first, part))
             tail = words[1 - cls.window:]  # the next part begins with them
             first += len(words) - len(tail)
-            raw, at = b" ".join(tail) + raw[cut.start():], 0
-        return [*out, (first, raw[at:])]
+            at = cut.start()
+        return [*out, (first, b" ".join([*tail, raw[at:]]))]
 
     @staticmethod
     def symbols(data, offsets):

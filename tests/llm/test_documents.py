@@ -140,6 +140,30 @@ def test_parts_of_long_texts_hold_each_window_once(unit, monkeypatch):
     assert windows == list(range(len(plain) - unit.window + 1))
 
 
+def test_parts_end_when_words_are_longer_than_a_part(monkeypatch):
+    monkeypatch.setattr(superkmers, "BLOCK_BYTES", 50)
+    short = [f"w{i}" for i in range(40)]
+    for words in (["y" * 700, *short], [*short, "y" * 700, *short], [c * 200 for c in "abcdefghijklmnopqrst"], ["z" * 700], [*short[:12], "y" * 60, "end"]):
+        for space in (b" ", b"\n" * 80):
+            raw = space.join(w.encode() for w in words)
+            parts = []
+            for first, part in superkmers.Words.parts(raw + space):
+                parts.append([x.decode() for x in part.split()])
+                assert words[first:first + len(parts[-1])] == parts[-1]
+            windows = [tuple(p[i:i + 13]) for p in parts for i in range(len(p) - 12)]
+            assert windows == [tuple(words[i:i + 13]) for i in range(len(words) - 12)]
+            assert len(parts) <= len(raw) // 50 + 1
+
+
+def test_substring_dedup_of_words_longer_than_a_block(spark):
+    import hashlib
+
+    short = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, short + " " + "y" * 600_000 + " " + short, "s"), (2, "head " + "y" * 600_000 + " " + short + " tail", "s"), (3, short[200:900], "s")]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in superkmer.remove_repeated(frame(spark, rows)).collect()}
+    assert got == brute.substring_dedup([r[:2] for r in rows]) and got[2][1] > 300
+
+
 def test_dedup_odd_rows(odd, empty):
     n = odd.count()
     for found in (superkmer.remove_repeated(odd), suffix.removed_bytes(odd)):
