@@ -104,8 +104,10 @@ def repeated_windows(keys, places, strings):
     group, owner, inside = shared_windows(strings, column, Bytes.window)
     key, place = np.asarray(keys, "i8")[owner], np.asarray(places, "i8")[owner] + inside
     order = np.lexsort((place, key, group))
-    late = np.concatenate(([False], group[order][1:] == group[order][:-1])) if len(order) else np.zeros(0, bool)
-    return owner[order][late], inside[order][late]
+    owner, inside, group, key, place = (x[order] for x in (owner, inside, group, key, place))
+    head = np.searchsorted(group, group)
+    late = (key != key[head]) | (place != place[head])  # a repeated row has the earliest place more than once
+    return owner[late], inside[late]
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

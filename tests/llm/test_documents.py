@@ -164,6 +164,28 @@ def test_substring_dedup_of_words_longer_than_a_block(spark):
     assert got == brute.substring_dedup([r[:2] for r in rows]) and got[2][1] > 300
 
 
+@pytest.mark.parametrize("strings", [1, 20_000])
+def test_a_repeated_row_that_shares_a_passage_keeps_its_own_bytes(spark, monkeypatch, strings):
+    import hashlib
+    import random
+
+    rng = random.Random(8)
+
+    def prose(n):
+        return "".join(rng.choices("abcdefgh ", k=n))
+
+    passage = prose(400)
+    five, nine = prose(500) + passage + prose(500), prose(450) + passage + prose(450)
+    inner = prose(300) + passage + prose(200) + passage  # repeats itself, too
+    rows = [(5, five, "s"), (5, five, "s"), (9, nine, "s"), (12, inner, "s"), (12, inner, "s"), (12, inner, "s")]
+    monkeypatch.setattr(superkmers, "BUCKET_STRINGS", strings)
+    expected, seen = brute.suffix_dedup(list(dict.fromkeys(r[:2] for r in rows))), []
+    for r in suffix.removed_bytes(frame(spark, rows)).collect():
+        seen.append(r.doc_id)
+        assert (r.n_bytes, sum(x.length for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) == expected[r.doc_id]
+    assert sorted(seen) == [5, 5, 9, 12, 12, 12] and expected[5][1] == 0 and expected[9][1] >= 400
+
+
 def test_dedup_odd_rows(odd, empty):
     n = odd.count()
     for found in (superkmer.remove_repeated(odd), suffix.removed_bytes(odd)):
