@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, graph, mixing, packing, quality, simhash, suffix, superkmer, token_files, urls
+from riskloom.llm import (chat, graph, langid, lexical, mixing, packing, quality, repair, simhash, suffix, superkmer,
+                          token_files, urls)
 from riskloom.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,48 @@ def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select(
         "doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+# ------------------------------------------------------------------ 11 ranked search
+
+@register("op11_ranked_search", S.RANKED_SEARCH)
+def op11_ranked_search(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+# ------------------------------------------------------------------ 12 languages
+
+@register("op12_language_id")
+def op12_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    kept_out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~kept_out))
+    named = langid.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", F.coalesce(kept_out, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+# ------------------------------------------------------------------ 13 conversation repair
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that the query repairs, drawn by the crc32 of ``conv_id:turn``."""
+    blank = F.lit(" ")
+    draw = F.crc32(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank)).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), draw.alias("draw")).where("draw <> 0")
+    text = F.when(F.col("draw") == 1, "").when(F.col("draw") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("draw") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("draw") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("again")).drop("again")
+
+
+@register("op13_conversation_repair", S.CONVERSATION_REPAIR)
+def op13_conversation_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair.Repair(damaged(given))
+    lines = fixed.turns.groupBy("key").agg(F.sort_array(F.collect_list(
+        F.struct("block", "edit", F.concat("role", F.lit(":"), "text").alias("line")))).alias("lines"))
+    lines = lines.select("key", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("repaired_sha256"))
+    report = fixed.report.withColumn("key", repair.conversation_key(F.col("conv_id"))).drop("conv_id")
+    every = given.select("conv_id", repair.conversation_key(F.col("conv_id")).alias("key")).distinct()
+    out = every.join(report, "key", "left").join(lines, "key", "left")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                      F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
