@@ -71,19 +71,22 @@ def cut_documents(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id",
     def cut(batches):
         import zlib
 
-        import pandas as pd
+        import pyarrow as pa
 
         encoder = task_encoder(tokenizer, end_id)
         for batch in batches:
-            out = []
-            for key, data in zip(batch["doc_id"], encoder.encode(batch["text"]), strict=True):
+            rows, out = [], []
+            for row, data in enumerate(encoder.encode(batch.column(1).to_pylist())):
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at:at + 4 * capacity]
-                    out.append((key, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+                    rows.append(row)
+                    out.append((k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            columns = zip(list(zip(*out, strict=True)) or [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in columns]],
+                                             ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(cut, f"doc_id {id_type}, {PIECE_FIELDS}")
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return slim.mapInArrow(cut, f"doc_id {id_type}, {PIECE_FIELDS}")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, open_limit: int = 256, per_task: int = 20_000, merge: int = 16) -> DataFrame:
@@ -95,23 +98,29 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, open_limit: int = 256,
 
     def packer(level):
         def pack(batches):
-            import pandas as pd
+            import pyarrow as pa
             from pyspark import TaskContext
 
             base = (level << 56) + (TaskContext.get().partitionId() << 32)
             bins, held = BestFit(capacity, open_limit), {}
-            columns = [*fields, "sequence_id", "offset", "_open"]
+
+            def told(rows, still_open):
+                columns = list(zip(*rows, strict=True)) or [()] * (len(fields) + 2)
+                return pa.RecordBatch.from_arrays(
+                    [*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array([still_open] * len(rows), pa.bool_())],
+                    [*fields, "sequence_id", "offset", "_open"])
+
             types = None
             for batch in batches:
-                types, out = batch.dtypes, []
-                for row in batch.itertuples(index=False, name=None):
-                    found, offset, closed = bins.place(int(row[at]))
+                types, out = [*batch.schema.types, pa.int64(), pa.int64()], []
+                for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    found, offset, closed = bins.place(row[at])
                     held.setdefault(found, []).append((*row, base + found, offset))
                     for x in closed:
-                        out += [(*r, False) for r in held.pop(x)]
-                yield pd.DataFrame(out, columns=columns).astype(types)
+                        out += held.pop(x)
+                yield told(out, False)
             if held:
-                yield pd.DataFrame([(*r, True) for rows in held.values() for r in rows], columns=columns).astype(types)
+                yield told([r for rows in held.values() for r in rows], True)
         at = fields.index("length")
         return pack
 
@@ -120,7 +129,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, open_limit: int = 256,
     while True:
         # dealt round-robin: the same number of pieces for every task, whatever the keys
         dealt = left.repartition(parts).sortWithinPartitions(F.xxhash64(*[F.col(f"`{c}`") for c in fields]))
-        packed = materialize(dealt.mapInPandas(packer(level), schema), "packed")
+        packed = materialize(dealt.mapInArrow(packer(level), schema), "packed")
         if parts == 1:
             done.append(packed)
             break

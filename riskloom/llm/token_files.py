@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     def shards(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part, shard, offset = TaskContext.get().partitionId(), 0, 0
@@ -102,13 +102,16 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
         def flush():
             ids = np.frombuffer(b"".join(parts), "<u4")
-            return pd.DataFrame({"part": [part], "shard": [shard], "doc_ids": [keys], "n_tokens": [[len(x) // 4 for x in parts]],
-                                 "part_offset": [offset], "shard_tokens": [len(ids)], "payload": [encode_codes(ids)]})
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([keys], pa.list_(id_kind)),
+                 pa.array([[len(x) // 4 for x in parts]], pa.list_(pa.int64())), pa.array([offset]), pa.array([len(ids)]),
+                 pa.array([encode_codes(ids)], pa.binary())],
+                ["part", "shard", "doc_ids", "n_tokens", "part_offset", "shard_tokens", "payload"])
 
         for batch in batches:
-            known = batch["doc_id"].notna()
-            for key, ok, data in zip(batch["doc_id"], known, encoder.encode(batch["text"]), strict=True):
-                keys.append((int(key) if ok else None) if is_int else (key if ok else None))
+            id_kind = batch.column(0).type
+            for key, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                keys.append(key)
                 parts.append(data)
                 held += len(data) // 4
                 if held >= shard_ids:
@@ -117,14 +120,13 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if keys:
             yield flush()
 
-    is_int = id_type in ("tinyint", "smallint", "int", "bigint")
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # longer tasks meet fewer new words
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     sorted_ = slim.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = f"part int, shard int, doc_ids array<{id_type}>, n_tokens array<bigint>, part_offset long, shard_tokens long, payload binary"
-    sorted_.mapInPandas(shards, schema).write.option("compression", "zstd").parquet(path)
+    sorted_.mapInArrow(shards, schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -144,20 +146,20 @@ def token_digests(files: DataFrame) -> DataFrame:
         import zlib
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            for keys, lengths, start, payload in zip(batch["doc_ids"], batch["n_tokens"], batch["shard_start"], batch["payload"], strict=True):
-                codes, at, out = Codes(payload), 0, []
+            for keys, lengths, start, payload in zip(*batch.columns, strict=True):
+                codes, at, out = Codes(payload.as_py()), start.as_py(), []
                 ids = memoryview(codes.get(np.arange(len(codes))).tobytes())
-                for n in map(int, lengths):
-                    out.append((int(start) + at, n, zlib.crc32(ids[4 * at:4 * (at + n)])))
+                for n in lengths.as_py():
+                    first = 4 * (at - start.as_py())
+                    out.append((at, n, zlib.crc32(ids[first:first + 4 * n])))
                     at += n
-                frame = pd.DataFrame(out, columns=["start", "n_tokens", "ids_crc32"])
-                frame.insert(0, "doc_id", pd.Series(list(keys), dtype=object))
-                yield frame
+                yield pa.RecordBatch.from_arrays([keys.values, *[pa.array(c, pa.int64()) for c in zip(*out, strict=True)]],
+                                                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("doc_ids", "n_tokens", "shard_start", "payload").mapInPandas(
+    return files.select("doc_ids", "n_tokens", "shard_start", "payload").mapInArrow(
         digests, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -275,6 +275,33 @@ def test_token_files_round_trip(docs, rows, tokenizer, empty, odd):
     assert again[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(again, again[1:])) and len(again) == odd.count()
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_large_ids_beside_nulls_keep_every_digit(spark, monkeypatch, parts):
+    ids = [2**53 + 1, 2**60 + 3, None, 7]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(parts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2 * parts)
+    try:
+        assert sorted((r.doc_id for r in packing.pack_documents(df).collect()), key=str) == sorted(ids, key=str)
+        assert sorted((r.doc_id for r in token_files.write_and_digest(df).collect()), key=str) == sorted(ids, key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_packing_odd_rows(odd, empty):
+    packed = packing.pack_documents(odd, capacity=128).collect()
+    _check_packing(packed, 128)
+    rows_ = [(r.doc_id, r.piece) for r in packed]
+    assert sum(p == 0 for _, p in rows_) == odd.count() and any(d is None for d, _ in rows_)
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_text_ids_are_packed_and_written(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, None), ("b", "x" * 50)], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack_documents(df).collect()} == {"a", "b", None}
+    assert [r.doc_id for r in token_files.write_and_digest(df).orderBy("start").collect()] == [None, "a", "b"]
+
+
 def test_codes_give_any_id_by_place():
     import numpy as np
 
