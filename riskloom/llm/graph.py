@@ -6,7 +6,8 @@
 2. Each block builds a graph: candidates are a vector's nearest ones and random others, thinned
    by robust pruning (a candidate goes if a kept one is nearer to it by the factor ``ALPHA``),
    with edges in both directions. The adjacency lists of a vector's shards are united.
-3. All vectors of a shard are queries to each of its blocks. A greedy beam search starts at
+3. All vectors of a shard are queries to each of its blocks, a block of queries to a block of
+   vectors at a time. A greedy beam search starts at
    medoids; once it stands among vectors in range, every vector in range is expanded, too, so
    the result isn't limited by the beam. Only pairs whose cosine in double precision reaches
    the threshold are links. A pair that shares several shards counts in the first.
@@ -15,11 +16,11 @@
    While either is below the target the work is repeated with twice the beam and one more shard
    per vector, and after the last round all pairs are compared, block by block.
 
-No block, sample or broadcast grows with the data. Tasks emit counts and, for the components,
-one edge per vector and block, not pairs.
+No group, sample or broadcast grows with the data. Tasks emit counts and, for the components,
+one edge per vector and block, not pairs. Vectors of different lengths are searched apart.
 
-Defined results: a vector that is null, zero, of another length than the most frequent one, or
-holds null or non-finite components links with nothing; equal vectors link with each other;
+Defined results: a vector that is null, zero or holds null or non-finite components links with
+nothing, and none links with one of another length; equal vectors link with each other;
 repeated and null ids are separate rows (a component's id is its smallest id that is not null,
 null if it has none); other columns are not read; an empty table gives an empty one.
 """
@@ -27,6 +28,7 @@ null if it has none); other columns are not read; an empty table gives an empty
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ UNIT = 4_000
 SHARD = 2_000
 DEGREE, CANDIDATES, BEAM, ALPHA = 24, 64, 48, 1.2
 AUDIT = 1_000
+#: Rows that are compared with all centroids at once.
+ROWS = 1_024
 
 
 # ---------------------------------------------------------------- numeric helpers, in tasks
@@ -50,7 +54,7 @@ def fit_centroids(x, k: int, rounds: int = 8):
 
     c = x[np.random.default_rng(1).choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
+        near = np.concatenate([np.argmax(x[at:at + ROWS] @ c.T, axis=1) for at in range(0, len(x), ROWS)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -175,25 +179,24 @@ def least_labels(n: int, a, b):
 
 # ---------------------------------------------------------------- on the cluster
 
-def distinct_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """All rows with the ``node`` of their vector (null if it can't link); the nodes (``node``, unit ``vec``, ``copies``, ``low``); the dimension."""
+def distinct_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """All rows with the ``node`` of their vector (null if it can't link); the nodes (``node``, unit ``vec``,
+    ``copies``, ``low``, ``dim``); the number of nodes of each length."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     rows = df.select(F.col(f"`{id_col}`").alias("vec_id"), v.alias("raw"))
     fine = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     top = F.aggregate("raw", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     rows = rows.withColumn("raw", F.when(F.coalesce(fine & (F.size("raw") > 0), F.lit(False)), F.col("raw")))
     rows = rows.withColumn("top", top).withColumn("raw", F.when(F.col("top") > 0, F.col("raw")))
-    sizes = rows.where("raw IS NOT NULL").groupBy(F.size("raw").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = sizes.d if sizes else 0
-    rows = rows.withColumn("raw", F.when(F.size("raw") == dim, F.col("raw")))
     scaled = F.transform("raw", lambda x: x / F.col("top"))  # so that squares neither overflow nor vanish
     rows = rows.withColumn("raw", scaled)
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
     nodes = rows.where("raw IS NOT NULL").groupBy("raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     nodes = nodes.withColumn("norm", norm).withColumn("node", F.monotonically_increasing_id())
-    nodes = materialize(nodes.select("node", "raw", "copies", "low", F.transform("raw", lambda x: x / F.col("norm")).alias("vec")), "vectors")
+    nodes = materialize(nodes.select("node", "raw", "copies", "low", F.size("raw").alias("dim"), F.transform("raw", lambda x: x / F.col("norm")).alias("vec")), "vectors")
     rows = rows.join(nodes.select("raw", "node"), "raw", "left").select("vec_id", "node")
-    return materialize(rows, "rows"), nodes.drop("raw"), dim
+    sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # one row per length
+    return materialize(rows, "rows"), nodes.drop("raw"), sizes
 
 
 def _matrix(column):
@@ -215,9 +218,11 @@ def _search_links(nodes: DataFrame, total: int, threshold: float, overlap: int,
     def assign(batches):
         import pandas as pd
 
-        for b in batches:
-            near = np.argpartition(-(_matrix(b["vec"]) @ centroids.T), overlap - 1, axis=1)[:, :overlap] if len(b) else []
-            yield pd.DataFrame({"node": b["node"], "vec": b["vec"], "copies": b["copies"], "shards": [sorted(r.tolist()) for r in near]})
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                b = batch.iloc[at:at + ROWS]
+                near = np.argpartition(-(_matrix(b["vec"]) @ centroids.T), overlap - 1, axis=1)[:, :overlap]
+                yield pd.DataFrame({"node": b["node"], "vec": b["vec"], "copies": b["copies"], "shards": [sorted(r.tolist()) for r in near]})
 
     placed = materialize(nodes.select("node", "vec", "copies").mapInPandas(assign, "node long, vec array<double>, copies long, shards array<int>"), "placed")
     members = placed.withColumn("shard", F.explode("shards"))
@@ -237,9 +242,10 @@ def _search_links(nodes: DataFrame, total: int, threshold: float, overlap: int,
     united = edges.groupBy("node").agg(F.collect_set("neighbour").alias("neighbours"))  # at most the edges of a vector's few shards
     united = materialize(united, "graph")
 
-    held = members.join(united, "node", "left").select("shard", "block", "node", "vec", "copies", "shards", "neighbours")
-    asked = members.select("shard", "node", "vec", "copies", "shards", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
-
+    # Every block of vectors meets every block of queries of its shard, in a group of two blocks.
+    others = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    held = members.join(united, "node", "left").select("shard", "block", "node", "vec", "copies", "shards", "neighbours", others.alias("asking"))
+    asked = members.select("shard", F.col("block").alias("asking"), "node", "vec", "copies", "shards", others.alias("block"))
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own, to cogroup it with held
 
     def look(base, query):
@@ -277,7 +283,7 @@ def _search_links(nodes: DataFrame, total: int, threshold: float, overlap: int,
                        "a": [*[-1] * len(keep), *every[tell]], "b": [*[-1] * len(keep), *label[tell]]}
         return pd.DataFrame(out).astype("int64")
 
-    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(look, "node long, links long, a long, b long")
+    found = held.groupBy("shard", "block", "asking").cogroup(asked.groupBy("shard", "block", "asking")).applyInPandas(look, "node long, links long, a long, b long")
     found = materialize(found, "found")
     links = found.where("node >= 0").groupBy("node").agg(F.sum("links").alias("links"))
     return links, found.where("a >= 0").select("a", "b")
@@ -342,21 +348,25 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> tuple[float,
     return (both.f / both.t, both.each) if both.t else (1.0, 1.0)
 
 
+def _audited_links(nodes: DataFrame, total: int, threshold: float, overlap: int, beam: int, recall: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links and edges of the vectors of one length."""
+    for _ in range(rounds):
+        links, edges = _search_links(nodes, total, threshold, overlap, beam)
+        if min(audit(nodes, links, threshold)) >= recall:
+            return links, edges
+        overlap, beam = overlap + 1, beam * 2
+    return _exact_links(nodes, total, threshold)
+
+
 def embedding_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9,
                       overlap: int = 2, beam: int = BEAM, recall: float = 0.95, rounds: int = 3) -> DataFrame:
     """``vec_id``, ``n_links`` (other vectors linked directly) and ``component_id`` per row. If no
     round's audit reaches ``recall`` in both figures, all pairs are compared."""
-    rows, nodes, _ = distinct_vectors(df, id_col, vector_col)
-    total = nodes.count()
-    if not total:
+    rows, nodes, sizes = distinct_vectors(df, id_col, vector_col)
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    for _ in range(rounds):
-        links, edges = _search_links(nodes, total, threshold, overlap, beam)
-        if min(audit(nodes, links, threshold)) >= recall:
-            break
-        overlap, beam = overlap + 1, beam * 2
-    else:
-        links, edges = _exact_links(nodes, total, threshold)
+    found = [_audited_links(nodes.where(F.col("dim") == d).drop("dim"), n, threshold, overlap, beam, recall, rounds) for d, n in sorted(sizes.items())]
+    links, edges = (reduce(DataFrame.unionByName, parts) for parts in zip(*found, strict=True))
     joined = components(edges)
     classes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = classes.groupBy("component").agg(F.min("low").alias("component_id"))
