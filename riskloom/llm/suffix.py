@@ -168,6 +168,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(raw[keep].tobytes().decode())
         return pd.Series(out, dtype=object)
 
+    cut = cut.asNondeterministic()  # or the filter below would run it a second time, beside the first in another worker
     df = keyed.join(spans, "key", "left").withColumn("cut_", F.when(F.col("spans").isNull(), F.col("text_")).otherwise(cut("text_", "spans.at", "spans.n")))
     word = f"[^{SPACE_CLASS}]"
     df = df.where(F.col("cut_").rlike(word) | ~F.coalesce(F.col("text_").rlike(word), F.lit(False)))

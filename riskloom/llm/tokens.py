@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-CACHED = 500_000
+CACHED = 150_000
 BLOCK_BYTES = 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 
