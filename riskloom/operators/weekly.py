@@ -23,7 +23,7 @@ from riskloom.functions.codes import ROOT_CODES, root_code_in
 from riskloom.functions.dates import as_date, lookback_start, week_of
 from riskloom.operators.ranks import group_medians, lower_half_flags
 
-# Canonical event columns (see riskloom.sources.events for the raw-file adapter).
+# Canonical event columns (see riskloom.sources.files for the raw-file adapter).
 EVENT_COLUMNS = ("country", "event_date", "root_code", "num_mentions", "num_sources",
                  "num_articles", "avg_tone", "goldstein")
 METRICS = ("total_mentions", "total_sources", "total_articles", "center_tone", "center_goldstein")
@@ -93,14 +93,14 @@ def weekly_totals(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("
 
 
 def lower_half_mean(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("country",),
-                    key: Sequence[str] = ("event_id",), strategy: str = "range", **kw) -> DataFrame:
+                    key: Sequence[str] = ("event_id",), strategy: str = "counts", **kw) -> DataFrame:
     """A3/A4: mean tone and Goldstein over the overlap of both lower halves."""
     f = unrest_events(ev, as_of, months, by=by, **kw)
     return _centre_agg(f, [*by, "week"], key, strategy, with_totals=False)
 
 
 def _centre_agg(f: DataFrame, group: list[str], key: Sequence[str], strategy: str, with_totals: bool) -> DataFrame:
-    # Only what the aggregate reads is laid out in order.
+    # Only what the aggregate reads; rows at a threshold are ranked among themselves.
     needed = dict.fromkeys([*group, *key, "avg_tone", "goldstein", *(["num_mentions", "num_sources", "num_articles"] if with_totals else [])])
     flagged, (lt, lg) = lower_half_flags(f.select(*needed), group, ["avg_tone", "goldstein"], key, strategy)
     both = F.col(lt) & F.col(lg)
@@ -118,7 +118,7 @@ def _centre_agg(f: DataFrame, group: list[str], key: Sequence[str], strategy: st
 
 def weekly_metrics(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("country",),
                    center: str = "lower_half_mean", key: Sequence[str] = ("event_id",),
-                   codes=ROOT_CODES, strict_codes: bool = False, strategy: str = "range",
+                   codes=ROOT_CODES, strict_codes: bool = False, strategy: str = "counts",
                    drop_partial_weeks: bool = False) -> DataFrame:
     """Wide weekly metrics (FIXTURES D6) for every ``by`` group in one pass.
 
@@ -132,21 +132,21 @@ def weekly_metrics(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = (
     group = [*by, "week"]
     if center == "lower_half_mean":
         return _centre_agg(f, group, key, strategy, with_totals=True)
-    med = group_medians(f, group, ["avg_tone", "goldstein"], key, strategy)
+    med = group_medians(f, group, ["avg_tone", "goldstein"], strategy)
     return (_totals(f, group).join(med, group, "inner")
             .withColumnRenamed("median_avg_tone", "center_tone")
             .withColumnRenamed("median_goldstein", "center_goldstein"))
 
 
 def weekly_median(ev: DataFrame, as_of, months: int = -2, by: Sequence[str] = ("country",),
-                  key: Sequence[str] = ("event_id",), strategy: str = "range", **kw) -> DataFrame:
+                  strategy: str = "counts", **kw) -> DataFrame:
     """A5: true medians of tone and Goldstein per group and week."""
     f = unrest_events(ev, as_of, months, by=by, **kw)
-    return group_medians(f, [*by, "week"], ["avg_tone", "goldstein"], key, strategy)
+    return group_medians(f, [*by, "week"], ["avg_tone", "goldstein"], strategy)
 
 
 def tone_halves(ev: DataFrame, value: str, as_of, months: int = -2, by: Sequence[str] = ("country",),
-                key: Sequence[str] = ("event_id",), strategy: str = "range", **kw) -> DataFrame:
+                key: Sequence[str] = ("event_id",), strategy: str = "counts", **kw) -> DataFrame:
     """Every filtered event with its NTILE(2) bucket (1 or 2) by ``value``."""
     f = unrest_events(ev, as_of, months, by=by, **kw)
     flagged, (flag,) = lower_half_flags(f, [*by, "week"], [value], key, strategy)

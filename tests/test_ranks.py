@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranks import lower_half_flags, order_columns, select_at_ranks
+from riskloom.operators import ranks
+from riskloom.operators.ranks import lower_half_flags
 
 
 def hot_frame(spark, seed=4):
@@ -16,25 +18,61 @@ def hot_frame(spark, seed=4):
     return pdf, df.repartition(6)
 
 
-def test_hot_group_is_split_and_exact(spark):
+def test_thresholds_of_a_hot_group_are_exact(spark):
     pdf, df = hot_frame(spark)
-    picked = select_at_ranks(df, ["g"], order_columns("v", ["k"], "_o"),
-                             lambda n: [F.floor((n + 1) / 2).cast("long")], partitions=8)
-    got = {r["g"]: r["_o_k0"] for r in picked.collect()}
-    ordered = pdf.assign(isnull=pdf.v.isna(), vv=pdf.v.fillna(0.0)).sort_values(["g", "isnull", "vv", "k"])
-    for g, grp in ordered.groupby("g"):
-        assert got[g] == grp["k"].iloc[(len(grp) + 1) // 2 - 1]
-    # The hot group's rows were spread over several range partitions.
-    cols = ["g", "_o_null", "_o_val", "_o_k0"]
-    spread = (df.select("g", *order_columns("v", ["k"], "_o")).repartitionByRange(8, *cols)
-              .filter("g = 0").select(F.spark_partition_id().alias("p")).distinct().count())
-    assert spread > 4
+    found = ranks.value_thresholds(df, ["g"], ["v", "k"], lambda n: [F.lit(1).cast("long"), F.floor((n + 1) / 2).cast("long"), n])
+    got = {(r["g"], r["which"], r["rank"]): (r["v"], r["n"], r["before"], r["at"]) for r in found.collect()}
+    want = {}
+    for g, grp in pdf.groupby("g"):
+        for which, name in enumerate(["v", "k"]):
+            vals = sorted(grp[name].tolist(), key=lambda x: (x != x, x))
+            for rank in {1, (len(vals) + 1) // 2, len(vals)}:
+                v = vals[rank - 1]
+                same = [x for x in vals if x == v or (x != x and v != v)]
+                want[g, which, rank] = (None if v != v else v, len(vals), vals.index(v) if v == v else len(vals) - len(same), len(same))
+    assert got == want
+
+
+def test_coarse_steps_keep_the_order_of_all_doubles(spark):
+    rng = np.random.default_rng(1)
+    vals = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan"), 1.0, -1.0, 0.1, 10.0]
+    vals += (rng.normal(size=300) * 10.0 ** rng.integers(-200, 200, 300)).tolist()
+    df = spark.createDataFrame([(x,) for x in vals], "v double").select("v", ranks.coarse_step(F.col("v")).alias("s"))
+    steps = [r["s"] for r in df.orderBy("v").collect()]
+    assert steps == sorted(steps) and len(set(steps)) > 200
+    assert df.select(ranks.coarse_step(F.lit(None).cast("double")).alias("s")).first()["s"] is None
+
+
+def test_weighted_counts_equal_the_rows(spark):
+    _, df = hot_frame(spark, 6)
+    cells = df.groupBy("g", "v").agg(F.count("*").alias("w"))
+    half = lambda n: [F.floor((n + 1) / 2).cast("long")]
+    a, b = ranks.value_thresholds(df, ["g"], ["v"], half), ranks.value_thresholds(cells, ["g"], ["v"], half, weight="w")
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 0])
+def test_two_flags_with_null_groups_and_doubled_keys(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", window_rows)  # 0: all ties are dealt over ranges
+    rng = np.random.default_rng(2)
+    rows = [(int(g) if g else None, float(a) if a < 4 else None, float(b), i // 2) for i, (g, a, b) in
+            enumerate(zip(rng.integers(0, 4, 900), rng.integers(0, 6, 900), rng.integers(0, 5, 900), strict=True))]
+    df = spark.createDataFrame(rows, "g int, a double, b double, k int")
+    flagged, (fa, fb) = lower_half_flags(df.repartition(5), ["g"], ["a", "b"], ["k"])
+    got = flagged.groupBy("g").agg(F.count_if(fa).alias("a"), F.count_if(fb).alias("b"), F.count("*").alias("n")).collect()
+    assert len(got) == 4 and all(r["a"] == r["b"] == (r["n"] + 1) // 2 for r in got)
+    # a key's two rows have other values, so only keys on the edge of a half are open to the hash of the row
+    for name, flag in (("a", fa), ("b", fb)):
+        for g in {r[0] for r in rows}:
+            mine = [r for r in flagged.collect() if r["g"] == g]
+            order = lambda r: (r[name] is None, r[name] or 0.0, r["k"])
+            assert max(order(r) for r in mine if r[flag]) <= min(order(r) for r in mine if not r[flag])
 
 
 def test_flags_match_window_under_skew(spark):
     _, df = hot_frame(spark, 9)
     a, (fa,) = lower_half_flags(df, ["g"], ["v"], ["k"], strategy="window")
-    b, (fb,) = lower_half_flags(df, ["g"], ["v"], ["k"], strategy="range")
+    b, (fb,) = lower_half_flags(df, ["g"], ["v"], ["k"], strategy="counts")
     ra = sorted((r["k"], r[fa]) for r in a.select("k", fa).collect())
     rb = sorted((r["k"], r[fb]) for r in b.select("k", fb).collect())
     assert ra == rb

@@ -21,19 +21,19 @@ def row(i, tone, gold, code="14", country="XX", day=MON):
     return (i, day, code, country, 1, 1, 1, tone, gold)
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
+@pytest.mark.parametrize("strategy", ["window", "counts", "ranges"])
 def test_single_event_week_kept(spark, strategy):  # E1
     out = W.weekly_metrics(ev(spark, [row(1, -2.0, 3.0)]), AS_OF, -2, strategy=strategy).collect()
     assert len(out) == 1 and out[0]["center_tone"] == -2.0 and out[0]["center_goldstein"] == 3.0
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
+@pytest.mark.parametrize("strategy", ["window", "counts", "ranges"])
 def test_halves_without_overlap_drop_week(spark, strategy):  # E2
     data = [row(1, -5.0, 5.0), row(2, 5.0, -5.0)]
     assert W.weekly_metrics(ev(spark, data), AS_OF, -2, strategy=strategy).count() == 0
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
+@pytest.mark.parametrize("strategy", ["window", "counts", "ranges"])
 def test_null_tones_keep_week(spark, strategy):  # E3, E4: NULL tones sort last
     data = [row(1, None, 1.0), row(2, None, 2.0), row(3, None, 3.0)]
     out = W.weekly_metrics(ev(spark, data), AS_OF, -2, strategy=strategy).collect()
@@ -43,7 +43,7 @@ def test_null_tones_keep_week(spark, strategy):  # E3, E4: NULL tones sort last
 def test_ties_are_repeatable_across_strategies(spark):  # E5
     data = [row(i, 1.0, float(i % 3)) for i in range(1, 30)]
     a = W.weekly_metrics(ev(spark, data), AS_OF, -2, strategy="window")
-    b = W.weekly_metrics(ev(spark, data).repartition(7), AS_OF, -2, strategy="range")
+    b = W.weekly_metrics(ev(spark, data).repartition(7), AS_OF, -2, strategy="counts")
     assert rows(a) == rows(b)
 
 
@@ -82,16 +82,17 @@ def test_literal_twin_equals_one_pass(spark):  # J1 + J2 twin
 
 def test_median_strategies_agree(spark):
     e = FX.events(spark, SMALL)
-    a = W.weekly_median(e, FX.AS_OF, -4, key=FX.EVENT_KEY, strategy="window")
-    b = W.weekly_median(e, FX.AS_OF, -4, key=FX.EVENT_KEY, strategy="range")
+    a = W.weekly_median(e, FX.AS_OF, -4, strategy="window")
+    b = W.weekly_median(e, FX.AS_OF, -4, strategy="counts")
     assert rows(a) == rows(b)
 
 
-def test_range_plan_has_no_group_window(spark):
+def test_only_rows_at_a_threshold_are_ranked(spark):
     e = FX.events(spark, SMALL)
-    plan = W.weekly_metrics(e, FX.AS_OF, -2, key=FX.EVENT_KEY, strategy="range")._jdf.queryExecution().executedPlan().toString()
-    assert "ntile" not in plan.lower()  # no per-group window over the events
-    assert "_piece" in plan             # windows over the rows are per piece of a range partitioning
+    plan = W.weekly_metrics(e, FX.AS_OF, -2, key=FX.EVENT_KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "ntile" not in plan.lower()
+    assert plan.count("row_number") <= 4  # two windows over rows with an undecided side (each named once or twice)
+    assert "_side" in plan
 
 
 def test_drop_partial_weeks(spark):
