@@ -1,4 +1,4 @@
-"""Nightly incremental runs as Structured Streaming (S10, weekly totals on streams).
+"""Nightly incremental runs as Structured Streaming (S10, weekly totals and metrics on streams).
 
 The reference re-runs every night and decides what is new by probing storage file
 by file. A file stream source with ``trigger(availableNow=True)`` does the same
@@ -8,12 +8,14 @@ the previous run, then stops.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.codes import ROOT_CODES
+from riskloom.functions.dates import week_of
+from riskloom.operators.ranks import half_thresholds, join_same, most_ties, rank_ties, undecided, with_sides
+from riskloom.operators.weekly import lookback_filter, root_code_filter
 from riskloom.session import materialize, read_if_exists
 from riskloom.sources.files import EVENT_TSV_SCHEMA
 
@@ -34,66 +36,61 @@ def incremental_load(spark: SparkSession, source_dir: str, sink_path: str, check
     return (after.count() if after is not None else 0) - held
 
 
-@contextmanager
-def utc_session(spark: SparkSession):
-    """Run with the session time zone set to UTC, restoring the caller's setting after.
-    Event times without zone are read as UTC wall clock, so weeks are UTC Mondays."""
-    before = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", before)
-
-
-def weekly_window(ts_col: str = "ts"):
-    """Monday-to-Monday tumbling week: 7-day windows shifted by 4 days (1970-01-01 was a Thursday)."""
-    return F.window(F.col(ts_col), "7 days", "7 days", "4 days")
+def utc_week(ts: Column, kind: T.DataType) -> Column:
+    """Monday of the UTC week, whatever the session's time zone; a time without zone counts as UTC."""
+    day = ts.cast("date") if isinstance(kind, (T.TimestampNTZType, T.DateType)) else F.date_from_unix_date(
+        F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+    return F.trunc(day, "week")
 
 
 def weekly_totals_stream(spark: SparkSession, events_stream: DataFrame, sink_path: str, checkpoint_path: str,
                          key: str = "user_id", ts_col: str = "ts", value_col: str = "value",
                          watermark: str = "14 days") -> None:
-    """Weekly count and sum per key on a stream, kept current in a Parquet table.
-
-    The aggregate runs in update mode with a watermark (state for weeks older than
-    the watermark is dropped); each micro-batch merges its changed (key, week) rows
-    into the week partitions it touches. Runs until the available input is consumed.
-    Zone-less event times are taken as UTC, whatever the session's time zone.
+    """Weekly count and sum per key on a stream. Runs until the available input is consumed.
+
+    Totals merge by addition, so a micro-batch only writes its own ones, in a folder named by its
+    number below ``sink_path`` (a retried batch writes the same folder again), and nothing is held
+    as state or read back but the newest event time of the batches before. Rows that are older
+    than this by more than ``watermark`` are late: a streaming aggregate would drop them; here
+    they go to a folder of their own beside the others (``late=true``), the corrections.
+    ``current_weekly_totals`` adds all up, ``late_rows`` counts the late ones.
     """
-    with utc_session(spark):
-        _weekly_totals_stream(spark, events_stream, sink_path, checkpoint_path, key, ts_col, value_col, watermark)
-
-
-def _weekly_totals_stream(spark, events_stream, sink_path, checkpoint_path, key, ts_col, value_col, watermark):
-    if isinstance(events_stream.schema[ts_col].dataType, T.TimestampNTZType):
-        # Watermarks need TIMESTAMP; the zone-less value is read as UTC (see utc_session).
-        events_stream = events_stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    agg = (events_stream.withWatermark(ts_col, watermark)
-           .groupBy(weekly_window(ts_col).alias("w"), F.col(key))
-           .agg(F.count(F.lit(1)).alias("n_events"), F.sum(value_col).alias("total_value"))
-           .select(F.col(key), F.to_date(F.col("w.start")).alias("week"), "n_events", "total_value"))
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        s = batch.sparkSession
-        weeks = batch.select("week").distinct()
-        stored = read_if_exists(s, sink_path)
-        merged = batch
-        if stored is not None:
-            old = stored.join(weeks, "week", "left_semi")
-            kept = old.join(batch.select(key, "week"), [key, "week"], "left_anti")
-            merged = kept.unionByName(batch.select(*kept.columns))
-        merged = materialize(merged, "weekly-merge")  # cut the read of the table we overwrite
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("week").parquet(sink_path))
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(merge)
-         .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+    kind = events_stream.schema[ts_col].dataType
+
+    def batch(df: DataFrame, number: int) -> None:
+        weekly_totals_batch(df, number, sink_path, kind, key, ts_col, value_col, watermark)
+
+    q = (events_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def weekly_totals_batch(df: DataFrame, number: int, sink_path: str, kind: T.DataType, key: str, ts_col: str, value_col: str, watermark: str) -> None:
+    """Writes the totals of one micro-batch, on-time and late rows apart."""
+    spark, ts = df.sparkSession, F.col(ts_col)
+    horizon = F.lit(None).cast(kind)
+    stored = read_if_exists(spark, sink_path)
+    if stored is not None:
+        newest = stored.filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        if newest is not None:
+            horizon = F.lit(newest).cast(kind) - F.expr(f"INTERVAL {watermark}")
+    rows = df.filter(ts.isNotNull()).withColumn("late", F.coalesce(ts < horizon, F.lit(False)))
+    totals = rows.groupBy(F.col(key), utc_week(ts, kind).alias("week"), "late").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum(value_col).alias("total_value"), F.max(ts).alias("newest"))
+    totals.write.mode("overwrite").partitionBy("late").parquet(f"{sink_path.rstrip('/')}/batch={number}")
+
+
+def current_weekly_totals(spark: SparkSession, sink_path: str, key: str = "user_id") -> DataFrame:
+    """All that the stream has seen, late rows included: one row per key and week."""
+    return spark.read.parquet(sink_path).groupBy(key, "week").agg(
+        F.sum("n_events").alias("n_events"), F.sum("total_value").alias("total_value"))
+
+
+def late_rows(spark: SparkSession, sink_path: str) -> DataFrame:
+    """Late rows by micro-batch and week (none: no row)."""
+    return (spark.read.parquet(sink_path).filter(F.col("late").cast("boolean")).groupBy("batch", "week").agg(F.sum("n_events").alias("n_late")))
+
+
 def events_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
                   files_per_batch: int | None = None) -> DataFrame:
     """A Parquet file stream; ``files_per_batch`` bounds a micro-batch (default: all new files)."""
@@ -110,38 +107,82 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def weekly_metrics_stream(spark: SparkSession, events_stream: DataFrame, events_table: str, metrics_table: str,
-                          checkpoint_path: str, as_of, months: int = -2, by=("country",), key=("event_id",)) -> None:
+SUMS = {"total_mentions": "num_mentions", "total_sources": "num_sources", "total_articles": "num_articles"}
+CENTRES = ("avg_tone", "goldstein")
+
+
+def weekly_metrics_stream(spark: SparkSession, events_stream: DataFrame, state_path: str, metrics_table: str,
+                          checkpoint_path: str, as_of, months: int = -2, by=("country",), key=("event_id",),
+                          codes=ROOT_CODES, strict_codes: bool = False) -> None:
     """Weekly metrics (lower-half centres included) kept current from a stream of events.
 
-    NTILE cannot run on a stream, so each micro-batch (1) stores its events under a
-    folder named by the batch id (a retried batch rewrites the same folder), partitioned
-    by week, (2) recomputes only the weeks it touched from all stored events of those
-    weeks (partition pruning), and (3) replaces those week partitions of the metrics table.
+    NTILE cannot run on a stream, but the halves follow from counts. The state below
+    ``state_path`` holds, by week and micro-batch, *cells* (group, day, tone, Goldstein score) with
+    their number of events and sums, and the *keys* of each cell's events. Cells merge by
+    addition, so a batch only adds its own (a retried batch writes the same folders again); the
+    metrics of the weeks it touches are recomputed from cells, and of the keys only those in cells
+    at a threshold are ranked. The event rows themselves are neither stored nor read again.
     """
-    from riskloom.functions.dates import as_date, lookback_start, week_of
-    from riskloom.operators.weekly import weekly_metrics
-
-    def batch(df: DataFrame, epoch_id: int) -> None:
-        if df.isEmpty():
-            return
-        s = df.sparkSession
-        ev = df.withColumn("week", week_of("event_date"))
-        ev.write.mode("overwrite").partitionBy("week").parquet(f"{events_table.rstrip('/')}/batch={epoch_id}")
-        # Touched weeks inside the lookback window (week dates: bounded by the window).
-        touched = [r["week"] for r in ev.filter(F.col("week") >= F.trunc(lookback_start(as_of, months), "week"))
-                   .filter(F.col("week") <= F.lit(as_date(as_of))).select("week").distinct().collect()]
-        if not touched:
-            return
-        stored = s.read.parquet(events_table).filter(F.col("week").isin(touched)).drop("week", "batch")
-        fresh = materialize(weekly_metrics(stored, as_of, months, by=by, key=key), "weekly-stream")
-        # A touched week whose recomputation is empty has no row to overwrite its old one with.
-        empty = set(touched) - {r["week"] for r in fresh.select("week").distinct().collect()}
-        for week in sorted(empty):
-            _delete(s, f"{metrics_table.rstrip('/')}/week={week}")
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("week").parquet(metrics_table))
+    def batch(df: DataFrame, number: int) -> None:
+        weekly_metrics_batch(df, number, state_path, metrics_table, as_of, months, by, key, codes, strict_codes)
 
     q = (events_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def weekly_metrics_batch(df: DataFrame, number: int, state_path: str, metrics_table: str, as_of, months: int = -2, by=("country",),
+                         key=("event_id",), codes=ROOT_CODES, strict_codes: bool = False) -> None:
+    """Adds one micro-batch to the state and replaces the metrics of the weeks it touches."""
+    spark = df.sparkSession
+    ev = root_code_filter(df, codes, strict_codes).withColumn("week", week_of("event_date"))
+    for b in ["week", *by]:
+        ev = ev.filter(F.col(b).isNotNull())
+    cell = [*by, "week", "event_date", *CENTRES]
+    cells = ev.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(name) for name, c in SUMS.items()])
+    for name, part in (("cells", cells), ("keys", ev.select(*cell, *key))):
+        part.write.mode("overwrite").partitionBy("week").parquet(f"{state_path.rstrip('/')}/{name}/batch={number}")
+    seen = read_if_exists(spark, f"{state_path.rstrip('/')}/cells/batch={number}")
+    if seen is None or "week" not in seen.columns:  # no event with one of the codes
+        return
+    # Weeks inside the lookback, a few at most whatever the number of events.
+    touched = [r["week"] for r in lookback_filter(seen, as_of, months).select("week").distinct().collect()]
+    if not touched:
+        return
+    fresh = materialize(weekly_metrics_from_state(spark, state_path, as_of, months, by, key, touched), "weekly-stream")
+    # A touched week whose recomputation is empty has no row to overwrite its old one with.
+    empty = set(touched) - {r["week"] for r in fresh.select("week").distinct().collect()}
+    for week in sorted(empty):
+        _delete(spark, f"{metrics_table.rstrip('/')}/week={week}")
+    (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("week").parquet(metrics_table))
+
+
+def weekly_metrics_from_state(spark: SparkSession, state_path: str, as_of, months: int = -2, by=("country",), key=("event_id",),
+                              weeks=None) -> DataFrame:
+    """Weekly metrics as of any date, from the stream's state alone (``weeks``: only these)."""
+    group, values = [*by, "week"], list(CENTRES)
+
+    def read(name):
+        table = lookback_filter(spark.read.parquet(f"{state_path.rstrip('/')}/{name}"), as_of, months)
+        return table if weeks is None else table.filter(F.col("week").isin(list(weeks)))
+
+    cell = [*group, "event_date", *CENTRES]
+    cells = read("cells").groupBy(*cell).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
+    thresholds = half_thresholds(cells, group, values, weight="n")
+    most = most_ties(thresholds, values)
+    sides = with_sides(cells, thresholds, group, values)
+    both = F.col("_side0") & F.col("_side1")
+    columns = [*group, *values, *SUMS, "n"]
+    parts = sides.select(*columns, F.when(undecided(values), False).otherwise(both).alias("both"))
+    if any(most):
+        # Keys stand for one event each; their cells' sums are counted above.
+        tied = sides.filter(undecided(values)).drop("n", *SUMS)
+        keys = rank_ties(join_same(tied, read("keys"), cell), most, group, values, key)
+        parts = parts.unionByName(keys.select(*group, *values, *[F.lit(0).cast("long").alias(c) for c in SUMS], F.lit(1).cast("long").alias("n"), both.alias("both")))
+    core = [F.col("both") & F.col(v).isNotNull() for v in values]
+    out = parts.groupBy(*group).agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        *[(F.sum(F.when(k, F.col(v) * F.col("n"))) / F.sum(F.when(k, F.col("n")))).alias(f"center_{v.removeprefix('avg_')}") for k, v in zip(core, values, strict=True)],
+        F.sum(F.when(F.col("both"), F.col("n"))).alias("_core"))
+    return out.filter(F.col("_core") > 0).drop("_core")
