@@ -15,8 +15,8 @@ a boolean program to a solver. Here requests stay long and sparse (FIXTURES D12)
 - ``select_relaxed`` Lagrangian relaxation with the multipliers that the offers' own
                      cost/risk hulls have, DataFrame only, for requests of any size;
                      reports a lower bound and the gap
-- ``select_exact``   exact Pareto dynamic program per request, many requests in
-                     parallel (``applyInPandas``)
+- ``select_exact``   exact Pareto dynamic program, many requests in parallel; a large
+                     request is a tree of partial fronts in many tasks
 - ``recommendation`` item -> country rows and the JSON list the reference returns
 
 Only offers with cost > 0 are usable (countries that do not offer an item are not
@@ -95,32 +95,38 @@ def offers_dedup(offers: DataFrame, items: DataFrame | None = None) -> DataFrame
             .select("request_id", "item_pos", "item", "offer_pos", "country", "cost"))
 
 
-def cost_matrix(offers: DataFrame) -> DataFrame:
-    """The cost matrix kept sparse (absent pairs are the implicit 0 of the reference)."""
-    return offers_dedup(offers)
+def cost_matrix(offers: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The matrix of items x countries of every request, as coordinates: ``item_pos`` (row), ``country_pos``
+    (column: the country's place among the request's countries by code), ``cost``. Absent pairs are the implicit 0
+    of the reference's dense matrix. The window holds a request's countries, not its offers."""
+    dd = offers_dedup(offers, items)
+    columns = dd.select("request_id", "country").distinct().withColumn(
+        "country_pos", (F.row_number().over(Window.partitionBy("request_id").orderBy("country")) - 1).cast("int"))
+    return dd.join(columns, ["request_id", "country"]).select("request_id", "item_pos", "country_pos", "cost")
 
 
 def usable_offers(offers: DataFrame) -> DataFrame:
-    """Offers a request can choose (cost > 0)."""
-    return offers.filter(F.col("cost") > 0)
+    """Offers a request can choose (a finite cost > 0; NaN is no cost)."""
+    return offers.filter((F.col("cost") > 0) & (F.col("cost") < float("inf")))
 
 
 def dedup_risk(risk: DataFrame) -> DataFrame:
     """One score per country. The reference keeps whichever row it read last (no
-    order); we keep the largest, a repeatable and cautious choice."""
-    return risk.filter(F.col("country").isNotNull()).groupBy("country").agg(F.max("distance").alias("distance"))
+    order); we keep the largest, a repeatable and cautious choice. A row whose score is NULL or
+    NaN is no score: a country with no other row has none."""
+    scored = risk.filter(F.col("country").isNotNull() & F.col("distance").isNotNull() & ~F.isnan(F.col("distance").cast("double")))
+    return scored.groupBy("country").agg(F.max("distance").alias("distance"))
 
 
 def _risk_side(risk: DataFrame) -> DataFrame:
-    """Deduplicated risk, broadcast-hinted when its counted size is small. Prepared once
-    per top-level call; a prepared frame is passed through unchanged."""
-    if getattr(risk, "_riskloom_prepared", False):
-        return risk
+    """Deduplicated risk, broadcast-hinted when its counted size is small; made once per top-level call."""
     r = dedup_risk(risk)
     n = bounded_count(r)
-    r = broadcast_if_small(r, n if n <= BROADCAST_ROW_LIMIT else None)
-    r._riskloom_prepared = True
-    return r
+    return broadcast_if_small(r, n if n <= BROADCAST_ROW_LIMIT else None)
+
+
+def _unscored(offers: DataFrame, side: DataFrame) -> DataFrame:
+    return offers.select("request_id", "country").distinct().join(side, "country", "left_anti").select("request_id", "country")
 
 
 def offer_risk(offers: DataFrame, risk: DataFrame) -> DataFrame:
@@ -130,8 +136,7 @@ def offer_risk(offers: DataFrame, risk: DataFrame) -> DataFrame:
 
 def missing_risk(offers: DataFrame, risk: DataFrame) -> DataFrame:
     """Every offered country (any cost, any list position) without a risk score."""
-    named = offers.select("request_id", "country").distinct()
-    return named.join(_risk_side(risk), "country", "left_anti").select("request_id", "country")
+    return _unscored(offers, _risk_side(risk))
 
 
 def missing_risk_status(offers: DataFrame, risk: DataFrame) -> DataFrame:
@@ -148,17 +153,16 @@ def request_status(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items
     has no score), ``infeasible`` (an item without a usable offer, or even the least risky
     choices exceed the budget) or ``ok``. Without ``items`` a request without offers counts as
     infeasible; with them, a request of no items is ok and has nothing to choose."""
-    risk = _risk_side(risk)
-    return _status(offers, offers_dedup(offers, items), risk, budgets, items)
+    return _status(offers, offers_dedup(offers, items), _risk_side(risk), budgets, items)
 
 
-def _status(offers: DataFrame, dd: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None) -> DataFrame:
-    scored = offer_risk(usable_offers(dd), risk)
+def _status(offers: DataFrame, dd: DataFrame, side: DataFrame, budgets: DataFrame, items: DataFrame | None) -> DataFrame:
+    scored = usable_offers(dd).join(side, "country")
     per_item = scored.groupBy("request_id", "item_pos").agg(F.min("distance").alias("r_min"))
     item_rows = _positions(offers, items).select("request_id", "item_pos").distinct().join(per_item, ["request_id", "item_pos"], "left")
     per_req = item_rows.groupBy("request_id").agg(
         F.sum("r_min").alias("min_risk"), F.count_if(F.col("r_min").isNull()).alias("n_unusable"), F.lit(True).alias("has_items"))
-    miss = missing_risk(offers, risk).select("request_id").distinct().withColumn("has_missing", F.lit(True))
+    miss = _unscored(offers, side).select("request_id").distinct().withColumn("has_missing", F.lit(True))
     valid = F.col("valid") if "valid" in budgets.columns else F.lit(True)
     out = (budgets.select("request_id", "budget", valid.alias("valid"))
            .join(per_req, "request_id", "left").join(miss, "request_id", "left"))
@@ -173,16 +177,16 @@ def _status(offers: DataFrame, dd: DataFrame, risk: DataFrame, budgets: DataFram
 def _prepared(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None) -> DataFrame:
     """Undominated candidates of the ok requests with their budget, stored once. The
     deduplicated offers are stored, too, as status and candidates both come from them."""
-    risk = _risk_side(risk)
+    side = _risk_side(risk)
     dd = materialize(offers_dedup(offers, items), "offers-dedup")
-    ok = _status(offers, dd, risk, budgets, items).filter(F.col("status") == "ok").select("request_id", "budget")
-    candidates = offer_risk(usable_offers(dd), risk).filter(F.col("distance").isNotNull())
+    ok = _status(offers, dd, side, budgets, items).filter(F.col("status") == "ok").select("request_id", "budget")
+    candidates = usable_offers(dd).join(side, "country")
     return materialize(pareto_offers(candidates).join(ok, "request_id").select(
         "request_id", "item_pos", "item", "offer_pos", "country", "cost", "distance", "budget"), "candidates")
 
 
 def _candidates(offers: DataFrame, risk: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    return offer_risk(usable_offers(offers_dedup(offers, items)), risk).filter(F.col("distance").isNotNull())
+    return usable_offers(offers_dedup(offers, items)).join(_risk_side(risk), "country")
 
 
 def pareto_offers(candidates: DataFrame) -> DataFrame:
@@ -233,15 +237,8 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items
     ``gap = total_cost - lower_bound``. Running sums are spread over range partitions, so a
     huge request isn't one task. Requests with ok status only.
     """
-    steps = hull_steps(_prepared(offers, risk, budgets, items))
+    steps, best = _break_points(_prepared(offers, risk, budgets, items))
     order = ["lam", "item_pos", "step"]
-    steps = running_sums(steps.withColumn("one", F.lit(1)), ["request_id"], order,
-                         {"total_cost": "d_cost", "total_risk": "d_risk", "n_steps": "one"})
-    steps = materialize(steps, "relaxed-steps")
-    n_items = steps.filter("step = 0").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_items"))
-    fits = steps.join(n_items, "request_id").filter(
-        (F.col("n_steps") >= F.col("n_items")) & (F.col("total_risk") <= F.col("budget") + EPS))
-    best = fits.groupBy("request_id").agg(F.min(F.struct(*order, "total_cost", "total_risk")).alias("b"))
     chosen = steps.drop("total_cost", "total_risk").join(best, "request_id").filter(
         F.struct(*order) <= F.struct(*[F.col(f"b.{c}").alias(c) for c in order]))
     pick = chosen.groupBy("request_id", "item_pos", "item", "budget", "b").agg(
@@ -254,75 +251,217 @@ def select_relaxed(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items
                        bound.alias("lower_bound"), (F.col("b.total_cost") - bound).alias("gap"))
 
 
+def _break_points(data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hull moves with the running cost and risk of their request (stored), and per request the first move ``b`` that fits."""
+    order = ["lam", "item_pos", "step"]
+    steps = running_sums(hull_steps(data).withColumn("one", F.lit(1)), ["request_id"], order,
+                         {"total_cost": "d_cost", "total_risk": "d_risk", "n_steps": "one"})
+    steps = materialize(steps, "relaxed-steps")
+    n_items = steps.filter("step = 0").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_items"))
+    fits = steps.join(n_items, "request_id").filter(
+        (F.col("n_steps") >= F.col("n_items")) & (F.col("total_risk") <= F.col("budget") + EPS))
+    return steps, fits.groupBy("request_id").agg(F.min(F.struct(*order, "total_cost", "total_risk", "budget")).alias("b"))
+
+
 # ------------------------------------------------------------------ exact selection
 
-def pareto_select(pdf: pd.DataFrame, budget: float):
-    """Exact multiple-choice knapsack for one request by a Pareto dynamic program.
+#: Requests of more items are solved by a tree over groups of so many items.
+GROUP_ITEMS = 64
+#: Pairs of states that a merge looks at together.
+PAIRS_AT_ONCE = 4_000_000
+
 
-    Items are taken in position order; a state is (cost, risk) with a pointer to the state and
-    offer it came from. After each item only states not dominated in (cost, risk) are kept;
-    among equal (cost, risk) the earliest offer positions win, by the rank of the path before
-    and the new offer's position. Returns (row indexes, status).
+def pareto_keep(cost, risk, first, second):
+    """Indexes of the states that no other beats on cost and risk, cheapest first; of equal ones the first by
+    (``first``, ``second``)."""
+    order = np.lexsort((second, first, risk, cost))
+    risk = risk[order]
+    before = np.concatenate([[np.inf], np.minimum.accumulate(risk)[:-1]])
+    return order[risk < before]
+
+
+def path_ranks(first, second):
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.lexsort((second, first))] = np.arange(len(first))
+    return rank
+
+
+def pareto_select(item, cost, risk, offer, limit_risk, lam=0.0, limit_excess=np.inf):
+    """Undominated choices of one offer per item by a Pareto dynamic program over items in order.
+
+    Arrays are sorted by item. A state is (cost, risk) with a pointer to the state and offer it came
+    from; only undominated states are kept whose risk, above the least that the items can have,
+    fits ``limit_risk``, and whose ``cost + lam * risk`` is above the least by at most
+    ``limit_excess``. Among equal ones the earliest offer positions win. Returns cost, risk and
+    path rank of the states, cheapest first, and the trail of (source state, row) per item.
     """
-    cost, risk, path_rank = np.zeros(1), np.zeros(1), np.zeros(1, dtype=np.int64)
+    c, r, rank = np.zeros(1), np.zeros(1), np.zeros(1, dtype=np.int64)
+    low = least = 0.0
+    starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
     trail = []
-    for _, grp in pdf.groupby("item_pos", sort=True):
-        oc, orisk = grp["cost"].to_numpy(float), grp["distance"].to_numpy(float)
-        opos, orow = grp["offer_pos"].to_numpy(np.int64), grp.index.to_numpy(np.int64)
-        nc = (cost[:, None] + oc[None, :]).ravel()
-        nr = (risk[:, None] + orisk[None, :]).ravel()
-        ok = np.flatnonzero(nr <= budget + EPS)
-        if not len(ok):
-            return None, "infeasible"
+    for a, b in zip(starts, np.r_[starts[1:], len(item)]):
+        oc, orisk = cost[a:b], risk[a:b]
+        least, low = least + orisk.min(), low + (oc + lam * orisk).min()
+        nc, nr = (c[:, None] + oc[None, :]).ravel(), (r[:, None] + orisk[None, :]).ravel()
+        fits = nr - least <= limit_risk + EPS
+        if np.isfinite(limit_excess):
+            fits &= nc + lam * nr - low <= limit_excess
+        ok = np.flatnonzero(fits)
         src, pick = ok // len(oc), ok % len(oc)
-        nc, nr = nc[ok], nr[ok]
-        order = np.lexsort((opos[pick], path_rank[src], nr, nc))
-        nr_sorted = nr[order]
-        before = np.concatenate([[np.inf], np.minimum.accumulate(nr_sorted)[:-1]])
-        keep = order[nr_sorted < before]
-        src, pick = src[keep], pick[keep]
-        cost, risk = nc[keep], nr[keep]
-        rank = np.empty(len(keep), dtype=np.int64)
-        rank[np.lexsort((opos[pick], path_rank[src]))] = np.arange(len(keep))
-        path_rank = rank
-        trail.append((src, orow[pick]))
-    rows, state = [], 0
+        keep = pareto_keep(nc[ok], nr[ok], rank[src], offer[a:b][pick])
+        src, pick, ok = src[keep], pick[keep], ok[keep]
+        c, r = nc[ok], nr[ok]
+        rank = path_ranks(rank[src], offer[a:b][pick])
+        trail.append((src, a + pick))
+    return c, r, rank, trail, low, least
+
+
+def path_rows(trail, state: int) -> list[int]:
+    """The rows that a state chose, in item order."""
+    rows = []
     for src, row in reversed(trail):
         rows.append(int(row[state]))
         state = src[state]
-    return rows[::-1], "optimal"
-
-
-SELECT_SCHEMA = ("request_id long, item_pos int, item string, country string, cost double, distance double, "
-                 "status string")
+    return rows[::-1]
+
+
+def merged_fronts(left, right, limit_risk, lam, limit_excess):
+    """Front of the sums of two fronts (dicts of cost, risk, rank arrays and their lows), with both pointers."""
+    low, least = left["low"] + right["low"], left["least"] + right["least"]
+    excess = [f["cost"] + lam * f["risk"] - f["low"] for f in (left, right)]
+    by = np.argsort(excess[1], kind="stable")
+    upto = np.searchsorted(excess[1][by], limit_excess - excess[0], "right")
+    out = None
+    a = 0
+    while a < len(upto):
+        b = a + max(1, int(np.searchsorted(np.cumsum(upto[a:]), PAIRS_AT_ONCE, "right")))
+        n = upto[a:b]
+        src = np.repeat(np.arange(a, min(b, len(upto))), n)
+        pick = by[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        c, r = left["cost"][src] + right["cost"][pick], left["risk"][src] + right["risk"][pick]
+        fits = r - least <= limit_risk + EPS
+        part = [x[fits] for x in (c, r, src, pick)]
+        if out is not None:
+            part = [np.concatenate(x) for x in zip(out, part)]
+        keep = pareto_keep(part[0], part[1], left["rank"][part[2]], right["rank"][part[3]])
+        out, a = [x[keep] for x in part], b
+    c, r, src, pick = out
+    return {"cost": c, "risk": r, "rank": path_ranks(left["rank"][src], right["rank"][pick]), "low": low, "least": least}, src, pick
+
+
+CHOICE_SCHEMA = "request_id long, item_pos int, offer_pos int"
+FRONT_SCHEMA = ("request_id long, node long, lam double, gap double, slack double, low double, least double, cost array<double>, "
+                "risk array<double>, rank array<long>, left_state array<int>, right_state array<int>, picks array<int>, items array<int>")
+
+
+def _solve_small(data: DataFrame) -> DataFrame:
+    """Choices of requests of at most GROUP_ITEMS items, one task step per request."""
+    def solve(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("item_pos", "ascending"), ("offer_pos", "ascending")])
+        item, offer, cost, risk = (table.column(c).to_numpy() for c in ("item_pos", "offer_pos", "cost", "distance"))
+        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        slack = table.column("budget")[0].as_py() - np.minimum.reduceat(risk, starts).sum()
+        found = pareto_select(item, cost, risk, offer, slack)
+        rows = path_rows(found[3], 0) if len(found[0]) else []
+        return table.take(pa.array(rows, pa.int64())).select(["request_id", "item_pos", "offer_pos"])
+
+    # A fixed number of partitions on a hash of the request id keeps the requests spread over all cores.
+    # Grouping by (_g, request_id) is satisfied by it, so no adaptive exchange follows.
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = data.select("request_id", "item_pos", "offer_pos", "cost", "distance", "budget", F.xxhash64("request_id").alias("_g"))
+    return keyed.repartition(parts, "_g").groupBy("_g", "request_id").applyInArrow(solve, CHOICE_SCHEMA)
+
+
+def _front_row(request_id, node, limits, front, left=(), right=(), picks=(), items=()):
+    lam, gap, slack = limits
+    return {"request_id": request_id, "node": node, "lam": lam, "gap": gap, "slack": slack, "low": front["low"], "least": front["least"],
+            "cost": front["cost"], "risk": front["risk"], "rank": front["rank"], "left_state": left, "right_state": right, "picks": picks, "items": items}
+
+
+def _leaf_fronts(data: DataFrame, limits: DataFrame) -> DataFrame:
+    """Fronts of groups of items, pruned by the relaxation's bound."""
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item_pos", "offer_pos"])
+        item, offer = pdf["item_pos"].to_numpy(), pdf["offer_pos"].to_numpy()
+        lam, gap, slack = (float(pdf[c].iloc[0]) for c in ("lam", "gap", "slack"))
+        c, r, rank, trail, low, least = pareto_select(item, pdf["cost"].to_numpy(), pdf["distance"].to_numpy(), offer, slack, lam, gap)
+        picks = offer[np.array([path_rows(trail, s) for s in range(len(c))], dtype=int).ravel()]
+        front = {"cost": c, "risk": r, "rank": rank, "low": low, "least": least}
+        return pd.DataFrame([_front_row(key[0], key[1], (lam, gap, slack), front, picks=picks, items=np.unique(item))])
+
+    rows = data.join(limits, "request_id").withColumn("node", F.expr(f"item_pos div {GROUP_ITEMS}").cast("long"))
+    return rows.select("request_id", "node", "item_pos", "offer_pos", "cost", "distance", "lam", "gap", "slack").groupBy(
+        "request_id", "node").applyInPandas(solve, FRONT_SCHEMA)
+
+
+def _merge_fronts(fronts: DataFrame) -> DataFrame:
+    """The next level of the tree: neighbours merged two by two."""
+    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        sides = [{**{k: row[k] for k in ("low", "least")}, **{k: np.asarray(row[k]) for k in ("cost", "risk", "rank")}} for _, row in pdf.iterrows()]
+        limits = tuple(float(pdf[c].iloc[0]) for c in ("lam", "gap", "slack"))
+        if len(sides) == 1:  # the last node, or one beside positions without items
+            every = np.arange(len(sides[0]["cost"]))
+            front, left, right = sides[0], *((every, ()) if pdf["node"].iloc[0] % 2 == 0 else ((), every))
+        else:
+            front, left, right = merged_fronts(*sides, limits[2], limits[0], limits[1])
+        return pd.DataFrame([_front_row(key[0], key[1], limits, front, left, right)])
+
+    return fronts.drop("picks", "items", "left_state", "right_state").withColumn("parent", F.expr("node div 2")).groupBy(
+        "request_id", "parent").applyInPandas(merge, FRONT_SCHEMA)
+
+
+def _solve_large(data: DataFrame, most_items: int) -> DataFrame:
+    """Choices of large requests: a tree of partial Pareto fronts.
+
+    Groups of GROUP_ITEMS items give fronts in separate tasks, and neighbours are merged two by
+    two, a level of the tree at a time, so no task holds a request's items. A partial choice is
+    dropped if its reduced cost (cost + multiplier x risk) is above its items' least by more than
+    the gap of the relaxation: no completion of it could cost less than the relaxation's own
+    choice. The way down the tree then reads the choice of every item.
+    """
+    _, best = _break_points(data)
+    least = data.groupBy("request_id", "item_pos").agg(F.min("distance").alias("r")).groupBy("request_id").agg(F.sum("r").alias("least_risk"))
+    lam = F.greatest(F.col("b.lam"), F.lit(0.0))
+    gap = lam * (F.col("b.budget") - F.col("b.total_risk") + 2 * EPS)
+    limits = best.join(least, "request_id").select(
+        "request_id", lam.alias("lam"), (F.greatest(gap, F.lit(0.0)) + 1e-9 * (1 + F.col("b.total_cost") + lam)).alias("gap"),
+        (F.col("b.budget") - F.col("least_risk")).alias("slack"))
+    levels = [materialize(_leaf_fronts(data, materialize(limits, "exact-limits")), "fronts")]
+    nodes = (most_items - 1) // GROUP_ITEMS + 1
+    while nodes > 1:
+        levels.append(materialize(_merge_fronts(levels[-1]), "fronts"))
+        nodes = (nodes + 1) // 2
+    # Fronts are sorted by cost, so the root's first state is the answer.
+    at = levels[-1].select("request_id", "node", F.lit(0).alias("state"))
+    for above, level in zip(levels[:0:-1], levels[-2::-1]):
+        both = at.join(above.select("request_id", "node", "left_state", "right_state"), ["request_id", "node"])
+        child = F.explode(F.array(F.struct((2 * F.col("node")).alias("node"), F.get("left_state", F.col("state")).alias("state")),
+                                  F.struct((2 * F.col("node") + 1).alias("node"), F.get("right_state", F.col("state")).alias("state"))))
+        at = materialize(both.select("request_id", child.alias("c")).select("request_id", "c.node", "c.state").filter("state IS NOT NULL"), "states")
+    leaves = at.join(levels[0].select("request_id", "node", "picks", "items"), ["request_id", "node"])
+    picked = leaves.select("request_id", "state", "picks", F.size("items").alias("n"), F.posexplode("items").alias("k", "item_pos"))
+    return picked.select("request_id", "item_pos", F.get("picks", F.col("state") * F.col("n") + F.col("k")).alias("offer_pos"))
 
 
 def select_exact(offers: DataFrame, risk: DataFrame, budgets: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """Exact selection, one pandas call per request (FIXTURES D15).
-
-    Requests are independent, so they are solved in parallel; dominated offers are
-    pruned in Spark first (inside an item an offer is dropped when another costs no
-    more and risks no more). Only requests with ok status have rows (see request_status). A
-    single very large request is better served by ``select_relaxed``, which has no
-    per-request task.
-    """
+    """Exact selection (FIXTURES D15). Requests are solved in parallel, large ones by a tree of
+    tasks. Dominated offers are pruned in Spark first (inside an item an offer is dropped when
+    another costs no more and risks no more). Only requests with ok status have rows (see
+    request_status)."""
     data = _prepared(offers, risk, budgets, items)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns=["_g"]).reset_index(drop=True)
-        idx, status = pareto_select(pdf, float(pdf["budget"].iloc[0]))
-        if idx is None:
-            return pd.DataFrame(columns=["request_id", "item_pos", "item", "country", "cost", "distance", "status"])
-        out = pdf.loc[idx, ["request_id", "item_pos", "item", "country", "cost", "distance"]].copy()
-        out["status"] = status
-        return out
-
-    # Spread the requests over all cores: a fixed-count partitioning on a hash of the
-    # request id. Grouping by (_g, request_id) is satisfied by it, so no adaptive
-    # exchange follows (that one would be coalesced into a few tasks for small inputs).
-    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = data.withColumn("_g", F.xxhash64("request_id"))
-    return keyed.repartition(parts, "_g").groupBy("_g", "request_id").applyInPandas(solve, SELECT_SCHEMA)
+    sizes = data.groupBy("request_id").agg((F.max("item_pos") + 1).alias("n"))
+    large = materialize(sizes.filter(F.col("n") > GROUP_ITEMS), "large-requests")
+    most_items = large.agg(F.max("n")).first()[0]
+    if most_items is None:
+        choices = _solve_small(data)
+    else:
+        choices = _solve_small(data.join(large, "request_id", "left_anti")).unionByName(
+            _solve_large(materialize(data.join(large.select("request_id"), "request_id", "left_semi"), "large-candidates"), most_items))
+    return data.join(choices, ["request_id", "item_pos", "offer_pos"]).select(
+        "request_id", "item_pos", "item", "country", "cost", "distance", F.lit("optimal").alias("status"))
 
 
 def recommendation(selection: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import som as SM
 from riskloom.operators import sourcing as X
@@ -109,6 +110,73 @@ def test_exact_matches_brute_force(spark):
         assert b[0][1] <= budget + 1e-9            # never above budget
 
 
+def random_requests(seed, n, most_items, countries=8):
+    rng = np.random.default_rng(seed)
+    names = [f"C{i}" for i in range(countries)]
+    risk = {c: float(rng.integers(0, 60)) / 1000 for c in names}
+    reqs = []
+    for _ in range(n):
+        items = [(f"item{k}", [(c, float(rng.integers(1, 60))) for c in rng.choice(names, size=int(rng.integers(1, 6)), replace=False)])
+                 for k in range(int(rng.integers(1, most_items)))]
+        reqs.append((items, ["Low", "Medium", "High"][int(rng.integers(0, 3))]))
+    return reqs, risk
+
+
+def totals(selection):
+    out = {}
+    for r in selection.collect():
+        c, n, d = out.get(r["request_id"], (0.0, 0, 0.0))
+        out[r["request_id"]] = c + r["cost"], n + 1, d + r["distance"]
+    return out
+
+
+@pytest.mark.parametrize("group", [1, 2, 3])
+def test_tree_of_fronts_equals_one_task(spark, monkeypatch, group):
+    reqs, risk = random_requests(group, 70, 24)
+    rq = req_df(spark, reqs)
+    off, rk, bud = X.offers_long(rq), risk_df(spark, risk), X.request_budgets(rq)
+    one = totals(X.select_exact(off, rk, bud))
+    monkeypatch.setattr(X, "GROUP_ITEMS", group)
+    monkeypatch.setattr(X, "PAIRS_AT_ONCE", 50)
+    tree = totals(X.select_exact(off, rk, bud))
+    assert len(one) > 30 and tree.keys() == one.keys()
+    for i, (cost, n, distance) in one.items():
+        assert tree[i][:2] == (pytest.approx(cost), n) and n == len(reqs[i][0])
+        assert tree[i][2] <= {"Low": 0.75, "Medium": 0.5, "High": 0.25}[reqs[i][1]] + 1e-9
+
+
+def test_exact_selection_of_a_huge_request(spark):
+    n = 20_000
+    nth = F.col("id") % n
+    offers = spark.range(4 * n).select(F.lit(1).cast("long").alias("request_id"), nth.cast("int").alias("item_pos"), F.concat(F.lit("i"), nth).alias("item"),
+                                       F.floor(F.col("id") / n).cast("int").alias("offer_pos"))
+    offers = offers.withColumn("country", F.concat(F.lit("C"), F.pmod(F.xxhash64("item_pos", "offer_pos"), F.lit(97)).cast("string")))
+    offers = offers.withColumn("cost", (1 + F.pmod(F.xxhash64("offer_pos", "item_pos", F.lit(1)), F.lit(10_000))).cast("double"))
+    risk = spark.range(97).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("country"), ((F.col("id") * 37 % 97) / 2_000_000).alias("distance"))
+    budgets = spark.createDataFrame([(1, 0.25)], "request_id long, budget double")
+    chosen = X.select_exact(offers, risk, budgets)
+    cost, items, distance = totals(chosen)[1]
+    bound = X.select_relaxed(offers, risk, budgets).select("lower_bound", "total_cost").first()
+    assert items == n and distance <= 0.25 + 1e-9
+    assert bound["lower_bound"] - 1e-6 <= cost <= bound["total_cost"] + 1e-6
+
+
+def test_null_scores_and_odd_costs(spark):
+    rq = raw_df(spark, [
+        '{"items": [{"A": [{"C4": 1.0}]}], "risk_aversion": "Low"}',                     # C4's only score is NULL
+        '{"items": [{"A": [{"C4": 1.0}, {"C1": 5.0}]}], "risk_aversion": "Low"}',
+        '{"items": [{"A": [{"C1": "NaN"}, {"C2": 3.0}]}], "risk_aversion": "Low"}',
+        '{"items": [{"A": [{"C1": "Infinity"}]}], "risk_aversion": "Low"}',
+        '{"items": [{"A": [{"C5": 2.0}]}], "risk_aversion": "Low"}'])                    # a NULL and a real score
+    risk = spark.createDataFrame([("C1", 0.1), ("C2", 0.1), ("C4", None), ("C5", None), ("C5", 0.2), ("C6", float("nan"))], "country string, distance double")
+    off, bud = X.offers_long(rq), X.request_budgets(rq)
+    st = {r["request_id"]: r["status"] for r in X.request_status(off, risk, bud, X.request_items(rq)).collect()}
+    assert st == {0: "missing_risk", 1: "missing_risk", 2: "ok", 3: "infeasible", 4: "ok"}
+    assert sorted(map(tuple, X.missing_risk(off, risk).collect())) == [(0, "C4"), (1, "C4")]
+    for select in (X.select_exact, X.select_relaxed):
+        assert sorted((r["request_id"], r["country"], r["cost"]) for r in select(off, risk, bud).collect()) == [(2, "C2", 3.0), (4, "C5", 2.0)]
+
+
 def test_dedup_rules(spark):  # E13
     reqs = [([("A", [("C1", 5.0), ("C2", 7.0), ("C1", 9.0)]), ("B", [("C3", 1.0)]), ("A", [("C4", 2.0)])], "Low")]
     d = X.offers_dedup(X.offers_long(req_df(spark, reqs))).collect()
