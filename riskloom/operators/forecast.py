@@ -11,9 +11,9 @@ Here (parity of method, not of digits: no likelihood package is used):
 - the nine q = 0 orders are conditional least squares with closed forms, computed
   as one DataFrame aggregate per (series, p, d): sums of products of the lagged
   differenced values, then 1- or 2-variable normal equations by column arithmetic;
-- the 18 q > 0 orders are fitted per series in ``applyInPandas`` with numpy
-  (Hannan-Rissanen start, Gauss-Newton on the conditional sum of squares), all
-  series in parallel; unstable or non-invertible fits give NULL;
+- the 18 q > 0 orders are two linear regressions (a long autoregression for the
+  shocks, then lags and shocks together) from sums of products, in columns as well;
+  unstable or non-invertible fits give NULL;
 - the winner is ``min_by`` over (squared error, p, d, q) with failed fits removed.
 
 Trend: a constant when d = 0, none when d > 0. An order is fitted only when it has
@@ -24,8 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,139 +156,96 @@ def ar_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str
                          F.when(valid, _finite(F.col("yhat"))).alias("forecast"), y_test.alias("y_test"))
 
 
-# ------------------------------------------------------------------ q > 0 (grouped map)
-
-def _difference(y: np.ndarray, d: int) -> np.ndarray:
-    for _ in range(d):
-        y = np.diff(y)
-    return y
-
-
-def _residuals(z, c, phi, theta):
-    n, p, q = len(z), len(phi), len(theta)
-    e = np.zeros(n)
-    start = p
-    for t in range(start, n):
-        pred = c + sum(phi[i] * z[t - 1 - i] for i in range(p))
-        pred += sum(theta[j] * e[t - 1 - j] for j in range(q) if t - 1 - j >= start)
-        e[t] = z[t] - pred
-    return e[start:], e
-
-
-def _stable(coefs) -> bool:
-    """Roots of 1 - a1 B - a2 B^2 (or 1 + ...) outside the unit circle."""
-    if len(coefs) == 0 or np.allclose(coefs, 0):
-        return True
-    poly = np.r_[1.0, -np.asarray(coefs, dtype=float)][::-1]
-    roots = np.roots(poly)
-    return bool(np.all(np.abs(roots) > 1.0 + 1e-8))
-
-
-def fit_arma_forecast(y: np.ndarray, p: int, d: int, q: int, iters: int = 25) -> float | None:
-    """Conditional-least-squares ARIMA(p, d, q) one-step forecast for one short series."""
-    z = _difference(np.asarray(y, dtype=float), d)
-    icpt = d == 0
-    k = p + q + (1 if icpt else 0)
-    eqs = len(z) - p
-    if eqs < max(k, 1) or len(z) == 0:
-        return None
-    # Hannan-Rissanen start: a long AR gives residual estimates, then one regression.
-    h = max(1, min(len(z) // 2, p + q + 1))
-    theta0 = np.zeros(q)
-    phi0 = np.zeros(p)
-    c0 = float(np.mean(z)) if icpt else 0.0
-    if len(z) > h + 1:
-        X = np.column_stack([z[h - i - 1:len(z) - i - 1] for i in range(h)] + ([np.ones(len(z) - h)] if icpt else []))
-        beta, *_ = np.linalg.lstsq(X, z[h:], rcond=None)
-        ehat = np.zeros(len(z))
-        ehat[h:] = z[h:] - X @ beta
-        r0 = max(p, q, h)
-        if len(z) - r0 >= k and k > 0:
-            cols = [z[r0 - i - 1:len(z) - i - 1] for i in range(p)] + [ehat[r0 - j - 1:len(z) - j - 1] for j in range(q)]
-            if icpt:
-                cols.append(np.ones(len(z) - r0))
-            X2 = np.column_stack(cols)
-            b2, *_ = np.linalg.lstsq(X2, z[r0:], rcond=None)
-            phi0, theta0 = b2[:p], b2[p:p + q]
-            c0 = float(b2[-1]) if icpt else 0.0
-    params = np.r_[phi0, theta0, [c0] if icpt else []].astype(float)
-
-    def unpack(v):
-        return (v[-1] if icpt else 0.0), v[:p], v[p:p + q]
-
-    def resid(v):
-        c, ph, th = unpack(v)
-        return _residuals(z, c, ph, th)[0]
-
-    # Gauss-Newton with a numeric Jacobian and step halving.
-    for _ in range(iters):
-        r = resid(params)
-        base = float(r @ r)
-        J = np.empty((len(r), len(params)))
-        for j in range(len(params)):
-            step = 1e-6 * max(1.0, abs(params[j]))
-            v = params.copy()
-            v[j] += step
-            J[:, j] = (resid(v) - r) / step
-        delta, *_ = np.linalg.lstsq(J, -r, rcond=None)
-        lam = 1.0
-        improved = False
-        while lam > 1e-4:
-            cand = params + lam * delta
-            rc = resid(cand)
-            if np.all(np.isfinite(rc)) and float(rc @ rc) < base:
-                params, improved = cand, True
-                break
-            lam /= 2
-        if not improved:
-            break
-    c, phi, theta = unpack(params)
-    if not _stable(phi) or not _stable(-np.asarray(theta)):
-        return None
-    _, e_full = _residuals(z, c, phi, theta)
-    n = len(z)
-    zhat = c + sum(phi[i] * z[n - 1 - i] for i in range(p)) + sum(theta[j] * e_full[n - 1 - j] for j in range(q) if n - 1 - j >= p)
-    yy = np.asarray(y, dtype=float)
-    if d == 0:
-        yhat = zhat
-    elif d == 1:
-        yhat = yy[-1] + zhat
-    else:
-        yhat = 2 * yy[-1] - yy[-2] + zhat
-    return float(yhat) if np.isfinite(yhat) else None
-
-
-def arima_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str = "train",
-                    orders=None) -> DataFrame:
-    """One-step forecasts of the q > 0 orders, one pandas call per series, all in parallel.
-    Each group is one short series (bounded by the lookback window)."""
-    wanted = [o for o in (orders or ORDERS) if o[2] > 0] if orders is None else list(orders)
+# ------------------------------------------------------------------ q > 0 (two regressions)
+
+#: Lags of the first, long regression, whose residuals stand for the unknown shocks.
+LONG_ORDER = 2
+#: A regressor that the ones before it explain up to this share of its square is a repetition: no fit.
+TOLERANCE = 1e-4
+#: Residuals below this share of the squares are rounding: the series has no shocks to fit.
+NO_SHOCKS = 1e-9
+
+
+def _gram(x: Sequence[Column], total) -> Column:
+    """Symmetric matrix of the sums of products, each taken once; ``total`` turns a product into its sum."""
+    sums = {(i, j): total(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}
+    return F.array(*[F.array(*[sums[min(i, j), max(i, j)] for j in range(len(x))]) for i in range(len(x))])
+
+
+def _eliminated(gram: str, pivots: str) -> Column:
+    """Gauss-Jordan elimination of the columns ``pivots`` (an array of indexes) of a matrix of sums: a struct of
+    the matrix ``m`` and ``ok``. The last column then has the coefficients of the pivots, and its own sum of
+    squares that of the residuals."""
+    return F.expr(
+        f"aggregate({pivots}, named_struct('m', {gram}, 'ok', true), (s, k) -> named_struct("
+        "'m', transform(s.m, (row, i) -> transform(row, (x, j) -> CASE WHEN i = k THEN x / nullif(s.m[k][k], 0D) "
+        "ELSE x - s.m[i][k] * s.m[k][j] / nullif(s.m[k][k], 0D) END)), "
+        f"'ok', coalesce(s.ok AND s.m[k][k] > {TOLERANCE}D * {gram}[k][k], false)))")
+
+
+def arma_forecasts(series: DataFrame, by: Sequence[str] = ("country",), upto: str = "train") -> DataFrame:
+    """One-step forecasts of the 18 q > 0 orders for every series, in columns throughout.
+
+    Two regressions per (series, d), after Hannan and Rissanen: a long autoregression of LONG_ORDER
+    lags gives residuals in place of the unknown shocks; then the value is regressed on p of its lags
+    and q of these residuals. Both are sums of products, eliminated in an array of at most 6 x 6
+    numbers. No fit: fewer equations than coefficients (the first regression needs one more), a
+    regressor that repeats the others (TOLERANCE), no residuals (NO_SHOCKS), or coefficients of an
+    unstable or not invertible process.
+
+    Output as of ``ar_forecasts``. Windows hold one series, whose length the lookback bounds.
+    """
     key = [*by, "metric"]
-    schema = ", ".join([f"{b} string" for b in by] + ["metric string", "p int", "d int", "q int", "forecast double",
-                                                      "y_test double"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns=["_g"]).sort_values("t")
-        y = pdf["y"].to_numpy(dtype=float)
-        gaps = bool(np.isnan(y).any())  # a NULL anywhere, holdout included, fails every order
-        y_test = float(y[-1]) if upto == "train" and len(y) and not gaps else None
-        if upto == "train":
-            y = y[:-1]
-        out = []
-        for p, d, q in wanted:
-            try:
-                f = fit_arma_forecast(y, p, d, q) if len(y) and not gaps else None
-            except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-                f = None
-            out.append({**{c: pdf[c].iloc[0] for c in key}, "p": p, "d": d, "q": q, "forecast": f, "y_test": y_test})
-        return pd.DataFrame(out, columns=[*key, "p", "d", "q", "forecast", "y_test"])
-
-    # CPU-heavy groups on little data: a fixed-count hash partitioning on a derived key
-    # keeps them spread over all cores (an adaptive exchange would be coalesced into
-    # one task, and a repartition on the window's own key would be optimised away).
-    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = series.select(*key, "t", "y", F.concat_ws("\u0001", *key).alias("_g"))
-    return keyed.repartition(parts, "_g").groupBy("_g").applyInPandas(fit, schema)
+    m = F.col("n") - 1 if upto == "train" else F.col("n")
+    whole = Window.partitionBy(*key)
+    rows = differenced_series(series, by).withColumn("m", m)
+    inside = F.col("t") <= F.col("m")
+    # Sums of squares keep their digits if the values are near 0; only d = 0 notices, and gets it back.
+    rows = rows.withColumn("centre", F.avg(F.when(inside, F.col("y"))).over(whole)).withColumn("gaps", F.count_if(F.col("y").isNull()).over(whole))
+    rows = rows.withColumn("y_holdout", F.max(F.when(F.col("t") == F.col("n"), F.col("y"))).over(whole))
+    z = F.array(*[F.struct(F.lit(d).alias("d"), (_z(d, 0) - (F.col("centre") if d == 0 else F.lit(0.0))).alias("z")) for d in range(3)])
+    rows = rows.filter(inside).select(*key, "t", "m", "y", "y_lag1", "centre", "gaps", "y_holdout", F.explode(z).alias("o")).select("*", "o.d", "o.z").drop("o")
+    one, each = Window.partitionBy(*key, "d"), Window.partitionBy(*key, "d").orderBy("t")
+    rows = rows.withColumn("z1", F.lag("z", 1).over(each)).withColumn("z2", F.lag("z", 2).over(each))
+
+    first = F.col("t") > F.col("d") + LONG_ORDER
+    constant = F.when(F.col("d") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    x = [F.lit(1.0), F.col("z1"), F.col("z2"), F.col("z")]
+    rows = rows.withColumn("gram", _gram(x, lambda c: F.sum(F.when(first, c)).over(one))).withColumn("E1", F.count_if(first).over(one))
+    rows = rows.withColumn("pivots", F.concat(constant, F.array(F.lit(1), F.lit(2)))).withColumn("fit", _eliminated("gram", "pivots"))
+    told = (F.col("fit.ok") & (F.col("E1") > F.size("pivots")) & (F.col("fit.m")[3][3] > NO_SHOCKS * F.col("gram")[3][3]))
+    mean = F.when(F.col("d") == 0, F.col("fit.m")[0][3]).otherwise(F.lit(0.0))
+    shock = F.col("z") - mean - F.col("fit.m")[1][3] * F.col("z1") - F.col("fit.m")[2][3] * F.col("z2")
+    rows = rows.withColumn("e", F.when(first & told, shock)).drop("gram", "pivots", "fit")
+    rows = rows.withColumn("e1", F.lag("e", 1).over(each)).withColumn("e2", F.lag("e", 2).over(each))
+
+    rows = rows.withColumn("q", F.explode(F.array(F.lit(1), F.lit(2))))
+    second = F.col("t") > F.col("d") + LONG_ORDER + F.col("q")
+    x = [F.lit(1.0), F.col("z1"), F.col("z2"), F.col("e1"), F.when(F.col("q") == 2, F.col("e2")).otherwise(F.lit(0.0)), F.col("z")]
+    last = F.col("t") == F.col("m")
+    fits = rows.groupBy(*key, "d", "q").agg(
+        _gram(x, lambda c: F.sum(F.when(second, c))).alias("gram"), F.count_if(second & F.col("e1").isNotNull()).alias("E"),
+        *[F.max(F.when(last, F.col(c))).alias(name) for c, name in (("y", "ym"), ("y_lag1", "ym1"), ("z", "zm"), ("z1", "zm1"), ("e", "em"), ("e1", "em1"))],
+        F.max("centre").alias("centre"), F.max("gaps").alias("gaps"), F.max("y_holdout").alias("y_holdout"))
+    fits = fits.withColumn("p", F.explode(F.array(*map(F.lit, range(3)))))
+    fits = fits.withColumn("pivots", F.concat(constant, F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), F.col("p")),
+                                              F.slice(F.array(F.lit(3), F.lit(4)), F.lit(1), F.col("q"))))
+    fits = fits.withColumn("fit", _eliminated("gram", "pivots"))
+    # A coefficient of a variable that isn't in the order is 0.
+    for i, name in enumerate(("c", "phi1", "phi2", "theta1", "theta2")):
+        fits = fits.withColumn(name, F.when(F.array_contains("pivots", i), F.col("fit.m")[i][5]).otherwise(F.lit(0.0)))
+    def inside_circle(a1: Column, a2: Column) -> Column:  # roots of 1 - a1 B - a2 B^2 outside the unit circle
+        return (F.abs(a2) < 1) & (a1 + a2 < 1) & (a2 - a1 < 1)
+
+    stable = inside_circle(F.col("phi1"), F.col("phi2")) & inside_circle(-F.col("theta1"), -F.col("theta2"))
+    fits = fits.withColumn("zhat", F.col("c") + F.col("phi1") * F.col("zm") + F.col("theta1") * F.col("em")
+                           + F.when(F.col("p") == 2, F.col("phi2") * F.col("zm1")).otherwise(F.lit(0.0))
+                           + F.when(F.col("q") == 2, F.col("theta2") * F.col("em1")).otherwise(F.lit(0.0)))
+    yhat = (F.when(F.col("d") == 0, F.col("centre") + F.col("zhat")).when(F.col("d") == 1, F.col("ym") + F.col("zhat"))
+            .otherwise(2 * F.col("ym") - F.col("ym1") + F.col("zhat")))
+    valid = F.col("fit.ok") & stable & (F.col("E") >= F.size("pivots")) & (F.col("gaps") == 0)
+    y_test = F.col("y_holdout") if upto == "train" else F.lit(None).cast("double")
+    return fits.select(*key, "p", "d", "q", F.when(valid, _finite(yhat)).alias("forecast"), y_test.alias("y_test"))
 
 
 def best_order(series: DataFrame, fits: DataFrame, by: Sequence[str] = ("country",)) -> DataFrame:
@@ -307,10 +262,10 @@ def best_order(series: DataFrame, fits: DataFrame, by: Sequence[str] = ("country
 
 
 def fit_orders(series: DataFrame, by: Sequence[str] = ("country",), orders: str = "all", upto: str = "train") -> DataFrame:
-    """All fits: q = 0 by DataFrame closed forms, plus q > 0 by grouped map when ``orders='all'``."""
+    """All fits: q = 0 by closed forms, plus q > 0 by two regressions when ``orders='all'``."""
     fits = ar_forecasts(series, by, upto)
     if orders == "all":
-        fits = fits.unionByName(arima_forecasts(series, by, upto))
+        fits = fits.unionByName(arma_forecasts(series, by, upto))
     elif orders != "ar":
         raise ValueError("orders must be 'all' or 'ar'")
     return fits

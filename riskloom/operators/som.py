@@ -88,8 +88,8 @@ def som_init(features: DataFrame, grid=(5, 5), seed: int = 0, method: str = "ran
              key: Sequence[str] | None = None) -> DataFrame:
     """Initial codebook.
 
-    ``random``: the reference's random-rows init made deterministic: rows ranked by
-    ``xxhash64(key, seed)``, the first grid-size rows taken (a bounded top-k), cycled
+    ``random``: the reference's random-rows init made deterministic: rows ranked by the md5 of
+    their key's text and the seed, the first grid-size rows taken (a bounded top-k), cycled
     when there are fewer rows. ``grid``: a regular spread over each feature's
     min..max (x drives even features, y odd ones); reproducible in SQL.
     """
@@ -98,7 +98,7 @@ def som_init(features: DataFrame, grid=(5, 5), seed: int = 0, method: str = "ran
     features = complete_vectors(features)
     if method == "random":
         key = list(key or [c for c in features.columns if c != "v"])
-        picked = (features.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
+        picked = (features.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(seed))))
                   .orderBy("_h", *key).limit(gx * gy).select("v").collect())
         if not picked:
             raise ValueError("no training rows")
