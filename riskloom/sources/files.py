@@ -1,5 +1,5 @@
-"""Event files: tab-separated loads, zip archives, manifests, appends and table refresh
-(S5-S9, S11).
+"""Event files: tab-separated loads, zip archives, manifests, appends and table refresh, JSON
+files (S5-S9, S11, S12).
 
 All reads declare their schema (no inference) and all writes go to folders under
 the session's shared checkpoint folder or a caller-given path; nothing is staged on
@@ -9,17 +9,17 @@ the driver.
 from __future__ import annotations
 
 import io
-import os
+import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.plans.broadcast import BROADCAST_ROW_LIMIT, bounded_count, broadcast_if_small
 from riskloom.session import materialize, read_if_exists
+from riskloom.sources.log import TableLog
 
 # Canonical event file layout written and read by this package.
 EVENT_TSV_SCHEMA = T.StructType([
@@ -83,28 +83,34 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mo
 
 # ------------------------------------------------------------------ archives
 
-def write_archives(df: DataFrame, path: str, columns: Sequence[str] | None = None, prefix: str = "events") -> DataFrame:
-    """Pack rows as TSV members into zip archives, one archive per partition, written by
-    the tasks themselves (a retried task rewrites the same archive name). A test and
-    fixture helper: ``path`` must be a folder every executor can write as a file system
-    path (local or mounted). Returns (archive, member, rows)."""
-    cols = list(columns or [f.name for f in EVENT_TSV_SCHEMA.fields])
+def archive_members(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
+    """The directories of all archives: (archive, member, size). Nothing is decompressed."""
+    def listed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as zf:
+                    out += [(archive, i.filename, i.file_size) for i in zf.infolist() if not i.is_dir()]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)],
+                                             ["archive", "member", "size"])
 
-    def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-        frames = [pdf for pdf in it]
-        data = pd.concat(frames) if frames else pd.DataFrame(columns=cols)
-        member = f"{prefix}-{pid:05d}.tsv"
-        archive = os.path.join(path.replace("file:", ""), f"{prefix}-{pid:05d}.zip")
-        buf = io.StringIO()
-        data.to_csv(buf, sep="\t", header=False, index=False, lineterminator="\n")
-        with zipfile.ZipFile(archive, "w", compression=zipfile.ZIP_DEFLATED) as zf:
-            zf.writestr(member, buf.getvalue())
-        yield pd.DataFrame({"archive": [archive], "member": [member], "rows": [len(data)]})
+    return _archives(spark, path, glob).mapInArrow(listed, "archive string, member string, size long")
 
-    return df.select(*cols).mapInPandas(pack, "archive string, member string, rows long")
+
+def _archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
+def wanted_members(members: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """(archive, member) to expand: of a name in several archives the last archive's, as the reference's
+    overwriting of same-named members leaves it, and none whose name is expanded already."""
+    winners = members.groupBy("member").agg(F.max("archive").alias("archive"))
+    if expanded is not None:
+        winners = winners.join(expanded.select("member").distinct(), "member", "left_anti")
+    return winners.select("archive", "member")
 
 
 def expand_archives(spark: SparkSession, path: str, expanded: DataFrame | None = None,
@@ -112,38 +118,40 @@ def expand_archives(spark: SparkSession, path: str, expanded: DataFrame | None =
     """Archives -> ``(archive, member, line)``, streamed member by member in line
     batches (no member is held whole in memory).
 
-    ``expanded`` (``member`` column) lists members already expanded; they are skipped.
-    A member name found in several archives is kept once, from the last archive name,
-    as the reference's overwrite of same-named members leaves it.
+    What to expand is decided on the archives' directories first: ``expanded`` (``member``
+    column) lists members that are skipped, and a name in several archives is taken from the last.
+    Only the members that are left are decompressed, so a run without new members
+    decompresses nothing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-
-    def unpack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for archive, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    for member in zf.namelist():
+    wanted = wanted_members(archive_members(spark, path, glob), expanded)
+    # One row per archive with its wanted members; the archives' bytes stay where they are read if it is small.
+    lists = materialize(wanted.groupBy("archive").agg(F.collect_list("member").alias("members")), "members")
+    n = bounded_count(lists)
+    lists = broadcast_if_small(lists, n if n <= BROADCAST_ROW_LIMIT else None)
+    files = _archives(spark, path, glob).withColumnRenamed("path", "archive").join(lists, "archive").select("archive", "content", "members")
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        def told(archive, member, lines):
+            return pa.RecordBatch.from_arrays([pa.array([archive] * len(lines)), pa.array([member] * len(lines)), pa.array(lines, pa.string())],
+                                              ["archive", "member", "line"])
+
+        for batch in batches:
+            for archive, content, members in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as zf:
+                    for member in members:
                         with zf.open(member) as fh:
-                            batch = []
+                            lines = []
                             for raw in io.TextIOWrapper(fh, encoding="utf-8", newline="\n"):
-                                batch.append(raw.rstrip("\n"))
-                                if len(batch) >= lines_per_batch:
-                                    yield pd.DataFrame({"archive": archive, "member": member, "line": batch})
-                                    batch = []
-                            if batch:
-                                yield pd.DataFrame({"archive": archive, "member": member, "line": batch})
-
-    lines = files.mapInPandas(unpack, "archive string, member string, line string")
-    if expanded is not None:
-        lines = lines.join(expanded.select("member").distinct(), "member", "left_anti")
-    # Expanded members are written once (as the reference stores them), so the archives
-    # are decompressed a single time; the dedupe below reads the written lines.
-    lines = materialize(lines, "expanded")
-    # One row per archive member (file metadata, not data rows), broadcast when counted small.
-    winner = lines.groupBy("member").agg(F.max("archive").alias("archive"))
-    n = bounded_count(winner)
-    winner = broadcast_if_small(winner, n if n <= BROADCAST_ROW_LIMIT else None)
-    return lines.join(winner, ["member", "archive"], "left_semi")
+                                lines.append(raw.rstrip("\n"))
+                                if len(lines) >= lines_per_batch:
+                                    yield told(archive, member, lines)
+                                    lines = []
+                            if lines:
+                                yield told(archive, member, lines)
+
+    return files.mapInArrow(unpack, "archive string, member string, line string")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType = EVENT_TSV_SCHEMA) -> DataFrame:
@@ -156,37 +164,93 @@ def parse_lines(lines: DataFrame, schema: T.StructType = EVENT_TSV_SCHEMA) -> Da
 # ------------------------------------------------------------------ manifests, appends, refresh
 
 def write_manifest(spark: SparkSession, data_path: str, manifest_path: str, glob: str = "*.csv") -> str:
-    """Write a load manifest ``{"entries": [{"url": ..., "mandatory": true}]}`` naming the
-    data files under ``data_path``. One JSON document, written by Spark."""
-    listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(data_path)
-              .select(F.struct(F.col("path").alias("url"), F.lit(True).alias("mandatory")).alias("e")))
-    doc = listed.agg(F.sort_array(F.collect_list("e")).alias("entries"))
-    doc.coalesce(1).write.mode("overwrite").json(manifest_path)
+    """Write a load manifest naming the data files under ``data_path``: one JSON line
+    ``{"url": ..., "mandatory": true}`` per file, written by the tasks that list them."""
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+              .load(data_path).select(F.col("path").alias("url"), F.lit(True).alias("mandatory")))
+    listed.write.mode("overwrite").json(manifest_path)
     return manifest_path
 
 
-def load_manifest(spark: SparkSession, manifest_path: str, schema: T.StructType = EVENT_TSV_SCHEMA) -> DataFrame:
-    """Read the manifest, then load exactly the files it names in one scan."""
-    mschema = "entries array<struct<url: string, mandatory: boolean>>"
-    urls = (spark.read.schema(mschema).option("multiLine", "true").json(manifest_path)
-            .select(F.explode("entries").alias("e")).select("e.url").collect())
-    return read_tsv(spark, [r["url"] for r in urls], schema)
+def read_manifest(spark: SparkSession, manifest_path: str) -> DataFrame:
+    """(url, mandatory) per file, from JSON lines or from one document ``{"entries": [...]}``."""
+    rows = spark.read.schema("url string, mandatory boolean, entries array<struct<url: string, mandatory: boolean>>").json(manifest_path)
+    one = F.array(F.struct("url", "mandatory"))
+    return rows.select(F.explode(F.coalesce("entries", one)).alias("e")).select("e.url", "e.mandatory").filter(F.col("url").isNotNull())
+
+
+def _comparable(path: Column) -> Column:
+    """A file's path without the empty authority that listings write in different ways, and unescaped."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
+def load_manifest(spark: SparkSession, manifest_path: str, data_path: str, schema: T.StructType = EVENT_TSV_SCHEMA) -> DataFrame:
+    """The rows of exactly the files that the manifest names, in one scan below ``data_path``.
+    The scan meets the manifest on the hidden file path, so no list of paths reaches the driver;
+    lines of other files are dropped before they are parsed. A mandatory file that isn't there
+    is an error, as a load that lacks it must not count."""
+    manifest = read_manifest(spark, manifest_path).select(_comparable(F.col("url")).alias("file"), "mandatory").distinct()
+    there = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(data_path)
+             .select(_comparable(F.col("path")).alias("file")))
+    lost = manifest.filter(F.coalesce("mandatory", F.lit(False))).join(there, "file", "left_anti").select("file").head(1)
+    if lost:
+        raise FileNotFoundError(f"the manifest needs {lost[0]['file']}")
+    lines = (spark.read.option("recursiveFileLookup", "true").text(data_path)
+             .select("value", F.col("_metadata.file_path").alias("source_file")))
+    lines = lines.withColumn("file", _comparable(F.col("source_file"))).join(manifest.select("file").distinct(), "file", "left_semi")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = lines.select("source_file", F.from_csv("value", ddl, {"sep": "\t", "quote": '"', "mode": "FAILFAST"}).alias("r"))
+    return parsed.select("r.*", "source_file")
 
 
 def append_events(rows: DataFrame, table_path: str, partition_by: Sequence[str] = ()) -> int:
-    """Append rows to a Parquet table, skipping source files it already holds
-    (the reference appends blindly, so a rerun duplicates rows). Returns the number
-    of newly appended source files."""
-    spark = rows.sparkSession
-    stored = read_if_exists(spark, table_path)
-    fresh = rows if stored is None else rows.join(stored.select("source_file").distinct(), "source_file", "left_anti")
-    n_files = fresh.select("source_file").distinct().count()
-    if n_files:
-        writer = fresh.write.mode("append")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(table_path)
-    return n_files
+    """Append the rows of source files that the table doesn't hold yet (the reference
+    appends blindly, so a rerun duplicates rows). Returns the number of newly appended files.
+
+    Rows go to a folder of their own below ``data``, their file names to a small table beside it
+    (``files``), and a commit makes both count. What is held already is read from these names,
+    never from the data. If another load commits first, files that it brought as well go
+    from this one, and it tries again.
+    """
+    spark, log = rows.sparkSession, TableLog(rows.sparkSession, table_path)
+    root, fresh = table_path.rstrip("/"), rows
+    while True:
+        version = log.latest()
+        seen = loaded_files(spark, table_path)
+        if seen is not None:
+            fresh = fresh.join(seen, "source_file", "left_anti")
+        load = uuid.uuid4().hex
+        writer = fresh.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/data/load={load}")
+        written = read_if_exists(spark, f"{root}/data/load={load}")
+        if written is None:  # a partitioned write of no rows leaves no file
+            return 0
+        written.select("source_file").distinct().write.parquet(f"{root}/files/load={load}")
+        n_files = spark.read.parquet(f"{root}/files/load={load}").count()
+        if not n_files:
+            return 0
+        if log.commit(version + 1, load=load):
+            return n_files
+        fresh = written.select(*rows.columns)
+
+
+def loaded_files(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """(source_file) of all committed loads; None before the first."""
+    commits = TableLog(spark, table_path).commits()
+    if commits is None:
+        return None
+    files = spark.read.parquet(f"{table_path.rstrip('/')}/files")
+    return files.join(commits.filter(F.col("load").isNotNull()).select("load"), "load", "left_semi").select("source_file").distinct()
+
+
+def read_events(spark: SparkSession, table_path: str) -> DataFrame:
+    """The rows of all committed loads of an event table."""
+    commits = TableLog(spark, table_path).commits()
+    if commits is None:
+        raise FileNotFoundError(f"no committed load under {table_path}")
+    data = spark.read.parquet(f"{table_path.rstrip('/')}/data")
+    return data.join(commits.filter(F.col("load").isNotNull()).select("load"), "load", "left_semi").drop("load")
 
 
 def store_events(rows: DataFrame, table_path: str, empty_country: str = "null") -> int:
@@ -197,31 +261,52 @@ def store_events(rows: DataFrame, table_path: str, empty_country: str = "null")
     return append_events(typed, table_path, partition_by=("week",))
 
 
-def _current_version(spark: SparkSession, table_root: str) -> str | None:
-    """The newest version named in the pointer folder, to which versions are only appended."""
-    pointers = read_if_exists(spark, f"{table_root.rstrip('/')}/_VERSIONS", "text")
-    row = None if pointers is None else pointers.agg(F.max(F.col("value").cast("int"))).first()
-    return f"v{row[0]}" if row and row[0] is not None else None
-
-
 def refresh_table(df: DataFrame, table_root: str) -> str:
-    """Full refresh without an empty moment: write a new version folder, then append its
-    number to the pointers. Nothing that a reader uses is ever deleted or overwritten, so
-    ``read_current`` works at every moment (the reference deletes, then inserts)."""
-    spark = df.sparkSession
-    cur = _current_version(spark, table_root)
-    number = int(cur[1:]) + 1 if cur else 1
-    target = f"{table_root.rstrip('/')}/v{number}"
-    df.write.mode("overwrite").parquet(target)  # a leftover of an interrupted refresh has no pointer
-    spark.range(1).select(F.lit(str(number)).alias("value")).coalesce(1).write.mode("append").text(f"{table_root.rstrip('/')}/_VERSIONS")
-    return target
+    """Full refresh without an empty moment: write a new folder, then commit it as the next
+    version. Nothing that a reader uses is ever deleted or overwritten, so ``read_current`` works at
+    every moment (the reference deletes, then inserts), and two refreshes at once give two versions."""
+    log = TableLog(df.sparkSession, table_root)
+    folder = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table_root.rstrip('/')}/{folder}")
+    while not log.commit(log.latest() + 1, folder=folder):
+        pass  # another refresh took the number
+    return f"{table_root.rstrip('/')}/{folder}"
 
 
 def read_current(spark: SparkSession, table_root: str) -> DataFrame:
-    version = _current_version(spark, table_root)
-    if version is None:
+    commits = TableLog(spark, table_root).commits()
+    row = None if commits is None else commits.filter(F.col("folder").isNotNull()).agg(F.max_by("folder", "version")).first()
+    if row is None or row[0] is None:
         raise FileNotFoundError(f"no table version under {table_root}")
-    return spark.read.parquet(f"{table_root.rstrip('/')}/{version}")
+    return spark.read.parquet(f"{table_root.rstrip('/')}/{row[0]}")
+
+
+# ------------------------------------------------------------------ JSON files
+
+def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Request files, one JSON document each, to ``(request_id, json, source_file)``, and the files that are
+    set aside because they hold no JSON object with an item list. A request's id is a hash of its file's path;
+    the text goes on as it is, so the order of names and of doubled keys is that of the file."""
+    files = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("source_file"))
+    files = files.select(F.xxhash64("source_file").alias("request_id"), "json", "source_file")
+    known = F.from_json("json", "items array<map<string,array<map<string,double>>>>")["items"].isNotNull()
+    return files.filter(known), files.filter(~known)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object of code -> name as ``(pos, code, name)``, in the file's order (which decides between two
+    codes of one name). A file that is no JSON object is an error."""
+    files = spark.read.format("text").option("wholetext", "true").load(path)
+    entries = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    return files.select(F.posexplode(F.map_entries(entries)).alias("pos", "e")).select("pos", F.col("e.key").alias("code"), F.col("e.value").alias("name"))
+
+
+def write_json_object(entries: DataFrame, path: str, order: str, key: str, value: str) -> str:
+    """Write a small dictionary as one JSON object with its keys in the given order."""
+    pairs = F.sort_array(F.collect_list(F.struct(order, key, value)))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.regexp_replace(F.to_json(F.create_map(e[key], e[value])), r"^\{|\}$", "")), ",\n"), F.lit("}"))
+    entries.agg(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return path
 
 
 # ------------------------------------------------------------------ SOM codebook

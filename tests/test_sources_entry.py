@@ -38,6 +38,23 @@ def test_same_member_last_archive_wins(spark):  # E20
     assert SF.expand_archives(spark, d, expanded=seen).count() == 0
 
 
+def test_nothing_is_decompressed_but_what_is_wanted(spark):
+    d = work_path(spark, "zips").replace("file:", "")
+    os.makedirs(d)
+    _zip(os.path.join(d, "a.zip"), "old.tsv", ["x"])
+    _zip(os.path.join(d, "b.zip"), "new.tsv", ["y"])
+    with open(os.path.join(d, "a.zip"), "r+b") as fh:  # the bytes of old.tsv are damaged, its directory isn't
+        raw = fh.read()
+        at = raw.index(b"old.tsv") + len("old.tsv")
+        fh.seek(at)
+        fh.write(b"\xff\xff")
+    assert sorted((r.archive[-5:], r.member, r["size"]) for r in SF.archive_members(spark, d).collect()) == [("a.zip", "old.tsv", 2), ("b.zip", "new.tsv", 2)]
+    seen = spark.createDataFrame([("old.tsv",)], "member string")
+    assert [r.line for r in SF.expand_archives(spark, d, expanded=seen).collect()] == ["y"]
+    with pytest.raises(Exception):  # noqa: B017 - unwanted, it was not read; wanted, it fails
+        SF.expand_archives(spark, d).collect()
+
+
 def test_bad_row_fails_load(spark):  # E21
     d = work_path(spark, "bad").replace("file:", "")
     os.makedirs(d)
@@ -56,9 +73,95 @@ def test_append_twice_no_duplicates(spark):  # E22
     rows = SF.read_tsv(spark, d)
     assert SF.append_events(rows, table) == 1
     assert SF.append_events(rows, table) == 0
-    got = spark.read.parquet(table).collect()
+    got = SF.read_events(spark, table).collect()
     assert len(got) == 1 and got[0]["country"] is None  # E9: empty field reads as NULL
-    assert SF.canonical_events(spark.read.parquet(table), empty_country="keep").first()["country"] == ""
+    assert SF.canonical_events(SF.read_events(spark, table), empty_country="keep").first()["country"] == ""
+
+
+def test_a_reload_reads_names_and_a_crash_changes_nothing(spark, monkeypatch):
+    table = work_path(spark, "tbl")
+    rows = spark.createDataFrame([("f1", 1), ("f1", 2), ("f2", 3)], "source_file string, x int")
+    with monkeypatch.context() as m:
+        m.setattr(SF.TableLog, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("crash before the commit")))
+        with pytest.raises(RuntimeError):
+            SF.append_events(rows, table)
+    assert SF.loaded_files(spark, table) is None
+    assert SF.append_events(rows, table) == 2
+    more = rows.unionByName(spark.createDataFrame([("f3", 4)], "source_file string, x int"))
+    assert SF.append_events(more, table) == 1
+    assert sorted(r.x for r in SF.read_events(spark, table).collect()) == [1, 2, 3, 4]
+    assert all("/files/" in f or "/_log/" in f for f in SF.loaded_files(spark, table).inputFiles())
+
+
+def test_loads_and_refreshes_at_once(spark, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table, root = work_path(spark, "tbl"), work_path(spark, "refresh")
+    commit, tries = SF.TableLog.commit, []
+
+    def slow(self, version, **entry):  # both writers look before either commits
+        import time
+
+        tries.append(version)
+        time.sleep(1.0 if len(tries) <= 2 else 0.0)
+        return commit(self, version, **entry)
+
+    monkeypatch.setattr(SF.TableLog, "commit", slow)
+    a = spark.createDataFrame([("f1", 1), ("f2", 2)], "source_file string, x int")
+    b = spark.createDataFrame([("f2", 2), ("f3", 3)], "source_file string, x int")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda df: SF.append_events(df, table), (a, b)))
+    assert sorted(r.x for r in SF.read_events(spark, table).collect()) == [1, 2, 3]
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda n: SF.refresh_table(spark.range(n), root), (3, 5)))
+    assert len(set(done)) == 2 and SF.TableLog(spark, root).latest() == 2
+    assert SF.read_current(spark, root).count() in (3, 5)
+
+
+def test_manifest_loads_only_its_files(spark):
+    d = work_path(spark, "man").replace("file:", "")
+    os.makedirs(d + "/sub dir")
+    line = "{}\t20240101\t14\tXX\t3\t1\t1\t0.5\t0.5\n"
+    for i, name in enumerate(["a+b.csv", "c.csv", "sub dir/d.csv"]):
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write(line.format(i))
+    urls = [f"file://{d}/a+b.csv", f"file:{d}/sub%20dir/d.csv"]
+    lines, document = work_path(spark, "m1"), work_path(spark, "m2")
+    spark.createDataFrame([(u, True) for u in urls], "url string, mandatory boolean").write.json(lines)
+    spark.createDataFrame([([(u, True) for u in urls],)], "entries array<struct<url:string,mandatory:boolean>>").coalesce(1).write.json(document)
+    for manifest in (lines, document):
+        assert sorted(r.event_id for r in SF.load_manifest(spark, manifest, d).collect()) == [0, 2]
+    SF.write_manifest(spark, d, lines)
+    assert SF.read_manifest(spark, lines).count() == 3
+    assert sorted(r.event_id for r in SF.load_manifest(spark, lines, d).collect()) == [0, 1, 2]
+    with open(os.path.join(d, "c.csv"), "w") as fh:
+        fh.write("short\n")
+    with pytest.raises(Exception):  # noqa: B017 - a bad row fails the load
+        SF.load_manifest(spark, lines, d).collect()
+    os.remove(os.path.join(d, "c.csv"))
+    with pytest.raises(FileNotFoundError):
+        SF.load_manifest(spark, lines, d)
+
+
+def test_json_files_keep_their_order(spark):
+    d = work_path(spark, "json").replace("file:", "")
+    os.makedirs(d + "/requests")
+    with open(d + "/codes.json", "w") as fh:
+        fh.write('{\n "ZZ": "Same",\n "AA": "Same", "B": "O\\"ther"}')
+    assert [tuple(r) for r in SF.read_dictionary(spark, d + "/codes.json").collect()] == [(0, "ZZ", "Same"), (1, "AA", "Same"), (2, "B", 'O"ther')]
+    from riskloom.operators import sourcing as X
+    assert {r.name: r.code for r in X.country_code_of(SF.read_dictionary(spark, d + "/codes.json")).collect()} == {"Same": "ZZ", 'O"ther': "B"}
+    with open(d + "/bad.json", "w") as fh:
+        fh.write("[1, 2")
+    with pytest.raises(Exception):  # noqa: B017
+        SF.read_dictionary(spark, d + "/bad.json").collect()
+    good = '{"items": [{"B": [{"C2": 2}, {"C1": 1}]}, {"A": [{"C3": 3}]}], "risk_aversion": "Low"}'
+    for name, text in (("a.json", good), ("b.json", "not json"), ("c.json", '{"risk_aversion": "Low"}'), ("d.json", "")):
+        with open(f"{d}/requests/{name}", "w") as fh:
+            fh.write(text)
+    requests, aside = SF.read_requests(spark, d + "/requests")
+    assert [r.json for r in requests.collect()] == [good] and {r.source_file[-6:] for r in aside.collect()} >= {"b.json", "c.json"}
+    assert [(r.item, r.country) for r in X.offers_long(requests).orderBy("item_pos", "offer_pos").collect()] == [("B", "C2"), ("B", "C1"), ("A", "C3")]
 
 
 def test_refresh_switches_versions(spark):
@@ -86,7 +189,7 @@ def test_stored_events_prune_weeks(spark):
             fh.write(f"{i}\t{day}\t14\tXX\t3\t1\t1\t0.5\t0.5\n")
     table = work_path(spark, "events")
     assert SF.store_events(SF.read_tsv(spark, d), table) == 1
-    stored = spark.read.parquet(table)
+    stored = SF.read_events(spark, table)
     out = W.weekly_metrics(stored, "2024-03-10", -1, strategy="window")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(week" in plan and "week#" in plan
@@ -116,7 +219,7 @@ def test_raw_58_column_layout(spark):
         fh.write("\t".join(fields) + "\n")
     table = work_path(spark, "raw-events")
     assert SF.store_events(SF.read_gdelt_events(spark, d), table) == 1
-    r = spark.read.parquet(table).first()
+    r = SF.read_events(spark, table).first()
     assert (r["event_id"], r["country"], r["num_mentions"], r["avg_tone"], str(r["event_date"]), str(r["week"])) == \
         (42, "FR", 7, -3.25, "2024-03-05", "2024-03-04")
 
@@ -126,13 +229,16 @@ def test_a_failed_read_is_not_an_empty_table(spark):
 
     assert read_if_exists(spark, work_path(spark, "absent")) is None
     broken = work_path(spark, "broken").replace("file:", "")
-    os.makedirs(broken)
-    with open(os.path.join(broken, "part-0.parquet"), "w") as fh:
-        fh.write("not parquet")
     rows = spark.createDataFrame([("f1", 1)], "source_file string, x int")
-    with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises, nothing may be written
+    assert SF.append_events(rows, broken) == 1
+    for folder, _, names in os.walk(broken + "/files"):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(os.path.join(folder, name), "w") as fh:
+                    fh.write("not parquet")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises, nothing may be committed
         SF.append_events(rows, broken)
-    assert os.listdir(broken) == ["part-0.parquet"]
+    assert SF.TableLog(spark, broken).latest() == 1
     root = work_path(spark, "versions")
     for n in (1, 2, 3):
         SF.refresh_table(spark.range(n), root)
