@@ -12,7 +12,7 @@ SQL text (what the DuckDB oracle reads). Both read the whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixture reference date and the unique event key of the lineitem-based events.
@@ -134,6 +134,23 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reqs
 
 
+ODD_REQUESTS = 10_000_000
+
+
+def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of unusual shape, six per nation: broken JSON, no items, several names in one map, an item
+    without offers, no item list, and a name whose second list replaces the first one."""
+    na, name, n = table(spark, sf_dir, "nation"), F.col("n_name"), F.col("n_nationkey").cast("string")
+    offer = F.concat(F.lit('[{"'), name, F.lit('": 1'), n, F.lit('.5}]'))
+    head, tail = F.lit('{"items": ['), F.lit('], "risk_aversion": "Low"}')
+    shapes = [F.concat(F.lit("{broken "), name), F.concat(head, tail),
+              F.concat(head, F.lit('{"A": '), offer, F.lit(', "B": '), offer, F.lit("}"), tail),
+              F.concat(head, F.lit('{"A": '), offer, F.lit('}, {"B": []}'), tail), F.lit('{"risk_aversion": "Low"}'),
+              F.concat(head, F.lit('{"A": [{"UNKNOWN": 1}]}, {"A": '), offer, F.lit("}"), tail)]
+    return na.select(F.posexplode(F.array(*shapes)).alias("k", "json"), "n_nationkey").select(
+        (F.lit(ODD_REQUESTS) + 10 * F.col("n_nationkey") + F.col("k")).cast("long").alias("request_id"), "json")
+
+
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10 risk per nation, in thousandths (integers keep sums and ties exact)."""
     na = table(spark, sf_dir, "nation")
@@ -141,7 +158,9 @@ def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ((F.col("n_nationkey") * 37) % 101 / 1000.0).cast("double").alias("distance"))
     # every fifth nation has a second, lower score: the larger one counts
     again = na.filter("n_nationkey % 5 = 0").select(F.col("n_name").alias("country"), F.lit(0.0).alias("distance"))
-    return scored.unionByName(again)
+    # a row without a score is none
+    unknown = na.filter("n_nationkey = 1").select(F.lit("UNSCORED").alias("country"), F.lit(None).cast("double").alias("distance"))
+    return scored.unionByName(again).unionByName(unknown)
 
 
 RISK_SQL = "SELECT n_name AS country, CAST(((n_nationkey * 37) % 101) / 1000.0 AS DOUBLE) AS distance FROM nation"
@@ -167,3 +186,40 @@ UNION ALL
 SELECT CAST(n_nationkey * 2 + 1 AS INTEGER) AS pos, 'N' || CAST(n_nationkey AS VARCHAR) AS code,
        upper(substr(replace(n_name, '_', ' '), 1, 1)) || lower(substr(replace(n_name, '_', ' '), 2)) AS name FROM nation
 """
+
+
+# ---------------------------------------------------------------- archives
+
+def write_archives(df: DataFrame, path: str, member: Column, prefix: str) -> None:
+    """Rows as tab-separated members of zip archives ``{prefix}{member}.zip``, one member each, streamed by the
+    tasks to any file system that a URI names; a repeated task writes the same archives again."""
+    columns, root = df.columns, path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
+
+    def pack(frames):
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        open_now, names = None, []
+        for frame in frames:
+            for name, part in frame.groupby("_member", sort=False):
+                if open_now is None or open_now[0] != name:
+                    close(open_now)
+                    out = store.open_output_stream(f"{folder}/{prefix}{name}.zip")
+                    archive = zipfile.ZipFile(out, "w", compression=zipfile.ZIP_DEFLATED)
+                    open_now = name, archive.open(f"{name}.tsv", "w", force_zip64=True), archive, out
+                    names.append(name)
+                open_now[1].write(part[columns].to_csv(sep="\t", header=False, index=False, lineterminator="\n").encode())
+        close(open_now)
+        yield pd.DataFrame({"member": names})
+
+    def close(opened):
+        for x in (opened or ())[1:]:
+            x.close()
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(member.alias("_member"), *columns).repartition(parts, "_member").sortWithinPartitions("_member")
+    rows.mapInPandas(pack, "member string").write.format("noop").mode("overwrite").save()

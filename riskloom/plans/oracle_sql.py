@@ -156,6 +156,73 @@ def ar_fit_ctes(upto: str = "train", tag: str = "") -> list[str]:
     ]
 
 
+def _orthogonal(source: str, tag: str, variables: list[str], target: str, carried: str, tolerance: float) -> list[str]:
+    """Regression by orthogonal projections, step by step: every variable is taken out of the later ones and
+    the target, with rows of weight ``w`` = 1 counting. ``bad`` marks groups ``g`` in which a variable repeats
+    the ones before. What is left of the target is the residual, and of a row with weight 0 and target 0 minus
+    its prediction."""
+    first = ", ".join(f"sum(w * {v} * {v}) OVER (PARTITION BY g) AS n_{v}" for v in variables)
+    out = [f"{tag}0 AS (SELECT *, {first}, sum(w * {target} * {target}) OVER (PARTITION BY g) AS n_{target}, false AS bad FROM {source})"]
+    for i, v in enumerate(variables):
+        rest = [*variables[i + 1:], target]
+        norm = f"sum(w * {v} * {v}) OVER (PARTITION BY g)"
+        cols = ", ".join(f"{u} - coalesce(sum(w * {u} * {v}) OVER (PARTITION BY g) / nullif({norm}, 0), 0) * {v} AS {u}" for u in rest)
+        kept = ", ".join(f"n_{x}" for x in [*variables, target])
+        out.append(f"{tag}{i + 1} AS (SELECT {carried}, g, w, {kept}, {cols}, bad OR (use_{v} AND NOT coalesce({norm} > {tolerance} * n_{v}, false)) AS bad, "
+                   + ", ".join(f"use_{x}" for x in variables) + f" FROM {tag}{i})")
+    return out
+
+
+def arma_ctes(months: int = -2) -> list[str]:
+    """Adds ``ma``: (country, metric, p, d, q, forecast) for the 18 q > 0 orders, by orthogonal projections."""
+    long_fit = _orthogonal("l1", "lo", ["o", "a", "b"], "v", "country, metric, d, t, m, e_rows", 1e-4)
+    fit = _orthogonal("ds", "hr", ["o", "a", "b", "s", "u"], "v", "country, metric, p, d, q, probe, e_rows", 1e-4)
+    return [
+        "ce AS (SELECT country, metric, n - 1 AS m, avg(y) FILTER (WHERE t <= n - 1) AS mu, count(*) FILTER (WHERE y IS NULL) AS gaps FROM sl GROUP BY ALL)",
+        """zd AS (SELECT sl.country, sl.metric, t, m, d, CASE d WHEN 0 THEN y - mu WHEN 1 THEN y - y_lag1 ELSE y - 2 * y_lag1 + y_lag2 END AS z
+  FROM sl JOIN ce ON ce.country = sl.country AND ce.metric = sl.metric JOIN (VALUES (0), (1), (2)) dd(d) ON t <= m WHERE gaps = 0)""",
+        "zl AS (SELECT *, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2 FROM zd WINDOW w AS (PARTITION BY country, metric, d ORDER BY t))",
+        """l1 AS (SELECT country, metric, d, t, m, country || chr(1) || metric || chr(1) || d AS g, 1 AS w, count(*) OVER (PARTITION BY country, metric, d) AS e_rows,
+  CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END AS o, z1 AS a, z2 AS b, z AS v, d = 0 AS use_o, true AS use_a, true AS use_b FROM zl WHERE t >= d + 3)""",
+        *long_fit,
+        """sh AS (SELECT country, metric, d, t, v AS e FROM (SELECT *, sum(v * v) OVER (PARTITION BY g) AS left_over FROM lo3) x
+  WHERE NOT bad AND e_rows > CASE WHEN d = 0 THEN 3 ELSE 2 END AND left_over > 1e-9 * n_v)""",
+        """ze AS (SELECT zl.*, sh.e, lag(sh.e, 1) OVER w AS e1, lag(sh.e, 2) OVER w AS e2 FROM zl LEFT JOIN sh USING (country, metric, d, t)
+  WINDOW w AS (PARTITION BY country, metric, d ORDER BY t))""",
+        "oq AS (SELECT a.p, b.q FROM (VALUES (0), (1), (2)) a(p), (VALUES (1), (2)) b(q))",
+        """eq AS (SELECT country, metric, p, d, q, 'no' AS probe, 1 AS w, CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END AS o, CASE WHEN p >= 1 THEN z1 ELSE 0 END AS a,
+    CASE WHEN p = 2 THEN z2 ELSE 0 END AS b, e1 AS s, CASE WHEN q = 2 THEN e2 ELSE 0 END AS u, z AS v FROM ze, oq WHERE t >= d + 3 + q AND e1 IS NOT NULL
+  UNION ALL SELECT country, metric, p, d, q, 'next', 0, CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN p >= 1 THEN z ELSE 0 END,
+    CASE WHEN p = 2 THEN z1 ELSE 0 END, e, CASE WHEN q = 2 THEN e1 ELSE 0 END, 0 FROM ze, oq WHERE t = m
+  UNION ALL SELECT country, metric, p, d, q, name, 0, 0, CASE name WHEN 'a' THEN 1 ELSE 0 END, CASE name WHEN 'b' THEN 1 ELSE 0 END,
+    CASE name WHEN 's' THEN 1 ELSE 0 END, CASE name WHEN 'u' THEN 1 ELSE 0 END, 0 FROM ze, oq, (VALUES ('a'), ('b'), ('s'), ('u')) pr(name) WHERE t = m)""",
+        """ds AS (SELECT *, country || chr(1) || metric || chr(1) || p || chr(1) || d || chr(1) || q AS g, d = 0 AS use_o, p >= 1 AS use_a, p = 2 AS use_b, true AS use_s, q = 2 AS use_u,
+  sum(w) OVER (PARTITION BY country, metric, p, d, q) AS e_rows FROM eq)""",
+        *fit,
+        """pr AS (SELECT country, metric, p, d, q, bool_or(bad) AS bad, max(e_rows) AS e_rows, max(CASE probe WHEN 'next' THEN -v END) AS zhat,
+  coalesce(max(CASE WHEN probe = 'a' AND p >= 1 THEN -v END), 0) AS f1, coalesce(max(CASE WHEN probe = 'b' AND p = 2 THEN -v END), 0) AS f2,
+  coalesce(max(CASE probe WHEN 's' THEN -v END), 0) AS h1, coalesce(max(CASE WHEN probe = 'u' AND q = 2 THEN -v END), 0) AS h2
+  FROM hr5 GROUP BY country, metric, p, d, q)""",
+        """fi AS (SELECT pr.*, mu + zhat AS y0, sl.y + zhat AS y1, 2 * sl.y - sl.y_lag1 + zhat AS y2 FROM pr JOIN ce USING (country, metric)
+  JOIN sl ON sl.country = pr.country AND sl.metric = pr.metric AND sl.t = ce.m
+  WHERE NOT bad AND e_rows >= p + q + CASE WHEN d = 0 THEN 1 ELSE 0 END AND abs(f2) < 1 AND f1 + f2 < 1 AND f2 - f1 < 1
+    AND abs(h2) < 1 AND -h1 - h2 < 1 AND h1 - h2 < 1)""",
+        """ma AS (SELECT s.country, s.metric, oq.p, dd.d, oq.q, CASE dd.d WHEN 0 THEN y0 WHEN 1 THEN y1 ELSE y2 END AS forecast
+  FROM (SELECT DISTINCT country, metric FROM st WHERE n > 1) s CROSS JOIN oq CROSS JOIN (VALUES (0), (1), (2)) dd(d)
+  LEFT JOIN fi ON fi.country = s.country AND fi.metric = s.metric AND fi.p = oq.p AND fi.d = dd.d AND fi.q = oq.q)""",
+    ]
+
+
+def all_best_ctes(months: int = -2) -> list[str]:
+    """Adds ``bo``: the winner of all 27 orders."""
+    return ar_ctes(months) + arma_ctes(months) + [
+        "fa AS (SELECT * FROM fc UNION ALL SELECT * FROM ma)",
+        """sc AS (SELECT fa.*, power(st.y - fa.forecast, 2) AS mse FROM fa
+  JOIN st ON st.country = fa.country AND st.metric = fa.metric AND st.t = st.n WHERE fa.forecast IS NOT NULL)""",
+        """bo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, metric ORDER BY mse, p, d, q) AS rk FROM sc) x WHERE rk = 1)""",
+    ]
+
+
 def best_ctes(months: int = -2, direction: str = "forward") -> list[str]:
     """Adds ``bo``: the winning q = 0 order per series with its forecast and error."""
     return ar_ctes(months, direction=direction) + [
@@ -167,11 +234,11 @@ def best_ctes(months: int = -2, direction: str = "forward") -> list[str]:
     ]
 
 
-def forecast_table_sql(months: int = -2, direction: str = "forward") -> str:
+def forecast_table_sql(months: int = -2, direction: str = "forward", orders: str = "ar", digits: int = 6) -> str:
     piv = ",\n  ".join(f"max(CASE WHEN metric = '{m}' THEN forecast END) AS {m}" for m in METRIC_NAMES)
     complete = " AND ".join(f"w.{m} IS NOT NULL" for m in METRIC_NAMES)
-    outs = ", ".join(f"round(CASE WHEN {complete} THEN w.{m} ELSE 0.0 END, 6) AS {m}" for m in METRIC_NAMES)
-    ctes = best_ctes(months, direction) + [f"wd AS (SELECT country, {piv} FROM bo GROUP BY country)",
+    outs = ", ".join(f"round(CASE WHEN {complete} THEN w.{m} ELSE 0.0 END, {digits}) AS {m}" for m in METRIC_NAMES)
+    ctes = (best_ctes(months, direction) if orders == "ar" else all_best_ctes(months)) + [f"wd AS (SELECT country, {piv} FROM bo GROUP BY country)",
                                 "cn AS (SELECT DISTINCT country FROM ev WHERE country IS NOT NULL)"]
     return ("WITH " + ",\n".join(ctes) +
             f"\nSELECT cn.country, {outs}, NOT ({complete}) AS is_fallback"
@@ -230,6 +297,56 @@ def som_ctes(months: int = -2, sigma: float = 1.0, rate: float = 0.5) -> list[st
     ]
 
 
+def som_init_ctes(source: str, seed: int = 7) -> list[str]:
+    """Adds ``k0``: the first 25 rows of ``source`` (id, f0..f4) by md5 of id and seed, cycled if fewer."""
+    fs = ", ".join(f"f{i}" for i in range(5))
+    ws = ", ".join(f"f{i} AS w{i}" for i in range(5))
+    return [
+        f"tr AS MATERIALIZED (SELECT id, {fs} FROM {source} WHERE f0 + f1 + f2 + f3 + f4 IS NOT NULL)",
+        f"rn AS (SELECT {fs}, row_number() OVER (ORDER BY md5(id || '|{seed}'), id) - 1 AS i, count(*) OVER () AS n FROM tr)",
+        f"k0 AS MATERIALIZED (SELECT CAST(c.i // 5 AS INTEGER) AS x, CAST(c.i % 5 AS INTEGER) AS y, {ws} FROM range(25) c(i) JOIN rn ON rn.i = c.i % least(rn.n, 25))",
+    ]
+
+
+def som_train_ctes(source: str, epochs: int = 10, seed: int = 7, sigma: float = 1.0, rate: float = 0.5) -> list[str]:
+    """Adds ``k0`` to ``k{epochs}``: the codebook after every epoch, unrolled."""
+    out = som_init_ctes(source, seed)
+    d2 = " + ".join(f"(tr.f{i} - k.w{i}) * (tr.f{i} - k.w{i})" for i in range(5))
+    fs = ", ".join(f"tr.f{i}" for i in range(5))
+    for t in range(epochs):
+        decay = 1.0 / (1.0 + t / (epochs / 2.0))
+        s, r = sigma * decay, rate * decay
+        near = f"exp(-((k.x - b.x) * (k.x - b.x) + (k.y - b.y) * (k.y - b.y)) / (2.0 * {s!r} * {s!r}))"
+        ups = ", ".join(f"CASE WHEN sum({near} * b.n) > 0 THEN any_value(k.w{i}) + {r!r} * (sum({near} * b.s{i}) / sum({near} * b.n) - any_value(k.w{i})) ELSE any_value(k.w{i}) END AS w{i}" for i in range(5))
+        out += [
+            f"""b{t} AS MATERIALIZED (SELECT x, y, count(*) AS n, {", ".join(f"sum(f{i}) AS s{i}" for i in range(5))}
+  FROM (SELECT {fs}, k.x, k.y, row_number() OVER (PARTITION BY tr.id ORDER BY {d2}, k.x, k.y) AS o FROM tr CROSS JOIN k{t} k) z WHERE o = 1 GROUP BY x, y)""",
+            f"k{t + 1} AS MATERIALIZED (SELECT k.x, k.y, {ups} FROM k{t} k CROSS JOIN b{t} b GROUP BY k.x, k.y)"]
+    return out
+
+
+WEIGHTS = ", ".join(f"round(w{i}, 6) AS w{i}" for i in range(5))
+
+
+def reference_train_ctes() -> list[str]:
+    """Global weekly metrics over four months, unscaled, as ``gf`` (id, f0..f4)."""
+    fs = ", ".join(f"CAST({m} AS DOUBLE) AS f{i}" for i, m in enumerate(METRIC_NAMES))
+    return [f"gw AS MATERIALIZED ({weekly_sql(-4, by_country=False)})", f"gf AS (SELECT CAST(week AS VARCHAR) AS id, {fs} FROM gw)"]
+
+
+def reference_risk_sql() -> str:
+    """Per-country forecasts scored on the codebook trained on global weeks, both unscaled."""
+    dist = " + ".join(f"(a.w{i} - b.w{i}) * (a.w{i} - b.w{i})" for i in range(5))
+    d2 = " + ".join(f"(fo.{m} - k.w{i}) * (fo.{m} - k.w{i})" for i, m in enumerate(METRIC_NAMES))
+    ctes = reference_train_ctes() + som_train_ctes("gf") + som_ctes() + [
+        f"""gu AS (SELECT a.x, a.y, sum(sqrt({dist})) AS u FROM k10 a JOIN k10 b
+  ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND NOT (a.x = b.x AND a.y = b.y) GROUP BY a.x, a.y)""",
+        f"gb AS (SELECT fo.country, k.x, k.y, row_number() OVER (PARTITION BY fo.country ORDER BY {d2}, k.x, k.y) AS o FROM fo CROSS JOIN k10 k)",
+    ]
+    return with_ctes(ctes, "SELECT gb.country, round(CASE WHEN m > 0 THEN u / m ELSE 0.0 END, 6) AS distance FROM gb JOIN gu ON gu.x = gb.x AND gu.y = gb.y "
+                           "CROSS JOIN (SELECT max(u) AS m FROM gu) top WHERE o = 1")
+
+
 # ------------------------------------------------------------------ sourcing family
 
 def budget_case(col: str = "risk_aversion") -> str:
@@ -286,6 +403,28 @@ def exact_sql() -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes)
 
 
+def exact_large_sql() -> str:
+    """Least cost by risk in thousandths, item by item; only costs that no lower risk reaches are carried on."""
+    return f"""WITH RECURSIVE ol AS ({OFFERS_SQL}), rk AS ({RISK_SQL}),
+br AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) AS request_id FROM part),
+li AS (SELECT request_id * 4 + item_pos AS p_partkey, country, arg_max(cost, offer_pos) AS cost FROM ol WHERE cost > 0 AND country <> 'UNSCORED' GROUP BY ALL),
+o AS MATERIALIZED (SELECT br.request_id, dense_rank() OVER (PARTITION BY br.request_id ORDER BY p_partkey) AS k, cost, CAST(round(rk.distance * 1000) AS BIGINT) AS r
+  FROM li JOIN br USING (p_partkey) JOIN rk USING (country)),
+it AS (SELECT request_id, k, min(r) AS lo, arg_min(r, cost * 1000 + r) AS hi FROM o GROUP BY ALL),
+bg AS MATERIALIZED (SELECT request_id, max(k) AS n, (sum(lo) + sum(hi)) // 2 AS budget FROM it GROUP BY request_id),
+rest AS MATERIALIZED (SELECT request_id, k, sum(lo) OVER (PARTITION BY request_id ORDER BY k DESC) - lo AS after FROM it),
+pt AS MATERIALIZED (SELECT * FROM (SELECT *, min(r) OVER (PARTITION BY request_id, k ORDER BY cost, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM o) z WHERE pm IS NULL OR r < pm),
+dp AS (
+  SELECT request_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS cost FROM bg
+  UNION ALL
+  SELECT request_id, k, r, cost FROM (
+    SELECT s.*, min(cost) OVER (PARTITION BY request_id ORDER BY r, cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cheaper FROM (
+      SELECT dp.request_id, pt.k, dp.r + pt.r AS r, min(dp.cost + pt.cost) AS cost FROM dp JOIN pt ON pt.request_id = dp.request_id AND pt.k = dp.k + 1
+      JOIN bg ON bg.request_id = dp.request_id JOIN rest ON rest.request_id = dp.request_id AND rest.k = pt.k
+      WHERE dp.r + pt.r + rest.after <= bg.budget GROUP BY ALL) s) z WHERE cheaper IS NULL OR cost < cheaper)
+SELECT dp.request_id, CAST(n AS BIGINT) AS n_items, min(cost) AS total_cost FROM dp JOIN bg ON bg.request_id = dp.request_id AND dp.k = bg.n GROUP BY dp.request_id, n"""
+
+
 def relaxed_sql() -> str:
     """Hull vertices by self-joins of each item's undominated offers, then running sums."""
     same = "b.request_id = a.request_id AND b.item_pos = a.item_pos"
