@@ -76,7 +76,7 @@ def cut_documents(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id",
         encoder = task_encoder(tokenizer, end_id)
         for batch in batches:
             rows, out = [], []
-            for row, data in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            for row, data in enumerate(encoder.encode(t.as_py() for t in batch.column(1))):
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at:at + 4 * capacity]
                     rows.append(row)

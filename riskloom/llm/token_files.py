@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
         for batch in batches:
             id_kind = batch.column(0).type
-            for key, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for key, data in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() for t in batch.column(1)), strict=True):
                 keys.append(key)
                 parts.append(data)
                 held += len(data) // 4

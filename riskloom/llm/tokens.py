@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 
 CACHED = 150_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
