@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-CACHED = 150_000
+CACHED = 500_000
 BLOCK_BYTES = 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
