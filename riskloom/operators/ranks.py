@@ -101,7 +101,7 @@ def value_thresholds(df: DataFrame, group: Sequence[str], values: Sequence[str],
     steps = steps.withColumn("rank", F.explode(F.array_distinct(F.array(*ranks(F.col("n"))))))
     steps = steps.filter((F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("start") + F.col("rows"))).drop("rows")
     inside = join_same(counts, steps, [*each, "step"])
-    order = Window.partitionBy(*each, "rank").orderBy(F.col("v").asc_nulls_last())
+    order = Window.partitionBy(*each, "step", "rank").orderBy(F.col("v").asc_nulls_last())  # a rank has one step: dealt as for the join
     inside = inside.withColumn("upto", F.col("start") + F.sum("at").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     inside = inside.withColumn("before", F.col("upto") - F.col("at"))
     return (inside.filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
@@ -109,18 +109,22 @@ def value_thresholds(df: DataFrame, group: Sequence[str], values: Sequence[str],
 
 
 def half_thresholds(df: DataFrame, group: Sequence[str], values: Sequence[str], weight: str | None = None) -> DataFrame:
-    """One row per group, stored: for value number i the last value ``_t{i}`` of its lower half, how many of
-    the rows with this value belong to it (``_need{i}``) and how many there are (``_at{i}``)."""
+    """One row per group: for value number i the last value ``_t{i}`` of its lower half, how many of
+    the rows with this value belong to it (``_need{i}``) and how many there are (``_at{i}``). Up to
+    BROADCAST_ROW_LIMIT rows are local to the driver, as they are broadcast later; more are stored."""
     found = value_thresholds(df, group, values, lambda n: [F.floor((n + 1) / 2).cast("long")], weight)
     mine = [F.max(F.when(F.col("which") == i, c)).alias(f"_{name}{i}") for i in range(len(values))
             for name, c in (("t", F.col("v")), ("need", F.col("rank") - F.col("before")), ("at", F.col("at")))]
-    return materialize(found.groupBy(*group).agg(*mine), "half-thresholds")
+    found = found.groupBy(*group).agg(*mine)
+    some = found.limit(BROADCAST_ROW_LIMIT + 1).collect()
+    if len(some) <= BROADCAST_ROW_LIMIT:
+        return F.broadcast(df.sparkSession.createDataFrame(some, found.schema))
+    return materialize(found, "half-thresholds")
 
 
 def with_sides(df: DataFrame, thresholds: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
     """``df`` plus ``_side{i}``: whether the row is in the lower half by value i, NULL if its key decides."""
-    n = thresholds.count()  # of a stored table: from its footers
-    out = join_same(df, thresholds, group) if n > BROADCAST_ROW_LIMIT else join_same(df, F.broadcast(thresholds), group)
+    out = join_same(df, thresholds, group)
     for i, v in enumerate(values):
         value, last = F.col(v).cast("double"), F.col(f"_t{i}")
         below = F.when(value.isNull(), False).when(last.isNull(), True).otherwise(value < last)
@@ -139,16 +143,18 @@ def rank_ties(ties: DataFrame, most: Sequence[int], group: Sequence[str], values
     columns = [c for c in ties.columns if not c.startswith(("_t", "_need", "_at", "_side"))]
     out = ties.withColumn("_row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     order = [*key, "_row_hash"]
+    out = out.select("*", *[F.col(f"_side{i}").isNull().alias(f"_tie{i}") for i in range(len(values))])
     for i, v in enumerate(values):
         side, need = F.col(f"_side{i}"), F.col(f"_need{i}")
         if most[i] <= WINDOW_ROWS:  # no group has more rows to rank, so a task may hold them
-            rank = F.row_number().over(Window.partitionBy(*group, side.isNull()).orderBy(*order))
+            upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # one for all values
+            rank = F.count_if(F.col(f"_tie{i}")).over(upto)
             out = out.withColumn(f"_side{i}", F.coalesce(side, rank <= need))
         else:
             ranked = running_sums(out.filter(side.isNull()).withColumn("_one", F.lit(1)), group, order, {"_rank": "_one"})
             ranked = ranked.withColumn(f"_side{i}", F.col("_rank") <= need).select(*out.columns)
             out = out.filter(side.isNotNull()).unionByName(ranked)
-    return out.drop("_row_hash")
+    return out.drop("_row_hash", *[f"_tie{i}" for i in range(len(values))])
 
 
 def most_ties(thresholds: DataFrame, values: Sequence[str]) -> list[int]:

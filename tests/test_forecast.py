@@ -30,6 +30,22 @@ def test_closed_forms(spark):
     assert f[(1, 0)] == pytest.approx(icpt + slope * train[-1])
 
 
+@pytest.mark.parametrize("n", [6, 12])
+def test_closed_forms_equal_least_squares(spark, n):
+    rng = np.random.default_rng(n)
+    ys = np.cumsum(rng.normal(size=n)) + 5
+    y = ys[:-1]
+    for (p, d), f in ar(spark, ys.tolist()).items():
+        z, const = np.diff(y, d), [1.0] if d == 0 else []
+        rows = [const + [z[t - i] for i in range(1, p + 1)] for t in range(p, len(z))]
+        if len(rows) < max(1, p + len(const)):
+            assert f is None
+            continue
+        c = np.linalg.lstsq(np.array(rows), z[p:], rcond=None)[0] if rows[0] else np.zeros(0)
+        zhat = np.dot(const + [z[len(z) - i] for i in range(1, p + 1)], c) if len(c) else 0.0
+        assert f == pytest.approx(zhat if d == 0 else y[-1] + zhat if d == 1 else 2 * y[-1] - y[-2] + zhat, rel=1e-6, abs=1e-6)
+
+
 def two_stage(y, p, d, q):
     """One-step forecast by numpy's least squares, or None."""
     y = np.asarray(y, float)

@@ -99,3 +99,11 @@ def test_drop_partial_weeks(spark):
     data = [row(1, 0.0, 0.0, day=dt.date(2024, 3, 11))]  # week of as_of 2024-03-12 is unfinished
     assert W.weekly_metrics(ev(spark, data), dt.date(2024, 3, 12), -2, drop_partial_weeks=True).count() == 0
     assert W.weekly_metrics(ev(spark, data), dt.date(2024, 3, 12), -2).count() == 1
+
+
+def test_newest_week_comes_first(spark):  # O1
+    data = [row(i, 1.0, 1.0, country=c, day=MON - dt.timedelta(days=7 * k)) for i, (c, k) in
+            enumerate([("B", 2), ("A", 0), ("A", 3), ("B", 0), ("A", 1)])]
+    out = W.weekly_desc(W.weekly_metrics(ev(spark, data), AS_OF, -2).repartition(5)).collect()
+    assert [(r["week"], r["country"]) for r in out] == sorted(((r["week"], r["country"]) for r in out), key=lambda x: (-x[0].toordinal(), x[1]))
+    assert [r["country"] for r in out] == ["A", "B", "A", "B", "A"]
