@@ -9,6 +9,12 @@ untouched), else every choice of ``8 - d`` positions. Pairs that meet in a list
 all eight bytes; those below the minimum go, the rest are verified by their differing bits.
 A pair that meets in several lists counts in the first only.
 
+A list of more than ``LONG`` fingerprints (a family of near but different texts) is not joined with
+itself. Inside it only the bytes beyond the plane can differ, in at most ``d`` of their half-bytes, so
+its members go to one finer list for each choice of half-bytes that ``d`` bits can leave untouched.
+For ``d`` up to 3 a finer list leaves 12 bits open, so it holds at most 4,096 fingerprints,
+however large the family: the work grows with its members, not with their square.
+
 Rows are collapsed to distinct fingerprints before the index, so copies cost nothing there,
 and classes come from the links of fingerprints by ``components``.
 
@@ -30,6 +36,7 @@ from riskloom.llm.components import components
 from riskloom.session import materialize
 
 BLOCK = 1 << 16
+LONG = 1_024  # fingerprints of a posting list that is still joined with itself
 
 
 def fingerprint_column(text: Column, shingle: int) -> Column:
@@ -66,36 +73,59 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
 
 def planes(max_bits: int) -> list[tuple[int, ...]]:
     """Choices of byte positions such that any ``max_bits`` positions leave one of them untouched."""
+    if not 0 <= max_bits <= 7:
+        raise ValueError("fingerprints that differ in 8 bits or more need not share a byte: max_bits is 0 to 7")
     if max_bits <= 3:
         return [p for p in combinations(range(8), 4) if reduce(int.__xor__, p) == 0]
-    return list(combinations(range(8), max(1, 8 - max_bits)))
+    return list(combinations(range(8), 8 - max_bits))
 
 
 def _byte(value: Column, position: int) -> Column:
     return F.shiftrightunsigned(value, 8 * position).bitwiseAND(F.lit(255))
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of the distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits."""
-    chosen = planes(max_bits)
+def finer_masks(plane: tuple[int, ...], max_bits: int) -> list[int]:
+    """Bits that members of a finer list share: the plane, and a choice of the other half-bytes such
+    that any ``max_bits`` half-bytes leave one choice untouched."""
+    free = [h for p in range(8) if p not in plane for h in (2 * p, 2 * p + 1)]
+    masks = ((1 << 64) - 1 - sum(15 << 4 * h for h in open_) for open_ in combinations(free, max_bits))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-    def key(k, plane):
-        out = F.lit(k).cast("long")
-        packed = [F.shiftleft(_byte(F.col("fp"), p), 8 * i) for i, p in enumerate(plane)]
-        return F.struct(out.alias("plane"), reduce(lambda a, b: a.bitwiseOR(b), packed).alias("bytes"))
 
-    postings = prints.select("fp", F.explode(F.array(*[key(k, p) for k, p in enumerate(chosen)])).alias("k"))
-    postings = postings.select("fp", "k.plane", "k.bytes")
+def _met(postings: DataFrame, keys: list[str], chosen: list[tuple[int, ...]], max_bits: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of the same list that pass the tally and the bit check, in the pair's first plane."""
     left, right = postings.withColumnRenamed("fp", "a"), postings.withColumnRenamed("fp", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     same = [_byte(differ, p) == 0 for p in range(8)]
     tally = reduce(lambda x, y: x + y, [s.cast("int") for s in same])
     first = F.coalesce(*[F.when(reduce(lambda x, y: x & y, [same[p] for p in plane]), k) for k, plane in enumerate(chosen)])
-    pairs = left.join(right, ["plane", "bytes"]).where(
-        (F.col("a") < F.col("b")) & (tally >= max(1, 8 - max_bits)) & (F.bit_count(differ) <= max_bits) & (F.col("plane") == first))
+    pairs = left.join(right, keys).where(
+        (F.col("a") < F.col("b")) & (tally >= 8 - max_bits) & (F.bit_count(differ) <= max_bits) & (F.col("plane") == first))
     return pairs.select("a", "b")
 
 
+def fingerprint_links(prints: DataFrame, max_bits: int, long: int = LONG) -> DataFrame:
+    """Pairs ``a`` < ``b`` of the distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits."""
+    chosen = planes(max_bits)
+
+    def key(k, plane):
+        packed = [F.shiftleft(_byte(F.col("fp"), p), 8 * i) for i, p in enumerate(plane)]
+        return F.struct(F.lit(k).cast("long").alias("plane"), reduce(lambda a, b: a.bitwiseOR(b), packed).alias("bytes"))
+
+    postings = prints.select("fp", F.explode(F.array(*[key(k, p) for k, p in enumerate(chosen)])).alias("k")).select("fp", "k.plane", "k.bytes")
+    lists = postings.groupBy("plane", "bytes").agg(F.count("*").alias("members")).where(F.col("members") > long)
+    lists = materialize(lists.select("plane", "bytes"), "long-lists")
+    short = _met(postings.join(lists, ["plane", "bytes"], "left_anti"), ["plane", "bytes"], chosen, max_bits)
+    if lists.isEmpty():
+        return short
+    masks = [(k, m) for k, p in enumerate(chosen) for m in finer_masks(p, max_bits)]  # 784 for 3 bits
+    masks = F.broadcast(prints.sparkSession.createDataFrame(masks, "plane long, mask long"))
+    dense = postings.join(lists, ["plane", "bytes"], "left_semi").join(masks, "plane")
+    dense = dense.select("fp", "plane", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("shared"))
+    dense = _met(dense, ["plane", "mask", "shared"], chosen, max_bits)
+    return short.unionByName(dense.distinct())  # a pair may meet in several finer lists
+
+
 def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text), ``fp``, ``component`` (smallest fingerprint of the class) and ``component_id``."""
     text = F.col(f"`{text_col}`")

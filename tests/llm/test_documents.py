@@ -61,6 +61,35 @@ def test_links_at_and_beyond_the_limit(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("max_bits, long", [(3, 0), (3, 20), (4, 20)])
+def test_a_family_of_near_fingerprints_takes_finer_lists(spark, max_bits, long):
+    import random
+
+    rng = random.Random(7)
+    base = 0x0123456789ABCDEF
+    prints = {base ^ sum(1 << b for b in rng.sample(range(48), rng.randint(0, 9))) for _ in range(300)} | {0, -1}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    expected = sorted((a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= max_bits)
+    assert len(expected) > 10
+    assert sorted((r.a, r.b) for r in simhash.fingerprint_links(df, max_bits, long).collect()) == expected
+
+
+def test_finer_lists_lose_no_pair_and_are_bounded():
+    from itertools import combinations
+
+    for plane in simhash.planes(3):
+        masks = simhash.finer_masks(plane, 3)
+        fixed = sum(255 << 8 * p for p in plane)
+        assert all(m & fixed == fixed and bin(m & (1 << 64) - 1).count("1") == 52 for m in masks)  # 12 open bits
+        spots = [8 * p + b for p in range(8) if p not in plane for b in (0, 3, 4, 7)]
+        assert all(any(not m & sum(1 << b for b in bits) for m in masks) for bits in combinations(spots, 3))
+
+
+def test_bit_limits_without_a_shared_byte_are_refused():
+    with pytest.raises(ValueError):
+        simhash.planes(8)
+
+
 def test_simhash_odd_rows(odd, empty):
     got = simhash.simhash_classes(odd).collect()
     assert len(got) == odd.count()
