@@ -12,15 +12,15 @@ from riskloom.operators.weekly import METRICS
 
 
 def country_risk(forecast: DataFrame, codebook: DataFrame, stats=None, key: Sequence[str] = ("country",),
-                 cols: Sequence[str] = METRICS) -> DataFrame:
+                 cols: Sequence[str] = METRICS, scaling: str = "sum") -> DataFrame:
     """M5 + M6: one ``(country, distance)`` row per forecast row (FIXTURES D10).
 
-    ``stats`` are the training feature statistics (None = unscaled, the reference).
+    ``stats`` are the training feature statistics (None = unscaled, the reference); ``scaling`` is the distance map's.
     The distance map has one row per grid cell, so joining it is a bounded broadcast.
     """
     w = codebook_array(codebook)
     feats = som_features(forecast, key, cols, stats)
-    um = som_umatrix(codebook_frame(forecast.sparkSession, w))
+    um = som_umatrix(codebook_frame(forecast.sparkSession, w), scaling)
     scored = som_bmu(feats, w)
     return (scored.join(F.broadcast(um), (scored.bmu_x == um.x) & (scored.bmu_y == um.y), "left")
             .select(*key, F.col("u").alias("distance")))

@@ -202,15 +202,18 @@ def quantization_error(features: DataFrame, codebook: DataFrame) -> float:
 
 # ------------------------------------------------------------------ distance map (M4)
 
-def som_umatrix(codebook: DataFrame) -> DataFrame:
-    """Per neuron the summed distance to its (up to 8) grid neighbours, divided by the
-    largest sum (all-equal weights give 0, never NaN). An equi-join on shifted
-    coordinates of the grid-size codebook."""
+def som_umatrix(codebook: DataFrame, scaling: str = "sum") -> DataFrame:
+    """Per neuron the summed (``scaling="mean"``: mean) distance to its (up to 8) grid neighbours,
+    divided by the largest such value (all-equal weights give 0, never NaN). An equi-join on
+    shifted coordinates of the grid-size codebook."""
+    if scaling not in ("sum", "mean"):
+        raise ValueError("scaling is 'sum' or 'mean'")
+    measure = F.sum if scaling == "sum" else F.avg
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS])
     a = codebook.select("x", "y", F.col("w").alias("wa"), F.explode(offs).alias("o")).select(
         "x", "y", "wa", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"))
     b = codebook.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("w").alias("wb"))
-    sums = a.join(b, ["nx", "ny"]).groupBy("x", "y").agg(F.sum(euclid("wa", "wb")).alias("u_sum"))
+    sums = a.join(b, ["nx", "ny"]).groupBy("x", "y").agg(measure(euclid("wa", "wb")).alias("u_sum"))
     # The window spans the grid (25 rows), not data.
     top = F.max("u_sum").over(Window.partitionBy(F.lit(1)))
     return sums.select("x", "y", F.when(top > 0, F.col("u_sum") / top).otherwise(F.lit(0.0)).alias("u"))

@@ -31,12 +31,12 @@ METRICS = ("total_mentions", "total_sources", "total_articles", "center_tone", "
 
 def lookback_filter(ev: DataFrame, as_of, months: int) -> DataFrame:
     """Events from ``add_months(week_of(as_of), months)`` up to and including as_of.
-    A stored ``week`` column (the event table's partition column) is bounded too, so
+    Stored weeks (``week``, and the ``week_folder`` of a bucketed table) are bounded too, so
     the scan reads only the folders of the weeks in the window."""
     start = lookback_start(as_of, months)
     out = ev.filter((F.col("event_date") >= start) & (F.col("event_date") <= F.lit(as_date(as_of))))
-    if "week" in ev.columns:
-        out = out.filter((F.col("week") >= F.trunc(start, "week")) & (F.col("week") <= F.lit(as_date(as_of))))
+    for stored in [c for c in ("week", "week_folder") if c in ev.columns]:
+        out = out.filter((F.col(stored) >= F.trunc(start, "week")) & (F.col(stored) <= F.lit(as_date(as_of))))
     return out
 
 
@@ -72,7 +72,8 @@ def unrest_events(ev: DataFrame, as_of, months: int = -2, codes=ROOT_CODES, stri
     out = root_code_filter(lookback_filter(ev, as_of, months), codes, strict_codes)
     for b in by:
         out = out.filter(F.col(b).isNotNull())
-    out = out.withColumn("week", week_of("event_date"))
+    if "week" not in ev.columns:  # a stored week keeps the table's buckets usable
+        out = out.withColumn("week", week_of("event_date"))
     if drop_partial_weeks:
         out = out.filter((F.col("week") >= lookback_start(as_of, months))
                          & (F.date_add(F.col("week"), 6) <= F.lit(as_date(as_of))))

@@ -297,6 +297,16 @@ def som_ctes(months: int = -2, sigma: float = 1.0, rate: float = 0.5) -> list[st
     ]
 
 
+def mean_map_ctes() -> list[str]:
+    """Adds to ``som_ctes``: umm (distance map of cb1 by mean instead of summed distances)."""
+    dist = " + ".join(f"pow(a.w{i} - b.w{i}, 2)" for i in range(5))
+    return [
+        f"""near AS (SELECT a.x, a.y, (SELECT avg(sqrt({dist})) FROM cb1 b
+  WHERE greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1) AS u_mean FROM cb1 a)""",
+        "umm AS (SELECT x, y, coalesce(u_mean / nullif((SELECT max(u_mean) FROM near), 0), 0.0) AS u FROM near)",
+    ]
+
+
 def som_init_ctes(source: str, seed: int = 7) -> list[str]:
     """Adds ``k0``: the first 25 rows of ``source`` (id, f0..f4) by md5 of id and seed, cycled if fewer."""
     fs = ", ".join(f"f{i}" for i in range(5))

@@ -289,6 +289,12 @@ def q_som_umatrix(spark, sf_dir):
     return rounded(SM.som_umatrix(_epoch1(spark, sf_dir)[-1]))
 
 
+@register("som_umatrix_mean", S.with_ctes(S.som_ctes() + S.mean_map_ctes(), "SELECT x, y, round(u, 6) AS u FROM umm"))
+def q_som_umatrix_mean(spark, sf_dir):
+    """The distance map by mean distances: neurons at the edge, with fewer neighbours, do not look calmer."""
+    return rounded(SM.som_umatrix(_epoch1(spark, sf_dir)[-1], scaling="mean"))
+
+
 def _risk(spark, sf_dir):
     ev, weekly, stats, feats, cb0, cb1 = _epoch1(spark, sf_dir)
     fc = materialize(FC.forecast_table(weekly, W.distinct_countries(ev), orders="ar"), "forecast")
@@ -510,6 +516,7 @@ def q_offers_named(spark, sf_dir):
 
 # ------------------------------------------------------------------ ingest sources and streaming
 
+from riskloom.sources import buckets as SB  # noqa: E402
 from riskloom.sources import files as SF  # noqa: E402
 from riskloom.sources import links as SL  # noqa: E402
 from riskloom.streaming import incremental as ST  # noqa: E402
@@ -761,3 +768,21 @@ def q_weekly_metrics_stored(spark, sf_dir):
     SF.store_events(SF.read_tsv(spark, data, FIXTURE_TSV_SCHEMA), table)
     stored = SF.read_events(spark, table)
     return rounded(W.weekly_metrics(stored, FX.AS_OF, -2, key=FX.EVENT_KEY))
+
+
+def _bucketed(spark, sf_dir):
+    root = work_path(spark, "event-buckets")
+    SB.store_bucketed(_ev(spark, sf_dir), root, buckets=8)
+    return SB.read_bucketed(spark, root)
+
+
+@register("weekly_totals_bucketed", S.weekly_sql(-2, with_centres=False))
+def q_weekly_totals_bucketed(spark, sf_dir):
+    """Weekly totals over events stored in buckets of (country, week): no exchange."""
+    return W.weekly_totals(_bucketed(spark, sf_dir), FX.AS_OF, -2)
+
+
+@register("weekly_metrics_bucketed", S.weekly_sql(-2))
+def q_weekly_metrics_bucketed(spark, sf_dir):
+    """Weekly metrics over the same layout, halves by window: no exchange either."""
+    return rounded(W.weekly_metrics(_bucketed(spark, sf_dir), FX.AS_OF, -2, key=FX.EVENT_KEY, strategy="window"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import read_if_exists
 
-ENTRY = "load string, folder string, token string"
+ENTRY = "load string, folder string, layout string, token string"
 
 
 class TableLog:
@@ -28,13 +28,13 @@ class TableLog:
         self.spark, self.folder = spark, f"{table_path.rstrip('/')}/_log"
 
     def commits(self) -> DataFrame | None:
-        """(version, load, folder), one row per commit; None before the first."""
+        """(version, load, folder, layout), one row per commit; None before the first."""
         files = read_if_exists(self.spark, self.folder, "text")  # tells an absent folder from one that can't be read
         if files is None:
             return None
         rows = self.spark.read.schema(ENTRY).json(self.folder)
         version = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).cast("long")
-        return rows.select(version.alias("version"), "load", "folder")
+        return rows.select(version.alias("version"), "load", "folder", "layout")
 
     def latest(self) -> int:
         """The highest number taken, 0 before the first commit."""

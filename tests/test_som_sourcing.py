@@ -36,7 +36,18 @@ def test_kmeans_limit_error_never_rises(spark):
 
 def test_umatrix_equal_weights_is_zero(spark):  # E18
     cb = SM.codebook_frame(spark, np.ones((5, 5, 5)))
-    assert {r["u"] for r in SM.som_umatrix(cb).collect()} == {0.0}
+    for scaling in ("sum", "mean"):
+        assert {r["u"] for r in SM.som_umatrix(cb, scaling).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        SM.som_umatrix(cb, "max")
+
+
+def test_umatrix_mean_counts_each_neighbour_once(spark):
+    w = np.zeros((5, 5, 5))
+    w[:, :, 0] = np.arange(5)[:, None]  # neighbours in the next row lie 1 apart
+    u = {(r.x, r.y): r.u for r in SM.som_umatrix(SM.codebook_frame(spark, w), "mean").collect()}
+    assert u[2, 0] == 1.0  # 4 of 5 neighbours, the largest mean
+    assert u[2, 2] == pytest.approx(6 / 8 / 0.8) and u[0, 0] == pytest.approx(2 / 3 / 0.8) and u[0, 2] == pytest.approx(3 / 5 / 0.8)
 
 
 def test_bmu_tie_lowest_x_then_y(spark):  # E19

@@ -5,9 +5,13 @@ import zipfile
 import pytest
 
 import __spark_entry__ as E
+from riskloom.operators import weekly as W
+from riskloom.plans import fixtures as FX
 from riskloom.session import work_path
+from riskloom.sources import buckets as SB
 from riskloom.sources import files as SF
 from riskloom.sources import links as SL
+from tests.conftest import SMALL, rows
 
 
 def test_link_harvest_own_html(spark):
@@ -245,3 +249,45 @@ def test_a_failed_read_is_not_an_empty_table(spark):
         assert SF.read_current(spark, root).count() == n
     clear_work(spark)
     assert not os.path.exists(broken)
+
+
+# ------------------------------------------------------------------ bucketed layout
+
+@pytest.fixture(scope="module")
+def bucketed(spark):
+    root = work_path(spark, "bucket-test")
+    SB.store_bucketed(FX.events(spark, SMALL), root, buckets=4)
+    return root, SB.read_bucketed(spark, root)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_weekly_plans_have_no_exchange(spark, bucketed):
+    ev, stored = FX.events(spark, SMALL), bucketed[1]
+    forms = [lambda e: W.weekly_totals(e, FX.AS_OF, -2),
+             lambda e: W.weekly_metrics(e, FX.AS_OF, -2, key=FX.EVENT_KEY, strategy="window")]
+    for form in forms:
+        assert "Exchange" in _plan(form(ev))
+        plan = _plan(form(stored))
+        assert "Exchange" not in plan and "PartitionFilters: [isnotnull(week_folder" in plan
+        columns = form(ev).columns
+        assert rows(form(stored), *columns) == rows(form(ev), *columns)
+
+
+def test_bucketed_rows_survive_and_versions_follow_each_other(spark, bucketed):
+    root, stored = bucketed
+    ev = FX.events(spark, SMALL)
+    assert stored.select(ev.columns).exceptAll(ev).isEmpty() and ev.exceptAll(stored.select(ev.columns)).isEmpty()
+    with pytest.raises(FileNotFoundError):
+        SB.read_bucketed(spark, work_path(spark, "no-buckets"))
+    with pytest.raises(ValueError):
+        SB.store_bucketed(ev, root, buckets=0)
+    other = work_path(spark, "bucket-versions")
+    SB.store_bucketed(ev.limit(0), other, buckets=2)
+    assert SB.read_bucketed(spark, other).count() == 0
+    odd = ev.limit(3).selectExpr("* except (country, event_date)", "cast(null as string) country",
+                                 "if(num_mentions is null, event_date, null) event_date", "1 as `a b`")
+    SB.store_bucketed(odd, other, buckets=3)  # neither country nor date
+    assert SB.read_bucketed(spark, other).count() == 3
