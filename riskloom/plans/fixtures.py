@@ -214,7 +214,8 @@ def write_archives(df: DataFrame, path: str, member: Column, prefix: str) -> Non
                     names.append(name)
                 open_now[1].write(part[columns].to_csv(sep="\t", header=False, index=False, lineterminator="\n").encode())
         close(open_now)
-        yield pd.DataFrame({"member": names})
+        if names:  # an empty frame has no text column to convert
+            yield pd.DataFrame({"member": names})
 
     def close(opened):
         for x in (opened or ())[1:]:

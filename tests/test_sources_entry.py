@@ -291,3 +291,17 @@ def test_bucketed_rows_survive_and_versions_follow_each_other(spark, bucketed):
                                  "if(num_mentions is null, event_date, null) event_date", "1 as `a b`")
     SB.store_bucketed(odd, other, buckets=3)  # neither country nor date
     assert SB.read_bucketed(spark, other).count() == 3
+
+
+def test_archives_of_fewer_members_than_partitions(spark):
+    path = work_path(spark, "few")
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "name string, n long")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")  # most tasks have no row
+    try:
+        FX.write_archives(df, path, df["name"], "p-")
+        FX.write_archives(df.limit(0), path, df["name"], "q-")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert rows(SF.archive_members(spark, path), "member", "size") == [("a.tsv", 8), ("b.tsv", 4)]
+    assert rows(SF.expand_archives(spark, path), "member", "line") == [("a.tsv", "a\t1"), ("a.tsv", "a\t3"), ("b.tsv", "b\t2")]
