@@ -222,5 +222,6 @@ def write_archives(df: DataFrame, path: str, member: Column, prefix: str) -> Non
             x.close()
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(member.alias("_member"), *columns).repartition(parts, "_member").sortWithinPartitions("_member")
+    # Ranges, not hashes: with fewer members than partitions no task gets two large ones.
+    rows = df.select(member.alias("_member"), *columns).repartitionByRange(parts, "_member").sortWithinPartitions("_member")
     rows.mapInPandas(pack, "member string").write.format("noop").mode("overwrite").save()
