@@ -26,6 +26,8 @@ decimal ties (risk exactly equal to the budget) are feasible.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -269,6 +271,8 @@ def _break_points(data: DataFrame) -> tuple[DataFrame, DataFrame]:
 GROUP_ITEMS = 64
 #: Pairs of states that a merge looks at together.
 PAIRS_AT_ONCE = 4_000_000
+#: The tree's first bound is this part of the relaxation's gap; a bound that isn't enough is raised so many times.
+FIRST_BOUND, BOUND_STEP = 1 / 256, 8
 
 
 def pareto_keep(cost, risk, first, second):
@@ -331,7 +335,7 @@ def merged_fronts(left, right, limit_risk, lam, limit_excess):
     excess = [f["cost"] + lam * f["risk"] - f["low"] for f in (left, right)]
     by = np.argsort(excess[1], kind="stable")
     upto = np.searchsorted(excess[1][by], limit_excess - excess[0], "right")
-    out = None
+    out = [np.empty(0), np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)]
     a = 0
     while a < len(upto):
         b = a + max(1, int(np.searchsorted(np.cumsum(upto[a:]), PAIRS_AT_ONCE, "right")))
@@ -340,9 +344,7 @@ def merged_fronts(left, right, limit_risk, lam, limit_excess):
         pick = by[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         c, r = left["cost"][src] + right["cost"][pick], left["risk"][src] + right["risk"][pick]
         fits = r - least <= limit_risk + EPS
-        part = [x[fits] for x in (c, r, src, pick)]
-        if out is not None:
-            part = [np.concatenate(x) for x in zip(out, part)]
+        part = [np.concatenate([x, y[fits]]) for x, y in zip(out, (c, r, src, pick), strict=True)]
         keep = pareto_keep(part[0], part[1], left["rank"][part[2]], right["rank"][part[3]])
         out, a = [x[keep] for x in part], b
     c, r, src, pick = out
@@ -392,8 +394,9 @@ def _leaf_fronts(data: DataFrame, limits: DataFrame) -> DataFrame:
         return pd.DataFrame([_front_row(key[0], key[1], (lam, gap, slack), front, picks=picks, items=np.unique(item))])
 
     rows = data.join(limits, "request_id").withColumn("node", F.expr(f"item_pos div {GROUP_ITEMS}").cast("long"))
-    return rows.select("request_id", "node", "item_pos", "offer_pos", "cost", "distance", "lam", "gap", "slack").groupBy(
-        "request_id", "node").applyInPandas(solve, FRONT_SCHEMA)
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("request_id", "node", "item_pos", "offer_pos", "cost", "distance", "lam", "gap", "slack").repartition(
+        parts, "request_id", "node").groupBy("request_id", "node").applyInPandas(solve, FRONT_SCHEMA)
 
 
 def _merge_fronts(fronts: DataFrame) -> DataFrame:
@@ -409,8 +412,10 @@ def _merge_fronts(fronts: DataFrame) -> DataFrame:
             front, left, right = merged_fronts(*sides, limits[2], limits[0], limits[1])
         return pd.DataFrame([_front_row(key[0], key[1], limits, front, left, right)])
 
-    return fronts.drop("picks", "items", "left_state", "right_state").withColumn("parent", F.expr("node div 2")).groupBy(
-        "request_id", "parent").applyInPandas(merge, FRONT_SCHEMA)
+    # A fixed number of partitions, as fronts are few bytes for the work that their merging is.
+    parts = int(fronts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = fronts.drop("picks", "items", "left_state", "right_state").withColumn("parent", F.expr("node div 2"))
+    return pairs.repartition(parts, "request_id", "parent").groupBy("request_id", "parent").applyInPandas(merge, FRONT_SCHEMA)
 
 
 def _solve_large(data: DataFrame, most_items: int) -> DataFrame:
@@ -419,21 +424,51 @@ def _solve_large(data: DataFrame, most_items: int) -> DataFrame:
     Groups of GROUP_ITEMS items give fronts in separate tasks, and neighbours are merged two by
     two, a level of the tree at a time, so no task holds a request's items. A partial choice is
     dropped if its reduced cost (cost + multiplier x risk) is above its items' least by more than
-    the gap of the relaxation: no completion of it could cost less than the relaxation's own
-    choice. The way down the tree then reads the choice of every item.
+    a bound. With the gap of the relaxation as bound, no completion of it could cost less than the
+    relaxation's own choice, but the least cost is far nearer to the dual value than this choice, and
+    fronts grow with the bound. So it starts small: a cheapest choice that costs no more than the dual
+    value plus the bound is the answer, as every choice of this cost or less has been kept. A request
+    whose cheapest choice costs more goes through the tree again with a larger bound, the
+    choice's own cost above the dual value if that is near and never more than the relaxation's gap.
     """
     _, best = _break_points(data)
     least = data.groupBy("request_id", "item_pos").agg(F.min("distance").alias("r")).groupBy("request_id").agg(F.sum("r").alias("least_risk"))
     lam = F.greatest(F.col("b.lam"), F.lit(0.0))
-    gap = lam * (F.col("b.budget") - F.col("b.total_risk") + 2 * EPS)
+    gap = F.greatest(lam * (F.col("b.budget") - F.col("b.total_risk")), F.lit(0.0))
     limits = best.join(least, "request_id").select(
-        "request_id", lam.alias("lam"), (F.greatest(gap, F.lit(0.0)) + 1e-9 * (1 + F.col("b.total_cost") + lam)).alias("gap"),
+        "request_id", lam.alias("lam"), gap.alias("whole"), (1e-9 * (1 + F.col("b.total_cost") + lam) + 2 * EPS * lam).alias("rounding"),
         (F.col("b.budget") - F.col("least_risk")).alias("slack"))
-    levels = [materialize(_leaf_fronts(data, materialize(limits, "exact-limits")), "fronts")]
+    whole = F.col("whole") + F.col("rounding")
+    limits = materialize(limits.withColumn("gap", F.col("whole") * FIRST_BOUND + F.col("rounding")), "exact-limits")
+    passes = []
+    while True:
+        levels = _tree(data, limits, most_items)
+        root = levels[-1].select("request_id", "low", "least", F.get("cost", F.lit(0)).alias("cost"))
+        above = F.col("cost") - F.col("low") + F.col("lam") * (F.col("slack") + F.col("least")) + F.col("rounding")  # the dual value
+        judged = limits.join(root, "request_id", "left").withColumn("above", above)
+        judged = judged.withColumn("solved", (F.col("gap") >= whole) | F.coalesce(F.col("above") <= F.col("gap"), F.lit(False)))
+        judged = materialize(judged, "judged")
+        solved = judged.filter("solved").select("request_id")
+        passes.append([level.join(solved, "request_id", "left_semi") for level in levels])
+        more = F.col("gap") * BOUND_STEP
+        near = F.when(F.col("above") + F.col("rounding") <= more, F.col("above") + F.col("rounding")).otherwise(more)
+        limits = judged.filter("NOT solved").withColumn("gap", F.least(near, whole)).select(*limits.columns)
+        if limits.isEmpty():
+            return _chosen([reduce(DataFrame.unionByName, level) for level in zip(*passes, strict=True)])
+
+
+def _tree(data: DataFrame, limits: DataFrame, most_items: int) -> list[DataFrame]:
+    """The fronts of the requests of ``limits`` by level, the leaves first."""
+    levels = [materialize(_leaf_fronts(data, limits), "fronts")]
     nodes = (most_items - 1) // GROUP_ITEMS + 1
     while nodes > 1:
         levels.append(materialize(_merge_fronts(levels[-1]), "fronts"))
         nodes = (nodes + 1) // 2
+    return levels
+
+
+def _chosen(levels: list[DataFrame]) -> DataFrame:
+    """The way down the tree to the choice of every item."""
     # Fronts are sorted by cost, so the root's first state is the answer.
     at = levels[-1].select("request_id", "node", F.lit(0).alias("state"))
     for above, level in zip(levels[:0:-1], levels[-2::-1]):

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,34 @@ def test_relaxed_has_every_item_whatever_the_multiplier(spark):
     assert len(relaxed) == len(exact) == 30
     assert relaxed[0]["lower_bound"] <= sum(r["cost"] for r in exact) + 1e-6 <= relaxed[0]["total_cost"] + 1e-3
     assert sum(r["distance"] for r in relaxed) <= 0.25 + 1e-9
+
+
+def test_fronts_of_a_large_request_stay_small(spark, monkeypatch):
+    """The least cost is far nearer to the dual value than the relaxation's choice is, so fronts need not hold its whole gap."""
+    rng = np.random.default_rng(5)
+    n, k = 320, 6
+    cost, mils = rng.integers(5_000, 90_000, (n, k)), rng.integers(0, 2_000, k)
+    budget = int(mils.min() * n + (mils[cost.argmin(1)].sum() - mils.min() * n) // 2) + 13
+    least = np.full(budget + 1, np.inf)  # least cost by summed risk in thousandths
+    least[0] = 0.0
+    for row in cost:
+        after = np.full_like(least, np.inf)
+        for c, r in zip(row, mils, strict=True):
+            after[r:] = np.minimum(after[r:], least[:len(least) - r] + c)
+        least = after
+    offers = spark.createDataFrame(pd.DataFrame([(1, i, f"p{i}", o, f"C{o}", float(cost[i, o])) for i in range(n) for o in range(k)],
+                                                columns=["request_id", "item_pos", "item", "offer_pos", "country", "cost"]))
+    offers = offers.withColumn("item_pos", F.col("item_pos").cast("int")).withColumn("offer_pos", F.col("offer_pos").cast("int"))
+    risk = spark.createDataFrame([(f"C{o}", float(mils[o]) / 1000) for o in range(k)], "country string, distance double")
+    sizes, write = [], X.materialize
+
+    def seen(df, name="table"):
+        out = write(df, name)
+        if name == "fronts":
+            sizes.append(out.agg(F.max(F.size("cost"))).first()[0])
+        return out
+
+    monkeypatch.setattr(X, "materialize", seen)
+    got = X.select_exact(offers, risk, spark.createDataFrame([(1, budget / 1000)], "request_id long, budget double"))
+    assert tuple(got.agg(F.count("*"), F.sum("cost")).first()) == (n, least.min())
+    assert max(sizes) < 300
