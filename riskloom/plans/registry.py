@@ -746,12 +746,13 @@ def q_country_risk_reference(spark, sf_dir):
 
 @register("weekly_metrics_stream", S.weekly_sql(-2))
 def q_weekly_metrics_stream(spark, sf_dir):
-    """Weekly metrics maintained from a stream of event files (four files, one per
-    micro-batch, in event-date order), compared with the batch oracle."""
+    """Weekly metrics maintained from a stream of event files (four micro-batches of as many
+    files, in event-date order), compared with the batch oracle."""
     src = work_path(spark, "ev-files")
     ev = _ev(spark, sf_dir)
-    ev.repartitionByRange(4, "event_date").write.mode("overwrite").parquet(src)
-    stream = ST.events_stream(spark, src, ev.schema, files_per_batch=1)
+    per_batch = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # files: more when tasks are to be more
+    ev.repartitionByRange(4 * per_batch, "event_date", *KEYCOLS).write.mode("overwrite").parquet(src)
+    stream = ST.events_stream(spark, src, ev.schema, files_per_batch=per_batch)
     state, metrics = work_path(spark, "wk-state"), work_path(spark, "wk-metrics")
     ST.weekly_metrics_stream(spark, stream, state, metrics, work_path(spark, "wk-chk"), FX.AS_OF, -2, key=FX.EVENT_KEY)
     out = spark.read.parquet(metrics)

@@ -92,3 +92,18 @@ def test_incremental_load_reads_only_new_files(spark):
     n = ev.count()
     assert ST.incremental_load(spark, src + "/*", sink, chk) == n
     assert spark.read.parquet(sink).count() == 100 + n
+
+
+def test_stream_query_writes_files_of_bounded_size(spark, monkeypatch):
+    from riskloom.plans import registry as R
+
+    paths, fresh = [], R.work_path
+    monkeypatch.setattr(R, "work_path", lambda s, name: paths.append(fresh(s, name)) or paths[-1])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        R.QUERIES["weekly_metrics_stream"](spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    files = spark.read.parquet(paths[0]).groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count"), F.sum("count")).first()
+    assert files[0] > 8 and files[1] <= files[2] / 8
