@@ -24,17 +24,21 @@ from riskloom.sources.log import TableLog
 
 KEYS = ("country", "week")
 FOLDER = "week_folder"
+#: Rows of a bucket on average, and the most buckets that Spark writes (spark.sql.sources.bucketing.maxBuckets).
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 100_000
 
 
-def store_bucketed(events: DataFrame, table_root: str, buckets: int) -> str:
-    """Events (``country``, ``event_date``, any others) -> a new version, in ``buckets`` buckets. Rows
-    without a country are kept (in a bucket of their own value); those without a date are in no week's folder."""
+def store_bucketed(events: DataFrame, table_root: str, buckets: int, bucket_rows: int = BUCKET_ROWS) -> str:
+    """Events (``country``, ``event_date``, any others) -> a new version, in ``buckets`` buckets, or in more if
+    they would hold over ``bucket_rows`` rows each, as a bucket is one task. Rows without a country are kept
+    (in a bucket of their own value); those without a date are in no week's folder."""
     if buckets < 1:
         raise ValueError("at least one bucket is needed")
     spark = events.sparkSession
     log = TableLog(spark, table_root)
     folder, name = f"b-{uuid.uuid4().hex}", f"riskloom_write_{uuid.uuid4().hex}"
     rows = events.withColumn("week", week_of("event_date"))
+    buckets = min(max(buckets, -(-events.count() // bucket_rows)), MOST_BUCKETS)
     layout = json.dumps({"buckets": buckets, "columns": rows.schema.jsonValue()})
     rows = rows.withColumn(FOLDER, F.col("week")).repartition(buckets, *KEYS)  # the buckets' own hash: one file per bucket and week
     path = f"{table_root.rstrip('/')}/{folder}"

@@ -305,3 +305,15 @@ def test_archives_of_fewer_members_than_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert rows(SF.archive_members(spark, path), "member", "size") == [("a.tsv", 8), ("b.tsv", 4)]
     assert rows(SF.expand_archives(spark, path), "member", "line") == [("a.tsv", "a\t1"), ("a.tsv", "a\t3"), ("b.tsv", "b\t2")]
+
+
+def test_buckets_grow_with_the_rows(spark):
+    import datetime
+
+    root, day = work_path(spark, "many"), datetime.date(2001, 1, 1)
+    data = [(f"C{i % 7}", day + datetime.timedelta(days=i % 100), i) for i in range(1000)]
+    ev = spark.createDataFrame(data, "country string, event_date date, n int")
+    SB.store_bucketed(ev, root, buckets=2, bucket_rows=100)
+    back = SB.read_bucketed(spark, root)
+    assert back.groupBy("country", "week").count().rdd.getNumPartitions() == 10  # one task each
+    assert rows(back, "country", "event_date", "n") == sorted(data)
