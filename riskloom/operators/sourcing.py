@@ -357,23 +357,41 @@ FRONT_SCHEMA = ("request_id long, node long, lam double, gap double, slack doubl
 
 
 def _solve_small(data: DataFrame) -> DataFrame:
-    """Choices of requests of at most GROUP_ITEMS items, one task step per request."""
-    def solve(table):
+    """Choices of requests of at most GROUP_ITEMS items, whose rows reach a task sorted: it holds a batch of
+    rows and the request that the batch ends in, as a group of its own for every request costs more than its solution."""
+    def chosen(table):
         import pyarrow as pa
 
-        table = table.sort_by([("item_pos", "ascending"), ("offer_pos", "ascending")])
-        item, offer, cost, risk = (table.column(c).to_numpy() for c in ("item_pos", "offer_pos", "cost", "distance"))
-        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
-        slack = table.column("budget")[0].as_py() - np.minimum.reduceat(risk, starts).sum()
-        found = pareto_select(item, cost, risk, offer, slack)
-        rows = path_rows(found[3], 0) if len(found[0]) else []
-        return table.take(pa.array(rows, pa.int64())).select(["request_id", "item_pos", "offer_pos"])
+        request, item, offer, cost, risk, budget = (table.column(c).to_numpy() for c in ("request_id", "item_pos", "offer_pos", "cost", "distance", "budget"))
+        starts = np.flatnonzero(np.r_[True, request[1:] != request[:-1]])
+        rows = []
+        for a, b in zip(starts, np.r_[starts[1:], len(request)], strict=True):
+            one = slice(a, b)
+            items = np.flatnonzero(np.r_[True, item[one][1:] != item[one][:-1]])
+            slack = budget[a] - np.minimum.reduceat(risk[one], items).sum()
+            found = pareto_select(item[one], cost[one], risk[one], offer[one], slack)
+            rows += [a + row for row in path_rows(found[3], 0)] if len(found[0]) else []
+        return table.select(["request_id", "item_pos", "offer_pos"]).take(pa.array(rows, pa.int64())).combine_chunks().to_batches()
+
+    def solve(batches):
+        import pyarrow as pa
 
-    # A fixed number of partitions on a hash of the request id keeps the requests spread over all cores.
-    # Grouping by (_g, request_id) is satisfied by it, so no adaptive exchange follows.
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            request = table.column("request_id").to_numpy()
+            end = int(np.searchsorted(request, request[-1])) if len(request) else 0
+            rest = table.slice(end)
+            if end:
+                yield from chosen(table.slice(0, end))
+        if rest is not None and len(rest):
+            yield from chosen(rest)
+
+    # A fixed number of partitions on the request id keeps the requests spread over all cores.
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = data.select("request_id", "item_pos", "offer_pos", "cost", "distance", "budget", F.xxhash64("request_id").alias("_g"))
-    return keyed.repartition(parts, "_g").groupBy("_g", "request_id").applyInArrow(solve, CHOICE_SCHEMA)
+    rows = data.select("request_id", "item_pos", "offer_pos", "cost", "distance", "budget").repartition(parts, "request_id")
+    return rows.sortWithinPartitions("request_id", "item_pos", "offer_pos").mapInArrow(solve, CHOICE_SCHEMA)
 
 
 def _front_row(request_id, node, limits, front, left=(), right=(), picks=(), items=()):

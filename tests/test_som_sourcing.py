@@ -289,3 +289,23 @@ def test_fronts_of_a_large_request_stay_small(spark, monkeypatch):
     got = X.select_exact(offers, risk, spark.createDataFrame([(1, budget / 1000)], "request_id long, budget double"))
     assert tuple(got.agg(F.count("*"), F.sum("cost")).first()) == (n, least.min())
     assert max(sizes) < 300
+
+
+def test_small_requests_in_batches_of_few_rows(spark):
+    rng = np.random.default_rng(3)
+    data = [(r, i, o, float(rng.integers(1, 50)), float(rng.integers(0, 40)) / 1000, 0.06) for r in range(40) for i in range(r % 4 + 1) for o in range(r % 3 + 1)]
+    df = spark.createDataFrame(data, "request_id long, item_pos int, offer_pos int, cost double, distance double, budget double")
+    whole = sorted(map(tuple, X._solve_small(df).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        few = X._solve_small(df)
+        assert "FlatMapGroups" not in few._jdf.queryExecution().executedPlan().toString()  # no Python call per request
+        assert sorted(map(tuple, few.collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for r in range(40):
+        lists = [[x for x in data if x[0] == r and x[1] == i] for i in range(r % 4 + 1)]
+        fits = [p for p in itertools.product(*lists) if sum(x[4] for x in p) <= 0.06 + 1e-9]
+        best = min(fits, key=lambda p: (sum(x[3] for x in p), sum(x[4] for x in p), [x[2] for x in p]), default=())
+        assert [(x[1], x[2]) for x in best] == [w[1:] for w in whole if w[0] == r]
