@@ -78,13 +78,15 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = (F.when(part % 41 == 0, 0.0).when((part % 11 == 0) & (nation % 5 == 0), 0.0)
             .when((part % 13 == 0) & (nation % 7 == 0), -5.0).otherwise(F.col("cost")))
     name = F.when((part % 29 == 0) & (nation == 1), "UNSCORED").otherwise(F.col("n_name"))
-    per = per.select("l_partkey", "n_nationkey", name.alias("n_name"), cost.alias("cost"), F.lit(0).alias("again"))
-    twice = per.filter((part % 17 == 0) & (nation % 3 == 0)).withColumn("cost", F.col("cost") + 10).withColumn("again", F.lit(1))
-    per = per.unionByName(twice)
-    w = Window.partitionBy("l_partkey").orderBy("again", "n_nationkey")
+    again = F.explode(F.when((part % 17 == 0) & (nation % 3 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    per = per.select("l_partkey", "n_nationkey", name.alias("n_name"), cost.alias("cost"), again.alias("again"))
+    per = per.withColumn("cost", F.col("cost") + 10 * F.col("again")).withColumn("request_id", F.floor(F.col("l_partkey") / 4).cast("long"))
+    # Dealt once by request: the window and the nesting of the requests need no exchange of their own.
+    per = per.repartition("request_id")
+    w = Window.partitionBy("request_id", "l_partkey").orderBy("again", "n_nationkey")
     named = part - F.when((part % 4 == 3) & (F.floor(part / 4) % 19 == 0), 3).otherwise(0)
     return per.select(
-        F.floor(F.col("l_partkey") / 4).cast("long").alias("request_id"),
+        "request_id",
         (F.col("l_partkey") % 4).cast("int").alias("item_pos"),
         F.concat(F.lit("part-"), named.cast("long").cast("string")).alias("item"),
         (F.row_number().over(w) - 1).cast("int").alias("offer_pos"),

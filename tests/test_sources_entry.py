@@ -317,3 +317,9 @@ def test_buckets_grow_with_the_rows(spark):
     back = SB.read_bucketed(spark, root)
     assert back.groupBy("country", "week").count().rdd.getNumPartitions() == 10  # one task each
     assert rows(back, "country", "event_date", "n") == sorted(data)
+
+
+def test_requests_are_dealt_once(spark):
+    plan = FX.requests(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # the joins', the prices' and the requests' own
+    assert plan.count("lineitem.parquet") == 1
