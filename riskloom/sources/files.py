@@ -9,6 +9,7 @@ the driver.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Sequence
@@ -84,24 +85,53 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mo
 # ------------------------------------------------------------------ archives
 
 def archive_members(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """The directories of all archives: (archive, member, size). Nothing is decompressed."""
+    """The directories of all archives: (archive, member, size). Nothing is decompressed, and
+    where tasks can open the archives no other bytes of them are read."""
     def listed(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as zf:
+                with _opened(archive, content) as fh, zipfile.ZipFile(fh) as zf:
                     out += [(archive, i.filename, i.file_size) for i in zf.infolist() if not i.is_dir()]
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)],
                                              ["archive", "member", "size"])
 
-    return _archives(spark, path, glob).mapInArrow(listed, "archive string, member string, size long")
+    return _archives(spark, path, glob)[0].mapInArrow(listed, "archive string, member string, size long")
 
 
-def _archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+def _archives(spark: SparkSession, path: str, glob: str) -> tuple[DataFrame, bool]:
+    """(path, content) of all archives, and whether tasks can open the files by their paths. If so, content is NULL and
+    not read by Spark, which would hold a whole archive in memory, several times over; else it has all bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    first = files.select("path").head(1)
+    in_place = not first or _opens(first[0]["path"])
+    return files.select("path", F.lit(None).cast("binary").alias("content") if in_place else F.col("content")), in_place
+
+
+def _opened(path: str, content=None):
+    """An archive for random access: its file, of which only what is asked for is read, or its bytes."""
+    from urllib.parse import quote
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    if content is not None and content.is_valid:
+        return pa.BufferReader(content.as_buffer())
+    store, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/@"))
+    return io.BufferedReader(store.open_input_file(name), 1 << 20)
+
+
+def _opens(path: str) -> bool:
+    """Whether the file can be opened without Spark (not in a store that only Spark's readers know)."""
+    try:
+        with _opened(path) as fh:
+            fh.read(1)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
 
 
 def wanted_members(members: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
@@ -124,11 +154,14 @@ def expand_archives(spark: SparkSession, path: str, expanded: DataFrame | None =
     decompresses nothing.
     """
     wanted = wanted_members(archive_members(spark, path, glob), expanded)
-    # One row per archive with its wanted members; the archives' bytes stay where they are read if it is small.
+    # One row per archive with its wanted members; the archives stay in the tasks of their scan if it is small.
     lists = materialize(wanted.groupBy("archive").agg(F.collect_list("member").alias("members")), "members")
     n = bounded_count(lists)
     lists = broadcast_if_small(lists, n if n <= BROADCAST_ROW_LIMIT else None)
-    files = _archives(spark, path, glob).withColumnRenamed("path", "archive").join(lists, "archive").select("archive", "content", "members")
+    files, in_place = _archives(spark, path, glob)
+    files = files.withColumnRenamed("path", "archive").join(lists, "archive").select("archive", "content", "members")
+    if n > BROADCAST_ROW_LIMIT and in_place:  # the joined rows are short, and by their size all archives would go to one task
+        files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive")
 
     def unpack(batches):
         import pyarrow as pa
@@ -139,7 +172,7 @@ def expand_archives(spark: SparkSession, path: str, expanded: DataFrame | None =
 
         for batch in batches:
             for archive, content, members in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as zf:
+                with _opened(archive, content) as packed, zipfile.ZipFile(packed) as zf:
                     for member in members:
                         with zf.open(member) as fh:
                             lines = []

@@ -3,6 +3,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from riskloom.operators import weekly as W
@@ -323,3 +324,39 @@ def test_requests_are_dealt_once(spark):
     plan = FX.requests(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4  # the joins', the prices' and the requests' own
     assert plan.count("lineitem.parquet") == 1
+
+
+def _oddly_named_archives(spark):
+    d = work_path(spark, "in place").replace("file:", "")
+    os.makedirs(d)
+    names = ["a b.zip", "c%20+#?.zip", "y.zip", "z\u00e9.zip"]
+    for i, name in enumerate(names):
+        _zip(os.path.join(d, name), f"{i}.tsv", [f"{i}-{k}" for k in range(1000)])
+    return d, names
+
+
+def _no_archive_in_a_row(spark, fn):
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+    try:
+        return fn()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_archives_are_expanded_in_place(spark, monkeypatch):
+    d, _ = _oddly_named_archives(spark)
+    want = sorted((f"{i}.tsv", f"{i}-{k}") for i in range(4) for k in range(1000))
+    assert _no_archive_in_a_row(spark, lambda: rows(SF.expand_archives(spark, d), "member", "line")) == want
+    monkeypatch.setattr(SF, "_opens", lambda path: False)  # a store that only Spark's readers know
+    assert rows(SF.expand_archives(spark, d), "member", "line") == want
+
+
+def test_more_archives_than_a_broadcast_holds(spark, monkeypatch):
+    d = work_path(spark, "many").replace("file:", "")
+    os.makedirs(d)
+    for i in range(12):
+        _zip(os.path.join(d, f"{i}.zip"), f"{i}.tsv", [f"{i}"])
+    monkeypatch.setattr(SF, "BROADCAST_ROW_LIMIT", 1)
+    lines = SF.expand_archives(spark, d)
+    assert rows(lines, "line") == sorted((f"{i}",) for i in range(12))
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1  # not all in one task, short as their rows are
