@@ -351,6 +351,14 @@ def test_archives_are_expanded_in_place(spark, monkeypatch):
     assert rows(SF.expand_archives(spark, d), "member", "line") == want
 
 
+def test_archives_are_listed_in_place(spark, monkeypatch):
+    d, names = _oddly_named_archives(spark)
+    got = _no_archive_in_a_row(spark, lambda: rows(SF.archive_members(spark, d)))
+    assert [(a.rsplit("/", 1)[1], m, n) for a, m, n in got] == [(a, f"{i}.tsv", 5890) for i, a in enumerate(names)]
+    monkeypatch.setattr(SF, "_opens", lambda path: False)
+    assert rows(SF.archive_members(spark, d)) == got
+
+
 def test_more_archives_than_a_broadcast_holds(spark, monkeypatch):
     d = work_path(spark, "many").replace("file:", "")
     os.makedirs(d)
